@@ -1,0 +1,4 @@
+"""Nothing is built here: every job of this engine reads finite tables.
+
+Fitted models are ordinary ``pyspark.ml`` transformers.
+"""
