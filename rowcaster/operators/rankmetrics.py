@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .quantiles import linear_quantiles, sketch_splits, with_bucket
 
 BUCKETS = 512
-THRESHOLD_LEVELS = [0.01 + i * (0.99 - 0.01) / 198 for i in range(199)]
+THRESHOLD_LEVELS = [*(0.01 + i * ((0.99 - 0.01) / 198) for i in range(198)), 0.99]
 
 
 def class_scores(

@@ -28,13 +28,61 @@ TIER_CLASSES = {
     0: ["Healthy"],
 }
 
+# Mean, deviation, lower and upper bound per measurement.
+MULTICLASS_MEASURES = {
+    "bmi": (27, 5, 15, 50),
+    "heart_rate": (75, 12, 50, 120),
+    "blood_pressure": (120, 15, 80, 180),
+    "cholesterol": (200, 40, 120, 350),
+}
+TIERED_MEASURES = {
+    "age": (45, 15, 18, 80),
+    "bmi": (25, 5, 15, 45),
+    "heart_rate": (72, 12, 50, 120),
+    "blood_pressure": (120, 20, 90, 180),
+    "cholesterol": (200, 40, 150, 350),
+}
+
+# Weight and centre per measurement.
+OUTCOME_WEIGHTS = {"age": (0.04, 50), "bmi": (0.1, 25)}
+LATENT_WEIGHTS = {
+    "Diabetes": {"bmi": (0.05, 25), "age": (0.03, 40)},
+    "Hypertension": {"blood_pressure": (0.08, 120), "age": (0.04, 50)},
+    "Heart_Disease": {"cholesterol": (0.06, 200), "age": (0.05, 55), "bmi": (0.03, 25)},
+    "Asthma": {"age": (-0.02, 0)},
+    "Arthritis": {"age": (0.08, 45)},
+    "Healthy": {},
+}
+
+# Mean and deviation of the noise per class.
+LATENT_NOISE = {
+    "Diabetes": (0, 2),
+    "Hypertension": (0, 2),
+    "Heart_Disease": (0, 2),
+    "Asthma": (0, 3),
+    "Arthritis": (0, 2),
+    "Healthy": (-3, 1),
+}
+
 
 def range_keys(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).withColumnRenamed("id", "row_id")
 
 
-def outcome_probability(age: Column, bmi: Column, noise: Column) -> Column:
-    return logistic(0.04 * (age - 50) + 0.1 * (bmi - 25) + noise)
+def weighted_score(weights: dict[str, tuple[float, float]], noise: Column) -> Column:
+    """Sum of weight * (measurement - centre), plus noise."""
+    total = noise
+    for c, (weight, centre) in weights.items():
+        total = total + F.lit(float(weight)) * (F.col(c) - F.lit(float(centre)))
+    return total
+
+
+def measures(key: str, table: dict[str, tuple], seed: int) -> list[Column]:
+    """Normal deviates clamped to their bounds."""
+    return [
+        clip(normal(key, mean, std, seed + i), low, high).alias(c)
+        for i, (c, (mean, std, low, high)) in enumerate(table.items())
+    ]
 
 
 def binary_rows(keys: DataFrame, key: str = "row_id", seed: int = 42) -> DataFrame:
@@ -47,35 +95,9 @@ def binary_rows(keys: DataFrame, key: str = "row_id", seed: int = 42) -> DataFra
         normal(key, 75, 8, seed + 4).alias("heart_rate"),
         choice(key, ["none", "short", "long"], seed + 5).alias("discharge_notes"),
         normal(key, 1000, 200, seed + 6).alias("bill_amount"),
-        normal(key, 0, 1, seed + 7).alias("_noise"),
     )
-    p = outcome_probability(F.col("age"), F.col("bmi"), F.col("_noise"))
-    return base.withColumn("outcome", (p > 0.5).cast("int")).drop("_noise")
-
-
-def latent_scores(noise: dict[str, Column]) -> dict[str, Column]:
-    """Score per class from age, bmi, blood pressure and cholesterol plus noise."""
-    age, bmi = F.col("age"), F.col("bmi")
-    bp, chol = F.col("blood_pressure"), F.col("cholesterol")
-    return {
-        "Diabetes": 0.05 * (bmi - 25) + 0.03 * (age - 40) + noise["Diabetes"],
-        "Hypertension": 0.08 * (bp - 120) + 0.04 * (age - 50) + noise["Hypertension"],
-        "Heart_Disease": 0.06 * (chol - 200) + 0.05 * (age - 55) + 0.03 * (bmi - 25) + noise["Heart_Disease"],
-        "Asthma": -0.02 * age + noise["Asthma"],
-        "Arthritis": 0.08 * (age - 45) + noise["Arthritis"],
-        "Healthy": noise["Healthy"],
-    }
-
-
-# Mean and deviation of the noise per class.
-LATENT_NOISE = {
-    "Diabetes": (0, 2),
-    "Hypertension": (0, 2),
-    "Heart_Disease": (0, 2),
-    "Asthma": (0, 3),
-    "Arthritis": (0, 2),
-    "Healthy": (-3, 1),
-}
+    p = logistic(weighted_score(OUTCOME_WEIGHTS, normal(key, 0, 1, seed + 7)))
+    return base.withColumn("outcome", (p > 0.5).cast("int"))
 
 
 def multiclass_rows(keys: DataFrame, key: str = "row_id", seed: int = 42) -> DataFrame:
@@ -84,27 +106,21 @@ def multiclass_rows(keys: DataFrame, key: str = "row_id", seed: int = 42) -> Dat
         F.col(key),
         uniform_int(key, 18, 85, seed + 1).alias("age"),
         choice(key, ["M", "F"], seed + 2).alias("gender"),
-        clip(normal(key, 27, 5, seed + 3), 15, 50).alias("bmi"),
-        clip(normal(key, 75, 12, seed + 4), 50, 120).alias("heart_rate"),
-        clip(normal(key, 120, 15, seed + 5), 80, 180).alias("blood_pressure"),
-        clip(normal(key, 200, 40, seed + 6), 120, 350).alias("cholesterol"),
+        *measures(key, MULTICLASS_MEASURES, seed + 3),
     )
-    noise = {
-        name: normal(key, mean, std, seed + 10 + i) for i, (name, (mean, std)) in enumerate(LATENT_NOISE.items())
+    scores = {
+        name: weighted_score(LATENT_WEIGHTS[name], normal(key, mean, std, seed + 10 + i))
+        for i, (name, (mean, std)) in enumerate(LATENT_NOISE.items())
     }
-    return base.withColumn("prognosis", first_maximum(latent_scores(noise)))
+    return base.withColumn("prognosis", first_maximum(scores))
 
 
 def tiered_rows(keys: DataFrame, key: str = "row_id", seed: int = 42) -> DataFrame:
     """Class drawn among those open to the row's rule score."""
     base = keys.select(
         F.col(key),
-        clip(normal(key, 45, 15, seed + 1), 18, 80).alias("age"),
-        choice(key, [0, 1], seed + 2).alias("gender"),
-        clip(normal(key, 25, 5, seed + 3), 15, 45).alias("bmi"),
-        clip(normal(key, 72, 12, seed + 4), 50, 120).alias("heart_rate"),
-        clip(normal(key, 120, 20, seed + 5), 90, 180).alias("blood_pressure"),
-        clip(normal(key, 200, 40, seed + 6), 150, 350).alias("cholesterol"),
+        choice(key, [0, 1], seed + 1).alias("gender"),
+        *measures(key, TIERED_MEASURES, seed + 2),
     )
     tier = rule_tier(rule_score(RISK_THRESHOLDS))
     return base.withColumn("prognosis", draw_in_tier(tier, arithmetic_unit(key, seed + 7), TIER_CLASSES))
