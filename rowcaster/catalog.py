@@ -718,6 +718,12 @@ def attribution_wide(spark, sf):
     return rounded(explain.wide_attribution(long, "row_id", ATTRIBUTION_NAMES), *ATTRIBUTION_NAMES)
 
 
+@query
+def attribution_projection(spark, sf):
+    wide = explain.wide_projection(attributed_lines(spark, sf), "row_id", "attribution", ATTRIBUTION_NAMES)
+    return rounded(wide, *ATTRIBUTION_NAMES)
+
+
 @query
 def row_explanation(spark, sf):
     """The leading features of the row with the smallest key."""
@@ -1017,4 +1023,5 @@ def tree_attribution_sums(spark, sf):
 def sampled_attribution(spark, sf):
     df, model = fitted(spark, sf, FOREST)
     rows = select.sample_rows(df, 50, "doc_id")
-    return explain.global_importance(explain.sampled_attribution(model, rows, "doc_id", permutations=3, background=df))
+    wide = explain.sampled_attribution(model, rows, "doc_id", permutations=3, background=df)
+    return explain.global_importance(explain.to_long(wide, "doc_id", "attribution", model.stages[0].feature_names))

@@ -154,11 +154,12 @@ def sampled_attribution(
     df: DataFrame,
     key: str,
     class_index: int = 1,
+    out: str = "attribution",
     permutations: int = 10,
     background: DataFrame | None = None,
     seed: int = 42,
 ) -> DataFrame:
-    """(key, feature, value, abs_value) by permutation sampling against background rows.
+    """(key, attribution array) by permutation sampling against background rows.
 
     Each row is scored along ``permutations`` random feature orders: features enter one by
     one, the rest stay at a background row. Values of a row add up to its probability
@@ -213,10 +214,9 @@ def sampled_attribution(
         .groupBy(key, "f")
         .agg((F.sum("v") / F.lit(float(permutations))).alias("value"))
     )
-    labels = F.array(*[F.lit(n) for n in names])
-    return total.select(
-        key, F.element_at(labels, F.col("f") + 1).alias("feature"), "value", F.abs("value").alias("abs_value")
-    )
+    # a row has one value per feature, so the list is as long as the feature vector
+    ordered = F.sort_array(F.collect_list(F.struct("f", "value")))
+    return total.groupBy(key).agg(F.transform(ordered, lambda e: e["value"]).alias(out))
 
 
 # --- choice, ranking, shapes -----------------------------------------------------------
@@ -229,19 +229,25 @@ def explainer_kind(model: PipelineModel) -> str:
     return "linear" if hasattr(last, "coefficientMatrix") else "sampled"
 
 
-def explain(
-    model: PipelineModel, df: DataFrame, key: str, class_index: int = 1, sample_size: int = 2000, seed: int = 42
+def attributions(
+    model: PipelineModel, rows: DataFrame, key: str, class_index: int = 1, out: str = "attribution", seed: int = 42
 ) -> DataFrame:
-    """Sample rows, then (key, feature, value, abs_value) with the method fitting the model."""
-    rows = sample_rows(df, sample_size, key, seed)
-    names = model.stages[0].feature_names
+    """(key, attribution array) of the given rows, by the method that fits the model."""
     kind = explainer_kind(model)
     if kind == "tree":
-        return to_long(tree_attribution(model, rows, key, class_index), key, "attribution", names)
+        return tree_attribution(model, rows, key, class_index, out)
     if kind == "linear":
-        wide = linear_model_attribution(model, rows, class_index, "_a")
-        return to_long(wide, key, "_a", names)
-    return sampled_attribution(model, rows, key, class_index, seed=seed)
+        return linear_model_attribution(model, rows, class_index, out).select(key, out)
+    return sampled_attribution(model, rows, key, class_index, out, seed=seed)
+
+
+def explain(
+    model: PipelineModel, df: DataFrame, key: str, class_index: int = 1, sample_size: int = 2000, seed: int = 42
+) -> DataFrame:
+    """Sample rows, then (key, feature, value, abs_value)."""
+    rows = sample_rows(df, sample_size, key, seed)
+    wide = attributions(model, rows, key, class_index, seed=seed)
+    return to_long(wide, key, "attribution", model.stages[0].feature_names)
 
 
 def global_importance(long: DataFrame) -> DataFrame:
@@ -279,13 +285,18 @@ def top_features_wide(df: DataFrame, key: str, values: str, names: Sequence[str]
 
 
 def wide_attribution(long: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
-    """``index`` and one column per feature."""
+    """``index`` and one column per feature, from the long form."""
     return (
         long.groupBy(F.col(key).alias("index"))
         .agg(*[F.sum(F.when(F.col("feature") == n, F.col("value"))).alias(n) for n in names])
     )
 
 
+def wide_projection(df: DataFrame, key: str, values: str, names: Sequence[str]) -> DataFrame:
+    """``index`` and one column per feature, from the array: a projection, no shuffle."""
+    return df.select(F.col(key).alias("index"), *[F.col(values)[i].alias(n) for i, n in enumerate(names)])
+
+
 def explain_row(long: DataFrame, key: str, value, k: int = 20) -> DataFrame:
     """(feature, value) of one row, largest absolute value first."""
     return (

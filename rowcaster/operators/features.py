@@ -231,31 +231,34 @@ def imputed(df: DataFrame, params: dict) -> DataFrame:
     return df.withColumns(fills)
 
 
+BROADCAST_ROWS = 1_000_000
+SALTS = 32
+
+
 def one_hot_long(df: DataFrame, key: str, columns: Sequence[str], categories: DataFrame) -> DataFrame:
     """One-hot entries (key, column, value) for columns of any cardinality.
 
-    ``categories`` holds the fitted (column, value) pairs; unknown values yield no entry.
-    A hot value matches one category row, so adaptive skew splitting applies.
+    ``categories`` holds the fitted, distinct (column, value) pairs; unknown values yield no
+    entry. Up to ``BROADCAST_ROWS`` pairs (counted first) are broadcast; a longer list is
+    repeated under ``SALTS`` salts, which spread the rows of a hot value.
     """
-    entries = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), as_text(df.schema, c).alias("value"))
-            for c in columns
-        ]
-    )
-    long = df.select(key, F.inline(entries)).where(F.col("value").isNotNull())
-    return long.join(categories, ["column", "value"], "left_semi")
+    long = df.select(key, F.inline(_text_entries(df, columns))).where(F.col("value").isNotNull())
+    if categories.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return long.join(F.broadcast(categories), ["column", "value"], "left_semi")
+    salted = categories.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    long = long.withColumn("_s", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    return long.join(salted, ["column", "value", "_s"], "left_semi").drop("_s")
 
 
 def category_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct (column, value) pairs as a table, for columns of any cardinality."""
-    entries = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), as_text(df.schema, c).alias("value"))
-            for c in columns
-        ]
+    return df.select(F.inline(_text_entries(df, columns))).where(F.col("value").isNotNull()).distinct()
+
+
+def _text_entries(df: DataFrame, columns: Sequence[str]) -> Column:
+    return F.array(
+        *[F.struct(F.lit(c).alias("column"), as_text(df.schema, c).alias("value")) for c in columns]
     )
-    return df.select(F.inline(entries)).where(F.col("value").isNotNull()).distinct()
 
 
 class _StateParams(Params):

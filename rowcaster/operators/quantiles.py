@@ -20,8 +20,10 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 COLLECT_LIMIT = 200_000
-ACCURACY = 20_000
 LEVELS = 200
+MEDIAN_ACCURACY = 2_000  # sketch error of a tenth of a level; small buffers for wide tables
+RANK_ACCURACY = 20_000
+SEARCHES_PER_PASS = 512
 INF = float("inf")
 
 
@@ -47,7 +49,7 @@ def _pass_columns(i: int, s: _Search) -> list[Column]:
         F.count_if(x == low).alias(f"low_{i}"),
         F.count(inside).alias(f"mid_{i}"),
         F.count_if((x == high) & (high > low)).alias(f"high_{i}"),
-        F.percentile_approx(inside, levels, ACCURACY).alias(f"sketch_{i}"),
+        F.percentile_approx(inside, levels, MEDIAN_ACCURACY).alias(f"sketch_{i}"),
     ]
 
 
@@ -83,45 +85,60 @@ def _advance(i: int, s: _Search, row: Row) -> None:
 
 def exact_medians(
     df: DataFrame, values: dict[str, Column], extra: Sequence[Column] = ()
-) -> tuple[dict[str, float | None], Row | None]:
+) -> tuple[dict[str, float | None], dict]:
     """Median of every expression (NULL skipped, mean of the middle two).
 
-    ``extra`` aggregates ride along in the first pass; their row is returned as well.
+    ``extra`` aggregates ride along in the first passes; their values come back by name.
+    At most ``SEARCHES_PER_PASS`` expressions share a pass, so buffers stay bounded.
     """
     searches = [_Search(k, v.cast("double"), found={}) for k, v in values.items()]
-    first_row = None
+    extras: dict = {}
     active = searches
-    while active or (extra and first_row is None):
-        columns = [c for i, s in enumerate(active) for c in _pass_columns(i, s)]
-        row = df.agg(*columns, *(extra if first_row is None else ())).first()
-        first_row = first_row or row
-        for i, s in enumerate(active):
-            _advance(i, s, row)
+    first = True
+    while active or (first and extra):
+        chunks = max(1, -(-len(active) // SEARCHES_PER_PASS))
+        for c in range(chunks):
+            part = active[c::chunks]
+            riding = list(extra)[c::chunks] if first else []
+            columns = [col for i, s in enumerate(part) for col in _pass_columns(i, s)]
+            row = df.agg(*columns, *riding).first()
+            if first:
+                extras |= {k: v for k, v in row.asDict().items()}
+            for i, s in enumerate(part):
+                _advance(i, s, row)
+        first = False
         active = [s for s in active if not s.done]
 
     pending = [(s, r) for s in searches if s.collect for r in s.ranks if r not in s.found]
-    if pending:
-        columns = []
-        for i, (s, r) in enumerate(pending):
+    # at most COLLECT_LIMIT values per search; few searches at a time share a task's memory
+    for start in range(0, len(pending), 16):
+        part, columns = pending[start : start + 16], []
+        for i, (s, r) in enumerate(part):
             low, high, before = s.collect
             inside = F.when((s.value > F.lit(low)) & (s.value < F.lit(high)), s.value)
             ordered = F.sort_array(F.collect_list(inside))
             columns.append(F.element_at(ordered, r - before + 1).alias(f"v_{i}"))
         row = df.agg(*columns).first()
-        for i, (s, r) in enumerate(pending):
+        for i, (s, r) in enumerate(part):
             s.found[r] = row[f"v_{i}"]
     medians = {
         s.key: (sum(s.found[r] for r in s.ranks) / len(s.ranks) if s.ranks else None)
         for s in searches
     }
-    return medians, first_row
+    return medians, extras
 
 
 def sketch_splits(df: DataFrame, column: str, levels: Sequence[float]) -> list[float]:
     """Sorted distinct approximate quantiles; one sketch aggregate, no shuffle of rows."""
-    accuracy = max(ACCURACY, 10 * len(levels))
-    row = df.agg(F.percentile_approx(F.col(column).cast("double"), list(levels), accuracy)).first()
-    return sorted({float(v) for v in row[0]}) if row[0] else []
+    return count_and_splits(df, column, levels)[1]
+
+
+def count_and_splits(df: DataFrame, column: str, levels: Sequence[float]) -> tuple[int, list[float]]:
+    """Non-null values and their sorted distinct approximate quantiles, from one aggregate."""
+    accuracy = max(RANK_ACCURACY, 10 * len(levels))
+    sketch = F.percentile_approx(F.col(column).cast("double"), list(levels), accuracy)
+    row = df.agg(F.count(column), sketch).first()
+    return row[0], sorted({float(v) for v in row[1]}) if row[1] else []
 
 
 def with_bucket(df: DataFrame, column: str, splits: Sequence[float], out: str) -> DataFrame:
@@ -131,16 +148,17 @@ def with_bucket(df: DataFrame, column: str, splits: Sequence[float], out: str) -
     return Bucketizer(splits=edges, inputCol=column, outputCol=out).transform(df)
 
 
-def order_values(df: DataFrame, column: str, ranks: Sequence[int], n: int) -> dict[int, float]:
-    """Values at 0-based ``ranks`` of the ``n`` non-null values of a double column."""
+def order_values(
+    df: DataFrame, column: str, ranks: Sequence[int], splits: Sequence[float]
+) -> dict[int, float]:
+    """Values at 0-based ``ranks`` of a column; any ``splits`` give the same result.
+
+    Splits close to the ranks keep the rows of the buckets in between out of the shuffle.
+    """
     if not ranks:
         return {}
-    slack = 4.0 / ACCURACY
-    levels = sorted(
-        {min(1.0, max(0.0, r / max(n - 1, 1) + d)) for r in ranks for d in (-slack, slack)}
-    )
     values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    bucketed = with_bucket(values, "v", sketch_splits(values, "v", levels), "b")
+    bucketed = with_bucket(values, "v", splits, "b")
     totals = {r["b"]: r["c"] for r in bucketed.groupBy("b").agg(F.count("*").alias("c")).collect()}
 
     wanted, before, pos = [], 0, 0
@@ -150,20 +168,17 @@ def order_values(df: DataFrame, column: str, ranks: Sequence[int], n: int) -> di
             wanted.append((float(b), ordered[pos] - before, ordered[pos]))
             pos += 1
         before += totals[b]
-    spark = df.sparkSession
-    targets = spark.createDataFrame(wanted, "b double, local_rank long, rank long")
+    targets = df.sparkSession.createDataFrame(wanted, "b double, local_rank long, rank long")
     needed = sorted({w[0] for w in wanted})
+    running = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     merged = (
         bucketed.where(F.col("b").isin(needed))
         .groupBy("b", "v")
         .agg(F.count("*").alias("c"))
-        .withColumn(
-            "upto",
-            F.sum("c").over(Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)),
-        )
+        .withColumn("upto", F.sum("c").over(running))
     )
     hits = (
-        merged.join(F.broadcast(targets), "b")  # at most one row per requested rank
+        merged.join(F.broadcast(targets), "b")  # one row per requested rank
         .where((F.col("local_rank") < F.col("upto")) & (F.col("local_rank") >= F.col("upto") - F.col("c")))
         .select("rank", "v")
     )
@@ -172,12 +187,14 @@ def order_values(df: DataFrame, column: str, ranks: Sequence[int], n: int) -> di
 
 def linear_quantiles(df: DataFrame, column: str, levels: Sequence[float]) -> list[float]:
     """Quantiles with linear interpolation between neighbouring order statistics."""
-    n = df.agg(F.count(column)).first()[0]
+    slack = 4.0 / RANK_ACCURACY
+    around = sorted({min(1.0, max(0.0, q + d)) for q in levels for d in (-slack, slack)})
+    n, splits = count_and_splits(df, column, around)
     if n == 0:
         return []
     places = [q * (n - 1) for q in levels]
     ranks = {r for p in places for r in (math.floor(p), min(math.floor(p) + 1, n - 1))}
-    values = order_values(df, column, sorted(ranks), n)
+    values = order_values(df, column, sorted(ranks), splits)
     out = []
     for p in places:
         a, b = values[math.floor(p)], values[min(math.floor(p) + 1, n - 1)]

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quantiles import linear_quantiles, sketch_splits, with_bucket
+from .select import MAX_OFFSETS
 
 BUCKETS = 512
 THRESHOLD_LEVELS = [*(0.01 + i * ((0.99 - 0.01) / 198) for i in range(198)), 0.99]
@@ -195,7 +196,7 @@ def roc_auc_ovo(df: DataFrame, y: str, proba: str, n_classes: int, buckets: int
     return _macro(each, "auc", "roc_auc_ovo")
 
 
-def average_precision_by_class(long: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def average_precision_by_class(long: DataFrame, n_classes: int, buckets: int = BUCKETS) -> DataFrame:
     """(cls, ap): sum over distinct scores, from the highest, of recall gain times precision."""
     counts = _score_counts(
         long,
@@ -205,7 +206,6 @@ def average_precision_by_class(long: DataFrame, buckets: int = BUCKETS) -> DataF
     totals = counts.groupBy("cls", "bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     higher = _running(["cls"], F.desc("bucket"))
     whole = Window.partitionBy("cls")
-    # classes x buckets rows
     offsets = totals.select(
         "cls",
         "bucket",
@@ -220,7 +220,7 @@ def average_precision_by_class(long: DataFrame, buckets: int = BUCKETS) -> DataF
     fp = F.col("fp_above") + F.col("fp_in")
     return (
         counts.withColumns({"tp_in": F.sum("pos").over(local), "fp_in": F.sum("neg").over(local)})
-        .join(F.broadcast(offsets), ["cls", "bucket"])
+        .join(offsets if n_classes * buckets > MAX_OFFSETS else F.broadcast(offsets), ["cls", "bucket"])
         .groupBy("cls")
         .agg(
             F.sum(F.col("pos") * tp / (tp + fp)).alias("gain"),
@@ -231,7 +231,7 @@ def average_precision_by_class(long: DataFrame, buckets: int = BUCKETS) -> DataF
 
 
 def average_precision(df: DataFrame, y: str, score: str, buckets: int = BUCKETS) -> DataFrame:
-    return average_precision_by_class(binary_scores(df, y, score), buckets).select(
+    return average_precision_by_class(binary_scores(df, y, score), 1, buckets).select(
         F.col("ap").alias("pr_auc")
     )
 
@@ -240,7 +240,7 @@ def average_precision_macro(
     df: DataFrame, y: str, proba: str, n_classes: int, buckets: int = BUCKETS
 ) -> DataFrame:
     return _macro(
-        average_precision_by_class(class_scores(df, y, proba, n_classes), buckets), "ap", "pr_auc"
+        average_precision_by_class(class_scores(df, y, proba, n_classes), n_classes, buckets), "ap", "pr_auc"
     )
 
 

@@ -11,6 +11,8 @@ from pyspark.sql.types import NumericType, StringType, StructType
 
 from ..functions.hashing import unit_hash
 
+MAX_OFFSETS = 1_000_000  # rows of a broadcast offset table
+
 
 def drop_target(df: DataFrame, target: str | None) -> DataFrame:
     return df.drop(target) if target and target in df.columns else df
@@ -130,7 +132,8 @@ def rank_by_unit(
     if counts is None:
         counts = class_counts(df, group)
     largest = max(counts.values(), default=1)
-    ranges = min(65_536, max(1, -(-largest // rows_per_bucket)))
+    most = max(1, MAX_OFFSETS // max(len(counts), 1))
+    ranges = min(most, max(1, -(-largest // rows_per_bucket)))
     marked = df.withColumn("_u", unit)
     local = Window.partitionBy(group, "_b").orderBy("_u", tiebreak)
     if ranges == 1:
@@ -146,7 +149,7 @@ def rank_by_unit(
         F.lit(0),
     )
     offsets = sizes.withColumn("_before", before).drop("_c")
-    # offsets: groups x ranges rows, at most a few million
+    # offsets: groups x ranges rows, at most MAX_OFFSETS
     return (
         marked.join(F.broadcast(offsets), [group, "_b"])
         .withColumn(out, F.col("_before") + F.row_number().over(local) - 1)

@@ -374,6 +374,7 @@ ORACLE: dict[str, str] = {
     "attribution_wide": f"""WITH {ATTRIBUTED_LONG}, u AS (SELECT DISTINCT * FROM al) SELECT row_id AS index,
  {r6("sum(CASE WHEN feature = 'quantity' THEN value END)", 'quantity')}, {r6("sum(CASE WHEN feature = 'discount' THEN value END)", 'discount')},
  {r6("sum(CASE WHEN feature = 'price' THEN value END)", 'price')} FROM u GROUP BY row_id""",
+    "attribution_projection": f"WITH {ATTRIBUTED} SELECT row_id AS index, {r6('vq', 'quantity')}, {r6('vd', 'discount')}, {r6('vp', 'price')} FROM a",
     "row_explanation": f"""WITH {ATTRIBUTED_LONG}, u AS (SELECT DISTINCT * FROM al) SELECT feature, {r6('value', 'shap_value')} FROM u
  WHERE row_id = (SELECT min(row_id) FROM u) ORDER BY abs_value DESC, feature LIMIT 20""",
     "sample_rows": f"SELECT doc_id, lang, n_chars FROM documents ORDER BY {unit('doc_id', 42)}, doc_id LIMIT 100",

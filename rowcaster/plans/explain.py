@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from ..operators.explain import explain, global_importance, wide_attribution
+from ..operators.explain import attributions, global_importance, to_long, wide_projection
 from ..operators.models import load_model
-from ..operators.select import with_row_id
+from ..operators.select import sample_rows, with_row_id
 from ..session import written
 from ..sources.artifacts import load_json, require_artifact
 from ..sources.csv import write_csv
@@ -28,8 +28,11 @@ def explain_csv(
     meta = load_json(spark, f"{artifacts}/meta")
     model = load_model(f"{artifacts}/model")
     rows = written(with_row_id(scoring_frame(spark, path, meta)), "rows")
-    long = explain(model, rows, "row_id", class_index, sample_size, seed).persist()
-    write_csv(wide_attribution(long, "row_id", model.stages[0].feature_names), f"{output}/attributions")
+    sample = written(sample_rows(rows, sample_size, "row_id", seed), "sample")
+    names = model.stages[0].feature_names
+    wide = attributions(model, sample, "row_id", class_index, seed=seed).persist()
+    long = to_long(wide, "row_id", "attribution", names)
+    write_csv(wide_projection(wide, "row_id", "attribution", names), f"{output}/attributions")
     write_csv(global_importance(long), f"{output}/attribution_importance", single_file=True)
     write_csv(global_importance(long).limit(max_display), f"{output}/attribution_leading", single_file=True)
-    long.unpersist()
+    wide.unpersist()

@@ -11,7 +11,7 @@ from ..operators import confusion as cm
 from ..operators import metrics as mt
 from ..operators.calibrate import select_calibration
 from ..operators.crossval import FoldedData, fit_folds, out_of_fold, prepare_folds
-from ..operators.explain import explain, global_importance, top_features, wide_attribution
+from ..operators.explain import attributions, global_importance, to_long, top_features_wide, wide_projection
 from ..operators.features import FeatureModel, FeatureOptions, fit_features
 from ..operators.folds import plain_folds
 from ..operators.labels import LabelIndex, task_type
@@ -25,7 +25,7 @@ from ..operators.models import (
 )
 from ..operators.multilabel import apply_threshold
 from ..operators.rankmetrics import best_f1_threshold
-from ..operators.select import class_counts, with_row_id
+from ..operators.select import class_counts, sample_rows, with_row_id
 from ..operators.validate import require_target, target_name, validate_training
 from ..session import written
 from ..sources.artifacts import confusion_dict, named_report, report_dict, save_json, save_labels
@@ -82,17 +82,20 @@ def _final_fit(folded: FoldedData, key: str, config: dict, final_multiclass: boo
 
 
 def _explanations(model, data: DataFrame, key: str, config: dict, output: str, n_classes: int) -> None:
-    """Attribution tables of the positive class, or of every class, from one row sample."""
-    options = config["explain"]
-    classes = [1] if n_classes == 2 else list(range(n_classes))
-    for c in classes:
-        long = explain(model, data, key, c, options["sample"], config["model"]["random_state"]).persist()
+    """Attribution tables of the positive class, or of every class, over one row sample."""
+    options, seed = config["explain"], config["model"]["random_state"]
+    rows = written(sample_rows(data, options["sample"], key, seed), "sample")
+    names = model.stages[0].feature_names
+    for c in [1] if n_classes == 2 else range(n_classes):
         tail = "" if n_classes == 2 else f"/class={c}"
+        wide = attributions(model, rows, key, c, seed=seed).persist()
+        long = to_long(wide, key, "attribution", names)
         write_csv(global_importance(long), f"{output}/attribution_importance{tail}", single_file=True)
-        write_csv(top_features(long, key, options["top_features"]), f"{output}/attribution_top{tail}")
-        names = model.stages[0].feature_names
-        write_csv(wide_attribution(long, key, names), f"{output}/attributions{tail}")
-        long.unpersist()
+        write_csv(
+            top_features_wide(wide, key, "attribution", names, options["top_features"]), f"{output}/attribution_top{tail}"
+        )
+        write_csv(wide_projection(wide, key, "attribution", names), f"{output}/attributions{tail}")
+        wide.unpersist()
 
 
 def _save_importance(model, output: str) -> None:

@@ -16,10 +16,10 @@ NULL_TOKENS = (
 TRUE_FALSE = ("True", "False", "TRUE", "FALSE", "true", "false")
 
 
-def _texts(spark: SparkSession, path: str) -> DataFrame:
+def _texts(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     raw = (
         spark.read.option("header", True).option("inferSchema", False).option("quote", '"')
-        .option("escape", '"').option("multiLine", False).csv(path)
+        .option("escape", '"').option("multiLine", multi_line).csv(path)
     )
     return raw.select(
         *[F.when(~quoted(c).isin(*NULL_TOKENS), quoted(c)).alias(c) for c in raw.columns]
@@ -67,13 +67,16 @@ def infer_schema(texts: DataFrame) -> StructType:
     return StructType(fields)
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType | None = None, multi_line: bool = False
+) -> DataFrame:
     """Header row, comma separated. Types are inferred only when no schema is given.
 
     With a schema, columns are taken by name, columns missing in the file are left out,
-    and extra columns stay text.
+    and extra columns stay text. ``multi_line`` allows line breaks inside quotes, at the
+    price of one task per file.
     """
-    texts = _texts(spark, path)
+    texts = _texts(spark, path, multi_line)
     schema = infer_schema(texts) if schema is None else schema
     known = {f.name: f.dataType for f in schema.fields}
     return texts.select(
