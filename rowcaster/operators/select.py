@@ -137,9 +137,9 @@ def rank_by_unit(
     marked = df.withColumn("_u", unit)
     local = Window.partitionBy(group, "_b").orderBy("_u", tiebreak)
     if ranges == 1:
-        return marked.withColumn("_b", F.lit(0)).withColumn(
+        return marked.withColumn(
             out, F.row_number().over(Window.partitionBy(group).orderBy("_u", tiebreak)) - 1
-        ).drop("_u", "_b")
+        ).select(*df.columns, out)
     marked = marked.withColumn("_b", F.floor(F.col("_u") * F.lit(ranges)).cast("int"))
     sizes = marked.groupBy(group, "_b").agg(F.count("*").alias("_c"))
     before = F.coalesce(
@@ -153,7 +153,7 @@ def rank_by_unit(
     return (
         marked.join(F.broadcast(offsets), [group, "_b"])
         .withColumn(out, F.col("_before") + F.row_number().over(local) - 1)
-        .drop("_u", "_b", "_before")
+        .select(*df.columns, out)
     )
 
 
