@@ -28,27 +28,32 @@ def decode(index: Column | str, names: Sequence[str]) -> Column:
     return F.element_at(names_array(names), as_col(index).cast("int") + 1)
 
 
+LISTED = 64  # up to here entries are spelled out, which compiles; beyond, a lambda is shorter
+
+
 def ranked(proba: Column | str, names: Sequence[str]) -> Column:
     """array<struct<p, minus, name>> sorted by p descending, lower index first on ties."""
-    labels = names_array(names)
-    entries = F.transform(
-        as_col(proba),
-        lambda x, i: F.struct(
-            x.alias("p"), (-i).alias("minus"), F.element_at(labels, i + 1).alias("name")
-        ),
-    )
+    p = as_col(proba)
+
+    def entry(x: Column, minus: Column, name: Column) -> Column:
+        return F.struct(x.alias("p"), minus.alias("minus"), name.alias("name"))
+
+    if len(names) <= LISTED:
+        entries = F.array(*[entry(F.get(p, F.lit(i)), F.lit(-i), F.lit(n)) for i, n in enumerate(names)])
+    else:
+        labels = names_array(names)
+        entries = F.transform(p, lambda x, i: entry(x, -i, F.element_at(labels, i + 1)))
     return F.sort_array(entries, asc=False)
 
 
 def top_string(ranked_entries: Column | str, k: int = 3) -> Column:
     """``name (pp.p%)`` of the first k entries, comma separated."""
-    return F.array_join(
-        F.transform(
-            F.slice(as_col(ranked_entries), 1, k),
-            lambda e: F.concat(e["name"], F.lit(" ("), percent(e["p"]), F.lit(")")),
-        ),
-        ", ",
-    )
+    entries = as_col(ranked_entries)
+    parts = []
+    for i in range(k):
+        e = F.get(entries, F.lit(i))
+        parts.append(F.concat(e["name"], F.lit(" ("), percent(e["p"]), F.lit(")")))
+    return F.concat_ws(", ", *parts)
 
 
 def named_probabilities(proba: Column | str, names: Sequence[str]) -> Column:

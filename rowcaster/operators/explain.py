@@ -16,6 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import LISTED
 from .models import BoostedOvrModel
 from .select import row_lookup, sample_rows
 
@@ -267,13 +268,15 @@ def top_features(long: DataFrame, key: str, k: int = 10) -> DataFrame:
 
 def top_features_wide(df: DataFrame, key: str, values: str, names: Sequence[str], k: int = 10) -> DataFrame:
     """``top_features`` straight from the attribution array: sorted in the row, no shuffle."""
-    labels = F.array(*[F.lit(n) for n in names])
-    entries = F.transform(
-        F.col(values),
-        lambda v, i: F.struct(
-            (-F.abs(v)).alias("minus"), F.element_at(labels, i + 1).alias("feature"), v.alias("value")
-        ),
-    )
+
+    def entry(v: Column, name: Column) -> Column:
+        return F.struct((-F.abs(v)).alias("minus"), name.alias("feature"), v.alias("value"))
+
+    if len(names) <= LISTED:
+        entries = F.array(*[entry(F.get(values, F.lit(i)), F.lit(n)) for i, n in enumerate(names)])
+    else:
+        labels = F.array(*[F.lit(n) for n in names])
+        entries = F.transform(F.col(values), lambda v, i: entry(v, F.element_at(labels, i + 1)))
     best = F.slice(F.sort_array(entries), 1, k)
     return df.select(key, F.posexplode(best).alias("pos", "e")).select(
         key,

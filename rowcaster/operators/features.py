@@ -1,8 +1,8 @@
 """Feature preprocessing learned in a few aggregate passes, applied as column expressions.
 
-The fit reads the table once per bracket pass of the exact median (two passes up to
-200 thousand rows, one more for every factor of about one hundred) plus one grouped
-count for the text columns. Mean and deviation after imputation follow from the moments
+The fit reads the table for moments, for the exact medians (one more pass up to 200
+thousand rows; a sampling and a counting pass for every narrowing beyond), and for one
+grouped count of the text columns. Mean and deviation after imputation follow from the moments
 of the present values, so they need no pass of their own. Several row masks (the training
 parts of k folds) are fitted in the same passes.
 """
@@ -126,7 +126,8 @@ def fit_features(
     masks: Sequence[Column] | None = None,
 ) -> list[dict]:
     """One parameter set per row mask (default: one set over all rows)."""
-    masks = [F.lit(True)] if masks is None else list(masks)
+    whole = masks is None
+    masks = [F.lit(True)] if whole else list(masks)
     leaks = leakage_columns([c for c in df.columns if c not in exclude], options.drop_patterns)
     schema = df.schema
     roles = column_roles(
@@ -134,18 +135,12 @@ def fit_features(
     )
     names = [c for c in df.columns if c not in exclude and c not in leaks]
 
-    exprs, extra = {}, []
+    exprs = {}
     for i, m in enumerate(masks):
-        extra.append(F.count_if(m).alias(f"rows_{i}"))
         for j, c in enumerate(roles.numeric):
-            x = F.when(m, as_number(schema, c))
-            exprs[f"{i}:{j}"] = x
-            extra += [
-                F.count(x).alias(f"n_{i}_{j}"),
-                F.avg(x).alias(f"mean_{i}_{j}"),
-                F.var_pop(x).alias(f"var_{i}_{j}"),
-            ]
-    medians, row = exact_medians(df, exprs, extra)
+            x = as_number(schema, c)
+            exprs[f"{i}:{j}"] = x if whole else F.when(m, x)
+    fit = exact_medians(df, exprs, True, {str(i): m for i, m in enumerate(masks)})
     counted = category_counts(df, roles.categorical, masks, options.max_categories)
 
     fitted = []
@@ -165,14 +160,12 @@ def fit_features(
             "categories": {},
         }
         for j, c in enumerate(roles.numeric):
-            median = medians[f"{i}:{j}"]
+            median = fit.values[f"{i}:{j}"]
             if median is None:
                 params["all_null"].append(c)
                 continue
-            n = row[f"n_{i}_{j}"]
-            mean, std = imputed_moments(
-                n, row[f"mean_{i}_{j}"], row[f"var_{i}_{j}"], row[f"rows_{i}"] - n, median
-            )
+            n, mean, var = fit.moments[f"{i}:{j}"]
+            mean, std = imputed_moments(n, mean, var, fit.counted[str(i)] - n, median)
             params["numeric"].append(c)
             params["medians"][c], params["means"][c] = median, mean
             params["stds"][c] = std or 1.0

@@ -1,9 +1,10 @@
 """Exact order statistics without sorting or collecting a whole column.
 
-``exact_medians`` narrows a bracket around the wanted ranks: each pass counts the rows
-below and inside the bracket and sketches the inside, so one pass leaves about one
-hundredth of the rows. Passes are plain aggregates (no row shuffle) and serve all columns
-together. Values are collected only once the counted inside is at most ``COLLECT_LIMIT``.
+``exact_medians`` narrows a bracket around the wanted ranks. A sample of the rows inside
+the bracket suggests a narrower one; a counting pass proves where the ranks lie, so the
+sample affects speed only. Counting passes are compiled aggregates without a row shuffle
+and serve all columns together. Values are collected only once the counted inside is at
+most ``COLLECT_LIMIT``.
 
 ``order_values`` serves many ranks of one column: narrow buckets around the ranks are
 counted, and only rows of those buckets are shuffled, already merged by value.
@@ -13,15 +14,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COLLECT_LIMIT = 200_000
-LEVELS = 200
-MEDIAN_ACCURACY = 2_000  # sketch error of a tenth of a level; small buffers for wide tables
+SAMPLE_ROWS = 100_000
+SAMPLE_SHARE = 0.001  # of very large brackets
 RANK_ACCURACY = 20_000
 SEARCHES_PER_PASS = 512
 INF = float("inf")
@@ -29,103 +30,162 @@ INF = float("inf")
 
 @dataclass
 class _Search:
+    """One median: its column in the projected table and the open bracket (low, high)."""
+
     key: str
-    value: Column
-    ranks: list[int] | None = None
+    column: str
+    ranks: list[int]
     low: float = -INF
     high: float = INF
-    found: dict[int, float] | None = None
-    collect: tuple[float, float, int] | None = None
-    slack: int = 1  # sketch levels added on both sides of the wanted ranks
-    done: bool = False
-
-
-def _pass_columns(i: int, s: _Search) -> list[Column]:
-    x, low, high = s.value, F.lit(s.low), F.lit(s.high)
-    inside = F.when((x > low) & (x < high), x)
-    levels = [j / LEVELS for j in range(LEVELS + 1)]
-    return [
-        F.count_if(x < low).alias(f"below_{i}"),
-        F.count_if(x == low).alias(f"low_{i}"),
-        F.count(inside).alias(f"mid_{i}"),
-        F.count_if((x == high) & (high > low)).alias(f"high_{i}"),
-        F.percentile_approx(inside, levels, MEDIAN_ACCURACY).alias(f"sketch_{i}"),
-    ]
-
-
-def _advance(i: int, s: _Search, row: Row) -> None:
-    below, at_low = row[f"below_{i}"], row[f"low_{i}"]
-    mid, at_high, sketch = row[f"mid_{i}"], row[f"high_{i}"], row[f"sketch_{i}"]
-    if s.ranks is None:
-        n = below + at_low + mid + at_high
-        s.ranks = sorted({(n - 1) // 2, n // 2}) if n else []
-    if any(r < below or r >= below + at_low + mid + at_high for r in s.ranks):
-        s.low, s.high, s.slack = -INF, INF, 2 * s.slack  # the sketch missed the rank
-        return
-    open_ranks = []
-    for r in s.ranks:
-        if r in s.found:
-            continue
-        if r < below + at_low:
-            s.found[r] = s.low
-        elif r >= below + at_low + mid:
-            s.found[r] = s.high
+    before: int = 0  # values at or below ``low``
+    inside: int = 0
+    found: dict[int, float] = field(default_factory=dict)
+    trial: tuple[float, float] | None = None
+    doubt: float = 1.0  # widens the next trial after a miss
+
+    @property
+    def open_ranks(self) -> list[int]:
+        return [r for r in self.ranks if r not in self.found]
+
+    def within(self, low: float, high: float) -> str:
+        return f"CASE WHEN {self.column} > {_number(low)} AND {self.column} < {_number(high)} THEN {self.column} END"
+
+
+@dataclass
+class Medians:
+    """Medians by key and, if asked for, (count, mean, population variance) by key."""
+
+    values: dict[str, float | None]
+    moments: dict[str, tuple]
+    counted: dict[str, int]
+
+
+def _number(x: float) -> str:
+    return f"double('{x!r}')"
+
+
+def _aggregate(df: DataFrame, columns: list[str]) -> dict:
+    """One pass; a wide list is cut so that buffers stay bounded."""
+    out: dict = {}
+    for start in range(0, len(columns), 4 * SEARCHES_PER_PASS):
+        part = [F.expr(c) for c in columns[start : start + 4 * SEARCHES_PER_PASS]]
+        out |= df.agg(*part).first().asDict()
+    return out
+
+
+def _suggest(df: DataFrame, searches: list[_Search], seed: int) -> None:
+    """Trial brackets from a sample of the rows: the ranks, with eight deviations of slack."""
+    share = min(1.0, max(SAMPLE_SHARE, max(SAMPLE_ROWS / s.inside for s in searches)))
+    sampled = df if share >= 1.0 else df.sample(withReplacement=False, fraction=share, seed=seed)
+    columns = []
+    for i, s in enumerate(searches):
+        slack = s.doubt * (4.0 / math.sqrt(share * s.inside) + 2.0 / RANK_ACCURACY)
+        places = [(r - s.before) / s.inside for r in s.open_ranks]
+        low, high = places[0] - slack, places[-1] + slack
+        levels = f"array({max(0.0, low)!r}D, {min(1.0, high)!r}D)"
+        columns.append(f"percentile_approx({s.within(s.low, s.high)}, {levels}, {RANK_ACCURACY}) AS t_{i}")
+    row = _aggregate(sampled, columns)
+    for i, s in enumerate(searches):
+        if row[f"t_{i}"]:
+            s.trial = tuple(float(v) for v in row[f"t_{i}"])
         else:
-            open_ranks.append(r)
-    if not open_ranks:
-        s.done = True
-    elif mid <= COLLECT_LIMIT:
-        s.collect, s.done = (s.low, s.high, below + at_low), True
-    else:
-        first = (open_ranks[0] - below - at_low) / mid * LEVELS
-        last = (open_ranks[-1] - below - at_low) / mid * LEVELS
-        s.low = float(sketch[max(0, math.floor(first) - s.slack)])
-        s.high = float(sketch[min(LEVELS, math.ceil(last) + s.slack)])
+            s.trial, s.doubt = None, 2.0 * s.doubt
 
 
-def exact_medians(
-    df: DataFrame, values: dict[str, Column], extra: Sequence[Column] = ()
-) -> tuple[dict[str, float | None], dict]:
-    """Median of every expression (NULL skipped, mean of the middle two).
+def _prove(df: DataFrame, searches: list[_Search]) -> None:
+    """Count around the trial brackets; adopt those that hold the ranks."""
+    columns = []
+    for i, s in enumerate(searches):
+        low, high = s.trial
+        columns += [
+            f"count_if({s.column} < {_number(low)}) AS below_{i}",
+            f"count_if({s.column} = {_number(low)}) AS low_{i}",
+            f"count({s.within(low, high)}) AS mid_{i}",
+            f"count_if({s.column} = {_number(high)}) AS high_{i}",
+        ]
+    row = _aggregate(df, columns)
+    for i, s in enumerate(searches):
+        low, high = s.trial
+        start, at_low, mid = row[f"below_{i}"], row[f"low_{i}"], row[f"mid_{i}"]
+        at_high = row[f"high_{i}"] if high > low else 0
+        end = start + at_low + mid + at_high
+        if any(r < start or r >= end for r in s.open_ranks):
+            s.doubt *= 2.0
+            continue
+        for r in s.open_ranks:
+            if r < start + at_low:
+                s.found[r] = low
+            elif r >= start + at_low + mid:
+                s.found[r] = high
+        s.low, s.high, s.before, s.inside = low, high, start + at_low, mid
 
-    ``extra`` aggregates ride along in the first passes; their values come back by name.
-    At most ``SEARCHES_PER_PASS`` expressions share a pass, so buffers stay bounded.
-    """
-    searches = [_Search(k, v.cast("double"), found={}) for k, v in values.items()]
-    extras: dict = {}
-    active = searches
-    first = True
-    while active or (first and extra):
-        chunks = max(1, -(-len(active) // SEARCHES_PER_PASS))
-        for c in range(chunks):
-            part = active[c::chunks]
-            riding = list(extra)[c::chunks] if first else []
-            columns = [col for i, s in enumerate(part) for col in _pass_columns(i, s)]
-            row = df.agg(*columns, *riding).first()
-            if first:
-                extras |= {k: v for k, v in row.asDict().items()}
-            for i, s in enumerate(part):
-                _advance(i, s, row)
-        first = False
-        active = [s for s in active if not s.done]
-
-    pending = [(s, r) for s in searches if s.collect for r in s.ranks if r not in s.found]
-    # at most COLLECT_LIMIT values per search; few searches at a time share a task's memory
+
+def _collect(df: DataFrame, searches: list[_Search]) -> None:
+    """Read the open ranks from the few values left; 16 lists at a time share a task's memory."""
+    pending = [(s, r) for s in searches for r in s.open_ranks]
     for start in range(0, len(pending), 16):
-        part, columns = pending[start : start + 16], []
-        for i, (s, r) in enumerate(part):
-            low, high, before = s.collect
-            inside = F.when((s.value > F.lit(low)) & (s.value < F.lit(high)), s.value)
-            ordered = F.sort_array(F.collect_list(inside))
-            columns.append(F.element_at(ordered, r - before + 1).alias(f"v_{i}"))
-        row = df.agg(*columns).first()
+        part = pending[start : start + 16]
+        row = _aggregate(
+            df,
+            [
+                f"element_at(sort_array(collect_list({s.within(s.low, s.high)})), {r - s.before + 1}) AS v_{i}"
+                for i, (s, r) in enumerate(part)
+            ],
+        )
         for i, (s, r) in enumerate(part):
             s.found[r] = row[f"v_{i}"]
-    medians = {
-        s.key: (sum(s.found[r] for r in s.ranks) / len(s.ranks) if s.ranks else None)
-        for s in searches
-    }
-    return medians, extras
+
+
+def exact_medians(
+    df: DataFrame,
+    values: dict[str, Column],
+    moments: bool = False,
+    conditions: dict[str, Column] | None = None,
+    seed: int = 42,
+) -> Medians:
+    """Median of every expression (NULL skipped, mean of the middle two).
+
+    Expressions are projected once, so that every aggregate reads plain columns. The first
+    pass also yields moments, and counts of ``conditions``.
+    """
+    conditions = conditions or {}
+    table = df.select(
+        *[v.cast("double").alias(f"x_{i}") for i, v in enumerate(values.values())],
+        *[c.alias(f"c_{i}") for i, c in enumerate(conditions.values())],
+    )
+    columns = [f"count_if(c_{i}) AS counted_{i}" for i in range(len(conditions))]
+    for i in range(len(values)):
+        columns += [
+            f"count(x_{i}) AS n_{i}",
+            f"count_if(x_{i} = {_number(-INF)}) AS least_{i}",
+            f"count_if(x_{i} = {_number(INF)}) AS most_{i}",
+        ]
+        if moments:
+            columns += [f"avg(x_{i}) AS mean_{i}", f"var_pop(x_{i}) AS var_{i}"]
+    first = _aggregate(table, columns) if columns else {}
+
+    searches = []
+    for i, k in enumerate(values):
+        n, least, most = first[f"n_{i}"], first[f"least_{i}"], first[f"most_{i}"]
+        s = _Search(k, f"x_{i}", sorted({(n - 1) // 2, n // 2}) if n else [])
+        s.before, s.inside = least, n - least - most
+        s.found = {r: -INF if r < least else INF for r in s.ranks if r < least or r >= n - most}
+        searches.append(s)
+    while True:
+        active = [s for s in searches if s.open_ranks and s.inside > COLLECT_LIMIT]
+        if not active:
+            break
+        for start in range(0, len(active), SEARCHES_PER_PASS):
+            part = active[start : start + SEARCHES_PER_PASS]
+            _suggest(table, part, seed)
+            _prove(table, [s for s in part if s.trial is not None])
+        seed += 1
+    _collect(table, searches)
+    return Medians(
+        {s.key: (sum(s.found[r] for r in s.ranks) / len(s.ranks) if s.ranks else None) for s in searches},
+        {k: (first[f"n_{i}"], first[f"mean_{i}"], first[f"var_{i}"]) for i, k in enumerate(values)} if moments else {},
+        {k: first[f"counted_{i}"] for i, k in enumerate(conditions)},
+    )
 
 
 def sketch_splits(df: DataFrame, column: str, levels: Sequence[float]) -> list[float]:

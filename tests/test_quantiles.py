@@ -22,7 +22,8 @@ def expected(values):
 
 
 def test_medians_narrowed_in_many_passes(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "COLLECT_LIMIT", 3)
+    monkeypatch.setattr(quantiles, "COLLECT_LIMIT", 60)
+    monkeypatch.setattr(quantiles, "SAMPLE_ROWS", 2000)
     rng = np.random.default_rng(1)
     n = 4000
     columns = {
@@ -38,26 +39,28 @@ def test_medians_narrowed_in_many_passes(spark, monkeypatch):
         "all_gaps": [None] * n,
     }
     df = frame(spark, columns).repartition(5)
-    medians, extras = exact_medians(df, {c: F.col(c) for c in columns}, [F.count("*").alias("rows")])
-    assert extras["rows"] == n
+    got = exact_medians(df, {c: F.col(c) for c in columns}, True, {"rows": F.lit(True)})
+    assert got.counted["rows"] == n
     for c, values in columns.items():
-        assert medians[c] == expected(list(values)), c
+        assert got.values[c] == expected(list(values)), c
+    count, mean, var = got.moments["integers"]
+    assert count == n and math.isclose(mean, np.mean(columns["integers"])) and math.isclose(var, np.var(columns["integers"]))
 
 
 def test_medians_in_batches(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "SEARCHES_PER_PASS", 2)
     df = frame(spark, {c: [1.0 * i, 2.0, 5.0 + i] for i, c in enumerate("abcde")})
-    extra = [F.max(c).alias(f"max_{c}") for c in "abcde"]
-    medians, extras = exact_medians(df, {c: F.col(c) for c in "abcde"}, extra)
-    assert medians == {c: expected([1.0 * i, 2.0, 5.0 + i]) for i, c in enumerate("abcde")}
-    assert extras["max_e"] == 9.0 and extras["max_a"] == 5.0
+    got = exact_medians(df, {c: F.col(c) for c in "abcde"}, True)
+    assert got.values == {c: expected([1.0 * i, 2.0, 5.0 + i]) for i, c in enumerate("abcde")}
+    assert [got.moments[c][0] for c in "abcde"] == [3] * 5
+    assert math.isclose(got.moments["e"][1], 5.0) and math.isclose(got.moments["a"][1], 7 / 3)
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.one_of(st.none(), st.floats(-5, 5), st.integers(-2, 2)), min_size=1, max_size=40))
 def test_median_property(spark, values):
     df = frame(spark, {"x": values})
-    assert exact_medians(df, {"x": F.col("x")})[0]["x"] == expected(values)
+    assert exact_medians(df, {"x": F.col("x")}).values["x"] == expected(values)
 
 
 @pytest.mark.parametrize("splits", [[], [0.0], [-1.0, -0.5, 0.0, 0.25, 2.0]])
@@ -77,3 +80,27 @@ def test_linear_quantiles(spark):
     got = linear_quantiles(frame(spark, {"x": values}), "x", levels)
     assert all(math.isclose(a, b, abs_tol=1e-12) for a, b in zip(got, np.quantile(values, levels)))
     assert linear_quantiles(frame(spark, {"x": [None]}), "x", levels) == []
+
+
+def test_bad_samples_cost_time_only(spark, monkeypatch):
+    """Trial brackets that miss the ranks are rejected by the counts."""
+    monkeypatch.setattr(quantiles, "COLLECT_LIMIT", 100)
+    real, calls = quantiles._suggest, []
+
+    def misleading(df, searches, seed):
+        real(df, searches, seed)
+        calls.append(len(searches))
+        if len(calls) <= 2:
+            for s in searches:
+                s.trial = (s.trial[1] + 5.0, s.trial[1] + 6.0)
+
+    monkeypatch.setattr(quantiles, "_suggest", misleading)
+    x = np.random.default_rng(5).normal(size=3000)
+    df = frame(spark, {"x": x, "g": np.arange(3000) % 3})
+    parts = {str(i): F.when(F.col("g") != i, F.col("x")) for i in range(3)}
+    parts |= {"tail": F.when(F.col("x") > 1.5, F.col("x")), "none": F.when(F.col("g") > 5, F.col("x"))}
+    got = exact_medians(df, parts, True, {"rows": F.lit(True)})
+    for i in range(3):
+        assert got.values[str(i)] == expected([v for j, v in enumerate(x) if j % 3 != i])
+    assert got.values["tail"] == expected([v for v in x if v > 1.5]) and got.values["none"] is None
+    assert got.counted["rows"] == 3000 and got.moments["none"] == (0, None, None) and len(calls) > 2
