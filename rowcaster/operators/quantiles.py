@@ -79,7 +79,8 @@ def _suggest(df: DataFrame, searches: list[_Search], seed: int) -> None:
     sampled = df if share >= 1.0 else df.sample(withReplacement=False, fraction=share, seed=seed)
     columns = []
     for i, s in enumerate(searches):
-        slack = s.doubt * (4.0 / math.sqrt(share * s.inside) + 2.0 / RANK_ACCURACY)
+        sampling = 4.0 / math.sqrt(share * s.inside) if share < 1.0 else 0.0
+        slack = s.doubt * (sampling + 2.0 / RANK_ACCURACY)
         places = [(r - s.before) / s.inside for r in s.open_ranks]
         low, high = places[0] - slack, places[-1] + slack
         levels = f"array({max(0.0, low)!r}D, {min(1.0, high)!r}D)"
@@ -117,7 +118,7 @@ def _prove(df: DataFrame, searches: list[_Search]) -> None:
                 s.found[r] = low
             elif r >= start + at_low + mid:
                 s.found[r] = high
-        s.low, s.high, s.before, s.inside = low, high, start + at_low, mid
+        s.low, s.high, s.before, s.inside, s.doubt = low, high, start + at_low, mid, 1.0
 
 
 def _collect(df: DataFrame, searches: list[_Search]) -> None:

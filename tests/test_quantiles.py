@@ -95,6 +95,7 @@ def test_bad_samples_cost_time_only(spark, monkeypatch):
                 s.trial = (s.trial[1] + 5.0, s.trial[1] + 6.0)
 
     monkeypatch.setattr(quantiles, "_suggest", misleading)
+    monkeypatch.setattr(quantiles, "SAMPLE_ROWS", 500)
     x = np.random.default_rng(5).normal(size=3000)
     df = frame(spark, {"x": x, "g": np.arange(3000) % 3})
     parts = {str(i): F.when(F.col("g") != i, F.col("x")) for i in range(3)}
