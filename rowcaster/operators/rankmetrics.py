@@ -69,7 +69,7 @@ def _score_counts(long: DataFrame, sums: Sequence[Column], buckets: int) -> Data
     return counts.withColumns(
         {
             "cls": F.coalesce("cls", F.lit(-1)),
-            "bucket": F.coalesce(F.col("_b"), F.lit(-1.0)).cast("int"),
+            "bucket": F.coalesce("_b", F.lit(-1.0)),
         }
     ).drop("_b")
 
