@@ -41,7 +41,7 @@ DEFAULTS: dict[str, Any] = {
     "calibration": {"apply": False, "methods": ["sigmoid", "isotonic"], "in_sample": False},
     "evaluation": {"metric": "roc_auc"},
     "tuning": {"n_trials": 30, "timeout_minutes": 15},
-    "explain": {"sample": 2000, "top_features": 10},
+    "explain": {"sample": 2000, "top_features": 10, "classes": None},
     "inference": {"top_k": 3, "multilabel_threshold": 0.5, "threshold": None},
     "key": None,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -52,26 +53,44 @@ def scoring_frame(spark: SparkSession, path: str, meta: dict) -> DataFrame:
 
 
 def predict_binary(
-    spark: SparkSession, path: str, artifacts: str, output: str, threshold: float | None = None, bands: bool = False
+    spark: SparkSession,
+    path: str,
+    artifacts: str,
+    output: str,
+    threshold: float | None = None,
+    bands: bool = False,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """prediction, [risk_level,] probability; or prediction and class columns beyond two classes."""
+    """prediction, [risk_level,] probability; or prediction and class columns beyond two classes.
+
+    ``keep`` names columns of the input, such as its key, to stand first in the output.
+    """
     model, meta, index = load_artifacts(spark, artifacts)
     scored = score(model, scoring_frame(spark, path, meta))
     if index.n_classes == 2:
-        result = binary_output(scored, "proba", resolve_threshold(threshold, meta.get("threshold")), bands=bands)
+        result = binary_output(scored, "proba", resolve_threshold(threshold, meta.get("threshold")), keep, bands)
     else:
-        result = multiclass_output(scored, "proba", index.n_classes)
+        result = multiclass_output(scored, "proba", index.n_classes, keep)
     write_csv(result, output)
     return result
 
 
 def predict_multiclass(
-    spark: SparkSession, path: str, artifacts: str, output: str, proba_output: str, top_k: int = 3
+    spark: SparkSession,
+    path: str,
+    artifacts: str,
+    output: str,
+    proba_output: str,
+    top_k: int = 3,
+    keep: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
-    """(top-k predictions, share of each predicted class); probabilities go to their own sink."""
+    """(top-k predictions, share of each predicted class); probabilities go to their own sink.
+
+    ``keep`` names columns of the input, such as its key, to stand first in both sinks.
+    """
     model, meta, index = load_artifacts(spark, artifacts)
-    scored = written(score(model, scoring_frame(spark, path, meta)).select("proba"), "scored")
-    result = topk_output(scored, "proba", index.classes, top_k)
+    scored = written(score(model, scoring_frame(spark, path, meta)).select(*keep, "proba"), "scored")
+    result = topk_output(scored, "proba", index.classes, top_k, keep)
     write_csv(result, output)
-    write_csv(probability_table(scored, "proba", index.classes), proba_output)
+    write_csv(probability_table(scored, "proba", index.classes, keep), proba_output)
     return result, value_share(result, "prediction", 10)

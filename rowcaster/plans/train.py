@@ -82,11 +82,11 @@ def _final_fit(folded: FoldedData, key: str, config: dict, final_multiclass: boo
 
 
 def _explanations(model, data: DataFrame, key: str, config: dict, output: str, n_classes: int) -> None:
-    """Attribution tables of the positive class, or of every class, over one row sample."""
+    """Attribution tables of the positive class, or of the chosen (default: all) classes."""
     options, seed = config["explain"], config["model"]["random_state"]
     rows = written(sample_rows(data, options["sample"], key, seed), "sample")
     names = model.stages[0].feature_names
-    for c in [1] if n_classes == 2 else range(n_classes):
+    for c in [1] if n_classes == 2 else (options.get("classes") or range(n_classes)):
         tail = "" if n_classes == 2 else f"/class={c}"
         wide = attributions(model, rows, key, c, seed=seed).persist()
         long = to_long(wide, key, "attribution", names)

@@ -15,6 +15,7 @@ from rowcaster.sources.csv import read_csv, write_csv
 FAST = {
     "cv.folds": 2,
     "explain.sample": 20,
+    "explain.classes": [0],
     "model.xgboost": {"n_estimators": 3, "max_depth": 2},
 }
 
@@ -69,6 +70,10 @@ def test_multiclass_job(spark, folder):
     assert top.where("prediction <> top1_disease or top1_probability < top2_probability").count() == 0
     assert sum(r["n_rows"] for r in share.collect()) == 60
     assert read_csv(spark, str(folder / "proba")).columns == meta["classes"]
+    keyed, _ = predict_multiclass(
+        spark, score, out, str(folder / "top2"), str(folder / "proba2"), top_k=1, keep=["age", "gender"]
+    )
+    assert keyed.columns == ["age", "gender", "prediction", "top1_disease", "top1_probability"]
     explain_csv(spark, score, out, str(folder / "why"), sample_size=15, class_index=2)
     why = read_csv(spark, str(folder / "why") + "/attributions")
     assert why.columns == ["index", *meta["features"]] and why.count() == 15
