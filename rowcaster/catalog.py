@@ -845,7 +845,7 @@ DOC_OPTIONS = FeatureOptions()
 
 
 def fitted(spark, sf, config, label="quality"):
-    df = labelled(spark, sf)
+    df = labelled(spark, sf).persist()  # read by every pass of the fit
     other = "toxic" if label == "quality" else "quality"
     model = FeatureModel(features.fit_features(df, DOC_OPTIONS, ["doc_id", label, other])[0])
     counts = select.class_counts(df, label)
@@ -864,7 +864,7 @@ def segment_rows(spark, sf):
 def fitted_segments(spark, sf, config):
     df = segment_rows(spark, sf)
     index, data = labels.fit_transform(df, "c_mktsegment")
-    data = data.drop("c_mktsegment")
+    data = data.drop("c_mktsegment").persist()  # read by every pass of the fit
     model = FeatureModel(features.fit_features(data, DOC_OPTIONS, ["c_custkey", "label_idx"])[0])
     counts = select.class_counts(data, "label_idx")
     return data, index, models.fit_classifier(data, model, config, "label_idx", counts, index.n_classes, False)
