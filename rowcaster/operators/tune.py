@@ -1,4 +1,4 @@
-"""Seeded random search over the reference ranges, scored out of fold."""
+"""Seeded random search over fixed ranges, scored out of fold."""
 
 from __future__ import annotations
 
