@@ -69,7 +69,8 @@ def _digit(level: int) -> Column:
 
 def draw_plan(sized: DataFrame, aims: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(plan, last): for each source the whole passes and the hash below which rows are drawn
-    once more, and the hashes among the last range that are drawn besides.
+    once more, and the hashes in the ranges from there on that are drawn besides, in order,
+    each if it still fits.
 
     ``sized``: (source, _h, size). Each digit costs one aggregation of at most 256 rows per
     source over the rows of the range that the cut lies in.
@@ -91,20 +92,25 @@ def draw_plan(sized: DataFrame, aims: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.sum("size").alias("words"), F.count("*").alias("rows"), F.max("rest").alias("rest"), F.max("prefix").alias("prefix")
         )
         order = Window.partitionBy("source").orderBy("d")
-        cum = F.sum("words").over(order)
-        cut = counted.withColumn("_to", cum).where(F.col("_to") > F.col("rest")).groupBy("source").agg(
-            F.min(F.struct("d", "_to", "words", "rows", "rest", "prefix")).alias("c")
+        ranged = counted.withColumn("_to", F.sum("words").over(order)).withColumn("_upto", F.sum("rows").over(order))
+        ranged = ranged.withColumn("_beyond", F.col("_to") > F.col("rest"))
+        skipped = F.min(F.when(F.col("_beyond"), F.col("_upto") - F.col("rows"))).over(Window.partitionBy("source"))
+        cut = ranged.withColumn("_few", F.col("_beyond") & (F.col("_upto") - skipped <= SMALL_RANGE)).where("_beyond").groupBy("source").agg(
+            F.min(F.struct("d", "_to", "words", "rows", "rest", "prefix")).alias("c"), F.max(F.when(F.col("_few"), F.col("d"))).alias("e")
         )
+        parent = F.col("c.prefix") * (1 << DIGIT)
         step = cut.select(
             F.col("source").alias("_s"),
-            (F.col("c.prefix") * (1 << DIGIT) + F.col("c.d")).alias("_prefix"),
+            (parent + F.col("c.d")).alias("_prefix"),
+            (parent + F.coalesce("e", "c.d")).alias("_upper"),
             (F.col("c.rest") - F.col("c._to") + F.col("c.words")).alias("_rest"),
             F.col("c.rows").alias("_rows"),
         )
-        state = state.join(step, F.col("source").eqNullSafe(F.col("_s")), "left").select(
+        state = state.drop("upper").join(step, F.col("source").eqNullSafe(F.col("_s")), "left").select(
             "source", "passes",
             F.coalesce("_rest", F.lit(0.0)).alias("rest"),
             F.coalesce("_prefix", F.col("prefix") * (1 << DIGIT)).alias("prefix"),
+            F.coalesce("_upper", F.col("prefix") * (1 << DIGIT)).alias("upper"),
             F.coalesce("_rows", F.lit(0)).alias("_rows"),
         )
         state = written(state, "mix-state")
@@ -115,10 +121,9 @@ def draw_plan(sized: DataFrame, aims: DataFrame) -> tuple[DataFrame, DataFrame]:
     bits = DIGIT * (level + 1)
     plan = state.withColumn("bits", F.lit(bits))
     near = join_small(sized, plan, ["source"], "_h").where(
-        (F.col("rest") > 0) & (F.shiftrightunsigned("_h", 64 - bits) == F.col("prefix"))
+        (F.col("rest") > 0) & F.shiftrightunsigned("_h", 64 - bits).between(F.col("prefix"), F.col("upper"))
     )
-    # rows with one hash are drawn together, so a group holds at most SMALL_RANGE hashes
-    # unless rows repeat beyond that; then one entry stands for all rows with a hash
+    # at most SMALL_RANGE rows of a source, or the rows of one hash, which are one entry
     grouped = near.groupBy("source", "_h").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
     listed = grouped.groupBy("source").agg(
         F.sort_array(F.collect_list(F.struct("_h", "words"))).alias("entries"), F.max("rest").alias("rest")
@@ -216,11 +221,12 @@ def split_quotas(quotas: DataFrame, options: MixOptions) -> DataFrame:
 def assign_blocks(plan: DataFrame, options: MixOptions) -> DataFrame:
     """(source, block, copy, shard, edge): every block draw with its shard, in a source's order.
 
-    The last block of a pass that is not whole is ``edge``: only its drawn rows go along.
+    The last blocks of a pass that is not whole are ``edge``: only their drawn rows go along.
     """
     per = 1 << DIGIT
     block_of_cut = F.expr(f"shiftrightunsigned(prefix, bits - {DIGIT})")
-    partial = F.when((F.col("rest") > 0) | (F.col("prefix") > 0), block_of_cut + 1).otherwise(F.lit(0).cast("long"))
+    block_of_upper = F.expr(f"shiftrightunsigned(upper, bits - {DIGIT})")
+    partial = F.when((F.col("rest") > 0) | (F.col("prefix") > 0), block_of_upper + 1).otherwise(F.lit(0).cast("long"))
     wanted = plan.withColumn("blocks", F.col("passes") * per + partial).withColumn("_cut", block_of_cut)
     quotas = split_quotas(wanted.select("source", "blocks"), options)
     order = Window.partitionBy("source").orderBy("shard")
@@ -233,7 +239,7 @@ def assign_blocks(plan: DataFrame, options: MixOptions) -> DataFrame:
         F.pmod("_at", F.lit(per)).cast("int").alias("block"),
         F.floor(F.col("_at") / per).cast("int").alias("copy"),
         "shard",
-        ((F.floor(F.col("_at") / per) == F.col("passes")) & (F.pmod("_at", F.lit(per)) == F.col("_cut"))).alias("edge"),
+        ((F.floor(F.col("_at") / per) == F.col("passes")) & (F.pmod("_at", F.lit(per)) >= F.col("_cut"))).alias("edge"),
     )
 
 

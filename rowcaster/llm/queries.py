@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_urls, op4_mix, op6_rules, op8_decontaminate
+from . import op1_urls, op2_tokens, op4_mix, op6_rules, op8_decontaminate
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -16,6 +16,13 @@ def op1_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return op1_urls.filter_urls(table(spark, sf, "pages")).drop("url")
 
 
+def op2_token_output(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    tokens = op2_tokens.token_output(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     drawn = op4_mix.with_draws(table(spark, sf, "documents").select("doc_id", "source", "text"))
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"))
@@ -33,7 +40,7 @@ def op8_decontaminate_benchmark(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op4_mix_sources, op6_quality_rules, op8_decontaminate_benchmark)
+    for f in (op1_url_filter, op2_token_output, op4_mix_sources, op6_quality_rules, op8_decontaminate_benchmark)
 }
 
 ORACLE: dict[str, str] = {}
