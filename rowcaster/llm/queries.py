@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_urls, op2_tokens, op4_mix, op6_rules, op8_decontaminate
+from . import op1_urls, op10_quality, op2_tokens, op4_mix, op6_rules, op8_decontaminate, op9_lattice
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -38,9 +38,19 @@ def op8_decontaminate_benchmark(spark: SparkSession, sf: str) -> DataFrame:
     return op8_decontaminate.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("_key")
 
 
+def op9_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    return op9_lattice.lm_scores(table(spark, sf, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return op10_quality.quality_scores(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_token_output, op4_mix_sources, op6_quality_rules, op8_decontaminate_benchmark)
+    for f in (op1_url_filter, op2_token_output, op4_mix_sources, op6_quality_rules, op8_decontaminate_benchmark, op9_lm_score, op10_quality_classifier)
 }
 
 ORACLE: dict[str, str] = {}
