@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_urls, op10_quality, op2_tokens, op4_mix, op6_rules, op8_decontaminate, op9_lattice
+from . import op1_urls, op10_quality, op2_tokens, op4_mix, op5_jaccard, op6_rules, op8_decontaminate, op9_lattice
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return op5_jaccard.jaccard_components(table(spark, sf, "documents")).drop("uid")
+
+
 def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
     rated = op6_rules.quality_rules(docs)
@@ -50,7 +54,7 @@ def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_token_output, op4_mix_sources, op6_quality_rules, op8_decontaminate_benchmark, op9_lm_score, op10_quality_classifier)
+    for f in (op1_url_filter, op2_token_output, op4_mix_sources, op5_jaccard_join, op6_quality_rules, op8_decontaminate_benchmark, op9_lm_score, op10_quality_classifier)
 }
 
 ORACLE: dict[str, str] = {}
