@@ -45,10 +45,16 @@ def fingerprints(w: str, span: int = SPAN, k: int = GRAM) -> tuple[Column, Colum
 
 
 def windows(w: str, length: int) -> Column:
-    """Every run of ``length`` words as one string; a word holds no blank."""
+    """Every run of ``length`` words as one string; a word holds no blank.
+
+    The words are named one by one: an array that a lambda uses once is worked out anew for
+    every element.
+    """
+    if length == 1:
+        return F.col(w)
     return F.transform(
         F.sequence(F.lit(0), F.size(w) - length),
-        lambda i: F.array_join(F.slice(F.col(w), i + 1, F.lit(length)), " "),
+        lambda i: F.concat_ws(" ", *[F.get(F.col(w), i + j) for j in range(length)]),
     )
 
 
@@ -67,8 +73,8 @@ def _near(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_WINDOWS else df
 
 
-def find_hits(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(hits, item windows): (_key, pos, length, window) and (window, item_id).
+def find_hits(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hits, item windows, sizes): (_key, pos, length, window), (window, item_id), (_key, n_words).
 
     ``documents`` holds ``_key`` and ``text``; equal rows share a key.
     """
@@ -87,8 +93,13 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, k: i
 
     prints = written(_prints(items.withColumn("_key", F.lit(0)), "_key", span, k).select("_f").distinct(), "bench-prints")
     docs = _with_words(documents, "_key")
-    marked = _prints(docs, "_key", span, k).join(_near(prints, n_known), "_f", "left_semi")
-    suspects = written(marked.select("_key").distinct(), "suspects")
+    grams, kept = fingerprints("_w", span, k)
+    kept = F.when(F.col("_n") >= span, F.array_distinct(kept))
+    rows = docs.withColumn("_g", F.when(F.col("_n") >= span, grams)).select("_key", "_n", F.explode_outer(kept).alias("_f"))
+    known_prints = prints.withColumn("_hit", F.lit(True))
+    marked = rows.join(_near(known_prints, n_known), "_f", "left").groupBy("_key").agg(F.max("_n").alias("n_words"), F.max("_hit").alias("_hit"))
+    sizes = written(marked, "doc-words")
+    suspects = sizes.where("_hit").select("_key")
 
     def exact(rows: DataFrame, n: int) -> DataFrame:
         found = rows.where(F.col("_n") >= n).select("_key", F.posexplode(windows("_w", n)).alias("pos", "window"))
@@ -97,13 +108,13 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, k: i
     hits = exact(_with_words(documents.join(suspects, "_key", "left_semi"), "_key"), span)
     for n in sorted(lengths):
         hits = hits.unionByName(exact(docs, n))
-    return written(hits.distinct(), "hits"), owned
+    return written(hits.distinct(), "hits"), owned, sizes.select("_key", "n_words")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and ``_key``."""
     keyed = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_key"))
-    hits, owned = find_hits(keyed.select("_key", "text"), benchmark, span, k)
+    hits, owned, sizes = find_hits(keyed.select("_key", "text"), benchmark, span, k)
     order = Window.partitionBy("_key").orderBy("pos", "length")
     reached = F.max(F.col("pos") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("pos") + F.col("length") - F.greatest("pos", F.coalesce(reached, F.lit(0))))
@@ -114,12 +125,11 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
     # a document's list holds the items found in it, which its own length bounds
     listed = pairs.groupBy("_key").agg(F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("_items"))
     found = words.join(listed, "_key", "left")
-    n_words = F.size(words_of("text"))
-    out = keyed.select("doc_id", "_key", n_words.cast("long").alias("n_words")).join(found, "_key", "left")
+    out = keyed.select("doc_id", "_key").join(sizes.join(found, "_key", "left"), "_key", "left")
     names = F.coalesce("_items", F.array().cast("array<string>"))
     return out.select(
         "doc_id",
-        "n_words",
+        F.col("n_words").cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(names).cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_urls, op10_quality, op2_tokens, op4_mix, op5_jaccard, op6_rules, op8_decontaminate, op9_lattice
+from . import op1_urls, op10_quality, op2_tokens, op3_substrings, op4_mix, op5_jaccard, op6_rules, op8_decontaminate, op9_lattice
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_token_output(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    cut = op3_substrings.dedup_substrings(table(spark, sf, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     drawn = op4_mix.with_draws(table(spark, sf, "documents").select("doc_id", "source", "text"))
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"))
@@ -54,7 +59,7 @@ def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_token_output, op4_mix_sources, op5_jaccard_join, op6_quality_rules, op8_decontaminate_benchmark, op9_lm_score, op10_quality_classifier)
+    for f in (op1_url_filter, op2_token_output, op3_substring_dedup, op4_mix_sources, op5_jaccard_join, op6_quality_rules, op8_decontaminate_benchmark, op9_lm_score, op10_quality_classifier)
 }
 
 ORACLE: dict[str, str] = {}
