@@ -327,7 +327,8 @@ def find_links(groups: DataFrame, options: JoinOptions) -> DataFrame:
 
 
 def jaccard_components(documents: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
-    """(uid, doc_id, n_shingles, component_id): a row per document."""
+    """(uid, doc_id, n_shingles, component_id, label): a row per document; ``label`` is equal
+    for the documents of a component."""
     rows = documents.select(F.xxhash64("doc_id", "text").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, math.ceil(total / BUCKET_BYTES))
@@ -350,6 +351,20 @@ def jaccard_components(documents: DataFrame, options: JoinOptions = JoinOptions(
     whole = sets.select("uid", "doc_id", "digest").join(equal, "digest").join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
     whole = written(whole.select("uid", "doc_id", F.coalesce("label", "node").alias("label")), "join-labels")
     least = whole.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    found = whole.join(least, "label").select(F.col("uid").alias("_u"), "component_id")
+    found = whole.join(least, "label").select(F.col("uid").alias("_u"), "component_id", "label")
     out = facts.join(found, F.col("uid") == F.col("_u"), "left")
-    return out.select("uid", "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("uid", "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("label", "uid").alias("label"))
+
+
+def keep_first(documents: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
+    """One row of each component, that with the smallest ``doc_id``; all columns as they are.
+
+    Rows equal in ``doc_id`` and text are one document. Documents without words are linked
+    with nothing, so each stays.
+    """
+    found = jaccard_components(documents, options)
+    first = found.groupBy("label").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "uid")).alias("f"))
+    keep = written(first.select(F.col("f.uid").alias("_uid")), "join-keep")
+    keyed = documents.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("_uid"))
+    kept = keyed.join(F.broadcast(keep) if keep.count() <= NEAR_ROWS else keep, "_uid", "left_semi")
+    return kept.dropDuplicates(["_uid"]).select("row.*")

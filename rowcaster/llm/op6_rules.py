@@ -87,20 +87,28 @@ def repeats(owner: np.ndarray, value: np.ndarray, first_too: bool = False) -> np
     return out
 
 
+NEAR_ROWS = 1_000_000  # keys that are broadcast, 8 MB
+
+
+def row_key() -> Column:
+    """Equal for rows that are judged alike."""
+    return F.xxhash64("doc_id", "lang", "source", "text")
+
+
 def with_counts(documents: DataFrame) -> DataFrame:
-    """(row, text statistics): ``row`` holds all columns but the text."""
+    """(row, uid, text statistics): ``row`` holds all columns but the text."""
     rest = [F.col("`" + c.replace("`", "``") + "`") for c in documents.columns if c != "text"]
-    source = documents.select(F.struct(*rest).alias("row"), "text")
+    source = documents.select(F.struct(*rest).alias("row"), row_key().alias("uid"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in T.slices(batch, "text"):
                 counted = count_texts(piece.column("text"))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("row"), *[pa.array(counted[c], pa.int64()) for c in COUNTS]], ["row", *COUNTS]
+                    [piece.column("row"), piece.column("uid"), *[pa.array(counted[c], pa.int64()) for c in COUNTS]], ["row", "uid", *COUNTS]
                 )
 
-    return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, {COUNT_TYPES}")
+    return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, uid long, {COUNT_TYPES}")
 
 
 def base_failed() -> Column:
@@ -205,8 +213,8 @@ def fit_outliers(judged: DataFrame, options: OutlierOptions = OutlierOptions())
 
 
 def quality_rules(documents: DataFrame, options: OutlierOptions = OutlierOptions()) -> DataFrame:
-    """(row, statistics, base_failed, distance, kept); ``row`` holds all columns but the text."""
-    counted = with_counts(documents).select("row", F.col("row.lang").alias("_lang"), F.col("row.source").alias("_source"), *COUNTS)
+    """(row, uid, statistics, base_failed, distance, kept); ``row`` holds all columns but the text."""
+    counted = with_counts(documents).select("row", "uid", F.col("row.lang").alias("_lang"), F.col("row.source").alias("_source"), *COUNTS)
     failed = base_failed()
     counted = written(counted.select("*", failed.alias("base_failed"), *[v.alias(f"x{i}") for i, v in enumerate(vector())]), "rule-counts")
     groups = counted.where(~F.col("base_failed")).groupBy("_lang", "_source").agg(F.count("*").alias("_n"))
@@ -225,6 +233,15 @@ def quality_rules(documents: DataFrame, options: OutlierOptions = OutlierOptions
     best = F.when(F.col("det0") <= F.col("det1"), _distance(0)).otherwise(_distance(1))
     distance = F.when(~F.col("base_failed") & (F.col("_members") >= options.least), best)
     return rated.select(
-        "row", *COUNTS, "base_failed", distance.alias("distance"),
+        "row", "uid", *COUNTS, "base_failed", distance.alias("distance"),
         (~F.col("base_failed") & (F.coalesce(distance, F.lit(0.0)) <= options.cutoff)).alias("kept"),
     )
+
+
+def quality_filter(documents: DataFrame, options: OutlierOptions = OutlierOptions()) -> DataFrame:
+    """The rows that are kept, all columns as they are."""
+    rated = quality_rules(documents.select("doc_id", "lang", "source", "text"), options)
+    rejected = written(rated.where(~F.col("kept")).select(F.col("uid").alias("_uid")).distinct(), "rule-rejected")
+    keyed = documents.select(F.struct("*").alias("row"), row_key().alias("_uid"))
+    near = F.broadcast(rejected) if rejected.count() <= NEAR_ROWS else rejected
+    return keyed.join(near, "_uid", "left_anti").select("row.*")

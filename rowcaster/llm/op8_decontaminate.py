@@ -136,3 +136,10 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
         "_key",
     )
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows without a hit, all columns as they are."""
+    keyed = documents.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("_key"))
+    hits, _, _ = find_hits(keyed.select("_key", "row.text"), benchmark)
+    return keyed.join(hits.select("_key").distinct(), "_key", "left_anti").select("row.*")

@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_urls, op10_quality, op2_tokens, op3_substrings, op4_mix, op5_jaccard, op6_rules, op8_decontaminate, op9_lattice
+from . import op1_urls, op10_quality, op2_tokens, op3_substrings, op4_mix, op5_jaccard, op6_rules, op7_lines, op8_decontaminate, op9_lattice
+
+
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public vocabulary file; executors need none."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -17,9 +27,7 @@ def op1_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op2_token_output(spark: SparkSession, sf: str) -> DataFrame:
-    import public_tokenizers
-
-    tokens = op2_tokens.token_output(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    tokens = op2_tokens.token_output(table(spark, sf, "documents"), tokenizer_path(TOKENIZER))
     return tokens.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -34,7 +42,7 @@ def op4_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
-    return op5_jaccard.jaccard_components(table(spark, sf, "documents")).drop("uid")
+    return op5_jaccard.jaccard_components(table(spark, sf, "documents")).drop("uid", "label")
 
 
 def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,14 +51,17 @@ def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rated.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    cut = op7_lines.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_decontaminate_benchmark(spark: SparkSession, sf: str) -> DataFrame:
     return op8_decontaminate.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("_key")
 
 
 def op9_lm_score(spark: SparkSession, sf: str) -> DataFrame:
-    import public_tokenizers
-
-    return op9_lattice.lm_scores(table(spark, sf, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return op9_lattice.lm_scores(table(spark, sf, "documents").select("doc_id", "text"), tokenizer_path(PIECES))
 
 
 def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,7 +70,7 @@ def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_token_output, op3_substring_dedup, op4_mix_sources, op5_jaccard_join, op6_quality_rules, op8_decontaminate_benchmark, op9_lm_score, op10_quality_classifier)
+    for f in (op1_url_filter, op2_token_output, op3_substring_dedup, op4_mix_sources, op5_jaccard_join, op6_quality_rules, op7_line_dedup, op8_decontaminate_benchmark, op9_lm_score, op10_quality_classifier)
 }
 
 ORACLE: dict[str, str] = {}
