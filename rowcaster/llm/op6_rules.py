@@ -43,8 +43,8 @@ class OutlierOptions:
     half: float = 0.75  # share of a group that the estimate rests on
     steps: int = 4
     least: int = 60
-    cutoff: float = 60.0  # squared distance; 5 normal statistics pass it once in 10 ** 11
-    floor: float = 0.05  # least deviation of a statistic
+    cutoff: float = 80.0  # squared distance; of 5 normal statistics it would be far out
+    floor: float = 0.1  # least deviation of a statistic; most texts repeat nothing at all
 
 
 def count_texts(texts: pa.Array) -> dict[str, np.ndarray]:
