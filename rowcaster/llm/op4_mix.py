@@ -218,29 +218,20 @@ def split_quotas(quotas: DataFrame, options: MixOptions) -> DataFrame:
     return whole.select("shard", F.inline("q")).select("source", "shard", F.col("blocks").alias("quota"))
 
 
-def assign_blocks(plan: DataFrame, options: MixOptions) -> DataFrame:
-    """(source, block, copy, shard, edge): every block draw with its shard, in a source's order.
+def cut_block() -> Column:
+    """Block of a source in which the last pass is cut; the blocks before it are drawn whole."""
+    return F.expr(f"shiftrightunsigned(prefix, bits - {DIGIT})").cast("int")
 
-    The last blocks of a pass that is not whole are ``edge``: only their drawn rows go along.
-    """
+
+def assign_blocks(plan: DataFrame, options: MixOptions) -> DataFrame:
+    """(source, block, copy, shard): every draw of a whole block with its shard, in a source's order."""
     per = 1 << DIGIT
-    block_of_cut = F.expr(f"shiftrightunsigned(prefix, bits - {DIGIT})")
-    block_of_upper = F.expr(f"shiftrightunsigned(upper, bits - {DIGIT})")
-    partial = F.when((F.col("rest") > 0) | (F.col("prefix") > 0), block_of_upper + 1).otherwise(F.lit(0).cast("long"))
-    wanted = plan.withColumn("blocks", F.col("passes") * per + partial).withColumn("_cut", block_of_cut)
-    quotas = split_quotas(wanted.select("source", "blocks"), options)
+    quotas = split_quotas(plan.select("source", (F.col("passes") * per + cut_block()).alias("blocks")), options)
     order = Window.partitionBy("source").orderBy("shard")
     begin = F.coalesce(F.sum("quota").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spans = quotas.withColumn("_from", begin).where(F.col("quota") > 0)
     draws = spans.select("source", "shard", F.explode(F.sequence(F.col("_from"), F.col("_from") + F.col("quota") - 1)).alias("_at"))
-    edge = wanted.select(F.col("source").alias("_s"), "passes", "_cut")
-    return draws.join(edge, F.col("source").eqNullSafe(F.col("_s"))).select(
-        "source",
-        F.pmod("_at", F.lit(per)).cast("int").alias("block"),
-        F.floor(F.col("_at") / per).cast("int").alias("copy"),
-        "shard",
-        ((F.floor(F.col("_at") / per) == F.col("passes")) & (F.pmod("_at", F.lit(per)) >= F.col("_cut"))).alias("edge"),
-    )
+    return draws.select("source", F.pmod("_at", F.lit(per)).cast("int").alias("block"), F.floor(F.col("_at") / per).cast("int").alias("copy"), "shard")
 
 
 def with_draws(documents: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
@@ -253,18 +244,18 @@ def with_draws(documents: DataFrame, options: MixOptions = MixOptions()) -> Data
     aims = written(targets(totals, options), "mix-targets")
     plan, last = draw_plan(sized, aims)
     blocks = written(assign_blocks(plan, options), "mix-blocks")
-    picked = blocks.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard", "edge"))).alias("_dealt"))
+    picked = blocks.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("_dealt"))
     picked = written(picked.withColumnRenamed("block", "_block"), "mix-picked")
     facts = aims.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-    facts = written(facts.select("source", "source_size", "target", F.col("prefix").alias("_prefix"), F.col("bits").alias("_bits")), "mix-facts")
+    facts = written(facts.select("source", "source_size", "target", F.col("passes").cast("int").alias("_passes"), F.col("prefix").alias("_prefix"), F.col("bits").alias("_bits"), cut_block().alias("_cut")), "mix-facts")
     out = join_small(rows, facts, ["source"], "_h").withColumn("_block", _digit(0))
     out = join_small(out, picked, ["source", "_block"], "_h")
     out = join_small(out, last.withColumn("_last", F.lit(True)), ["source", "_h"], "_h")
-    below = F.expr("shiftrightunsigned(_h, 64 - _bits)") < F.col("_prefix")
-    drawn = F.filter(
-        F.coalesce("_dealt", F.array().cast("array<struct<copy:int,shard:int,edge:boolean>>")),
-        lambda d: ~d["edge"] | below | F.coalesce(F.col("_last"), F.lit(False)),
-    )
+    below = (F.col("_block") == F.col("_cut")) & (F.expr("shiftrightunsigned(_h, 64 - _bits)") < F.col("_prefix"))
+    none = F.array().cast("array<struct<copy:int,shard:int>>")
+    own = F.pmod(F.xxhash64("_h", F.lit(options.seed + 2)), F.lit(options.shards)).cast("int")
+    more = F.when(below | F.coalesce("_last", F.lit(False)), F.array(F.struct(F.col("_passes").alias("copy"), own.alias("shard")))).otherwise(none)
+    drawn = F.concat(F.coalesce("_dealt", none), more)
     return out.select("doc_id", "row", "_h", "size", "source_size", "target", drawn.alias("draws"))
 
 
