@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +40,7 @@ COUNT_TYPES = ", ".join(f"{c} long" for c in COUNTS)
 @dataclass(frozen=True)
 class OutlierOptions:
     half: float = 0.75  # share of a group that the estimate rests on
-    steps: int = 4
+    steps: int = 3
     least: int = 60
     cutoff: float = 80.0  # squared distance; of 5 normal statistics it would be far out
     floor: float = 0.1  # least deviation of a statistic; most texts repeat nothing at all
@@ -159,10 +158,12 @@ ESTIMATE = "g_lang string, g_source string, " + ", ".join(
 def _estimates(moments: DataFrame, floor: float) -> DataFrame:
     """Location and inverse scatter from sums, one row per group in and out."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    names = [c.split()[0] for c in ESTIMATE.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for r in frame.to_dict("records"):
+            for r in batch.to_pylist():
                 out = {k: r[k] for k in KEYS}
                 for s in range(STARTS):
                     mean = np.array([r[f"s{s}_{i}"] for i in range(D)])
@@ -171,10 +172,10 @@ def _estimates(moments: DataFrame, floor: float) -> DataFrame:
                         cov[i, j] = cov[j, i] = r[f"c{s}_{i}{j}"] - mean[i] * mean[j]
                     out |= _inverted(mean, cov, floor, s)
                 rows.append(out)
-            if rows:
-                yield pd.DataFrame(rows)
+            kinds = [pa.string() if n in KEYS else pa.float64() for n in names]
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, kinds)], names)
 
-    return moments.mapInPandas(run, ESTIMATE)
+    return moments.mapInArrow(run, ESTIMATE)
 
 
 def _moments(rows: DataFrame, weights: list[Column]) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 2 << 20  # temporaries take about 60 bytes for each byte of a piece
+PIECE_BYTES = 1 << 20  # temporaries take about 60 bytes for each byte of a piece
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
