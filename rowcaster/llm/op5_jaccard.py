@@ -52,8 +52,9 @@ class JoinOptions:
         """Tokens of a set of ``n`` that a linked set may lack."""
         return n * (self.below - self.above) // self.below
 
-    def least_size(self, n):
-        return -(-n * self.above // self.below)
+    def needed(self, size: str):
+        """Tokens that linked sets of at least ``size`` share among their 2 * slack + 1 first."""
+        return F.expr(f"({size} * {self.below - self.above}) div {self.below} + 1")
 
 
 def token_sets(b: T.Batch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,9 +90,9 @@ def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 def prefix_rows(rows: DataFrame, options: JoinOptions, buckets: int) -> DataFrame:
     """Packed (bucket, ids, places, tokens): each task's prefix tokens by bucket.
 
-    Bucket -1 has for each document its id, set size and the number of prefix tokens that
-    another document of the same task has. Such a token is sent once, without a document, so
-    a token of very many documents costs each task one entry.
+    Negative buckets have for each document its id, set size and the number of prefix tokens
+    that another document of the same task has. Such a token is sent once, without a document,
+    so a token of very many documents costs each task one entry.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +109,7 @@ def prefix_rows(rows: DataFrame, options: JoinOptions, buckets: int) -> DataFram
             place = np.cumsum(new) - 1
             many = np.bincount(place) > 1 if len(place) else np.zeros(0, bool)
             shared = np.bincount(owner[many[place]], minlength=len(uid)) if len(place) else np.zeros(len(uid), np.int64)
-            yield _row(bucket=-1, ids=uid.tobytes(), places=np.stack([doc, null, size, shared], axis=1).astype(np.int64).tobytes(), tokens=b"")
+            yield _row(bucket=-1 - int(uid[0] % buckets), ids=uid.tobytes(), places=np.stack([doc, null, size, shared], axis=1).astype(np.int64).tobytes(), tokens=b"")
             tokens, owner = tokens[new], np.where(many, len(uid), owner[new]) if len(place) else owner
             bucket = (tokens % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -139,8 +140,16 @@ def prefix_rows(rows: DataFrame, options: JoinOptions, buckets: int) -> DataFram
     return rows.mapInArrow(run, "bucket int, ids binary, places binary, tokens binary")
 
 
-def _shared_counts(table: pa.Table) -> pa.Table:
-    """(uid, n): prefix tokens in this bucket that a document of another task has."""
+PARTS = "uid long, doc_id long, size long, n long"
+
+
+def _shared_counts(key: tuple, table: pa.Table) -> pa.Table:
+    """(uid, doc_id, size, n): prefix tokens in this bucket that a document of another task
+    has; a size for each document of a negative bucket, null else."""
+    if key[0].as_py() < 0:
+        facts = [np.frombuffer(p.as_py(), np.int64).reshape(-1, 4) for p in table.column("places")]
+        uid, facts = np.concatenate([np.frombuffer(i.as_py(), np.int64) for i in table.column("ids")]), np.concatenate(facts)
+        return pa.table({"uid": pa.array(uid), "doc_id": pa.array(facts[:, 0], mask=facts[:, 1] > 0), "size": pa.array(facts[:, 2]), "n": pa.array(facts[:, 3])})
     ids, tokens = [], []
     for row_ids, places, row_tokens in zip(*(table.column(c) for c in ("ids", "places", "tokens"))):
         at = np.frombuffer(places.as_py(), "<u4").astype(np.int64)
@@ -156,21 +165,11 @@ def _shared_counts(table: pa.Table) -> pa.Table:
     same[:-1] |= same[1:].copy()
     none = np.concatenate([i[1] for i in ids])[order]
     uid, n = np.unique(np.concatenate([i[0] for i in ids])[order][same & ~none], return_counts=True)
-    return pa.table({"uid": pa.array(uid, pa.int64()), "n": pa.array(n, pa.int64())})
-
-
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for ids, places in zip(batch.column("ids"), batch.column("places")):
-            facts = np.frombuffer(places.as_py(), np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(ids.as_py(), np.int64)), pa.array(facts[:, 0], mask=facts[:, 1] > 0), pa.array(facts[:, 2]), pa.array(facts[:, 3])],
-                ["uid", "doc_id", "size", "shared"],
-            )
+    return pa.table({"uid": pa.array(uid, pa.int64()), "doc_id": pa.nulls(len(uid), pa.int64()), "size": pa.nulls(len(uid), pa.int64()), "n": pa.array(n, pa.int64())})
 
 
 def nodes_of(rows: DataFrame, chosen: DataFrame, n_chosen: int, options: JoinOptions) -> DataFrame:
-    """(uid, doc_id, digest, size, tokens) of the chosen documents, one row per ``uid``."""
+    """(uid, doc_id, digest, size, tokens) of the chosen documents."""
     keys = F.broadcast(chosen) if n_chosen <= NEAR_ROWS else chosen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +182,7 @@ def nodes_of(rows: DataFrame, chosen: DataFrame, n_chosen: int, options: JoinOpt
                     ["uid", "doc_id", "digest", "size", "tokens"],
                 )
 
-    return rows.join(keys, "uid", "left_semi").mapInArrow(run, "uid long, doc_id long, digest binary, size long, tokens binary").dropDuplicates(["uid"])
+    return rows.join(keys, "uid", "left_semi").mapInArrow(run, "uid long, doc_id long, digest binary, size long, tokens binary")
 
 
 def common_tokens(nodes: DataFrame, n: int) -> np.ndarray:
@@ -234,12 +233,14 @@ def build_groups(nodes: DataFrame, options: JoinOptions, common: np.ndarray) ->
     placed = placed.select("node", "size", "tokens", F.xxhash64("key", part).alias("gid"))
 
     def pack(table: pa.Table) -> pa.Table:
+        _, once = np.unique(table.column("node").to_numpy(), return_index=True)  # repeated rows are one node
+        table = table.take(pa.array(once))
         cells = [np.frombuffer(c.as_py(), np.uint64) for c in table.column("tokens")]
         sizes = np.array([len(c) for c in cells])
         union, members = np.unique(np.concatenate(cells), return_inverse=True)
         prefix = []
         for c, slack in zip(cells, options.slack(sizes)):
-            prefix.append(c[np.argsort(commonness(c), kind="stable")[: slack + 1]])
+            prefix.append(c[np.argsort(commonness(c), kind="stable")[: 2 * slack + 1]])
         return pa.table({
             "gid": table.column("gid").slice(0, 1), "least": pa.array([int(sizes.min())], pa.int64()), "most": pa.array([int(sizes.max())], pa.int64()),
             "prefix": pa.array([np.unique(np.concatenate(prefix)).astype(np.int64)], pa.list_(pa.int64())),
@@ -302,7 +303,9 @@ def find_links(groups: DataFrame, options: JoinOptions) -> DataFrame:
     post = groups.select(F.explode("prefix").alias("token"), "gid", "least", "most")
     other = post.select("token", F.col("gid").alias("gid2"), F.col("least").alias("least2"), F.col("most").alias("most2"))
     fits = (F.col("most") * options.below >= F.col("least2") * options.above) & (F.col("most2") * options.below >= F.col("least") * options.above)
-    pairs = post.join(other, "token").where((F.col("gid") < F.col("gid2")) & fits).select("gid", "gid2").distinct()
+    met = post.join(other, "token").where((F.col("gid") < F.col("gid2")) & fits)
+    pairs = met.groupBy("gid", "gid2").agg(F.count("*").alias("n"), F.min(F.least("least", "least2")).alias("_p"))
+    pairs = pairs.where(F.col("n") >= options.needed("_p")).select("gid", "gid2")
     alone = groups.where(F.size("nodes") > 1).select("gid", F.col("gid").alias("gid2"))
     pairs = written(pairs.unionByName(alone), "join-pairs")
     packed = groups.select("gid", F.struct("nodes", "sizes", "union", "members").alias("g1"))
@@ -332,23 +335,22 @@ def jaccard_components(documents: DataFrame, options: JoinOptions = JoinOptions(
     rows = documents.select(F.xxhash64("doc_id", "text").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, math.ceil(total / BUCKET_BYTES))
-    packed = written(prefix_rows(rows, options, buckets), "join-prefixes")
-    facts = written(packed.where(F.col("bucket") < 0).mapInArrow(_unpack, "uid long, doc_id long, size long, shared long"), "join-sizes")
-    counted = packed.where(F.col("bucket") >= 0).groupBy("bucket").applyInArrow(_shared_counts, "uid long, n long")
-    # facts and counts are summed together, so documents are shuffled once
-    parts = counted.select("uid", "n", F.lit(0).cast("long").alias("size")).unionByName(facts.select("uid", F.col("shared").alias("n"), "size"))
+    parts = prefix_rows(rows, options, buckets).groupBy("bucket").applyInArrow(_shared_counts, PARTS)
+    parts = written(parts, "join-parts")
+    facts = parts.where(F.col("size").isNotNull()).select("uid", "doc_id", "size")
     partner = F.expr(f"(size * {options.above} + {options.below - 1}) div {options.below}")
-    needed = F.expr(f"(_p * {options.below - options.above}) div {options.below} + 1")
-    chosen = parts.groupBy("uid").agg(F.sum("n").alias("n"), F.max("size").alias("size")).where("size > 0").withColumn("_p", partner).where(F.col("n") >= needed).select("uid")
-    chosen = written(chosen, "join-chosen")
+    chosen = parts.groupBy("uid").agg(F.sum("n").alias("n"), F.max("size").alias("size")).where("size > 0").withColumn("_p", partner)
+    chosen = written(chosen.where(F.col("n") >= options.needed("_p")).select("uid"), "join-chosen")
     sets = written(nodes_of(rows, chosen, chosen.count(), options), "join-sets")
     equal = written(sets.groupBy("digest").agg(F.min("uid").alias("node")), "join-equal")
-    nodes = written(sets.join(equal, (F.col("uid") == F.col("node"))).select("node", "size", "tokens"), "join-nodes")
-    common = common_tokens(nodes, nodes.count())
+    n_nodes = equal.count()
+    first = equal.select(F.col("node").alias("uid"))
+    nodes = sets.join(F.broadcast(first) if n_nodes <= NEAR_ROWS else first, "uid", "left_semi").select(F.col("uid").alias("node"), "size", "tokens")
+    common = common_tokens(nodes, n_nodes)
     groups = written(build_groups(nodes, options, common), "join-groups")
     links = written(find_links(groups, options), "join-links")
     labels = components(links)
-    whole = sets.select("uid", "doc_id", "digest").join(equal, "digest").join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+    whole = sets.select("uid", "doc_id", "digest").distinct().join(equal, "digest").join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
     whole = written(whole.select("uid", "doc_id", F.coalesce("label", "node").alias("label")), "join-labels")
     least = whole.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     found = whole.join(least, "label").select(F.col("uid").alias("_u"), "component_id", "label")
