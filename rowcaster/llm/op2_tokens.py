@@ -24,10 +24,11 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import new_path
@@ -115,7 +116,7 @@ class Encoder:
     def learn(self, hashes: np.ndarray, strings: list[str]) -> None:
         found = [e.ids for e in self.model.encode_batch_fast(strings, add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint16, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.uint16, int(size.sum()))
         begin = np.cumsum(size) - size + len(self.ids)
         known = np.concatenate([self.known, hashes])
         order = np.argsort(known)
@@ -161,6 +162,17 @@ class Encoder:
         return out
 
 
+def kept_encoder(model: str) -> Encoder:
+    """The encoder of this worker process, which tasks after each other share."""
+    import sys
+    import types
+
+    holder = sys.modules.setdefault("_kept_encoder", types.ModuleType("_kept_encoder"))
+    if getattr(holder, "model", None) != model:
+        holder.model, holder.encoder = model, Encoder(model)
+    return holder.encoder
+
+
 # --- the coder ---------------------------------------------------------------------------
 
 
@@ -273,8 +285,8 @@ def decode_block(data: bytes, table: tuple[np.ndarray, np.ndarray, np.ndarray],
 # --- Spark jobs --------------------------------------------------------------------------
 
 
-def place(documents: DataFrame) -> tuple[Column, Column]:
-    """Shard and part of a document: both ascend with ``doc_id``.
+def place(documents: DataFrame) -> tuple[DataFrame, int]:
+    """(shard, part, doc_id, text), and the parts of a shard: both numbers ascend with ``doc_id``.
 
     At most SHARDS bounds are quantiles of the ids; a shard is cut into parts by linear
     interpolation, so that a part has some thousand rows however many there are. Rows of an
@@ -296,13 +308,13 @@ def place(documents: DataFrame) -> tuple[Column, Column]:
     left, right = F.element_at(edges, F.col("shard") + 1), F.element_at(edges, F.col("shard") + 2)
     share = (F.col("doc_id") - left) / F.greatest(right - left, F.lit(1))
     part = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(share * parts))).cast("int")
-    return shard.cast("int"), F.coalesce(part, F.lit(0))
+    rows = documents.select("doc_id", "text", shard.cast("int").alias("shard"))
+    return rows.select("shard", F.coalesce(part, F.lit(0)).alias("part"), "doc_id", "text"), parts
 
 
-def tokenize(documents: DataFrame, model: str) -> DataFrame:
+def tokenize(placed: DataFrame, model: str) -> DataFrame:
     """(shard, part, doc_id, ids): ids as little-endian 16-bit numbers."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # the vocabulary file, some MB
-    shard, part = place(documents)
+    shared = placed.sparkSession.sparkContext.broadcast(model)  # the vocabulary file, some MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -311,14 +323,13 @@ def tokenize(documents: DataFrame, model: str) -> DataFrame:
         encoder = None
         for batch in batches:
             for piece in T.slices(batch, "text"):
-                encoder = encoder or Encoder(shared.value)
+                encoder = encoder or kept_encoder(shared.value)
                 ids = [i.astype("<u2").tobytes() for i in encoder.encode(piece.column("text"))]
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("shard"), piece.column("part"), piece.column("doc_id"), pa.array(ids, pa.binary())],
                     ["shard", "part", "doc_id", "ids"],
                 )
 
-    placed = documents.select("doc_id", "text", shard.alias("shard")).select("shard", part.alias("part"), "doc_id", "text")
     return placed.mapInArrow(run, "shard int, part int, doc_id long, ids binary")
 
 
@@ -328,7 +339,8 @@ def write_tokens(documents: DataFrame, model: str, path: str) -> None:
     The tokenized rows are shuffled once, by part; counting and coding both read that
     shuffle, as the table reaches the parts in the same plan.
     """
-    tokens = tokenize(documents, model).repartition("shard", "part")
+    placed, n_parts = place(documents)
+    tokens = tokenize(placed, model).repartition("shard", "part")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
@@ -340,10 +352,11 @@ def write_tokens(documents: DataFrame, model: str, path: str) -> None:
 
     counts = tokens.mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     one = counts.groupBy().agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("counts"))  # at most 65,536 ids
-    parts = tokens.select("shard", "part").distinct().unionByName(
-        documents.sparkSession.range(1).select(F.lit(TABLE).alias("shard"), F.lit(0).alias("part"))
+    # every part there may be, so that only counting and coding ask for the tokens
+    parts = documents.sparkSession.range(1).select(F.explode(F.sequence(F.lit(TABLE), F.lit(SHARDS))).alias("_s")).select(
+        "_s", F.explode(F.when(F.col("_s") == TABLE, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(n_parts - 1)))).alias("_p")
     )
-    tables = parts.join(F.broadcast(one), F.lit(True)).select(F.col("shard").alias("_s"), F.col("part").alias("_p"), "counts")
+    tables = parts.join(F.broadcast(one), F.lit(True)).select("_s", "_p", "counts")
 
     def code(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         seen = right.column("counts").combine_chunks().flatten()
