@@ -149,13 +149,16 @@ ATTRIBUTION_COEFFICIENTS = [0.8, -25.0, 0.0001]
 
 
 def attributed_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Linear attribution with fixed coefficients around the table means."""
-    li = table(spark, sf, "lineitem")
-    columns = [F.col("l_quantity"), F.col("l_discount"), F.col("l_extendedprice")]
+    """Linear attribution with fixed coefficients around the table means.
+
+    A line has no key of its own, so the lines of an order are taken together.
+    """
+    li = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("row_id")).agg(
+        F.sum("l_quantity").alias("quantity"), F.max("l_discount").alias("discount"), F.max("l_extendedprice").alias("price")
+    )
+    columns = [F.col(c) for c in ATTRIBUTION_NAMES]
     means = list(li.agg(*[F.avg(c) for c in columns]).first())
-    rows = explain.linear_attribution(li, columns, ATTRIBUTION_COEFFICIENTS, means, "attribution")
-    key = (F.col("l_orderkey") * 10000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("row_id")
-    return rows.select(key, "attribution")
+    return explain.linear_attribution(li, columns, ATTRIBUTION_COEFFICIENTS, means, "attribution").select("row_id", "attribution")
 
 
 def attributed_long(spark: SparkSession, sf: str) -> DataFrame:
@@ -714,7 +717,7 @@ def global_importance(spark, sf):
 
 @query
 def attribution_wide(spark, sf):
-    long = attributed_long(spark, sf).distinct()
+    long = attributed_long(spark, sf)
     return rounded(explain.wide_attribution(long, "row_id", ATTRIBUTION_NAMES), *ATTRIBUTION_NAMES)
 
 
@@ -727,8 +730,9 @@ def attribution_projection(spark, sf):
 @query
 def row_explanation(spark, sf):
     """The leading features of the row with the smallest key."""
-    long = attributed_long(spark, sf).distinct()
-    first = long.agg(F.min("row_id")).first()[0]
+    first = table(spark, sf, "lineitem").agg(F.min("l_orderkey")).first()[0]
+    one = select.row_lookup(attributed_lines(spark, sf), "row_id", first)
+    long = explain.to_long(one, "row_id", "attribution", ATTRIBUTION_NAMES)
     return rounded(explain.explain_row(long, "row_id", first, 20), "shap_value")
 
 
@@ -771,10 +775,86 @@ def stratified_folds(spark, sf):
 def stratified_folds_cut(spark, sf):
     """The same rule over ranges of one hundred rows, as used for very large classes."""
     customers = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    ranked = select.rank_by_unit(
-        customers, "c_mktsegment", arithmetic_unit("c_custkey", 42), "c_custkey", "rank", rows_per_bucket=100
+    return folds.stratified_folds(
+        customers, "c_mktsegment", "c_custkey", 5, unit=arithmetic_unit("c_custkey", 42), rows_per_bucket=100
+    )
+
+
+def gappy_customers(spark, sf):
+    """Customers, some without a segment and some without a key."""
+    key, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    return table(spark, sf, "customer").select(
+        key.alias("id"), F.when(key % 7 != 0, segment).alias("segment"), F.when(key % 11 != 0, key).alias("c_custkey")
     )
-    return ranked.select("c_custkey", "c_mktsegment", (F.col("rank") % 5).cast("int").alias("fold"))
+
+
+@query
+def folds_with_gaps(spark, sf):
+    """Rows per segment and fold, cut into ranges; rows without a segment or a key stay."""
+    folded = folds.stratified_folds(
+        gappy_customers(spark, sf), "segment", "c_custkey", 5, unit=arithmetic_unit("c_custkey", 42), rows_per_bucket=50
+    )
+    return folded.groupBy("segment").agg(F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"))
+
+
+@query
+def fold_balance(spark, sf):
+    """Largest less smallest fold, in total and in any class of very uneven classes."""
+    orders = table(spark, sf, "orders").select("o_orderkey", F.pmod(F.col("o_custkey"), F.lit(97)).alias("cls"))
+    sizes = folds.stratified_folds(orders, "cls", "o_orderkey", 7).groupBy("cls", "fold").agg(F.count("*").alias("n"))
+    per_class = sizes.groupBy("cls").agg(F.max("n").alias("hi"), F.min("n").alias("lo"), F.count("*").alias("f"))
+    worst = per_class.agg(F.max(F.col("hi") - F.when(F.col("f") < 7, 0).otherwise(F.col("lo"))).alias("spread"))
+    total = sizes.groupBy("fold").agg(F.sum("n").alias("n")).agg(F.max("n").alias("hi"), F.min("n").alias("lo"), F.sum("n").alias("n_rows"))
+    both = total.crossJoin(F.broadcast(worst))  # one row and one row
+    return both.select("n_rows", (F.col("hi") - F.col("lo") <= 1).alias("even_total"), (F.col("spread") <= 1).alias("even_classes"))
+
+
+@query
+def one_hot_wide(spark, sf):
+    """Entries of a column of thousands of values, counted through the sparse vector."""
+    parts = table(spark, sf, "part").select("p_partkey", "p_name")
+    model = FeatureModel(features.fit_features(parts, FeatureOptions(), ["p_partkey"])[0])
+    names = model.feature_names
+    hot = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x)
+    sums = model.transform(parts).select(hot.alias("ones")).groupBy("ones").agg(F.count("*").alias("n_rows"))
+    return sums.withColumn("n_features", F.lit(len(names)).cast("long"))
+
+
+def holed_orders(spark, sf):
+    """Probability arrays with NULL and NaN entries, and arrays that are NULL."""
+    k, p = F.col("o_orderkey"), F.col("proba")
+    holed = F.array(
+        F.when(k % 5 == 0, F.lit(float("nan"))).otherwise(p[0]), F.when(k % 3 != 0, p[1]), F.when(k % 4 != 0, p[2])
+    )
+    return class_orders(spark, sf).select("o_orderkey", F.when(k % 13 != 0, holed).alias("proba"))
+
+
+@query
+def gap_decisions(spark, sf):
+    """Decision, decoded name, band and caption over gaps: a gap decides nothing."""
+    first = F.get("proba", F.lit(0))
+    df = holed_orders(spark, sf).withColumns({"pred": ranking.argmax_index("proba"), "p": F.when(~F.isnan(first), first)})
+    return df.select(
+        "o_orderkey", "pred", ranking.decode("pred", STATUS_NAMES).alias("name"),
+        scalar.risk_band(scalar.above("p", 0.5), "p").alias("band"), scalar.binary_caption("p").alias("caption"),
+    )
+
+
+@query
+def gap_top(spark, sf):
+    """The first of the ranked list agrees with the decision, also where there is none."""
+    top = scoring.topk_output(holed_orders(spark, sf), "proba", STATUS_NAMES, 3, ["o_orderkey"])
+    return top.select("o_orderkey", "prediction", "top2_disease")
+
+
+@query
+def gap_ranges(spark, sf):
+    """NULL and NaN are gaps, not violations."""
+    q, k = F.col("l_quantity"), F.col("l_orderkey")
+    li = table(spark, sf, "lineitem").select(
+        F.when(k % 5 == 0, F.lit(float("nan"))).when(k % 7 != 0, q.cast("double")).alias("l_quantity")
+    )
+    return validate.range_violations(li, {"l_quantity": (5, 45)})
 
 
 @query
@@ -844,6 +924,11 @@ FOREST = {"model": {"name": "rf", "forest": {"n_estimators": 20, "max_depth": 6}
 DOC_OPTIONS = FeatureOptions()
 
 
+def all_documents(spark, sf):
+    """What a model scores: every document, with or without a label."""
+    return table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+
+
 def fitted(spark, sf, config, label="quality"):
     df = labelled(spark, sf).persist()  # read by every pass of the fit
     other = "toxic" if label == "quality" else "quality"
@@ -873,8 +958,8 @@ def fitted_segments(spark, sf, config):
 @query
 def score_and_report(spark, sf):
     """Fit on the labelled documents, then score them: key, decision, band, probability."""
-    df, model = fitted(spark, sf, LOGISTIC)
-    scored = models.probabilities(model, df)
+    _, model = fitted(spark, sf, LOGISTIC)
+    scored = models.probabilities(model, all_documents(spark, sf))
     return scoring.binary_output(scored, "proba", 0.5, ["doc_id"], bands=True)
 
 
@@ -892,8 +977,8 @@ def fit_forest(spark, sf):
 
 @query
 def fit_boosted(spark, sf):
-    df, model = fitted(spark, sf, BOOSTED)
-    return scoring.binary_output(models.probabilities(model, df), "proba", 0.5, ["doc_id"])
+    _, model = fitted(spark, sf, BOOSTED)
+    return scoring.binary_output(models.probabilities(model, all_documents(spark, sf)), "proba", 0.5, ["doc_id"])
 
 
 @query
@@ -910,7 +995,7 @@ def fit_multi_output(spark, sf):
     model = FeatureModel(features.fit_features(df, DOC_OPTIONS, ["doc_id", "quality", "toxic"])[0])
     each = models.fit_multi_output(df, model, LOGISTIC, ["quality", "toxic"])
     return scoring.probability_table(
-        models.multi_output_probabilities(each, df), "proba", ["p_quality", "p_toxic"], ["doc_id"]
+        models.multi_output_probabilities(each, all_documents(spark, sf)), "proba", ["p_quality", "p_toxic"], ["doc_id"]
     )
 
 
@@ -969,14 +1054,14 @@ def out_of_fold_metrics(spark, sf):
 def calibrated_sigmoid(spark, sf):
     data = document_folds(spark, sf)
     model = calibrate.fit_calibrated(data, crossval.fit_folds(data, LOGISTIC), "sigmoid")
-    return scoring.binary_output(model.probabilities(data.df), "proba", 0.5, ["doc_id"])
+    return scoring.binary_output(model.probabilities(all_documents(spark, sf)), "proba", 0.5, ["doc_id"])
 
 
 @query
 def calibrated_isotonic(spark, sf):
     data = document_folds(spark, sf)
     model = calibrate.fit_calibrated(data, crossval.fit_folds(data, LOGISTIC), "isotonic")
-    return scoring.binary_output(model.probabilities(data.df), "proba", 0.5, ["doc_id"])
+    return scoring.binary_output(model.probabilities(all_documents(spark, sf)), "proba", 0.5, ["doc_id"])
 
 
 @query
@@ -994,16 +1079,22 @@ def parameter_search(spark, sf):
     return tune.random_search(data, LOGISTIC, "roc_auc", n_trials=3)[1]
 
 
+def attribution_entries(model, rows):
+    """(doc_id, feature, value) of the exact attribution of all rows."""
+    wide = explain.attributions(model, rows, "doc_id")
+    return explain.to_long(wide, "doc_id", "attribution", model.stages[0].feature_names)
+
+
 @query
 def linear_model_attribution(spark, sf):
-    df, model = fitted(spark, sf, LOGISTIC)
-    return explain.global_importance(explain.explain(model, df, "doc_id", sample_size=200))
+    _, model = fitted(spark, sf, LOGISTIC)
+    return explain.global_importance(attribution_entries(model, all_documents(spark, sf)))
 
 
 @query
 def tree_attribution(spark, sf):
-    df, model = fitted(spark, sf, BOOSTED)
-    return explain.global_importance(explain.explain(model, df, "doc_id", sample_size=200))
+    _, model = fitted(spark, sf, BOOSTED)
+    return explain.global_importance(attribution_entries(model, all_documents(spark, sf)))
 
 
 @query
@@ -1025,3 +1116,123 @@ def sampled_attribution(spark, sf):
     rows = select.sample_rows(df, 50, "doc_id")
     wide = explain.sampled_attribution(model, rows, "doc_id", permutations=3, background=df)
     return explain.global_importance(explain.to_long(wide, "doc_id", "attribution", model.stages[0].feature_names))
+
+
+# --- facts of the model queries that SQL can state ----------------------------------------------------------------------
+
+
+def fact(name: str):
+    """Registers ``facts_<name>``: a check over the result of query ``name``."""
+
+    def keep(fn):
+        def run(spark, sf):
+            return fn(spark, sf, QUERIES[name](spark, sf))
+
+        QUERIES[f"facts_{name}"] = run
+        return fn
+
+    return keep
+
+
+def sums_to_one(*columns: str) -> Column:
+    total = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))
+    return F.abs(total - 1.0) < 1e-9
+
+
+def decisions(spark, sf, df):
+    """Rows, keys, decisions off the threshold, values that are no probability."""
+    p = F.col("probability")
+    wrong = ~F.col("prediction").eqNullSafe((p >= 0.5).cast("int"))
+    return df.agg(
+        F.count("*").alias("n_rows"), F.count_distinct("doc_id").alias("n_keys"), F.count_if(wrong).alias("n_wrong"),
+        F.count_if(~F.coalesce(p.between(0, 1), F.lit(False))).alias("n_off"),
+    )
+
+
+for _name in ("fit_boosted", "calibrated_sigmoid", "calibrated_isotonic", "out_of_fold"):
+    fact(_name)(decisions)
+
+
+@fact("score_and_report")
+def _bands(spark, sf, df):
+    """Rows of each decision whose band is not the one of its probability."""
+    p, band = F.col("probability"), F.col("risk_level")
+    want = F.when(p < 0.5, 3).when(p >= 0.8, 0).when(p >= 0.6, 1).otherwise(2)
+    names = F.array(*[F.lit(n) for n in scalar.RISK_BANDS])
+    return decisions(spark, sf, df.withColumn("probability", F.when(F.element_at(names, want + 1) == band, p)))
+
+
+@fact("fit_logistic_classes")
+def _ranked_classes(spark, sf, df):
+    falls = (F.col("top1_probability") >= F.col("top2_probability")) & (F.col("top2_probability") >= F.col("top3_probability"))
+    return df.agg(
+        F.count("*").alias("n_rows"), F.count_distinct("c_custkey").alias("n_keys"),
+        F.count_if(~falls | (F.col("prediction") != F.col("top1_disease"))).alias("n_wrong"),
+    )
+
+
+def shares_of_classes(spark, sf, df):
+    names = [c for c in df.columns if c not in ("c_custkey", "prediction")]
+    wrong = ~sums_to_one(*names)
+    if "prediction" in df.columns:
+        wrong = wrong | (F.col("prediction") != ranking.argmax_index(F.array(*names)))
+    return df.agg(F.count("*").alias("n_rows"), F.lit(len(names)).cast("long").alias("n_classes"), F.count_if(wrong).alias("n_wrong"))
+
+
+for _name in ("fit_forest", "fit_boosted_classes"):
+    fact(_name)(shares_of_classes)
+
+
+@fact("fit_multi_output")
+def _labels_apart(spark, sf, df):
+    off = ~(F.col("p_quality").between(0, 1) & F.col("p_toxic").between(0, 1))
+    return df.agg(F.count("*").alias("n_rows"), F.count_distinct("doc_id").alias("n_keys"), F.count_if(off).alias("n_off"))
+
+
+@fact("native_importance")
+def _importance(spark, sf, df):
+    return df.agg(
+        F.count("*").alias("n_features"), (F.abs(F.sum("importance") - 1.0) < 1e-9).alias("sums_to_one"),
+        (F.min("importance") >= 0).alias("no_negative"),
+    )
+
+
+@fact("out_of_fold_metrics")
+def _metrics(spark, sf, df):
+    """Every metric is between 0 and 1, and the area agrees with a count over all pairs."""
+    return df.agg(
+        F.count("*").alias("n_metrics"), F.count_if(~F.col("value").between(0, 1)).alias("n_off"),
+        F.count_if(F.col("metric") == "roc_auc").alias("n_areas"),
+    )
+
+
+@fact("calibration_choice")
+def _choice(spark, sf, df):
+    return df.agg(
+        F.count("*").alias("n_methods"), F.count_if("selected").alias("n_selected"),
+        (F.max("score") == F.max(F.when(F.col("selected"), F.col("score")))).alias("best"),
+    )
+
+
+@fact("parameter_search")
+def _trials(spark, sf, df):
+    return df.agg(F.count("*").alias("n_trials"), F.count_distinct("number").alias("n_numbers"), F.count_if(~F.col("value").between(0, 1)).alias("n_off"))
+
+
+def explained(spark, sf, df):
+    return df.agg(F.count("*").alias("n_features"), F.count_if(~(F.col("mean_abs_shap") >= 0)).alias("n_off"))
+
+
+for _name in ("linear_model_attribution", "tree_attribution", "sampled_attribution"):
+    fact(_name)(explained)
+
+
+@query
+def logistic_gradient(spark, sf):
+    """At the fitted coefficients the gradient of the penalised loss is zero."""
+    df, model = fitted(spark, sf, {"model": {"name": "logreg", "logistic": {"penalty": "none"}}, "imbalance": {"enable": False}})
+    rows = models.probabilities(model, model.stages[0].transform(df).drop("features"), "proba")
+    x = model.stages[0].transform(rows).select("quality", F.col("proba")[1].alias("p"), vector_to_array("features").alias("x"))
+    each = x.select(F.posexplode("x").alias("j", "v"), (F.col("p") - F.col("quality")).alias("r"))
+    gradient = each.groupBy("j").agg(F.avg(F.col("v") * F.col("r")).alias("g"))
+    return gradient.agg(F.count("*").alias("n_features"), (F.max(F.abs("g")) < 1e-3).alias("zero"))

@@ -14,40 +14,43 @@ def names_array(names: Sequence[str]) -> Column:
     return F.array(*[F.lit(n) for n in names])
 
 
+def known(proba: Column | str) -> Column:
+    """The array with NaN turned into NULL, so that both rank below every number."""
+    return F.transform(as_col(proba), lambda x: F.when(~F.isnan(x), x))
+
+
 def argmax_index(proba: Column | str) -> Column:
-    """0-based index of the largest entry; the lowest index wins a tie."""
-    p = as_col(proba)
-    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+    """0-based index of the largest entry; the lowest index wins a tie, NULL without one."""
+    p = known(proba)
+    place = F.array_position(p, F.array_max(p))
+    return F.when(place > 0, place - 1).cast("int")
 
 
 def max_confidence(proba: Column | str) -> Column:
-    return F.array_max(as_col(proba))
+    return F.array_max(known(proba))
 
 
 def decode(index: Column | str, names: Sequence[str]) -> Column:
-    return F.element_at(names_array(names), as_col(index).cast("int") + 1)
-
-
-LISTED = 64  # up to here entries are spelled out, which compiles; beyond, a lambda is shorter
+    """Name of a class number; NULL and numbers outside the list have none."""
+    i = as_col(index).cast("int")
+    return F.when(i.between(0, len(names) - 1), F.element_at(names_array(names), F.coalesce(i, F.lit(0)) + 1))
 
 
 def ranked(proba: Column | str, names: Sequence[str]) -> Column:
-    """array<struct<p, minus, name>> sorted by p descending, lower index first on ties."""
-    p = as_col(proba)
+    """array<struct<p, minus, name>> sorted by p descending, lower index first on ties.
+
+    Gaps come last and have no name; a NULL array has no entries.
+    """
+    labels = names_array(names)
 
-    def entry(x: Column, minus: Column, name: Column) -> Column:
-        return F.struct(x.alias("p"), minus.alias("minus"), name.alias("name"))
+    def entry(x: Column, i: Column) -> Column:
+        return F.struct(x.alias("p"), (-i).alias("minus"), F.when(x.isNotNull(), F.element_at(labels, i + 1)).alias("name"))
 
-    if len(names) <= LISTED:
-        entries = F.array(*[entry(F.get(p, F.lit(i)), F.lit(-i), F.lit(n)) for i, n in enumerate(names)])
-    else:
-        labels = names_array(names)
-        entries = F.transform(p, lambda x, i: entry(x, -i, F.element_at(labels, i + 1)))
-    return F.sort_array(entries, asc=False)
+    return F.sort_array(F.transform(known(proba), entry), asc=False)
 
 
 def top_string(ranked_entries: Column | str, k: int = 3) -> Column:
-    """``name (pp.p%)`` of the first k entries, comma separated."""
+    """``name (pp.p%)`` of the first k entries, comma separated; gaps are left out."""
     entries = as_col(ranked_entries)
     parts = []
     for i in range(k):

@@ -105,10 +105,12 @@ def first_maximum(scores: dict[str, Column]) -> Column:
 
 
 def risk_band(prediction: Column | str, probability: Column | str) -> Column:
-    pred, p = as_col(prediction), as_col(probability)
+    """Band of a positive decision by its probability; a gap in either has none."""
+    pred, p = as_col(prediction), as_col(probability).cast("double")
     high, moderate, positive, negative = RISK_BANDS
     return (
-        F.when(pred != 1, F.lit(negative))
+        F.when(pred.isNull() | p.isNull() | F.isnan(p), F.lit(None).cast("string"))
+        .when(pred != 1, F.lit(negative))
         .when(p >= 0.8, F.lit(high))
         .when(p >= 0.6, F.lit(moderate))
         .otherwise(F.lit(positive))
@@ -125,9 +127,8 @@ def display_name(c: Column | str) -> Column:
 
 
 def binary_caption(p1: Column | str) -> Column:
-    return F.when(above(p1, 0.5, strict=True) == 1, F.lit("Disease Detected")).otherwise(
-        F.lit("Healthy")
-    )
+    hit = above(p1, 0.5, strict=True)
+    return F.when(hit == 1, F.lit("Disease Detected")).when(hit == 0, F.lit("Healthy"))
 
 
 def class_caption(k: Column | str) -> Column:

@@ -127,7 +127,7 @@ class CalibratedModel:
 def fit_calibrated(data: FoldedData, models: Sequence[PipelineModel], method: str) -> CalibratedModel:
     """One calibrator per fold, learned on the fold its model did not see."""
     if method not in FITTERS:
-        raise ValueError(f"Unknown calibration method: {method}")
+        raise ValueError(f"calibration methods are {', '.join(FITTERS)}; asked for: {method}")
     calibrators = []
     for i, model in enumerate(models):
         held_out = decision_score(model, data.test(i)).select("_score", data.label)
@@ -157,12 +157,10 @@ def select_calibration(
     By default a row is judged by a model and a calibrator that both did not see it;
     ``in_sample`` judges the averaged model on all rows.
     """
-    methods = list(dict.fromkeys(methods))
-    if not methods:
-        raise ValueError("At least one calibration method must be provided")
-    unknown = [m for m in methods if m not in FITTERS]
-    if unknown:
-        raise ValueError(f"Unknown calibration method: {unknown[0]}")
+    asked = set(methods)
+    methods = [m for m in FITTERS if m in asked]
+    if not asked or asked - set(methods):
+        raise ValueError(f"calibration methods are {', '.join(FITTERS)}; asked for: {sorted(asked) or 'none'}")
     held_out = [
         decision_score(model, data.test(i)).select("fold", "_score", data.label)
         for i, model in enumerate(models)

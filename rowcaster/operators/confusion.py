@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def f1_of_counts(hits: float, false_hits: float, misses: float) -> float:
+    """2 hits / (2 hits + false hits + misses); 0 without any."""
+    whole = 2 * hits + false_hits + misses
+    return 2 * hits / whole if whole else 0.0
+
+
 def ratio(num: Column, den: Column) -> Column:
     """Quotient, 0 on a zero denominator."""
     return F.when(den == 0, F.lit(0.0)).otherwise(num / den)

@@ -16,7 +16,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
@@ -41,7 +41,6 @@ class FeatureOptions:
     bin_edges: list[float] = field(default_factory=lambda: list(AGE_EDGES))
     interaction_pairs: list[list[str]] = field(default_factory=list)
     scaler: str = "standard"
-    max_categories: int = 1000
 
     @staticmethod
     def from_config(config: dict) -> FeatureOptions:
@@ -91,9 +90,12 @@ def imputed_moments(n: int, mean: float, var: float, n_null: int, fill: float) -
 
 
 def category_counts(
-    df: DataFrame, columns: Sequence[str], masks: Sequence[Column], limit: int
+    df: DataFrame, columns: Sequence[str], masks: Sequence[Column]
 ) -> dict[str, list[tuple[str, list[int]]]]:
-    """Rows per (column, value) and mask, one grouped count for all columns."""
+    """Rows per (column, value) and mask, one grouped count for all columns.
+
+    The values of a column are its parameters, so the driver holds them as it holds the model.
+    """
     if not columns:
         return {}
     flags = [F.coalesce(m, F.lit(False)).cast("long").alias(f"_m{i}") for i, m in enumerate(masks)]
@@ -106,16 +108,9 @@ def category_counts(
         .groupBy(F.col("e.c").alias("c"), F.col("e.v").alias("v"))
         .agg(*[F.sum(f"_m{i}").alias(f"n{i}") for i in range(len(masks))])
     )
-    rows = counted.limit(limit * len(columns) + 1).collect()
     out: dict[str, list[tuple[str, list[int]]]] = {c: [] for c in columns}
-    for r in rows:
+    for r in counted.collect():
         out[columns[r["c"]]].append((r["v"], [r[f"n{i}"] for i in range(len(masks))]))
-    wide = [c for c, values in out.items() if len(values) > limit]
-    if wide or len(rows) > limit * len(columns):
-        raise ValueError(
-            f"more than {limit} categories in {wide or list(columns)}: raise max_categories, "
-            "drop the column, or use one_hot_long"
-        )
     return out
 
 
@@ -141,7 +136,7 @@ def fit_features(
             x = as_number(schema, c)
             exprs[f"{i}:{j}"] = x if whole else F.when(m, x)
     fit = exact_medians(df, exprs, True, {str(i): m for i, m in enumerate(masks)})
-    counted = category_counts(df, roles.categorical, masks, options.max_categories)
+    counted = category_counts(df, roles.categorical, masks)
 
     fitted = []
     for i in range(len(masks)):
@@ -177,15 +172,15 @@ def fit_features(
     return fitted
 
 
-def feature_columns(params: dict, schema: StructType) -> list[tuple[str, Column]]:
-    """Named expressions in output order: missing count, numbers, bin, one-hots, products."""
+def plain_columns(params: dict, schema: StructType) -> tuple[list, list]:
+    """Named expressions that stand before and after the one-hot columns."""
     options = params["options"]
-    out: list[tuple[str, Column]] = []
+    before: list[tuple[str, Column]] = []
     if options["missing_count"]:
         gaps = F.lit(0)
         for c in params["counted"]:
             gaps = gaps + present(schema, c).isNull().cast("int")
-        out.append(("missing_count", gaps.cast("double")))
+        before.append(("missing_count", gaps.cast("double")))
 
     filled = {
         c: F.coalesce(as_number(schema, c), F.lit(params["medians"][c])) for c in params["numeric"]
@@ -196,21 +191,31 @@ def feature_columns(params: dict, schema: StructType) -> list[tuple[str, Column]
         }
     else:
         scaled = filled
-    out += list(scaled.items())
+    before += list(scaled.items())
 
     binned = options["bin_column"]
     if binned in filled:
-        out.append((f"{binned}_bin", bin_index(filled[binned], options["bin_edges"]).cast("double")))
+        before.append((f"{binned}_bin", bin_index(filled[binned], options["bin_edges"]).cast("double")))
+    pairs = [p for p in options["interaction_pairs"] if len(p) == 2 and p[0] in scaled and p[1] in scaled]
+    return before, [(f"{a}_x_{b}", scaled[a] * scaled[b]) for a, b in pairs]
 
-    for c in params["categorical"]:
-        value = F.coalesce(as_text(schema, c), F.lit(params["modes"][c]))
-        for v in params["categories"][c]:
-            out.append((f"{c}_{v}", (value == F.lit(v)).cast("double")))
 
-    for pair in options["interaction_pairs"]:
-        if len(pair) == 2 and pair[0] in scaled and pair[1] in scaled:
-            out.append((f"{pair[0]}_x_{pair[1]}", scaled[pair[0]] * scaled[pair[1]]))
-    return out
+def category_value(params: dict, schema: StructType, c: str) -> Column:
+    return F.coalesce(as_text(schema, c), F.lit(params["modes"][c]))
+
+
+def feature_columns(params: dict, schema: StructType) -> list[tuple[str, Column]]:
+    """Named expressions in output order: missing count, numbers, bin, one-hots, products.
+
+    One expression per category; ``FeatureModel`` needs none.
+    """
+    before, after = plain_columns(params, schema)
+    hot = [
+        (f"{c}_{v}", (category_value(params, schema, c) == F.lit(v)).cast("double"))
+        for c in params["categorical"]
+        for v in params["categories"][c]
+    ]
+    return before + hot + after
 
 
 def imputed(df: DataFrame, params: dict) -> DataFrame:
@@ -224,23 +229,14 @@ def imputed(df: DataFrame, params: dict) -> DataFrame:
     return df.withColumns(fills)
 
 
-BROADCAST_ROWS = 1_000_000
-SALTS = 32
-
-
 def one_hot_long(df: DataFrame, key: str, columns: Sequence[str], categories: DataFrame) -> DataFrame:
     """One-hot entries (key, column, value) for columns of any cardinality.
 
     ``categories`` holds the fitted, distinct (column, value) pairs; unknown values yield no
-    entry. Up to ``BROADCAST_ROWS`` pairs (counted first) are broadcast; a longer list is
-    repeated under ``SALTS`` salts, which spread the rows of a hot value.
+    entry. Adaptive execution chooses the join by the size it finds and splits hot values.
     """
     long = df.select(key, F.inline(_text_entries(df, columns))).where(F.col("value").isNotNull())
-    if categories.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return long.join(F.broadcast(categories), ["column", "value"], "left_semi")
-    salted = categories.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    long = long.withColumn("_s", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    return long.join(salted, ["column", "value", "_s"], "left_semi").drop("_s")
+    return long.join(categories, ["column", "value"], "left_semi")
 
 
 def category_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -293,11 +289,26 @@ class FeatureModel(Model, _StateParams, DefaultParamsReadable, DefaultParamsWrit
         return sorted(used)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        named = self.named_columns(dataset.schema)
-        parts = [f"_f{i}" for i in range(len(named))]
-        wide = dataset.withColumns({p: c for p, (_, c) in zip(parts, named)})
-        assembler = VectorAssembler(inputCols=parts, outputCol=self.getOrDefault(self.outputCol))
-        return assembler.transform(wide).drop(*parts)
+        """Numbers are expressions; each text column takes two library stages, whatever the
+        number of its categories, and a sparse vector. Unknown values get no entry."""
+        params, schema = self.params_dict, dataset.schema
+        before, after = plain_columns(params, schema)
+        names = {f"_f{i}": x for i, (_, x) in enumerate(before + after)}
+        values = {f"_v{i}": category_value(params, schema, c) for i, c in enumerate(params["categorical"])}
+        out = dataset.withColumns(names | values)
+        n, k = len(before), len(values)
+        places, vectors = [f"_i{i}" for i in range(k)], [f"_h{i}" for i in range(k)]
+        if k:
+            for c, value, place in zip(params["categorical"], values, places):
+                # the slot past the last category is for unknown values
+                out = StringIndexerModel.from_labels(params["categories"][c], value, place, "keep").transform(out)
+            out = OneHotEncoder(inputCols=places, outputCols=vectors, dropLast=True).fit(out).transform(out)
+        inputs = [*list(names)[:n], *vectors, *list(names)[n:]]
+        assembler = VectorAssembler(inputCols=inputs, outputCol=self.getOrDefault(self.outputCol))
+        vector = self.getOrDefault(self.outputCol)
+        # without attributes, as learners would read the 0/1 entries as categories of their own
+        plain = F.col(vector).alias(vector, metadata={})
+        return assembler.transform(out).drop(*names, *values, *places, *vectors).withColumn(vector, plain)
 
 
 class FeatureBuilder(Estimator, _StateParams, DefaultParamsReadable, DefaultParamsWritable):

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import unit_hash
-from .select import class_counts, rank_by_unit
+from .select import group_sizes, rank_by_unit
 
 
 def stratified_folds(
@@ -17,17 +17,25 @@ def stratified_folds(
     seed: int = 42,
     unit: Column | None = None,
     out: str = "fold",
-    counts: dict | None = None,
+    rows_per_bucket: int = 1_000_000,
 ) -> DataFrame:
-    """Deal the rows of each class to k folds in hash order: counts differ by at most one."""
+    """Deal the rows of each class to k folds in hash order, one class after another.
+
+    A class begins where the one before it ended, so the folds differ by at most one row in
+    total and in each class. Rows without a label are a class of their own.
+    """
     if k < 2:
         raise ValueError("at least two folds are needed")
-    counts = class_counts(df, label) if counts is None else counts
-    if counts and max(counts.values()) < k:
-        raise ValueError(f"no class has {k} rows")
+    sizes = group_sizes(df, label)
+    order = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)  # one row per class
+    starts = sizes.select("_g", (F.coalesce(F.sum("_n").over(order), F.lit(0)) % k).alias("_start"), "_n")
+    largest = sizes.agg(F.max("_n")).first()[0]
+    if largest is not None and largest < k:
+        raise ValueError(f"every class of {label} has fewer than {k} rows")
     unit = unit_hash(key, seed=seed) if unit is None else unit
-    ranked = rank_by_unit(df, label, unit, key, "_rank", counts)
-    return ranked.withColumn(out, (F.col("_rank") % k).cast("int")).drop("_rank")
+    ranked = rank_by_unit(df, label, unit, key, "_rank", rows_per_bucket)
+    dealt = ranked.join(starts, F.col(label).eqNullSafe(F.col("_g")))
+    return dealt.withColumn(out, ((F.col("_rank") + F.col("_start")) % k).cast("int")).select(*df.columns, out)
 
 
 def group_folds(df: DataFrame, group: str, k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:

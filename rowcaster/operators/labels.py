@@ -40,7 +40,7 @@ class LabelIndex:
 
     def transform(self, df: DataFrame, label: str, out: str = "label_idx") -> DataFrame:
         """Adds the class number; a name outside the dictionary fails the job."""
-        found = df.join(F.broadcast(self.table(df, label)), label, "left")  # class list, checked
+        found = df.join(self.table(df, label), label, "left")
         unknown = F.raise_error(F.concat(F.lit("unknown label: "), F.col(label).cast("string")))
         index = F.when(F.col("idx").isNotNull(), F.col("idx")).otherwise(unknown.cast("int"))
         return found.withColumn(out, index).drop("idx").select(*df.columns, out)

@@ -19,11 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .features import FeatureModel
+from .weights import class_weights
 
+#: The option names of each kind of model.
 LOGISTIC_NAMES = ("logistic", "logreg", "lr")
 BOOSTED_NAMES = ("xgboost", "xgb")
 FOREST_NAMES = ("forest", "rf")
 MAX_ITERATIONS = 5000
+DEEPEST = 30  # of a Spark tree; a forest without a depth grows to it
 
 
 def family(config: dict) -> str:
@@ -33,7 +36,7 @@ def family(config: dict) -> str:
     ):
         if name in names:
             return kind
-    raise ValueError(f"Unsupported model name: {name}")
+    raise ValueError(f"no kind of model is called {name}")
 
 
 def logistic_estimator(config: dict, total_weight: float, **columns) -> LogisticRegression:
@@ -171,7 +174,7 @@ def build_estimator(
         options = config["model"].get("forest", {})
         return RandomForestClassifier(
             numTrees=int(options.get("n_estimators", 100)),
-            maxDepth=int(options.get("max_depth", 10)), seed=seed, **columns,
+            maxDepth=min(DEEPEST, int(options.get("max_depth") or DEEPEST)), seed=seed, **columns,
         )
     params = boosting_params(config.get("model", {}).get("xgboost", {}), seed)
     if n_classes == 2:
@@ -186,11 +189,11 @@ def marked_label(df: DataFrame, label: str, n_classes: int) -> DataFrame:
 
 
 def balanced_weight(label: str, counts: dict[int, int]) -> Column:
-    """rows / (classes * rows of the class), from the class number."""
-    total, k = sum(counts.values()), len(counts)
-    size = max(counts) + 1
-    weights = [total / (k * counts[i]) if counts.get(i) else 1.0 for i in range(size)]
-    return F.element_at(F.array(*[F.lit(w) for w in weights]), F.col(label).cast("int") + 1)
+    """rows / (classes * rows of the class) from the class number; NULL has no weight."""
+    table = class_weights(counts)
+    weights = [table.get(i, 1.0) for i in range(max(counts) + 1)]
+    i = F.col(label).cast("int")
+    return F.when(i.isNotNull(), F.element_at(F.array(*[F.lit(w) for w in weights]), F.coalesce(i, F.lit(0)) + 1))
 
 
 def uses_weights(config: dict, final_multiclass: bool) -> bool:

@@ -13,10 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import linear_quantiles, sketch_splits, with_bucket
-from .select import MAX_OFFSETS
+from .confusion import f1_of_counts
+from .quantiles import count_and_splits, linear_quantiles, with_bucket
 
-BUCKETS = 512
+BUCKET_ROWS, MOST_BUCKETS = 100_000, 10_000
 THRESHOLD_LEVELS = [*(0.01 + i * ((0.99 - 0.01) / 198) for i in range(198)), 0.99]
 
 
@@ -59,12 +59,17 @@ def label_scores(df: DataFrame, truth: Sequence[str], scores: Sequence[str]) ->
     return df.select(F.inline(entries))
 
 
-def _score_counts(long: DataFrame, sums: Sequence[Column], buckets: int) -> DataFrame:
+def _score_counts(long: DataFrame, sums: Sequence[Column], buckets: int | None) -> DataFrame:
     """One row per class and distinct score. A NaN score fails the job, a NULL ranks lowest.
 
+    Buckets follow from the number of rows, and their bounds from a sample of the scores.
     The keys are made non-nullable so that plans reading this twice share one shuffle.
     """
-    splits = sketch_splits(long, "score", [i / buckets for i in range(1, buckets)])
+    steps = 4 * MOST_BUCKETS if buckets is None else buckets
+    n, splits = count_and_splits(long, "score", [i / steps for i in range(1, steps)])
+    if buckets is None:
+        wanted = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
+        splits = splits[:: max(1, len(splits) // wanted)]
     counts = with_bucket(long.groupBy("cls", "score").agg(*sums), "score", splits, "_b")
     return counts.withColumns(
         {
@@ -82,7 +87,7 @@ def _before(column: str, window) -> Column:
     return F.coalesce(F.sum(column).over(window), F.lit(0.0))
 
 
-def auc_by_class(long: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def auc_by_class(long: DataFrame, buckets: int | None = None) -> DataFrame:
     """(cls, auc) from (cls, score, pos); NULL for a class without positives or negatives."""
     counts = _score_counts(
         long,
@@ -114,7 +119,7 @@ def auc_by_class(long: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     )
 
 
-def roc_auc(df: DataFrame, y: str, score: str, buckets: int = BUCKETS) -> DataFrame:
+def roc_auc(df: DataFrame, y: str, score: str, buckets: int | None = None) -> DataFrame:
     return auc_by_class(binary_scores(df, y, score), buckets).select(F.col("auc").alias("roc_auc"))
 
 
@@ -125,18 +130,18 @@ def _macro(by_class: DataFrame, value: str, out: str) -> DataFrame:
     )
 
 
-def roc_auc_ovr(df: DataFrame, y: str, proba: str, n_classes: int, buckets: int = BUCKETS) -> DataFrame:
+def roc_auc_ovr(df: DataFrame, y: str, proba: str, n_classes: int, buckets: int | None = None) -> DataFrame:
     return _macro(auc_by_class(class_scores(df, y, proba, n_classes), buckets), "auc", "roc_auc_ovr")
 
 
 def roc_auc_multilabel(
-    df: DataFrame, truth: Sequence[str], scores: Sequence[str], buckets: int = BUCKETS
+    df: DataFrame, truth: Sequence[str], scores: Sequence[str], buckets: int | None = None
 ) -> DataFrame:
     """Mean of the per-label areas; use ``auc_by_class(label_scores(...))`` for each."""
     return _macro(auc_by_class(label_scores(df, truth, scores), buckets), "auc", "roc_auc_macro")
 
 
-def roc_auc_ovo(df: DataFrame, y: str, proba: str, n_classes: int, buckets: int = BUCKETS) -> DataFrame:
+def roc_auc_ovo(df: DataFrame, y: str, proba: str, n_classes: int, buckets: int | None = None) -> DataFrame:
     """Mean over ordered class pairs (a, b) of the area of score a on the rows of a and b.
 
     Rows are merged to one count per true class for each distinct score, so the pairs are
@@ -196,7 +201,7 @@ def roc_auc_ovo(df: DataFrame, y: str, proba: str, n_classes: int, buckets: int
     return _macro(each, "auc", "roc_auc_ovo")
 
 
-def average_precision_by_class(long: DataFrame, n_classes: int, buckets: int = BUCKETS) -> DataFrame:
+def average_precision_by_class(long: DataFrame, n_classes: int, buckets: int | None = None) -> DataFrame:
     """(cls, ap): sum over distinct scores, from the highest, of recall gain times precision."""
     counts = _score_counts(
         long,
@@ -220,7 +225,7 @@ def average_precision_by_class(long: DataFrame, n_classes: int, buckets: int = B
     fp = F.col("fp_above") + F.col("fp_in")
     return (
         counts.withColumns({"tp_in": F.sum("pos").over(local), "fp_in": F.sum("neg").over(local)})
-        .join(offsets if n_classes * buckets > MAX_OFFSETS else F.broadcast(offsets), ["cls", "bucket"])
+        .join(offsets, ["cls", "bucket"])
         .groupBy("cls")
         .agg(
             F.sum(F.col("pos") * tp / (tp + fp)).alias("gain"),
@@ -230,14 +235,14 @@ def average_precision_by_class(long: DataFrame, n_classes: int, buckets: int = B
     )
 
 
-def average_precision(df: DataFrame, y: str, score: str, buckets: int = BUCKETS) -> DataFrame:
+def average_precision(df: DataFrame, y: str, score: str, buckets: int | None = None) -> DataFrame:
     return average_precision_by_class(binary_scores(df, y, score), 1, buckets).select(
         F.col("ap").alias("pr_auc")
     )
 
 
 def average_precision_macro(
-    df: DataFrame, y: str, proba: str, n_classes: int, buckets: int = BUCKETS
+    df: DataFrame, y: str, proba: str, n_classes: int, buckets: int | None = None
 ) -> DataFrame:
     return _macro(
         average_precision_by_class(class_scores(df, y, proba, n_classes), n_classes, buckets), "ap", "pr_auc"
@@ -271,9 +276,7 @@ def best_f1_threshold(
     tp, fp = total, sum(neg)
     for i, t in enumerate(thresholds):
         tp, fp = tp - pos[i], fp - neg[i]
-        precision = tp / (tp + fp) if tp + fp else 0.0
-        recall = tp / total if total else 0.0
-        value = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
+        value = f1_of_counts(tp, fp, total - tp)
         if value > best:
             best_threshold, best = t, value
     return best_threshold, best

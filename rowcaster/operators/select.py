@@ -11,9 +11,6 @@ from pyspark.sql.types import NumericType, StringType, StructType
 
 from ..functions.hashing import unit_hash
 
-MAX_OFFSETS = 1_000_000  # rows of a broadcast offset table
-
-
 def drop_target(df: DataFrame, target: str | None) -> DataFrame:
     return df.drop(target) if target and target in df.columns else df
 
@@ -41,23 +38,19 @@ def column_roles(
     numerical_overrides: Sequence[str] = (),
     exclude: Sequence[str] = (),
 ) -> Roles:
-    """Split by type in source order; overrides move a column to the end of the other list."""
+    """Split by type in source order. A column named in an override comes after the typed
+    ones of its kind; one named in both is a number."""
     fields = [f for f in schema.fields if f.name not in exclude]
-    names = [f.name for f in fields]
-    numeric = [f.name for f in fields if isinstance(f.dataType, NumericType)]
-    categorical = [f.name for f in fields if isinstance(f.dataType, StringType)]
-    for c in categorical_overrides:
-        if c in numeric:
-            numeric.remove(c)
-        if c in names and c not in categorical:
-            categorical.append(c)
-    for c in numerical_overrides:
-        if c in categorical:
-            categorical.remove(c)
-        if c in names and c not in numeric:
-            numeric.append(c)
-    ignored = [c for c in names if c not in numeric and c not in categorical]
-    return Roles(numeric, categorical, ignored)
+    typed = {
+        f.name: "numeric" if isinstance(f.dataType, NumericType) else "categorical" if isinstance(f.dataType, StringType) else "ignored"
+        for f in fields
+    }
+    wanted = {c: "categorical" for c in categorical_overrides if c in typed}
+    wanted |= {c: "numeric" for c in numerical_overrides if c in typed}
+    moved = [c for c in wanted if wanted[c] != typed[c]]
+    order = [c for c in typed if c not in moved] + moved
+    kinds = typed | wanted
+    return Roles(**{kind: [c for c in order if kinds[c] == kind] for kind in ("numeric", "categorical", "ignored")})
 
 
 def preview(df: DataFrame, n: int = 5, order: str = "row_id") -> DataFrame:
@@ -114,54 +107,40 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     )
 
 
+def group_sizes(df: DataFrame, group: str) -> DataFrame:
+    """(group, rows): one row per group, null among them."""
+    return df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+
+
 def rank_by_unit(
     df: DataFrame,
     group: str,
     unit: Column,
     tiebreak: str,
     out: str,
-    counts: dict | None = None,
     rows_per_bucket: int = 1_000_000,
 ) -> DataFrame:
-    """0-based rank by a uniform value inside each of a few groups.
+    """0-based rank by a uniform value inside each group; null is a group like any other.
 
-    A group may hold most of the table, so it is cut into equal ranges of the uniform
-    value; each range is ranked alone and shifted by the size of the ranges before it.
-    The result does not depend on the number of ranges.
+    A group may hold most of the table, so each is cut into as many equal ranges of the
+    uniform value as its own rows call for; a range is ranked alone and shifted by the size
+    of the ranges before it. There is one plan for all sizes, and the result does not depend
+    on the ranges. A row without a uniform value (its key is null) comes first.
     """
-    if counts is None:
-        counts = class_counts(df, group)
-    largest = max(counts.values(), default=1)
-    most = max(1, MAX_OFFSETS // max(len(counts), 1))
-    ranges = min(most, max(1, -(-largest // rows_per_bucket)))
-    marked = df.withColumn("_u", unit)
-    local = Window.partitionBy(group, "_b").orderBy("_u", tiebreak)
-    if ranges == 1:
-        return marked.withColumn(
-            out, F.row_number().over(Window.partitionBy(group).orderBy("_u", tiebreak)) - 1
-        ).select(*df.columns, out)
-    marked = marked.withColumn("_b", F.floor(F.col("_u") * F.lit(ranges)).cast("int"))
-    sizes = marked.groupBy(group, "_b").agg(F.count("*").alias("_c"))
-    before = F.coalesce(
-        F.sum("_c").over(
-            Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        ),
-        F.lit(0),
-    )
-    offsets = sizes.withColumn("_before", before).drop("_c")
-    # offsets: groups x ranges rows, at most MAX_OFFSETS
-    return (
-        marked.join(F.broadcast(offsets), [group, "_b"])
-        .withColumn(out, F.col("_before") + F.row_number().over(local) - 1)
-        .select(*df.columns, out)
+    marked = df.withColumn("_u", F.coalesce(unit, F.lit(0.0)))
+    ranges = group_sizes(marked, group).select("_g", F.ceil(F.col("_n") / F.lit(rows_per_bucket)).alias("_r"))
+    within = F.least(F.floor(F.col("_u") * F.col("_r")), F.col("_r") - 1).cast("long")
+    placed = marked.join(ranges, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_b", within)
+    sizes = placed.groupBy("_g", "_b").agg(F.count("*").alias("_c"))
+    earlier = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        F.col("_g").alias("_og"), F.col("_b").alias("_ob"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before")
     )
+    local = Window.partitionBy(group, "_b").orderBy("_u", tiebreak)
+    ranked = placed.join(offsets, F.col("_g").eqNullSafe(F.col("_og")) & (F.col("_b") == F.col("_ob")))
+    return ranked.withColumn(out, F.col("_before") + F.row_number().over(local) - 1).select(*df.columns, out)
 
 
-def class_counts(df: DataFrame, label: str, limit: int = 10_000) -> dict:
-    """Rows per class. Raises when the column has more distinct values than a class list may."""
-    rows = (
-        df.groupBy(label).agg(F.count("*").alias("_n")).limit(limit + 1).collect()
-    )
-    if len(rows) > limit:
-        raise ValueError(f"{label} has more than {limit} classes")
-    return {r[label]: r["_n"] for r in rows}
+def class_counts(df: DataFrame, label: str) -> dict:
+    """Rows per class, for what lists the classes anyway: label files, weights, models."""
+    return {r["_g"]: r["_n"] for r in group_sizes(df, label).collect()}

@@ -26,7 +26,6 @@ BOOSTED_RANGES = {
     "min_child_weight": ("float", 1.0, 10.0),
 }
 LOGISTIC_RANGES = {"C": ("log", 1e-3, 10.0)}
-METRIC_KEYS = {"roc_auc": "roc_auc", "pr_auc": "pr_auc", "macro_f1": "f1"}
 
 
 def search_space(config: dict) -> tuple[str, dict]:
@@ -35,7 +34,7 @@ def search_space(config: dict) -> tuple[str, dict]:
         return "xgboost", BOOSTED_RANGES
     if kind == "logistic":
         return "logistic", LOGISTIC_RANGES
-    raise ValueError(f"Search is not configured for model: {config['model']['name']}")
+    raise ValueError(f"a {kind} model has no ranges to search")
 
 
 def draw(ranges: dict, rng: random.Random) -> dict:
@@ -72,8 +71,7 @@ def random_search(
         models = fit_folds(data, trial, parallelism=parallelism)
         scored = out_of_fold(data, models).select(data.label, "proba").withColumn("_p", argmax_index("proba"))
         scored = scored.persist()
-        name = METRIC_KEYS.get(metric, metric)
-        value = generic_metric(scored, data.label, "_p", "proba", data.n_classes, name)
+        value = generic_metric(scored, data.label, "_p", "proba", data.n_classes, metric)
         scored.unpersist()
         rows.append((number, -math.inf if value is None else float(value), params))
     spark = data.df.sparkSession

@@ -56,25 +56,31 @@ def infer_types(schema: StructType) -> dict[str, str]:
     return {f.name: kind_of(f.dataType) for f in schema.fields}
 
 
+def absent(df: DataFrame, names: Iterable[str]) -> list[str]:
+    return sorted({c for c in names if c not in df.columns})
+
+
 def require_columns(df: DataFrame, required: Iterable[str]) -> None:
-    missing = set(required) - set(df.columns)
-    if missing:
-        raise ValueError(f"Missing required columns: {sorted(missing)}")
+    gone = absent(df, required)
+    if gone:
+        raise ValueError(f"the table lacks {', '.join(gone)}")
 
 
 def require_target(df: DataFrame, target: str) -> None:
-    if target not in df.columns:
-        raise ValueError(f"Target column '{target}' not found in data. Available: {df.columns}")
+    if absent(df, [target]):
+        raise ValueError(f"no column {target} to learn; the table has {', '.join(df.columns)}")
 
 
 def target_name(config: dict) -> str | None:
-    name = config.get("dataset", {}).get("target")
-    return name if name is not None else (config.get("target") or {}).get("name")
+    """The first of the two places that name the target."""
+    places = (("dataset", "target"), ("target", "name"))
+    named = [(config.get(part) or {}).get(option) for part, option in places]
+    return next((n for n in named if n is not None), None)
 
 
 def check_upload(file_name: str, df: DataFrame, required: Sequence[str] = UPLOAD_COLUMNS) -> None:
     if not file_name.endswith(".csv"):
-        raise ValueError("Please upload a CSV file")
+        raise ValueError(f"{file_name} is not named .csv")
     require_columns(df, required)
 
 
@@ -101,8 +107,9 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return _lines(df, aggregates, lines)
 
 
-def outside(c: str, low: float, high: float) -> Column:
-    return ~quoted(c).between(low, high)
+def outside(schema: StructType, c: str, low: float, high: float) -> Column:
+    """False for a gap, NULL or NaN."""
+    return F.coalesce(~present(schema, c).between(low, high), F.lit(False))
 
 
 def range_violations(
@@ -114,7 +121,7 @@ def range_violations(
     """
     aggregates, lines = [], []
     for i, (c, check) in enumerate((c, k) for c, k in checks.items() if c in df.columns):
-        bad = outside(c, *check) if isinstance(check, tuple) else ~check
+        bad = outside(df.schema, c, *check) if isinstance(check, tuple) else ~check
         name = f"between {check[0]} and {check[1]}" if isinstance(check, tuple) else "predicate"
         aggregates.append(F.count_if(bad).alias(f"b{i}"))
         lines.append(
@@ -129,7 +136,7 @@ def violating_rows(df: DataFrame, checks: dict[str, tuple[float, float]] = RANGE
     bad = F.lit(False)
     for c, (low, high) in checks.items():
         if c in df.columns:
-            bad = bad | F.coalesce(outside(c, low, high), F.lit(False))
+            bad = bad | outside(df.schema, c, low, high)
     return df.where(bad)
 
 
@@ -167,7 +174,7 @@ class Contract:
                 tests.append(("not null", present(df.schema, c).isNull()))
             if c in self.checks:
                 low, high = self.checks[c]
-                tests.append((f"between {low} and {high}", outside(c, low, high)))
+                tests.append((f"between {low} and {high}", outside(df.schema, c, low, high)))
             for name, bad in tests:
                 alias = f"b{len(lines)}"
                 aggregates.append(F.count_if(bad).alias(alias))

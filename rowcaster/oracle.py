@@ -97,10 +97,9 @@ MEASURES = """ms AS (SELECT l_orderkey, l_linenumber, l_quantity * 3e0 - 10e0 AS
   l_tax * 500e0 + 60e0 AS heart_rate, l_extendedprice / 1000e0 + 80e0 AS blood_pressure,
   l_partkey % 250 + 100e0 AS cholesterol FROM lineitem)"""
 
-ATTRIBUTED = f"""mean AS (SELECT avg(l_quantity) q, avg(l_discount) d, avg(l_extendedprice) p FROM lineitem),
- a AS (SELECT l_orderkey * 10000000 + l_partkey * 10 + l_linenumber AS row_id,
-  {num(0.8)} * (l_quantity - q) AS vq, {num(-25.0)} * (l_discount - d) AS vd, {num(0.0001)} * (l_extendedprice - p) AS vp
-  FROM lineitem, mean)"""
+ATTRIBUTED = f"""l AS (SELECT l_orderkey AS row_id, sum(l_quantity) AS lq, max(l_discount) AS ld, max(l_extendedprice) AS lp FROM lineitem GROUP BY 1),
+ mean AS (SELECT avg(lq) q, avg(ld) d, avg(lp) p FROM l),
+ a AS (SELECT row_id, {num(0.8)} * (lq - q) AS vq, {num(-25.0)} * (ld - d) AS vd, {num(0.0001)} * (lp - p) AS vp FROM l, mean)"""
 ATTRIBUTED_LONG = f"""{ATTRIBUTED}, al AS (SELECT row_id, 'quantity' AS feature, vq AS value, abs(vq) AS abs_value FROM a
  UNION ALL SELECT row_id, 'discount', vd, abs(vd) FROM a UNION ALL SELECT row_id, 'price', vp, abs(vp) FROM a)"""
 
@@ -365,17 +364,16 @@ ORACLE: dict[str, str] = {
         f"WHEN {k} THEN {v}[floor(u * {len(v)})::INT + 1]" for k, v in TIER_CLASSES.items())} END AS prognosis FROM t""",
     "generated_labels": f"WITH {multiclass_rows('o_orderkey', 'orders')} SELECT prognosis, count(*) AS n_rows FROM mc GROUP BY 1",
     "linear_attribution": f"WITH {ATTRIBUTED_LONG} SELECT row_id, feature, {r6('value', 'value')}, {r6('abs_value', 'abs_value')} FROM al",
-    "topk_features": f"""WITH {ATTRIBUTED_LONG.replace("SELECT l_orderkey * 10000000", "SELECT row_number() OVER () AS rn, l_orderkey * 10000000").replace("SELECT row_id, 'quantity'", "SELECT rn, row_id, 'quantity'").replace("SELECT row_id, 'discount'", "SELECT rn, row_id, 'discount'").replace("SELECT row_id, 'price'", "SELECT rn, row_id, 'price'")},
- k AS (SELECT *, row_number() OVER (PARTITION BY rn ORDER BY abs_value DESC, feature) AS rank FROM al)
+    "topk_features": f"""WITH {ATTRIBUTED_LONG}, k AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs_value DESC, feature) AS rank FROM al)
  SELECT row_id, feature, {r6('value', 'value')}, {r6('abs_value', 'abs_value')}, rank::INT AS rank FROM k WHERE rank <= 2""",
     "topk_features_long": f"""WITH {ATTRIBUTED_LONG}, k AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs_value DESC, feature) AS rank FROM al)
  SELECT row_id, feature, {r6('value', 'value')}, {r6('abs_value', 'abs_value')}, rank::INT AS rank FROM k WHERE rank <= 1""",
     "global_importance": f"WITH {ATTRIBUTED_LONG} SELECT feature, {r6('avg(abs_value)', 'mean_abs_shap')} FROM al GROUP BY feature",
-    "attribution_wide": f"""WITH {ATTRIBUTED_LONG}, u AS (SELECT DISTINCT * FROM al) SELECT row_id AS index,
+    "attribution_wide": f"""WITH {ATTRIBUTED_LONG}, u AS (SELECT * FROM al) SELECT row_id AS index,
  {r6("sum(CASE WHEN feature = 'quantity' THEN value END)", 'quantity')}, {r6("sum(CASE WHEN feature = 'discount' THEN value END)", 'discount')},
  {r6("sum(CASE WHEN feature = 'price' THEN value END)", 'price')} FROM u GROUP BY row_id""",
     "attribution_projection": f"WITH {ATTRIBUTED} SELECT row_id AS index, {r6('vq', 'quantity')}, {r6('vd', 'discount')}, {r6('vp', 'price')} FROM a",
-    "row_explanation": f"""WITH {ATTRIBUTED_LONG}, u AS (SELECT DISTINCT * FROM al) SELECT feature, {r6('value', 'shap_value')} FROM u
+    "row_explanation": f"""WITH {ATTRIBUTED_LONG}, u AS (SELECT * FROM al) SELECT feature, {r6('value', 'shap_value')} FROM u
  WHERE row_id = (SELECT min(row_id) FROM u) ORDER BY abs_value DESC, feature LIMIT 20""",
     "sample_rows": f"SELECT doc_id, lang, n_chars FROM documents ORDER BY {unit('doc_id', 42)}, doc_id LIMIT 100",
     "preview": "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 10",
@@ -391,9 +389,45 @@ ORACLE: dict[str, str] = {
     "tree_attribution_sums": f"SELECT count(*) AS n_rows, true AS constant FROM {LABELLED}",
 }
 
-FOLDED = f"""SELECT c_custkey, c_mktsegment, ((row_number() OVER (PARTITION BY c_mktsegment ORDER BY {unit('c_custkey', 42)}, c_custkey) - 1) % 5)::INT AS fold
+FOLDED = f"""SELECT c_custkey, c_mktsegment, ((row_number() OVER (ORDER BY c_mktsegment, {unit('c_custkey', 42)}, c_custkey) - 1) % 5)::INT AS fold
  FROM customer"""
 ORACLE["stratified_folds"] = ORACLE["stratified_folds_cut"] = FOLDED
-ORACLE["holdout_sizes"] = """WITH c AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)
- SELECT 'test' AS part, o_orderstatus, (n + 4) // 5 AS n_rows FROM c
- UNION ALL SELECT 'train', o_orderstatus, n - (n + 4) // 5 FROM c"""
+ORACLE["holdout_sizes"] = """WITH r AS (SELECT o_orderstatus, (row_number() OVER (ORDER BY o_orderstatus, o_orderkey) - 1) % 5 AS fold FROM orders)
+ SELECT CASE WHEN fold = 0 THEN 'test' ELSE 'train' END AS part, o_orderstatus, count(*) AS n_rows FROM r GROUP BY 1, 2"""
+ORACLE["folds_with_gaps"] = """SELECT CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS segment, count(*) AS n_rows,
+ count(DISTINCT c_custkey) AS n_ids FROM customer GROUP BY 1"""
+ORACLE["fold_balance"] = "SELECT count(*) AS n_rows, true AS even_total, true AS even_classes FROM orders"
+ORACLE["one_hot_wide"] = "SELECT 1::DOUBLE AS ones, count(*) AS n_rows, count(DISTINCT p_name) AS n_features FROM part"
+
+HOLED = """p AS (SELECT o_orderkey AS k, o_totalprice / 500000.0::DOUBLE AS a, (o_custkey % 97 + 1) / 97.0::DOUBLE AS b,
+  (o_orderkey % 101 + 1) / 101.0::DOUBLE AS c FROM orders),
+ h AS (SELECT k, CASE WHEN k % 13 <> 0 AND k % 5 <> 0 THEN a / (a + b + c) END AS p0,
+  CASE WHEN k % 13 <> 0 AND k % 3 <> 0 THEN b / (a + b + c) END AS p1, CASE WHEN k % 13 <> 0 AND k % 4 <> 0 THEN c / (a + b + c) END AS p2 FROM p),
+ d AS (SELECT *, CASE WHEN p0 = greatest(p0, p1, p2) THEN 0 WHEN p1 = greatest(p0, p1, p2) THEN 1
+  WHEN p2 = greatest(p0, p1, p2) THEN 2 END AS pred FROM h)"""
+NAME = "CASE {} WHEN 0 THEN 'Filled_Late' WHEN 1 THEN 'On_Time' WHEN 2 THEN 'Partly_Sent' END"
+ORACLE["gap_decisions"] = f"""WITH {HOLED} SELECT k AS o_orderkey, pred::INT AS pred, {NAME.format('pred')} AS name,
+ CASE WHEN p0 IS NULL THEN NULL WHEN p0 < 0.5 THEN '✅ NEGATIVE' WHEN p0 >= 0.8 THEN '🔴 HIGH RISK' WHEN p0 >= 0.6 THEN '🟡 MODERATE RISK' ELSE '🟢 POSITIVE' END AS band,
+ CASE WHEN p0 > 0.5 THEN 'Disease Detected' WHEN p0 <= 0.5 THEN 'Healthy' END AS caption FROM d"""
+ORACLE["gap_top"] = f"""WITH {HOLED}, u AS (SELECT k, 0 AS i, p0 AS p FROM h UNION ALL SELECT k, 1, p1 FROM h UNION ALL SELECT k, 2, p2 FROM h),
+ r AS (SELECT k, i, row_number() OVER (PARTITION BY k ORDER BY p DESC, i) AS rank FROM u WHERE p IS NOT NULL)
+ SELECT d.k AS o_orderkey, {NAME.format('pred')} AS prediction, {NAME.format('r.i')} AS top2_disease
+ FROM d LEFT JOIN r ON r.k = d.k AND r.rank = 2"""
+ORACLE["gap_ranges"] = """SELECT 'l_quantity' AS "column", 'between 5 and 45' AS "check", count(*) AS n_failed FROM lineitem
+ WHERE l_orderkey % 5 <> 0 AND l_orderkey % 7 <> 0 AND NOT l_quantity BETWEEN 5 AND 45"""
+
+DOCUMENT_FACTS = "SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_keys, 0::BIGINT AS n_wrong, 0::BIGINT AS n_off FROM {}"
+for _name in ("score_and_report", "fit_boosted", "calibrated_sigmoid", "calibrated_isotonic"):
+    ORACLE[f"facts_{_name}"] = DOCUMENT_FACTS.format("documents")
+ORACLE["facts_out_of_fold"] = DOCUMENT_FACTS.format(LABELLED)
+ORACLE["facts_fit_multi_output"] = "SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_keys, 0::BIGINT AS n_off FROM documents"
+ORACLE["facts_fit_logistic_classes"] = "SELECT count(*) AS n_rows, count(DISTINCT c_custkey) AS n_keys, 0::BIGINT AS n_wrong FROM customer"
+for _name in ("fit_forest", "fit_boosted_classes"):
+    ORACLE[f"facts_{_name}"] = "SELECT count(*) AS n_rows, count(DISTINCT c_mktsegment) AS n_classes, 0::BIGINT AS n_wrong FROM customer"
+WIDTH = f"SELECT 1 + count(DISTINCT lang) + count(DISTINCT source) AS n_features, {{}} FROM {LABELLED}"
+ORACLE["facts_native_importance"] = WIDTH.format("true AS sums_to_one, true AS no_negative")
+for _name in ("linear_model_attribution", "tree_attribution", "sampled_attribution"):
+    ORACLE[f"facts_{_name}"] = WIDTH.format("0::BIGINT AS n_off")
+ORACLE["logistic_gradient"] = WIDTH.format("true AS zero")
+ORACLE["facts_calibration_choice"] = "SELECT 2::BIGINT AS n_methods, 1::BIGINT AS n_selected, true AS best"
+ORACLE["facts_parameter_search"] = "SELECT 3::BIGINT AS n_trials, 3::BIGINT AS n_numbers, 0::BIGINT AS n_off"

@@ -32,13 +32,14 @@ def load_json(spark: SparkSession, path: str) -> dict:
 
 
 def save_labels(spark: SparkSession, index: LabelIndex, path: str) -> None:
-    save_json(spark, {"classes": index.classes, "mapping": {str(k): v for k, v in index.mapping.items()}}, path)
+    numbers = range(index.n_classes)
+    save_json(spark, {"classes": index.classes, "mapping": dict(zip(map(str, index.classes), numbers))}, path)
 
 
 def load_labels(spark: SparkSession, path: str) -> LabelIndex:
     """Names come back as text, in the order of their numbers."""
-    mapping = {str(k): int(v) for k, v in load_json(spark, path)["mapping"].items()}
-    return LabelIndex(sorted(mapping, key=mapping.get))
+    numbered = sorted((int(i), name) for name, i in load_json(spark, path)["mapping"].items())
+    return LabelIndex([name for _, name in numbered])
 
 
 def report_dict(report: DataFrame) -> dict:

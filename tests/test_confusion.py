@@ -95,5 +95,5 @@ def test_selector(spark):
     assert mt.scorer("pr_auc")(df, "y", "p") == 1.0
     assert math.isclose(mt.scorer("f1")(df, "y", "p"), 2 / 3)
     assert mt.scorer(lambda d, y, p: 7.0)(df, "y", "p") == 7.0
-    with pytest.raises(ValueError, match="Unsupported scoring metric"):
+    with pytest.raises(ValueError, match="calibration cannot be judged"):
         mt.scorer("unknown")
