@@ -999,6 +999,27 @@ def fit_multi_output(spark, sf):
     )
 
 
+@query
+def weighted_multilabel_fit(spark, sf):
+    """Rows scored by models whose rows weigh by their positive classes."""
+    df = labelled(spark, sf)
+    config = {**LOGISTIC, "imbalance": {"enable": True, "scheme": "inverse_freq", "multilabel": True, "pos_weight": True}}
+    model = FeatureModel(features.fit_features(df, DOC_OPTIONS, ["doc_id", "quality", "toxic"])[0])
+    each = models.fit_multi_output(df, model, config, ["quality", "toxic"])
+    p = models.multi_output_probabilities(each, all_documents(spark, sf))
+    off = ~(F.col("proba")[0].between(0, 1) & F.col("proba")[1].between(0, 1))
+    return p.agg(F.count("*").alias("n_rows"), F.count_if(off).alias("n_off"))
+
+
+@query
+def scoring_contract(spark, sf):
+    """Rows that break a stored contract: learned on the orders of known status, applied to all of one status."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    stored = validate.build_contract(orders, None, checks={"o_totalprice": (1000.0, 200000.0), "o_orderkey": (1, 5000)}).to_json()
+    contract = validate.Contract.from_json(stored).only(["o_totalprice"])
+    return contract.failures(orders.where("o_orderstatus = 'F'"))
+
+
 @query
 def native_importance(spark, sf):
     return models.native_importance(fitted(spark, sf, BOOSTED)[1])

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .features import FeatureModel
-from .weights import class_weights
+from .weights import class_weights, positive_ratio, with_multilabel_weight
 
 #: The option names of each kind of model.
 LOGISTIC_NAMES = ("logistic", "logreg", "lr")
@@ -95,10 +95,12 @@ class BoostedOvr(Estimator, _OvrParams):
         columns = {"featuresCol": "features", "labelCol": "_one"}
         if self.isSet(self.weightCol):
             columns["weightCol"] = self.getOrDefault(self.weightCol)
+        kept = dataset.select("features", label, *[c for c in (columns.get("weightCol"),) if c]).persist()
         models = []
-        for i in range(self.getOrDefault(self.numClasses)):
-            one = dataset.withColumn("_one", (F.col(label) == i).cast("double"))
+        for i in range(self.getOrDefault(self.numClasses)):  # every class reads the same features
+            one = kept.withColumn("_one", (F.col(label) == i).cast("double"))
             models.append(GBTClassifier(**self._tree_params, **columns).fit(one))
+        kept.unpersist()
         return BoostedOvrModel(models)
 
 
@@ -234,13 +236,30 @@ def probabilities(model: Model, df: DataFrame, out: str = "proba") -> DataFrame:
 def fit_multi_output(
     df: DataFrame, features: FeatureModel, config: dict, labels: Sequence[str]
 ) -> list[PipelineModel]:
-    """One independent, unweighted binary model per 0/1 label column, on shared features."""
+    """One independent binary model per 0/1 label column, on features computed once.
+
+    ``imbalance.multilabel`` weighs rows by the classes they are positive in, and
+    ``imbalance.pos_weight`` weighs the positive rows of each label by its negatives per
+    positive; without them rows weigh alike.
+    """
+    options = config.get("imbalance", {})
     n = df.count()
     data = features.transform(df).select("features", *labels)
+    if options.get("multilabel"):
+        data = with_multilabel_weight(data, labels, options.get("scheme", "inverse_freq"), "_w")
+    else:
+        data = data.withColumn("_w", F.lit(1.0))
+    data = data.persist()  # read by every pass of every fit
+    weighted = bool(options.get("multilabel") or options.get("pos_weight"))
     models = []
     for c in labels:
-        estimator = build_estimator(config, 2, float(n), c)
-        models.append(PipelineModel([features, estimator.fit(marked_label(data, c, 2))]))
+        rows = data
+        if options.get("pos_weight"):
+            ratio = positive_ratio(data, c).first()["pos_weight"]
+            rows = data.withColumn("_w", F.col("_w") * F.when(F.col(c) == 1, F.lit(float(ratio))).otherwise(F.lit(1.0)))
+        estimator = build_estimator(config, 2, float(n), c, "_w" if weighted else None)
+        models.append(PipelineModel([features, estimator.fit(marked_label(rows, c, 2))]))
+    data.unpersist()
     return models
 
 

@@ -152,6 +152,11 @@ class Contract:
     def columns(self) -> list[str]:
         return list(self.kinds)
 
+    def only(self, columns: Sequence[str]) -> Contract:
+        """The part of the contract that is about some columns."""
+        parts = [{c: d[c] for c in columns if c in d} for d in (self.kinds, self.nullable, self.checks)]
+        return Contract(*parts)
+
     def to_json(self) -> str:
         return json.dumps(asdict(self))
 

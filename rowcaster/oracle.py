@@ -431,3 +431,6 @@ for _name in ("linear_model_attribution", "tree_attribution", "sampled_attributi
 ORACLE["logistic_gradient"] = WIDTH.format("true AS zero")
 ORACLE["facts_calibration_choice"] = "SELECT 2::BIGINT AS n_methods, 1::BIGINT AS n_selected, true AS best"
 ORACLE["facts_parameter_search"] = "SELECT 3::BIGINT AS n_trials, 3::BIGINT AS n_numbers, 0::BIGINT AS n_off"
+ORACLE["weighted_multilabel_fit"] = "SELECT count(*) AS n_rows, 0::BIGINT AS n_off FROM documents"
+ORACLE["scoring_contract"] = """SELECT 'o_totalprice' AS "column", 'between 1000.0 and 200000.0' AS "check", count(*) AS n_failed
+ FROM orders WHERE o_orderstatus = 'F' AND NOT o_totalprice BETWEEN 1000 AND 200000"""

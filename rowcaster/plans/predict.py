@@ -7,11 +7,13 @@ from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.scalar import above
 from ..operators.calibrate import CalibratedModel
 from ..operators.labels import LabelIndex
-from ..operators.models import load_model, probabilities
+from ..operators.models import load_model, multi_output_probabilities, probabilities
 from ..operators.scoring import (
     binary_output,
     multiclass_output,
@@ -21,7 +23,7 @@ from ..operators.scoring import (
     value_share,
 )
 from ..operators.select import drop_target
-from ..operators.validate import require_columns
+from ..operators.validate import Contract, require_columns, validate_scoring
 from ..session import written
 from ..sources.artifacts import exists, load_json, load_labels, require_artifact
 from ..sources.csv import read_csv, write_csv
@@ -45,13 +47,29 @@ def score(model: PipelineModel | CalibratedModel, df: DataFrame, out: str = "pro
 
 
 def scoring_frame(spark: SparkSession, path: str, meta: dict) -> DataFrame:
-    """The CSV under the training schema, without the target, with every needed column."""
+    """The CSV under the training schema, without the targets, with every needed column.
+
+    Where training learned a contract, rows that break it fail the job.
+    """
     schema = StructType.fromJson(json.loads(meta["schema"]))
-    df = drop_target(read_csv(spark, path, schema), meta.get("target_column"))
+    df = read_csv(spark, path, schema)
+    for target in [meta.get("target_column"), *meta.get("target_columns", ())]:
+        df = drop_target(df, target)
     require_columns(df, meta["schema_columns"])
+    if meta.get("contract"):
+        contract = Contract.from_json(meta["contract"])
+        used = [c for c in contract.columns if c in meta["schema_columns"]]
+        validate_scoring(df, contract.only(used))
     return df
 
 
+def kept_columns(meta: dict, df: DataFrame, keep: Sequence[str] | None) -> list[str]:
+    """The asked columns; by default the key that training was told of."""
+    if keep is not None:
+        return list(keep)
+    return [meta["key"]] if meta.get("key") in df.columns else []
+
+
 def predict_binary(
     spark: SparkSession,
     path: str,
@@ -59,14 +77,16 @@ def predict_binary(
     output: str,
     threshold: float | None = None,
     bands: bool = False,
-    keep: Sequence[str] = (),
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """prediction, [risk_level,] probability; or prediction and class columns beyond two classes.
 
-    ``keep`` names columns of the input, such as its key, to stand first in the output.
+    ``keep`` names columns of the input to stand first in the output, by default its key.
     """
     model, meta, index = load_artifacts(spark, artifacts)
-    scored = score(model, scoring_frame(spark, path, meta))
+    df = scoring_frame(spark, path, meta)
+    keep = kept_columns(meta, df, keep)
+    scored = score(model, df)
     if index.n_classes == 2:
         result = binary_output(scored, "proba", resolve_threshold(threshold, meta.get("threshold")), keep, bands)
     else:
@@ -82,15 +102,46 @@ def predict_multiclass(
     output: str,
     proba_output: str,
     top_k: int = 3,
-    keep: Sequence[str] = (),
+    keep: Sequence[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(top-k predictions, share of each predicted class); probabilities go to their own sink.
 
-    ``keep`` names columns of the input, such as its key, to stand first in both sinks.
+    ``keep`` names columns of the input to stand first in both sinks, by default its key.
     """
     model, meta, index = load_artifacts(spark, artifacts)
-    scored = written(score(model, scoring_frame(spark, path, meta)).select(*keep, "proba"), "scored")
+    df = scoring_frame(spark, path, meta)
+    keep = kept_columns(meta, df, keep)
+    scored = written(score(model, df).select(*keep, "proba"), "scored")
     result = topk_output(scored, "proba", index.classes, top_k, keep)
     write_csv(result, output)
     write_csv(probability_table(scored, "proba", index.classes, keep), proba_output)
     return result, value_share(result, "prediction", 10)
+
+
+def predict_multilabel(
+    spark: SparkSession,
+    path: str,
+    artifacts: str,
+    output: str,
+    thresholds: dict[str, float] | None = None,
+    keep: Sequence[str] | None = None,
+) -> DataFrame:
+    """pred_<label>, score_<label> for every label of a multilabel model.
+
+    ``thresholds`` overrides the stored threshold by label.
+    """
+    require_artifact(spark, f"{artifacts}/meta", "Meta")
+    meta = load_json(spark, f"{artifacts}/meta")
+    labels = meta["target_columns"]
+    for c in labels:
+        require_artifact(spark, f"{artifacts}/model/{c}", "Model")
+    df = scoring_frame(spark, path, meta)
+    scored = multi_output_probabilities([load_model(f"{artifacts}/model/{c}") for c in labels], df)
+    cuts = {c: meta["threshold"] for c in labels} | (thresholds or {})
+    result = scored.select(
+        *kept_columns(meta, df, keep),
+        *[above(F.col("proba")[i], cuts[c]).alias(f"pred_{c}") for i, c in enumerate(labels)],
+        *[F.col("proba")[i].alias(f"score_{c}") for i, c in enumerate(labels)],
+    )
+    write_csv(result, output)
+    return result

@@ -141,6 +141,7 @@ def train_multiclass(spark: SparkSession, df: DataFrame, config: dict, output: s
         "features": model.stages[0].feature_names,
         "schema_columns": model.stages[0].required_columns(),
         "schema": data.schema.json(),
+        "key": config.get("key"),
         "cv_accuracy": report["accuracy"],
         "cv_macro_f1": report["macro_f1"],
     }
@@ -197,6 +198,7 @@ def train_binary(spark: SparkSession, df: DataFrame, config: dict, output: str)
         "calibration": calibration,
         "schema_columns": model.stages[0].required_columns(),
         "schema": data.schema.json(),
+        "key": config.get("key"),
         "contract": contract.to_json(),
     }
     save_json(spark, meta, f"{output}/meta")
@@ -236,11 +238,13 @@ def train_multilabel(spark: SparkSession, df: DataFrame, config: dict, output: s
         save_model(model, f"{output}/model/{c}")
     meta = {
         "task": "multilabel",
+        "threshold": config["inference"]["multilabel_threshold"],
         "target_columns": labels,
         "model_type": config["model"]["name"],
         "features": models[0].stages[0].feature_names,
         "schema_columns": models[0].stages[0].required_columns(),
         "schema": data.schema.json(),
+        "key": config.get("key"),
     }
     save_json(spark, meta, f"{output}/meta")
     return meta

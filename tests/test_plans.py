@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rowcaster.plans.config import make_config
 from rowcaster.plans.explain import explain_csv
-from rowcaster.plans.predict import load_artifacts, predict_binary, predict_multiclass
+from rowcaster.plans.predict import load_artifacts, predict_binary, predict_multiclass, predict_multilabel
 from rowcaster.plans.train import train_binary, train_csv, train_multiclass
 from rowcaster.plans.tune import tune
 from rowcaster.sources import generated
@@ -100,6 +100,22 @@ def test_multilabel_job(spark, folder):
     assert meta["task"] == "multilabel"
     report = load_json(spark, str(folder / "labels") + "/cv_report")
     assert report["roc_auc_macro"] > 0.9 and set(report["per_class_auc"]) == {"high", "old"}
+    predict_multilabel(spark, path, str(folder / "labels"), str(folder / "both"), {"old": 0.9}, keep=["age"])
+    back = read_csv(spark, str(folder / "both"))
+    assert back.columns == ["age", "pred_high", "pred_old", "score_high", "score_old"] and back.count() == 200
+    assert back.where((F.col("score_old") >= 0.9) != (F.col("pred_old") == 1)).count() == 0
+    assert back.where((F.col("score_high") >= 0.5) != (F.col("pred_high") == 1)).count() == 0
+
+
+def test_contract_holds_at_scoring(spark, folder):
+    rows = generated.binary_rows(generated.range_keys(spark, 120))
+    path, out = str(folder / "keyed.csv"), str(folder / "keyed")
+    write_csv(rows, path)
+    train_csv(spark, path, make_config({**FAST, "target.name": "outcome", "model.name": "logreg", "key": "row_id"}), out)
+    assert predict_binary(spark, path, out, str(folder / "by_key")).columns == ["row_id", "prediction", "probability"]
+    write_csv(rows.withColumn("age", F.lit(130)), str(folder / "old.csv"))
+    with pytest.raises(ValueError, match="between 0 and 120"):
+        predict_binary(spark, str(folder / "old.csv"), out, str(folder / "never"))
 
 
 def test_search_job(spark, folder):
@@ -112,7 +128,7 @@ def test_search_job(spark, folder):
 
 def test_missing_pieces_are_named(spark, folder):
     data = generated.binary_rows(generated.range_keys(spark, 20))
-    with pytest.raises(ValueError, match="not found in data"):
+    with pytest.raises(ValueError, match="no column prognosis to learn"):
         train_multiclass(spark, data, make_config({"key": "row_id"}), str(folder / "x"))
     with pytest.raises(FileNotFoundError, match="Model file not found"):
         load_artifacts(spark, str(folder / "nothing"))
@@ -120,5 +136,5 @@ def test_missing_pieces_are_named(spark, folder):
     with pytest.raises(ValueError, match="between 0 and 120"):
         train_binary(spark, broken, make_config({"target.name": "outcome", "key": "row_id"}), str(folder / "y"))
     few = csv_of(spark, folder, "few.csv", generated.binary_rows, 5, ["bmi"])
-    with pytest.raises(ValueError, match=r"Missing required columns: \['bmi'\]"):
+    with pytest.raises(ValueError, match="the table lacks bmi"):
         predict_binary(spark, few, str(folder / "binary"), str(folder / "z"))
