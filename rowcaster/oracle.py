@@ -2,17 +2,38 @@
 
 from __future__ import annotations
 
-from .functions.hashing import PRIME
-from .functions.scalar import RISK_BANDS, RISK_THRESHOLDS
-from .operators.rankmetrics import THRESHOLD_LEVELS
-from .sources.generated import (
-    LATENT_NOISE,
-    LATENT_WEIGHTS,
-    MULTICLASS_MEASURES,
-    OUTCOME_WEIGHTS,
-    TIER_CLASSES,
-    TIERED_MEASURES,
-)
+# Fixed values, typed here anew so that a wrong constant of the library does not pass.
+PRIME = 2147483647
+RISK_BANDS = ("🔴 HIGH RISK", "🟡 MODERATE RISK", "🟢 POSITIVE", "✅ NEGATIVE")
+RISK_THRESHOLDS = {"age": 50.0, "bmi": 30.0, "heart_rate": 85.0, "blood_pressure": 140.0, "cholesterol": 240.0}
+THRESHOLD_LEVELS = [*(0.01 + i * ((0.99 - 0.01) / 198) for i in range(198)), 0.99]
+LATENT_NOISE = {
+    "Diabetes": (0, 2), "Hypertension": (0, 2), "Heart_Disease": (0, 2), "Asthma": (0, 3), "Arthritis": (0, 2),
+    "Healthy": (-3, 1),
+}
+LATENT_WEIGHTS = {
+    "Diabetes": {"bmi": (0.05, 25), "age": (0.03, 40)},
+    "Hypertension": {"blood_pressure": (0.08, 120), "age": (0.04, 50)},
+    "Heart_Disease": {"cholesterol": (0.06, 200), "age": (0.05, 55), "bmi": (0.03, 25)},
+    "Asthma": {"age": (-0.02, 0)},
+    "Arthritis": {"age": (0.08, 45)},
+    "Healthy": {},
+}
+OUTCOME_WEIGHTS = {"age": (0.04, 50), "bmi": (0.1, 25)}
+MULTICLASS_MEASURES = {
+    "bmi": (27, 5, 15, 50), "heart_rate": (75, 12, 50, 120), "blood_pressure": (120, 15, 80, 180),
+    "cholesterol": (200, 40, 120, 350),
+}
+TIERED_MEASURES = {
+    "age": (45, 15, 18, 80), "bmi": (25, 5, 15, 45), "heart_rate": (72, 12, 50, 120),
+    "blood_pressure": (120, 20, 90, 180), "cholesterol": (200, 40, 150, 350),
+}
+TIER_CLASSES = {
+    3: ["Heart_Disease", "Hypertension", "Diabetes"],
+    2: ["Diabetes", "Hypertension", "Arthritis"],
+    1: ["Asthma", "Arthritis"],
+    0: ["Healthy"],
+}
 
 
 def num(x: float) -> str:
