@@ -39,7 +39,7 @@ BUCKET_BYTES = 16 << 20  # of text for each bucket of tokens
 FLUSH_TOKENS = 3 << 20
 GROUP_TOKENS, GROUP_ROWS = 1 << 16, 256
 NEAR_ROWS = 1_000_000  # ids that are broadcast, 8 MB
-SAMPLED, COMMON = 2_000, 50_000  # nodes and tokens that only decide which tokens count as rare
+SAMPLED, COMMON = 10_000, 100_000  # nodes and tokens that only decide which tokens count as rare
 
 
 @dataclass(frozen=True)
@@ -198,15 +198,17 @@ def common_tokens(nodes: DataFrame, n: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(cell.as_py(), np.int64))], ["token"])
 
     found = nodes.where(rank < SAMPLED / max(n, 1)).select("tokens").mapInArrow(run, "token long").groupBy("token").count()
-    top = found.where(F.col("count") >= 4).orderBy(F.desc("count"), "token").limit(COMMON).collect()
+    top = found.where(F.col("count") >= 3).orderBy(F.desc("count"), "token").limit(COMMON).collect()
     return np.array([r["token"] for r in reversed(top)], np.int64).astype(np.uint64)
 
 
 def build_groups(nodes: DataFrame, options: JoinOptions, common: np.ndarray) -> DataFrame:
     """The matrix: (gid, least, most, prefix, nodes, sizes, union, members), a row per group.
 
-    Nodes with one smallest rare token are similar; a large set of them is dealt over groups
-    of bounded size by a hash.
+    Nodes with one smallest rare token are similar. A node of which most tokens are common is
+    a copy of something frequent, and what is rare in it is its own; such nodes are taken
+    together by their commonest token. A large set is dealt over groups of bounded size by a
+    hash.
     """
     order = np.argsort(common)
     sorted_common, rank = common[order], order + 1
@@ -222,7 +224,9 @@ def build_groups(nodes: DataFrame, options: JoinOptions, common: np.ndarray) ->
             out = []
             for cell in batch.column("tokens"):
                 tokens = np.frombuffer(cell.as_py(), np.uint64)
-                out.append(int(tokens[np.argmin(commonness(tokens))].astype(np.int64)))
+                rank = commonness(tokens)
+                at = np.argmax(rank) if 2 * np.count_nonzero(rank) > len(rank) else np.argmin(rank)
+                out.append(int(tokens[at].astype(np.int64)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "key"])
 
     keyed = written(nodes.mapInArrow(keys, "node long, size long, tokens binary, key long"), "join-keyed")
