@@ -55,9 +55,12 @@ def _merged(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def fit_sigmoid(df: DataFrame, score: str, label: str) -> Sigmoid:
     """Sigmoid on smoothed targets, each target entering as two weighted rows."""
-    totals = df.agg(
-        F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n")
-    ).first()
+    return sigmoid_of(_merged(df, score, label))
+
+
+def sigmoid_of(merged: DataFrame) -> Sigmoid:
+    """The same from (s, n, p): rows and positives of each score."""
+    totals = merged.agg(F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("n")).first()
     high = (totals["p"] + 1.0) / (totals["p"] + 2.0)
     low = 1.0 / (totals["n"] + 2.0)
     ones = F.col("p") * high + (F.col("n") - F.col("p")) * low
@@ -65,7 +68,7 @@ def fit_sigmoid(df: DataFrame, score: str, label: str) -> Sigmoid:
         F.struct(F.lit(1.0).alias("y"), ones.alias("w")),
         F.struct(F.lit(0.0).alias("y"), (F.col("n") - ones).alias("w")),
     )
-    rows = _merged(df, score, label).select("s", F.inline(sides))
+    rows = merged.select("s", F.inline(sides))
     data = rows.select(array_to_vector(F.array("s")).alias("features"), "y", "w")
     fitted = LogisticRegression(labelCol="y", weightCol="w", regParam=0.0, maxIter=1000, tol=1e-9).fit(data)
     return Sigmoid(float(fitted.coefficients[0]), float(fitted.intercept))
@@ -73,12 +76,16 @@ def fit_sigmoid(df: DataFrame, score: str, label: str) -> Sigmoid:
 
 def fit_isotonic(df: DataFrame, score: str, label: str) -> Isotonic:
     """Monotone step fit, flat beyond the seen scores."""
-    data = _merged(df, score, label).select("s", (F.col("p") / F.col("n")).alias("y"), "n")
+    return isotonic_of(_merged(df, score, label))
+
+
+def isotonic_of(merged: DataFrame) -> Isotonic:
+    data = merged.select("s", (F.col("p") / F.col("n")).alias("y"), "n")
     fitted = IsotonicRegression(featuresCol="s", labelCol="y", weightCol="n").fit(data)
     return Isotonic(fitted)
 
 
-FITTERS = {"sigmoid": fit_sigmoid, "isotonic": fit_isotonic}
+FITTERS = {"sigmoid": sigmoid_of, "isotonic": isotonic_of}
 
 
 @dataclass
@@ -128,19 +135,33 @@ def fit_calibrated(data: FoldedData, models: Sequence[PipelineModel], method: st
     """One calibrator per fold, learned on the fold its model did not see."""
     if method not in FITTERS:
         raise ValueError(f"calibration methods are {', '.join(FITTERS)}; asked for: {method}")
-    calibrators = []
-    for i, model in enumerate(models):
-        held_out = decision_score(model, data.test(i)).select("_score", data.label)
-        calibrators.append(FITTERS[method](held_out, "_score", data.label))
+    merged = by_fold(fold_scores(data, models), data.label).persist()
+    calibrators = [FITTERS[method](merged.where(F.col("fold") == i)) for i in range(data.k)]
+    merged.unpersist()
     return CalibratedModel(method, list(models), calibrators)
 
 
+def fold_scores(data: FoldedData, models: Sequence[PipelineModel]) -> DataFrame:
+    """(fold, _score, label): every row once, by the model that did not see it."""
+    parts = [decision_score(m, data.test(i)).select("fold", "_score", data.label) for i, m in enumerate(models)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def by_fold(scores: DataFrame, label: str) -> DataFrame:
+    """(fold, s, n, p): rows and positives of each fold and score."""
+    return scores.groupBy("fold", F.col("_score").alias("s")).agg(
+        F.count("*").cast("double").alias("n"), F.sum(F.col(label).cast("double")).alias("p")
+    )
+
+
 def cross_calibrated(data: FoldedData, scores: DataFrame, method: str) -> DataFrame:
     """Each row calibrated by a fit on the out-of-fold scores of the other folds."""
-    parts = []
+    merged, parts = by_fold(scores, data.label).persist(), []
     for i in range(data.k):
-        calibrator = FITTERS[method](scores.where(F.col("fold") != i), "_score", data.label)
+        others = merged.where(F.col("fold") != i).groupBy("s").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+        calibrator = FITTERS[method](others)
         parts.append(calibrator.apply(scores.where(F.col("fold") == i), "_score", "_p"))
+    merged.unpersist()
     frame = reduce(lambda a, b: a.unionByName(b), parts)
     return frame.select(data.label, F.array(1.0 - F.col("_p"), F.col("_p")).alias("proba"))
 
@@ -157,15 +178,11 @@ def select_calibration(
     By default a row is judged by a model and a calibrator that both did not see it;
     ``in_sample`` judges the averaged model on all rows.
     """
-    asked = set(methods)
-    methods = [m for m in FITTERS if m in asked]
-    if not asked or asked - set(methods):
-        raise ValueError(f"calibration methods are {', '.join(FITTERS)}; asked for: {sorted(asked) or 'none'}")
-    held_out = [
-        decision_score(model, data.test(i)).select("fold", "_score", data.label)
-        for i, model in enumerate(models)
-    ]
-    scores = reduce(lambda a, b: a.unionByName(b), held_out).persist()
+    given = list(methods)
+    methods = [m for i, m in enumerate(given) if m in FITTERS and m not in given[:i]]
+    if not given or set(given) != set(methods):
+        raise ValueError(f"calibration methods are {', '.join(FITTERS)}; asked for: {given or 'none'}")
+    scores = fold_scores(data, models).persist()
     values: dict = {}
     for method in methods:
         if in_sample:
