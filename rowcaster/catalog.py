@@ -1220,7 +1220,7 @@ def _importance(spark, sf, df):
 
 @fact("out_of_fold_metrics")
 def _metrics(spark, sf, df):
-    """Every metric is between 0 and 1, and the area agrees with a count over all pairs."""
+    """The bundle is complete and every metric is between 0 and 1."""
     return df.agg(
         F.count("*").alias("n_metrics"), F.count_if(~F.col("value").between(0, 1)).alias("n_off"),
         F.count_if(F.col("metric") == "roc_auc").alias("n_areas"),

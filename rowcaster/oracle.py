@@ -455,3 +455,4 @@ ORACLE["facts_parameter_search"] = "SELECT 3::BIGINT AS n_trials, 3::BIGINT AS n
 ORACLE["weighted_multilabel_fit"] = "SELECT count(*) AS n_rows, 0::BIGINT AS n_off FROM documents"
 ORACLE["scoring_contract"] = """SELECT 'o_totalprice' AS "column", 'between 1000.0 and 200000.0' AS "check", count(*) AS n_failed
  FROM orders WHERE o_orderstatus = 'F' AND NOT o_totalprice BETWEEN 1000 AND 200000"""
+ORACLE["facts_out_of_fold_metrics"] = "SELECT 6::BIGINT AS n_metrics, 0::BIGINT AS n_off, 1::BIGINT AS n_areas"
