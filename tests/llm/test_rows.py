@@ -188,6 +188,39 @@ def test_estimate_is_the_covariance_of_the_central_rows(spark):
     assert abs(row["det0"] - row["det1"]) < 0.5  # both starts end at the same place
 
 
+def test_chi_square():
+    known = [(0.5, 1, 0.454936), (0.95, 1, 3.841459), (0.75, 5, 6.625680), (0.999, 5, 20.515006), (0.9999, 5, 25.744832), (0.5, 7, 6.345811)]
+    for p, k, x in known:
+        assert abs(op6_rules.chi_square_quantile(p, k) - x) < 1e-5
+    # the central three quarters of normal values, scaled, have their variance again
+    import numpy as np
+
+    x = np.random.default_rng(2).normal(size=(400_000, 5))
+    d = (x * x).sum(1)
+    inner = x[d <= np.quantile(d, 0.75)]
+    assert abs(op6_rules.OutlierOptions().consistency * inner.var() - 1) < 0.01
+
+
+def test_one_statistic_alone_rejects(spark):
+    """A planted outlier in each of the statistics, among texts that have next to nothing of it."""
+    r = random.Random(11)
+    line = lambda k: " ".join(f"w{r.randrange(10**6):06d}" for _ in range(k))
+    text = lambda lines, k=10: "\n".join(line(k) for _ in range(lines))
+    data = [(i, text(r.randrange(18, 23)), "en", "s0") for i in range(200)]
+    block, rest = line(13), text(9, 9)
+    planted = {
+        900: text(400),  # 20 times as long
+        901: "\n".join(" ".join(w * 2 for w in line(10).split()) for _ in range(20)),  # words twice as long
+        902: text(20).replace(" ", " #", 16),  # 8 symbols in 100 words
+        903: "\n".join(["yes no"] * 6 + ["no"] * 6 + [line(16) for _ in range(10)]),  # half of the lines repeated
+        904: "\n".join([block, rest, block.replace(" ", "\n", 1)]),  # a quarter of the words in repeated runs
+    }
+    data += [(i, t, "en", "s0") for i, t in planted.items()]
+    found = {x["doc_id"]: x for x in op6_rules.quality_rules(frame(spark, data)).select("row.doc_id", "base_failed", "distance", "kept").collect()}
+    assert not any(x["base_failed"] for x in found.values())
+    assert {i for i, x in found.items() if not x["kept"]} == set(planted)
+
+
 # --- 7: lines ----------------------------------------------------------------------------
 
 
