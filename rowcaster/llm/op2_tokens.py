@@ -95,15 +95,20 @@ def pre_tokens(points: np.ndarray, edges: np.ndarray, table: np.ndarray) -> np.n
 
 
 class Encoder:
-    """Ids of text batches; keeps the ids of the pre-tokens that it has met."""
+    """Ids of text batches; keeps the ids of the pre-tokens that it has met.
+
+    With ``added`` the strings of the tokenizer's added tokens in a text become their ids, as
+    in plain encoding; texts that hold one go to the tokenizer whole.
+    """
 
     MOST = 2_000_000  # kept pre-tokens, after which it starts anew
 
-    def __init__(self, model: str):
+    def __init__(self, model: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(model)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = not added
+        self.added = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()] if added else []
         self.table = class_table()
         self.clear()
 
@@ -152,6 +157,7 @@ class Encoder:
         flat = self.ids[np.arange(int(ends[-1])) - np.repeat(ends - size - self.begin[at], size)]
         bounds = np.append(0, ends)[np.searchsorted(start, b.offsets)]
         unsure = T.per_text(points > 0x24F, edges) > 0
+        unsure |= self.with_added(b)
         out = []
         for i in range(len(b)):
             ids = flat[bounds[i] : bounds[i + 1]]
@@ -161,6 +167,18 @@ class Encoder:
             out.append(np.append(ids, np.uint16(END_ID)))
         return out
 
+    def with_added(self, b: T.Batch) -> np.ndarray:
+        """Marks texts in which the string of an added token begins."""
+        out = np.zeros(len(b), bool)
+        data = b.data.tobytes()
+        for content in self.added:
+            at = data.find(content)
+            while at >= 0:
+                i = int(np.searchsorted(b.offsets, at, "right")) - 1
+                out[i] = True
+                at = data.find(content, int(b.offsets[i + 1]))
+        return out
+
 
 def kept_encoder(model: str) -> Encoder:
     """The encoder of this worker process, which tasks after each other share."""
@@ -169,7 +187,7 @@ def kept_encoder(model: str) -> Encoder:
 
     holder = sys.modules.setdefault("_kept_encoder", types.ModuleType("_kept_encoder"))
     if getattr(holder, "model", None) != model:
-        holder.model, holder.encoder = model, Encoder(model)
+        holder.model, holder.encoder = model, Encoder(model, added=True)
     return holder.encoder
 
 

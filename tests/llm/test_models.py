@@ -134,6 +134,18 @@ def test_ids_equal_the_tokenizers(model):
         assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids + [2], text
 
 
+def test_added_tokens_in_texts(model):
+    from tokenizers import Tokenizer
+
+    mark = "<|endoftext|>"
+    texts = ["a b", f"one{mark}two", mark, f" {mark} {mark}\n", "", f"é☃ {mark}x", mark[:-1], mark[:5], mark[5:], None, "c d"]
+    plain = Tokenizer.from_str(model)
+    found = op2_tokens.kept_encoder(model).encode(pa.array(texts))
+    for text, ids in zip(texts, found):
+        assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids + [2], text
+    assert found[2].tolist() == [50256, 2]
+
+
 @pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 5000, 200_000])
 def test_coder_round_trip(n):
     ids = np.random.default_rng(n).zipf(1.3, n).clip(0, 50_000).astype(np.uint16)
