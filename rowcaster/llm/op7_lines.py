@@ -1,14 +1,10 @@
 """Line dedup by pairwise alignment.
 
 Every line with a word has a home, the first document that holds it. A later document is
-compared with the homes of its lines, if they share a rare line (one that at most ``rare``
-documents hold) or two lines that are not. The two sequences of line hashes are aligned by
-patience diff: lines that occur once in either are matched, the longest increasing run of
-matches is kept, and the gaps between them are aligned likewise, after the equal lines at
-both ends. All aligned lines go from the later document.
-
-As each line leads to its home alone, a line of very many documents makes one pair for each
-of them, and no pairs among them.
+compared with the homes of all its lines, however many documents hold them. The two
+sequences of line hashes are aligned by patience diff: lines that occur once in either are
+matched, the longest increasing run of matches is kept, and the gaps between them are aligned
+likewise, after the equal lines at both ends. All aligned lines go from the later document.
 
 Defined results: lines are split at ``\\n``; lines without a word are kept and not counted.
 Null text has no lines. Documents are in order of ``doc_id``, null last, and then of a hash
@@ -22,13 +18,15 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
 
-RARE = 100
+DEALT = 256  # tasks that the pairs of one earlier document can go to
 LAST = (1 << 63) - 1
 
 
@@ -89,34 +87,72 @@ def align(old: list, new: list) -> list[int]:
     return sorted(i for i in found if new[i] is not None)
 
 
+def _numbered(sides: list[pa.Array]) -> list[list[list]]:
+    """Sequences of line hashes as sequences of small numbers, None for no line."""
+    flat = [side.flatten() for side in sides]
+    hashes = np.concatenate([np.stack([pc.fill_null(pc.struct_field(f, c), 0).to_numpy(zero_copy_only=False) for c in "ab"], 1) for f in flat])
+    valid = np.concatenate([f.is_valid().to_numpy(zero_copy_only=False) for f in flat])
+    order = np.lexsort((hashes[:, 1], hashes[:, 0]))
+    number = np.zeros(len(hashes), np.int64)
+    number[order[1:]] = np.cumsum((hashes[order[1:]] != hashes[order[:-1]]).any(axis=1))
+    values = [x if ok else None for x, ok in zip(number.tolist(), valid.tolist())]
+    out, at = [], 0
+    for side in sides:
+        out.append([])
+        for n in pc.list_value_length(side).to_pylist():
+            out[-1].append(values[at : at + n])
+            at += n
+    return out
+
+
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         uid, gone = [], []
-        for u, old, new in zip(batch.column("uid").to_pylist(), batch.column("old").to_pylist(), batch.column("new").to_pylist()):
-            lines = [[x and (x["a"], x["b"]) for x in side] for side in (old, new)]
-            hit = align(*lines)
+        for u, old, new in zip(batch.column("uid").to_pylist(), *_numbered([batch.column("before"), batch.column("lines")])):
+            hit = align(old, new)
             if hit:
                 uid.append(u)
                 gone.append(hit)
         yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["uid", "gone"])
 
 
-def dedup_lines(documents: DataFrame, rare: int = RARE) -> DataFrame:
-    """(doc_id, n_lines, n_removed, kept): ``kept`` is the text without the removed lines."""
+def _gone(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
+    """(uid, gone): places of lines that any of the pairs (uid, old) aligns."""
+    dealt = pairs.withColumn("deal", F.pmod(F.xxhash64("uid"), F.lit(DEALT)))
+    olds = dealt.select("old", "deal").distinct().join(sequences.select(F.col("uid").alias("old"), F.col("lines").alias("before")), "old")
+    both = dealt.join(olds, ["old", "deal"]).join(sequences.select("uid", "lines"), "uid").select("uid", "before", "lines")
+    return _merged(both.mapInArrow(_aligned, "uid long, gone array<int>"))
+
+
+def _merged(gone: DataFrame) -> DataFrame:
+    return gone.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+
+
+def _removed(sequences: DataFrame, rare: int | None) -> DataFrame:
+    """(uid, gone): places of the lines that go from each document."""
+    own = F.explode(F.filter("lines", lambda x: x.isNotNull()))
+    lines = sequences.select("uid", "rank", own.alias("x")).groupBy("uid", "rank", "x.a", "x.b").agg(F.count("*").alias("k"))
+    lines = written(lines, "lines")
+    homes = lines.groupBy("a", "b").agg(F.min(F.struct("rank", "uid")).alias("home"), F.count("*").alias("df")).where("df > 1")
+    met = lines.join(written(homes, "line-homes"), ["a", "b"]).where(F.col("home.uid") != F.col("uid"))
+    met = written(met.select("uid", "rank", "a", "b", "k", "df", F.col("home.uid").alias("old")), "line-holders")
+    if rare is not None:
+        pairs = met.groupBy("uid", "old").agg(F.min("df").alias("df"), F.count("*").alias("n"))
+        return _gone(written(pairs.where((F.col("df") <= rare) | (F.col("n") > 1)).select("uid", "old"), "line-pairs"), sequences)
+    return _gone(written(met.select("uid", "old").distinct(), "line-pairs"), sequences)
+
+
+def dedup_lines(documents: DataFrame, rare: int | None = None) -> DataFrame:
+    """(doc_id, n_lines, n_removed, kept): ``kept`` is the text without the removed lines.
+
+    With ``rare`` documents are compared with homes alone, and only if they share a line of at
+    most so many holders or two lines: a lesser job that leaves repeated lines.
+    """
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     rows = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"), rank.alias("rank"))
     sequences = rows.where(F.col("text").isNotNull()).select("uid", "rank", line_hashes("text").alias("lines"))
-    own = F.array_distinct(F.filter("lines", lambda x: x.isNotNull()))
-    lines = written(sequences.select("uid", "rank", F.explode(own).alias("x")).select("uid", "rank", "x.a", "x.b").distinct(), "lines")
-    homes = lines.groupBy("a", "b").agg(F.min(F.struct("rank", "uid")).alias("home"), F.count("*").alias("df")).where("df > 1")
-    met = lines.join(homes, ["a", "b"]).where(F.col("home.uid") != F.col("uid"))
-    pairs = met.groupBy("uid", F.col("home.uid").alias("home")).agg(F.min("df").alias("df"), F.count("*").alias("n"))
-    pairs = written(pairs.where((F.col("df") <= rare) | (F.col("n") > 1)).select("uid", "home"), "line-pairs")
-    involved = pairs.select(F.explode(F.array("uid", "home")).alias("uid")).distinct()
-    known = written(sequences.join(involved, "uid", "left_semi").dropDuplicates(["uid"]).select("uid", "lines"), "line-sequences")
-    both = pairs.join(known.select(F.col("uid").alias("home"), F.col("lines").alias("old")), "home")
-    both = both.join(known.select("uid", F.col("lines").alias("new")), "uid").select("uid", "old", "new")
-    gone = both.mapInArrow(_aligned, "uid long, gone array<int>").groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    sequences = written(sequences.dropDuplicates(["uid"]), "line-sequences")
+    gone = _removed(sequences, rare)
     out = rows.join(gone.withColumnRenamed("uid", "_u"), F.col("uid") == F.col("_u"), "left")
     none = F.array().cast("array<int>")
     removed = F.coalesce("gone", none)

@@ -290,6 +290,12 @@ def test_lines(spark, rare):
     assert collected(op7_lines.dedup_lines(frame(spark, data), rare)) == lines_brute(data, rare)
 
 
+def test_line_of_many_holders(spark):
+    data = [(i, f"first {i}\nheld by more than a hundred\nlast {i}", "en", "s") for i in range(105)]
+    got = op7_lines.dedup_lines(frame(spark, data)).select("doc_id", "n_removed")
+    assert collected(got) == [(i, int(i > 0)) for i in sorted(range(105), key=lambda i: repr((i,)))]
+
+
 # --- 8: decontamination ------------------------------------------------------------------
 
 
