@@ -1,10 +1,17 @@
 """Line dedup by pairwise alignment.
 
 Every line with a word has a home, the first document that holds it. A later document is
-compared with the homes of all its lines, however many documents hold them. The two
-sequences of line hashes are aligned by patience diff: lines that occur once in either are
-matched, the longest increasing run of matches is kept, and the gaps between them are aligned
-likewise, after the equal lines at both ends. All aligned lines go from the later document.
+compared with the homes of all its lines, however many documents hold them. Where that leaves
+a line that an earlier document holds, it is compared with every earlier document that shares
+a line of at most ``RARE`` holders. The two sequences of line hashes are aligned by patience
+diff: lines that occur once in either are matched, the longest increasing run of matches is
+kept, and the gaps between them are aligned likewise, after the equal lines at both ends. All
+aligned lines go from the later document.
+
+Of documents with equal sequences the first stands for all, and the others lose every line.
+Holders counted are those that stand. A line with more of them leads to its home alone, which
+makes one pair for each holder: a later holder of a frequent line that crosses others in its
+home, and shares no rarer line with a later document, is not compared with that one.
 
 Defined results: lines are split at ``\\n``; lines without a word are kept and not counted.
 Null text has no lines. Documents are in order of ``doc_id``, null last, and then of a hash
@@ -25,7 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
+from .frames import join_small
 
+RARE = 100
 DEALT = 256  # tasks that the pairs of one earlier document can go to
 LAST = (1 << 63) - 1
 
@@ -128,10 +137,23 @@ def _merged(gone: DataFrame) -> DataFrame:
     return gone.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
+def _copies(sequences: DataFrame) -> DataFrame:
+    """(uid) of documents whose sequence an earlier one has."""
+    whole = F.transform("lines", lambda x: F.coalesce(x, F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))))
+    keys = written(sequences.select("uid", "rank", F.xxhash64(whole).alias("p"), F.xxhash64(F.lit(1), whole).alias("q")), "line-keys")
+    first = keys.groupBy("p", "q").agg(F.min(F.struct("rank", "uid")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    met = join_small(keys, written(first, "line-firsts"), ["p", "q"], "uid")
+    return written(met.where(F.col("first.uid") != F.col("uid")).select("uid"), "line-copies")
+
+
 def _removed(sequences: DataFrame, rare: int | None) -> DataFrame:
     """(uid, gone): places of the lines that go from each document."""
+    stand = sequences
+    if rare is None:
+        copies = _copies(sequences)
+        stand = sequences.join(copies, "uid", "left_anti")
     own = F.explode(F.filter("lines", lambda x: x.isNotNull()))
-    lines = sequences.select("uid", "rank", own.alias("x")).groupBy("uid", "rank", "x.a", "x.b").agg(F.count("*").alias("k"))
+    lines = stand.select("uid", "rank", own.alias("x")).groupBy("uid", "rank", "x.a", "x.b").agg(F.count("*").alias("k"))
     lines = written(lines, "lines")
     homes = lines.groupBy("a", "b").agg(F.min(F.struct("rank", "uid")).alias("home"), F.count("*").alias("df")).where("df > 1")
     met = lines.join(written(homes, "line-homes"), ["a", "b"]).where(F.col("home.uid") != F.col("uid"))
@@ -139,7 +161,18 @@ def _removed(sequences: DataFrame, rare: int | None) -> DataFrame:
     if rare is not None:
         pairs = met.groupBy("uid", "old").agg(F.min("df").alias("df"), F.count("*").alias("n"))
         return _gone(written(pairs.where((F.col("df") <= rare) | (F.col("n") > 1)).select("uid", "old"), "line-pairs"), sequences)
-    return _gone(written(met.select("uid", "old").distinct(), "line-pairs"), sequences)
+    pairs = written(met.select("uid", "old").distinct(), "line-pairs")
+    gone = written(_gone(pairs, sequences), "line-gone")
+    left = met.groupBy("uid").agg(F.sum("k").alias("held")).join(gone, "uid", "left")
+    left = left.where(F.coalesce(F.size("gone"), F.lit(0)) < F.col("held")).select("uid")
+    few = met.where(F.col("df") <= RARE).select("uid", "rank", "a", "b")
+    before = few.select("a", "b", F.col("rank").alias("_rank"), F.col("uid").alias("old"))
+    more = few.join(left, "uid", "left_semi").join(before, ["a", "b"]).where(F.struct("_rank", "old") < F.struct("rank", "uid"))
+    more = more.select("uid", "old").distinct().join(pairs, ["uid", "old"], "left_anti")
+    again = _gone(written(more, "line-pairs"), sequences)
+    every = F.filter(F.transform("lines", lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull())
+    whole = sequences.join(copies, "uid", "left_semi").select("uid", every.alias("gone"))
+    return _merged(gone.unionByName(again).unionByName(whole))
 
 
 def dedup_lines(documents: DataFrame, rare: int | None = None) -> DataFrame:

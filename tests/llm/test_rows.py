@@ -296,6 +296,32 @@ def test_line_of_many_holders(spark):
     assert collected(got) == [(i, int(i > 0)) for i in sorted(range(105), key=lambda i: repr((i,)))]
 
 
+def all_lines_brute(data: list[tuple]) -> list[tuple]:
+    """Every document is aligned with every earlier one."""
+    docs = sorted((i, t.split("\n")) for i, t, *_ in data)
+    real = [[x if words(x) else None for x in v] for _, v in docs]
+    out = []
+    for d, (i, v) in enumerate(docs):
+        gone = {p for e in range(d) if set(real[e]) & set(real[d]) - {None} for p in op7_lines.align(real[e], real[d])}
+        out.append((i, sum(x is not None for x in real[d]), len(gone), "\n".join(x for j, x in enumerate(v) if j not in gone)))
+    return sorted(out, key=repr)
+
+
+def test_lines_of_every_earlier_document(spark):
+    r = random.Random(13)
+    pool = [f"line {j}" for j in range(25)]
+    data = [(i, "\n".join([*r.sample(pool, r.randrange(1, 9)), "", f"own {i}"]), "en", "s") for i in range(40)]
+    data += [(50, "B\nA", "en", "s"), (51, "A\nB", "en", "s"), (52, "z\nA\nB", "en", "s"), (53, "A\nB", "en", "s")]
+    data += [(100 + i, f"first {i}\nheld by more than a hundred\nlast {i}", "en", "s") for i in range(105)]
+    data += [(300 + i, f"at {i}\nfrequent {i % 3}\nend {i}", "en", "s") for i in range(309)]
+    data += [(700, "frequent 0\nfrequent 1\nfrequent 2", "en", "s"), (701, "frequent 0\n\nfrequent 1\nfrequent 2", "en", "s")]
+    got = collected(op7_lines.dedup_lines(frame(spark, data)))
+    assert got == all_lines_brute(data)
+    found = {i: (n, k) for i, n, k, _ in got}
+    assert [found[i][1] for i in range(100, 205)] == [0] + [1] * 104
+    assert found[53] == (2, 2) and found[52] == (3, 2) and found[700] == (3, 3) and found[701] == (3, 3)
+
+
 # --- 8: decontamination ------------------------------------------------------------------
 
 
