@@ -2,13 +2,13 @@
 
 Texts are cut into units: lower-case runs of letters, digits or other marks, and the shape of
 each word. Every unit has a sparse random index vector that follows from its hash. A unit's
-context vector is the sum of the index vectors of the units around it, learned from a bounded
-sample of training documents into a table of ``TABLE`` hashed rows. A document is the mean of
+context vector is the sum of the index vectors of the units around it, learned from the texts
+of all documents into a table of ``TABLE`` hashed rows. A document is the mean of
 the index and of the context vectors of all its units, with their lengths; a network of two
 layers (numpy) maps it to a logit, which a temperature fitted on rows that the network did not
 see turns into a probability.
 
-Labels are learned from at most ``SAMPLE`` documents, taken by a hash of the id. Defined
+The network and its temperature are learned from at most ``SAMPLE`` documents, taken by a hash of the id. Defined
 results: empty and null texts have the zero vector and are scored like any other. Without
 labels of both kinds every score is 0.5. Null labels are not learned from. Rows with one
 ``doc_id`` are scored one by one; a null ``doc_id`` is scored but cannot be labelled. Other
@@ -73,8 +73,8 @@ def index_vectors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, sign
 
 
-def learn_contexts(sample: DataFrame) -> np.ndarray:
-    """The context table: sums over the sample, one partial table per task."""
+def learn_contexts(documents: DataFrame) -> np.ndarray:
+    """The context table: sums over the documents, one partial table per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(TABLE * DIM)
@@ -94,7 +94,7 @@ def learn_contexts(sample: DataFrame) -> np.ndarray:
         values = pa.FixedSizeListArray.from_arrays(pa.array(table[seen].ravel()), DIM).cast(pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), values], ["unit", "v"])
 
-    parts = sample.select("text").mapInArrow(run, "unit int, v array<double>")
+    parts = documents.select("text").mapInArrow(run, "unit int, v array<double>")
     sums = parts.groupBy("unit").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(DIM)])
     out = np.zeros((TABLE, DIM), np.float32)
     for r in sums.collect():  # at most TABLE rows
@@ -207,7 +207,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame, size: int = SAMPLE)
     chosen = usable.where(rank < min(1.0, size / max(n, 1))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # at most about ``size`` short rows
     sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
-    contexts = learn_contexts(sample)
+    contexts = learn_contexts(documents)
     rows = with_vectors(sample, contexts).collect()  # at most about ``size`` rows of WIDTH numbers
     x = np.array([r["v"] for r in rows], np.float32).reshape(len(rows), WIDTH)
     y = np.array([r["quality"] for r in rows])

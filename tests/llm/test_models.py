@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowcaster.llm import op1_urls, op2_tokens, op4_mix, op9_lattice, op10_quality
+from rowcaster.llm import text as T
 from rowcaster.llm.queries import PIECES, TOKENIZER, tokenizer_path
 
 from .fixture import LOW, SCHEMA, collected, frame, rows, sentence, words
@@ -388,6 +389,26 @@ def test_quality_without_labels(spark):
     assert op10_quality.quality_scores(spark.createDataFrame([], SCHEMA), labels).count() == 0
 
 
+def test_contexts_come_from_all_documents(spark, monkeypatch):
+    """Units of documents without labels have context vectors, and sums are those of plain loops."""
+    data, labels = labelled(60)
+    data += [(9000, "seldom harbour lantern", "fr", "t")]
+    learn, found = op10_quality.learn_contexts, []
+    monkeypatch.setattr(op10_quality, "learn_contexts", lambda df: found.append(learn(df)) or found[-1])
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    op10_quality.quality_scores(frame(spark, data), table)
+    want = np.zeros((op10_quality.TABLE, op10_quality.DIM))
+    for _, text, *_ in data:
+        h, _ = op10_quality.units(T.batch_of(pa.array([text])))
+        place, sign = op10_quality.index_vectors(h)
+        for i in range(len(h)):
+            for j in range(max(0, i - op10_quality.AROUND), min(len(h), i + op10_quality.AROUND + 1)):
+                if i != j:
+                    np.add.at(want[int(h[i] % np.uint64(op10_quality.TABLE))], place[j], sign[j])
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    assert len(found) == 1 and np.allclose(found[0], want, atol=1e-6)
+
+
 def test_probabilities_are_calibrated():
     r = np.random.default_rng(2)
     x = r.normal(0, 1, (4000, 6)).astype(np.float32)
