@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_urls, op10_quality, op2_tokens, op3_substrings, op4_mix, op5_jaccard, op6_rules, op7_lines, op8_decontaminate, op9_lattice
+from . import op1_urls, op10_quality, op12_centroids, op2_tokens, op3_substrings, op4_mix, op5_jaccard, op6_rules, op7_lines, op8_decontaminate, op9_lattice
 
 
 TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -68,9 +68,41 @@ def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return op10_quality.quality_scores(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
 
 
+def op12_centroid_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return op12_centroids.cluster(table(spark, sf, "embeddings")).drop("centroid")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_token_output, op3_substring_dedup, op4_mix_sources, op5_jaccard_join, op6_quality_rules, op7_line_dedup, op8_decontaminate_benchmark, op9_lm_score, op10_quality_classifier)
+    for f in (op1_url_filter, op2_token_output, op3_substring_dedup, op4_mix_sources, op5_jaccard_join, op6_quality_rules, op7_line_dedup, op8_decontaminate_benchmark, op9_lm_score, op10_quality_classifier, op12_centroid_clusters)
 }
 
-ORACLE: dict[str, str] = {}
+def clusters_sql(k: int = 8, rounds: int = 10, size: int = 64) -> str:
+    """The same k-means with every round written out, all distances compared."""
+    steps = [f"""
+        vectors AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS x
+            FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, x -> isfinite(x))) = {size}),
+        entries AS MATERIALIZED (SELECT r, unnest(range({size})) AS pos, unnest(x) AS v FROM vectors),
+        c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS c, x
+            FROM vectors QUALIFY c < {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+        a{i} AS MATERIALIZED (
+            SELECT r, min(struct_pack(d := d, c := c)) AS best FROM (
+                SELECT r, c, list_sum(list_transform(list_zip(vectors.x, c{i}.x), p -> (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+                FROM vectors, c{i}) GROUP BY r)""")
+        if i < rounds:
+            steps.append(f"""
+        s{i} AS (SELECT best.c AS c, pos, sum(v) AS s, count(*) AS n FROM a{i} JOIN entries USING (r) GROUP BY ALL),
+        m{i} AS (SELECT c, list((s - (((s % n) + n) % n)) // n ORDER BY pos)::BIGINT[] AS x FROM s{i} GROUP BY c),
+        c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(m{i}.x, c{i}.x) AS x FROM c{i} LEFT JOIN m{i} ON m{i}.c = c{i}.c)""")
+    return f"""WITH {",".join(steps)}
+        SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance,
+            (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia,
+            sha256(array_to_string(c{rounds}.x, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN vectors USING (r) JOIN c{rounds} ON c{rounds}.c = best.c"""
+
+
+ORACLE: dict[str, str] = {"op12_centroid_clusters": clusters_sql()}
