@@ -81,8 +81,8 @@ def clusters_sql(k: int = 8, rounds: int = 10, size: int = 64) -> str:
     """The same k-means with every round written out, all distances compared."""
     steps = [f"""
         vectors AS MATERIALIZED (
-            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS x
-            FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, x -> isfinite(x))) = {size}),
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x
+            FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: isfinite(x))) = {size}),
         entries AS MATERIALIZED (SELECT r, unnest(range({size})) AS pos, unnest(x) AS v FROM vectors),
         c0 AS MATERIALIZED (
             SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS c, x
@@ -91,7 +91,7 @@ def clusters_sql(k: int = 8, rounds: int = 10, size: int = 64) -> str:
         steps.append(f"""
         a{i} AS MATERIALIZED (
             SELECT r, min(struct_pack(d := d, c := c)) AS best FROM (
-                SELECT r, c, list_sum(list_transform(list_zip(vectors.x, c{i}.x), p -> (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+                SELECT r, c, list_sum(list_transform(list_zip(vectors.x, c{i}.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
                 FROM vectors, c{i}) GROUP BY r)""")
         if i < rounds:
             steps.append(f"""
