@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -14,6 +16,19 @@ BROADCAST_ROWS = 100_000
 SALTS = 64
 
 
+class Sent:
+    """A bounded value broadcast to all tasks by value, so that executors need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get(self):
+        return pickle.loads(self.bytes.value)
+
+    def release(self) -> None:
+        self.bytes.unpersist()
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.length(F.regexp_replace(text, r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", "x"))

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
+from .frames import Sent
 
 WIDEST = 1 << 27  # then squared distances over 64 components are below 2^63
 CELLS = 1 << 20  # entries of the table of bounds (vectors by nodes) that a search holds
@@ -132,14 +133,14 @@ def matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, size)
 
 
-def centroid_sums(vectors: DataFrame, tree, k: int, size: int) -> dict[int, list[int]]:
+def centroid_sums(vectors: DataFrame, tree: Sent, k: int, size: int) -> dict[int, list[int]]:
     """For each centroid that has vectors: their number, then their sum by component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((k, size + 1), np.int64)
+        points, sums = tree.get(), np.zeros((k, size + 1), np.int64)
         for batch in batches:
             x = matrix(batch.column("x"), size)
-            who, _ = tree.value.nearest(x)
+            who, _ = points.nearest(x)
             for c in np.unique(who):
                 sums[c, 0] += int((who == c).sum())
                 sums[c, 1:] += x[who == c].sum(axis=0)
@@ -153,12 +154,13 @@ def centroid_sums(vectors: DataFrame, tree, k: int, size: int) -> dict[int, list
     return totals
 
 
-def assigned(vectors: DataFrame, tree, size: int) -> DataFrame:
+def assigned(vectors: DataFrame, tree: Sent, size: int) -> DataFrame:
     """(id, cluster, distance) of every vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points = tree.get()
         for batch in batches:
-            who, far = tree.value.nearest(matrix(batch.column("x"), size))
+            who, far = points.nearest(matrix(batch.column("x"), size))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(who, pa.int32()), pa.array(far, pa.int64())], ["id", "cluster", "distance"])
 
     return vectors.select("id", "x").mapInArrow(run, f"id {vectors.schema['id'].dataType.simpleString()}, cluster int, distance long")
@@ -184,14 +186,14 @@ def cluster(vectors: DataFrame, options: ClusterOptions = ClusterOptions(), id_c
         result = table.select("id", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("long").alias("distance"))
     else:
         for _ in range(options.rounds):
-            tree = spark.sparkContext.broadcast(VantageTree(np.array(centroids, np.int64)))
+            tree = Sent(spark, VantageTree(np.array(centroids, np.int64)))
             for c, (n, *total) in centroid_sums(inside, tree, k, size).items():
                 centroids[c] = [s // n for s in total]
-            tree.unpersist()
-        tree = spark.sparkContext.broadcast(VantageTree(np.array(centroids, np.int64)))
+            tree.release()
+        tree = Sent(spark, VantageTree(np.array(centroids, np.int64)))
         wide = table.where(F.col("x").isNull()).select("id", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("long").alias("distance"))
         result = written(assigned(inside, tree, size).unionByName(wide), "cluster-result")
-        tree.unpersist()
+        tree.release()
     spent = result.where(F.col("cluster").isNotNull()).groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("d")).collect()
     by_cluster = {r["cluster"]: int(r["d"]) for r in spent}
     total = sum(by_cluster.values())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_urls, op10_quality, op12_centroids, op2_tokens, op3_substrings, op4_mix, op5_jaccard, op6_rules, op7_lines, op8_decontaminate, op9_lattice
+from . import op1_urls, op10_quality, op12_centroids, op13_variants, op2_tokens, op3_substrings, op4_mix, op5_jaccard, op6_rules, op7_lines, op8_decontaminate, op9_lattice
 
 
 TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -72,9 +72,13 @@ def op12_centroid_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return op12_centroids.cluster(table(spark, sf, "embeddings")).drop("centroid")
 
 
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return op13_variants.spelling_variants(table(spark, sf, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_token_output, op3_substring_dedup, op4_mix_sources, op5_jaccard_join, op6_quality_rules, op7_line_dedup, op8_decontaminate_benchmark, op9_lm_score, op10_quality_classifier, op12_centroid_clusters)
+    for f in (op1_url_filter, op2_token_output, op3_substring_dedup, op4_mix_sources, op5_jaccard_join, op6_quality_rules, op7_line_dedup, op8_decontaminate_benchmark, op9_lm_score, op10_quality_classifier, op12_centroid_clusters, op13_spelling_variants)
 }
 
 def clusters_sql(k: int = 8, rounds: int = 10, size: int = 64) -> str:
