@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_urls, op10_quality, op12_centroids, op13_variants, op2_tokens, op3_substrings, op4_mix, op5_jaccard, op6_rules, op7_lines, op8_decontaminate, op9_lattice
+from . import op1_urls, op10_quality, op11_extract, op12_centroids, op13_variants, op2_tokens, op3_substrings, op4_mix, op5_jaccard, op6_rules, op7_lines, op8_decontaminate, op9_lattice
 
 
 TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -68,6 +68,10 @@ def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return op10_quality.quality_scores(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
 
 
+def op11_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return op11_extract.extract(table(spark, sf, "pages"))
+
+
 def op12_centroid_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return op12_centroids.cluster(table(spark, sf, "embeddings")).drop("centroid")
 
@@ -78,7 +82,7 @@ def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_token_output, op3_substring_dedup, op4_mix_sources, op5_jaccard_join, op6_quality_rules, op7_line_dedup, op8_decontaminate_benchmark, op9_lm_score, op10_quality_classifier, op12_centroid_clusters, op13_spelling_variants)
+    for f in (op1_url_filter, op2_token_output, op3_substring_dedup, op4_mix_sources, op5_jaccard_join, op6_quality_rules, op7_line_dedup, op8_decontaminate_benchmark, op9_lm_score, op10_quality_classifier, op11_html_extraction, op12_centroid_clusters, op13_spelling_variants)
 }
 
 def clusters_sql(k: int = 8, rounds: int = 10, size: int = 64) -> str:
@@ -109,4 +113,16 @@ def clusters_sql(k: int = 8, rounds: int = 10, size: int = 64) -> str:
         FROM a{rounds} JOIN vectors USING (r) JOIN c{rounds} ON c{rounds}.c = best.c"""
 
 
-ORACLE: dict[str, str] = {"op12_centroid_clusters": clusters_sql()}
+#: The given pages mark their article and hold paragraphs and headings with few character references.
+ARTICLES = r"""
+    WITH bodies AS (
+        SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(p|h1)>') AS parts
+        FROM pages),
+    blocks AS (
+        SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(
+            x, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS parts
+        FROM bodies),
+    texts AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text FROM blocks)
+    SELECT page_id, url, text, length(text) AS n_chars FROM texts"""
+
+ORACLE: dict[str, str] = {"op11_html_extraction": ARTICLES, "op12_centroid_clusters": clusters_sql()}
