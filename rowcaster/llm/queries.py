@@ -125,4 +125,46 @@ ARTICLES = r"""
     texts AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text FROM blocks)
     SELECT page_id, url, text, length(text) AS n_chars FROM texts"""
 
-ORACLE: dict[str, str] = {"op11_html_extraction": ARTICLES, "op12_centroid_clusters": clusters_sql()}
+#: Words one edit apart by joins on what is left of them without a letter.
+VARIANTS = r"""
+    WITH RECURSIVE
+    crc AS MATERIALIZED (
+        SELECT list(list_reduce(list_prepend(i, range(8)),
+            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS entries
+        FROM range(256) t(i)),
+    raw AS (
+        SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+    runs AS (
+        SELECT coalesce(doc_id::VARCHAR, '') || ':' || low AS hashed, low, count(*) AS times
+        FROM (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM raw)
+        WHERE length(low) >= 7 GROUP BY ALL),
+    hashes AS (
+        SELECT low, times, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(hashed, ''),
+            lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT]
+                ELSE [192 + (unicode(ch) >> 6)::BIGINT, 128 + (unicode(ch) & 63)::BIGINT] END))),
+            lambda c, b: xor(entries[(xor(c, b) & 255) + 1], c >> 8))) AS h
+        FROM runs, crc),
+    results AS (
+        SELECT CASE WHEN h % 31 = 0 THEN left(low, (h % length(low))::BIGINT) || substr(low, (h % length(low))::BIGINT + 2) ELSE low END AS word, times
+        FROM hashes),
+    words AS MATERIALIZED (
+        SELECT word, sum(times)::BIGINT AS n FROM results WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+    places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+    holes AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS less FROM places),
+    pairs AS (
+        SELECT a.word, b.word AS near, b.n AS near_n FROM holes a JOIN holes b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+        UNION SELECT holes.word, words.word, words.n FROM holes JOIN words ON words.word = less
+        UNION SELECT words.word, holes.word, holes.n FROM holes JOIN words ON words.word = less),
+    best AS (
+        SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+    formed AS MATERIALIZED (
+        SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form,
+            CASE WHEN near_n >= 10 * n THEN near_n END AS form_n
+        FROM words LEFT JOIN best USING (word)),
+    chains AS (
+        SELECT word, coalesce(form, word) AS root FROM formed
+        UNION ALL SELECT chains.word, formed.form FROM chains JOIN formed ON formed.word = chains.root AND formed.form IS NOT NULL),
+    ends AS (SELECT chains.word, chains.root FROM chains JOIN formed ON formed.word = chains.root AND formed.form IS NULL)
+    SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)"""
+
+ORACLE: dict[str, str] = {"op13_spelling_variants": VARIANTS, "op11_html_extraction": ARTICLES, "op12_centroid_clusters": clusters_sql()}
