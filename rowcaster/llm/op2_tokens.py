@@ -1,9 +1,9 @@
 """Token ids in files: byte-level BPE, then a static range asymmetric numeral system.
 
-Texts are cut into pre-tokens with array operations, every distinct pre-token of a task is
+Texts are cut into pre-tokens with array operations, every distinct pre-token of a worker is
 encoded once by the tokenizer, and its ids are put back in place. Documents are dealt in
-ascending ``doc_id`` order over shards and parts; the ids of a part are cut into blocks of
-whole documents. One frequency table over the ids of all documents, scaled to 2 ** 20, is
+ascending ``doc_id`` order over parts; the ids of a part are cut into blocks of whole
+documents. One frequency table over the ids of all documents, scaled to 2 ** 20, is
 shared by all blocks. A block is coded alone: interleaved lanes (symbol i belongs to lane i
 mod lanes) write to one stream of 32-bit words. Every ``SECTION_ROWS`` rows of lanes there
 is a checkpoint, the lanes' states and the place in the stream, from which decoding can
@@ -14,9 +14,10 @@ number, its documents, their lengths, and the payload described at ``encode_bloc
 holds the frequency table. Shard, part and block ascend with ``doc_id``; any block can be
 decoded with the table alone.
 
-Defined results: a null or empty text has the end id alone. A null ``doc_id`` comes first.
-Rows with one ``doc_id`` each keep their own entry, in an order that follows their text. An
-empty table gives files without blocks. Other columns are ignored.
+Defined results: a null or empty text has the end id alone. Null ids come first. Rows with
+one ``doc_id`` each keep their own entry, in an order that follows their ids alone. A very
+long text is tokenized in parts, cut where a pre-token is sure to begin. An empty table gives
+files without blocks. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,21 +25,20 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import new_path
+from ..session import new_path, written
 from . import text as T
 
 END_ID = 2
 SCALE = 20
 LANES, SECTION_ROWS = 2048, 256
 BLOCK_TOKENS = 1 << 20
-SHARDS, PART_ROWS = 64, 4096
+SHARDS, PART_BYTES = 64, 32 << 20  # folders, and bytes of ids of a part
 LOW = np.uint64(1 << 31)
 MAGIC = b"RBK1"
 TABLE = -1  # shard of the row that holds the frequency table
@@ -50,23 +50,28 @@ BLOCKS = "part int, block int, docs array<bigint>, lengths array<int>, payload b
 LETTER, NUMBER, BLANK, OTHER, UNSURE = range(5)
 
 
-def class_table() -> np.ndarray:
-    """Class of the code points below 0x250; all others are left to the tokenizer itself."""
-    import unicodedata
-
-    table = np.full(0x251, OTHER, np.uint8)
-    for c in range(0x250):
-        kind = unicodedata.category(chr(c))[0]
-        table[c] = LETTER if kind == "L" else NUMBER if kind == "N" else OTHER
-    table[[*range(0x09, 0x0E), 0x20, 0x85, 0xA0]] = BLANK
-    table[0x250] = UNSURE
+def class_table(model: str, top: int = 0x20000) -> np.ndarray:
+    """Class of each code point below ``top``, as the tokenizer itself cuts around it; the last entry stands for all others."""
+    from tokenizers import Tokenizer
+
+    cutter = Tokenizer.from_str(model).pre_tokenizer
+    points = np.array([c for c in range(top) if not 0xD800 <= c < 0xE000])
+    table = np.full(top + 1, UNSURE, np.uint8)
+    for part in np.array_split(points, 32):
+        # a letter goes with the a, a number with the 1, any other mark with the !
+        probe = "".join(f"a{chr(c)}1!{chr(c)}1\n" for c in part)
+        begins = np.zeros(len(probe) + 1, bool)
+        begins[[start for _, (start, _) in cutter.pre_tokenize_str(probe)]] = True
+        at = 7 * np.arange(len(part)) + 1
+        table[part] = np.select([~begins[at], ~begins[at + 3], ~begins[at + 1]], [LETTER, OTHER, NUMBER], BLANK)
+    table[0x20] = BLANK  # goes with the 1 that follows
     return table
 
 
 def pre_tokens(points: np.ndarray, edges: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Places where a pre-token begins. ``points``: code points, ``edges``: starts of texts."""
     n = len(points)
-    kind = np.append(table[np.minimum(points, 0x250)], UNSURE)
+    kind = np.append(table[np.minimum(points, len(table) - 1)], UNSURE)
     joint = np.zeros(n + 1, bool)
     joint[edges] = True
     joint[n] = True
@@ -94,22 +99,44 @@ def pre_tokens(points: np.ndarray, edges: np.ndarray, table: np.ndarray) -> np.n
     return np.flatnonzero(begin[:n])
 
 
+def safe_cuts(data: np.ndarray, most: int) -> list[int]:
+    """Places about ``most`` bytes apart before a space between two printed ASCII characters: a pre-token always begins there."""
+    printed = (data > 0x20) & (data < 0x7F)
+    places = np.flatnonzero(printed[:-2] & (data[1:-1] == 0x20) & printed[2:]) + 1
+    out, last = [], 0
+    while len(data) - last > most:
+        i = int(np.searchsorted(places, last + most, "right")) - 1
+        if i < 0 or places[i] <= last:  # no place so near
+            i += 1
+            if i >= len(places):
+                break
+        last = int(places[i])
+        out.append(last)
+    return out
+
+
 class Encoder:
     """Ids of text batches; keeps the ids of the pre-tokens that it has met.
 
     With ``added`` the strings of the tokenizer's added tokens in a text become their ids, as
-    in plain encoding; texts that hold one go to the tokenizer whole.
+    in plain encoding; texts that hold one, or a code point outside the table, go to the
+    tokenizer itself.
     """
 
     MOST = 2_000_000  # kept pre-tokens, after which it starts anew
+    LONG = 4 << 20  # bytes above which a text is encoded in parts
+    JOINED = 1024  # pre-tokens that go to the tokenizer in one string
 
-    def __init__(self, model: str, added: bool = False):
+    def __init__(self, model: str, table: np.ndarray, added: bool = False):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(model)
         self.model.encode_special_tokens = not added
-        self.added = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()] if added else []
-        self.table = class_table()
+        contents = [t.content for t in self.model.get_added_tokens_decoder().values()] if added else []
+        self.added = [c.encode() for c in contents]
+        self.whole = any(" " in c for c in contents)  # then no place is safe to cut at
+        self.table = table
+        self.newline = self.model.encode("\n", add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
@@ -119,53 +146,85 @@ class Encoder:
         self.ids = np.zeros(0, np.uint16)
 
     def learn(self, hashes: np.ndarray, strings: list[str]) -> None:
-        found = [e.ids for e in self.model.encode_batch_fast(strings, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint16, int(size.sum()))
-        begin = np.cumsum(size) - size + len(self.ids)
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known)
-        self.known = known[order]
-        self.begin = np.concatenate([self.begin, begin])[order]
-        self.size = np.concatenate([self.size, size])[order]
+        """``hashes`` ascend and are new. No string holds white space, but for a space at its start."""
+        joined = ["\n".join([*strings[a : a + self.JOINED], ""]) for a in range(0, len(strings), self.JOINED)]
+        found = [np.array(e.ids, np.uint16) for e in self.model.encode_batch_fast(joined, add_special_tokens=False)]
+        flat = np.concatenate([np.zeros(0, np.uint16), *found])
+        # the ids of a string end with that of its line feed, which no other pre-token has
+        last = np.flatnonzero(flat == self.newline[0])
+        self._keep(hashes, flat, np.diff(last, prepend=-1) - 1, last)
+
+    def learn_blanks(self, hashes: np.ndarray, strings: list[str]) -> None:
+        found = [np.array(e.ids, np.uint16) for e in self.model.encode_batch_fast(strings, add_special_tokens=False)]
+        size = np.array([len(f) for f in found], np.int64)
+        self._keep(hashes, np.concatenate([np.zeros(0, np.uint16), *found]), size, np.cumsum(size))
+
+    def _keep(self, hashes: np.ndarray, flat: np.ndarray, size: np.ndarray, end: np.ndarray) -> None:
+        at = np.searchsorted(self.known, hashes)
+        self.begin = np.insert(self.begin, at, end - size + len(self.ids))
+        self.size = np.insert(self.size, at, size)
+        self.known = np.insert(self.known, at, hashes)
         self.ids = np.concatenate([self.ids, flat])
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text, the end id last."""
         b = T.batch_of(texts)
-        whole = b.data.tobytes().decode("utf-8")
-        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        out = []
+        short = np.diff(b.offsets) <= self.LONG
+        if short.all():
+            flat, bounds = self._encode(b)
+            return [np.append(flat[x:y], np.uint16(END_ID)) for x, y in zip(bounds[:-1], bounds[1:])]
+        for i in range(len(b)):
+            data = b.data[b.offsets[i] : b.offsets[i + 1]]
+            edges = [0, *([] if self.whole else safe_cuts(data, T.PIECE_BYTES)), len(data)]
+            parts = [self._encode(T.Batch(data[x:y], np.array([0, y - x])))[0] for x, y in zip(edges[:-1], edges[1:])]
+            out.append(np.concatenate([*parts, np.array([END_ID], np.uint16)]))
+        return out
+
+    def _encode(self, b: T.Batch) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and where each text's begin."""
+        points = np.frombuffer(b.data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         lead = np.append(np.flatnonzero(T.LEADS[b.data]), len(b.data))
         edges = np.searchsorted(lead, b.offsets)
+        unsure = self.with_added(b) | (T.per_text(self.table[np.minimum(points, len(self.table) - 1)] == UNSURE, edges) > 0)
+        if unsure.any():
+            flat, sizes = [], []
+            for i in range(len(b)):
+                data = b.data[b.offsets[i] : b.offsets[i + 1]]
+                if unsure[i]:
+                    flat.append(np.array(self.model.encode(data.tobytes().decode("utf-8"), add_special_tokens=False).ids, np.uint16))
+                else:
+                    flat.append(self._encode(T.Batch(data, np.array([0, len(data)])))[0])
+                sizes.append(len(flat[-1]))
+            return np.concatenate(flat), np.append(0, np.cumsum(sizes))
         if len(points) == 0:
-            return [np.array([END_ID], np.uint16) for _ in range(len(b))]
+            return np.zeros(0, np.uint16), np.zeros(len(b) + 1, np.int64)
         begin = pre_tokens(points, edges[:-1][np.diff(edges) > 0], self.table)
-        start, end = lead[begin], lead[np.append(begin[1:], len(points))]
+        after = np.append(begin[1:], len(points))
+        start, end = lead[begin], lead[after]
         h = T.span_hash(b.data, start, end, seed=5)
-        distinct, first = np.unique(h, return_index=True)
+        order = np.argsort(h)
+        ranked = h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        distinct, first = ranked[new], order[new]
+        which = np.empty(len(h), np.int64)
+        which[order] = np.cumsum(new) - 1
         if len(self.known) + len(distinct) > self.MOST:
             self.clear()
         at = np.searchsorted(self.known, distinct)
         fresh = np.ones(len(distinct), bool)
         fresh[at < len(self.known)] = self.known[at[at < len(self.known)]] != distinct[at < len(self.known)]
         if fresh.any():
-            pick = first[fresh]
-            self.learn(distinct[fresh], [b.data[s:e].tobytes().decode("utf-8") for s, e in zip(start[pick], end[pick])])
-        at = np.searchsorted(self.known, h)
-        size = self.size[at]
+            blank = self.table[points[after[first] - 1]] == BLANK
+            for rows, learn in ((fresh & ~blank, self.learn), (fresh & blank, self.learn_blanks)):
+                if rows.any():
+                    learn(distinct[rows], T.string_array(b.data, start[first[rows]], end[first[rows]]).to_pylist())
+            at = np.searchsorted(self.known, distinct)
+        size = self.size[at][which]
         ends = np.cumsum(size)
-        flat = self.ids[np.arange(int(ends[-1])) - np.repeat(ends - size - self.begin[at], size)]
-        bounds = np.append(0, ends)[np.searchsorted(start, b.offsets)]
-        unsure = T.per_text(points > 0x24F, edges) > 0
-        unsure |= self.with_added(b)
-        out = []
-        for i in range(len(b)):
-            ids = flat[bounds[i] : bounds[i + 1]]
-            if unsure[i]:
-                own = b.data[b.offsets[i] : b.offsets[i + 1]].tobytes().decode("utf-8")
-                ids = np.array(self.model.encode(own, add_special_tokens=False).ids, np.uint16)
-            out.append(np.append(ids, np.uint16(END_ID)))
-        return out
+        flat = self.ids[np.arange(int(ends[-1])) - np.repeat(ends - size - self.begin[at][which], size)]
+        return flat, np.append(0, ends)[np.searchsorted(start, b.offsets)]
 
     def with_added(self, b: T.Batch) -> np.ndarray:
         """Marks texts in which the string of an added token begins."""
@@ -180,14 +239,14 @@ class Encoder:
         return out
 
 
-def kept_encoder(model: str) -> Encoder:
+def kept_encoder(model: str, table: bytes) -> Encoder:
     """The encoder of this worker process, which tasks after each other share."""
     import sys
     import types
 
     holder = sys.modules.setdefault("_kept_encoder", types.ModuleType("_kept_encoder"))
     if getattr(holder, "model", None) != model:
-        holder.model, holder.encoder = model, Encoder(model, added=True)
+        holder.model, holder.encoder = model, Encoder(model, np.frombuffer(table, np.uint8), added=True)
     return holder.encoder
 
 
@@ -303,36 +362,10 @@ def decode_block(data: bytes, table: tuple[np.ndarray, np.ndarray, np.ndarray],
 # --- Spark jobs --------------------------------------------------------------------------
 
 
-def place(documents: DataFrame) -> tuple[DataFrame, int]:
-    """(shard, part, doc_id, text), and the parts of a shard: both numbers ascend with ``doc_id``.
-
-    At most SHARDS bounds are quantiles of the ids; a shard is cut into parts by linear
-    interpolation, so that a part has some thousand rows however many there are. Rows of an
-    id that fills several shards are dealt over them by a hash of the text.
-    """
-    n = documents.count()
-    steps = [i / SHARDS for i in range(1, SHARDS)]
-    found = documents.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, steps)), F.lit(20_000)), F.min("doc_id"), F.max("doc_id")).first()
-    bounds = [int(v) for v in found[0] or []]
-    low, high = int(found[1] or 0), int(found[2] or 0)
-    array = F.array(*[F.lit(v).cast("long") for v in bounds])
-    before = F.size(F.filter(array, lambda v: v < F.col("doc_id")))
-    upto = F.size(F.filter(array, lambda v: v <= F.col("doc_id")))
-    shard = F.when(F.col("doc_id").isNull() | (upto == before), F.coalesce(before, F.lit(0))).otherwise(
-        before + F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), upto - before)).cast("int")
-    )
-    parts = max(1, n // (SHARDS * PART_ROWS))
-    edges = F.array(*[F.lit(v).cast("long") for v in (low, *bounds, high)])
-    left, right = F.element_at(edges, F.col("shard") + 1), F.element_at(edges, F.col("shard") + 2)
-    share = (F.col("doc_id") - left) / F.greatest(right - left, F.lit(1))
-    part = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(share * parts))).cast("int")
-    rows = documents.select("doc_id", "text", shard.cast("int").alias("shard"))
-    return rows.select("shard", F.coalesce(part, F.lit(0)).alias("part"), "doc_id", "text"), parts
-
-
-def tokenize(placed: DataFrame, model: str) -> DataFrame:
-    """(shard, part, doc_id, ids): ids as little-endian 16-bit numbers."""
-    shared = placed.sparkSession.sparkContext.broadcast(model)  # the vocabulary file, some MB
+def tokenize(documents: DataFrame, model: str) -> DataFrame:
+    """(doc_id, ids): ids as little-endian 16-bit numbers."""
+    # the vocabulary file, some MB, and a number for each code point
+    shared = documents.sparkSession.sparkContext.broadcast((model, class_table(model).tobytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -341,24 +374,16 @@ def tokenize(placed: DataFrame, model: str) -> DataFrame:
         encoder = None
         for batch in batches:
             for piece in T.slices(batch, "text"):
-                encoder = encoder or kept_encoder(shared.value)
+                encoder = encoder or kept_encoder(*shared.value)
                 ids = [i.astype("<u2").tobytes() for i in encoder.encode(piece.column("text"))]
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("shard"), piece.column("part"), piece.column("doc_id"), pa.array(ids, pa.binary())],
-                    ["shard", "part", "doc_id", "ids"],
-                )
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return placed.mapInArrow(run, "shard int, part int, doc_id long, ids binary")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, ids binary")
 
 
-def write_tokens(documents: DataFrame, model: str, path: str) -> None:
-    """Write the ids of all documents below ``path``. ``model``: text of a tokenizer file.
-
-    The tokenized rows are shuffled once, by part; counting and coding both read that
-    shuffle, as the table reaches the parts in the same plan.
-    """
-    placed, n_parts = place(documents)
-    tokens = tokenize(placed, model).repartition("shard", "part")
+def count_ids(tokens: DataFrame) -> np.ndarray:
+    """How often each of the 65,536 ids occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
@@ -368,43 +393,62 @@ def write_tokens(documents: DataFrame, model: str, path: str) -> None:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    counts = tokens.mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    one = counts.groupBy().agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("counts"))  # at most 65,536 ids
-    # every part there may be, so that only counting and coding ask for the tokens
-    parts = documents.sparkSession.range(1).select(F.explode(F.sequence(F.lit(TABLE), F.lit(SHARDS))).alias("_s")).select(
-        "_s", F.explode(F.when(F.col("_s") == TABLE, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(n_parts - 1)))).alias("_p")
-    )
-    tables = parts.join(F.broadcast(one), F.lit(True)).select("_s", "_p", "counts")
+    total = np.zeros(1 << 16, np.int64)
+    for r in tokens.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        total[r["id"]] = r["n"]
+    return total
 
-    def code(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        seen = right.column("counts").combine_chunks().flatten()
-        total = np.zeros(1 << 16, np.int64)
-        total[seen.field("id").to_numpy()] = seen.field("n").to_numpy()
-        freq = frequencies(total)
-        f, cum, _ = coder(freq)
-        rows: list[tuple] = []
-        if key[0].as_py() == TABLE:
-            rows.append((0, [], [], zlib.compress(freq.astype("<u4").tobytes())))
-        doc_ids, cells = left.column("doc_id").to_pylist(), [c.as_py() for c in left.column("ids")]
-        docs, pieces, held = [], [], 0
-        for i in sorted(range(len(doc_ids)), key=lambda i: (doc_ids[i] is not None, doc_ids[i] or 0, cells[i])):
-            docs.append(doc_ids[i])
-            pieces.append(np.frombuffer(cells[i], "<u2"))
-            held += len(pieces[-1])
-            if held >= BLOCK_TOKENS:
-                rows.append((len(rows), docs, [len(p) for p in pieces], encode_block(np.concatenate(pieces), f, cum)))
-                docs, pieces, held = [], [], 0
+
+def write_tokens(documents: DataFrame, model: str, path: str) -> None:
+    """Write the ids of all documents below ``path``. ``model``: text of a tokenizer file.
+
+    The ids are written once as they come. Their number sets the number of parts, ranges of
+    ``doc_id`` of about ``PART_BYTES`` of ids each; rows of an id that fills several parts are
+    dealt over them by a hash of their ids. A task streams its part in order and codes block
+    after block, so it holds one block at a time, however the ids are spread.
+    """
+    spark = documents.sparkSession
+    tokens = written(tokenize(documents, model), "token-ids")
+    total = count_ids(tokens)
+    freq = frequencies(total)
+    n_parts = max(1, -(-2 * int(total.sum()) // PART_BYTES))
+    shared = spark.sparkContext.broadcast(freq.astype("<u4").tobytes())  # 65,536 numbers
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, cum, _ = coder(np.frombuffer(shared.value, "<u4").astype(np.int64))
+        docs: list = []
+        pieces: list[np.ndarray] = []
+        part, held, number = 0, 0, 0
+
+        def block() -> pa.RecordBatch:
+            payload = encode_block(np.concatenate(pieces), f, cum)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([docs], pa.list_(pa.int64())),
+                 pa.array([[len(p) for p in pieces]], pa.list_(pa.int32())), pa.array([payload], pa.binary())],
+                ["part", "block", "docs", "lengths", "payload"],
+            )
+
+        for batch in batches:
+            for doc, where, cell in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), batch.column("ids")):
+                docs.append(doc)
+                pieces.append(np.frombuffer(cell.as_py(), "<u2"))
+                part, held = where, held + len(pieces[-1])
+                if held >= BLOCK_TOKENS:
+                    yield block()
+                    docs, pieces, held, number = [], [], 0, number + 1
         if docs:
-            rows.append((len(rows), docs, [len(p) for p in pieces], encode_block(np.concatenate(pieces), f, cum)))
-        block, docs, lengths, payload = zip(*rows) if rows else ((), (), (), ())
-        return pa.table({
-            "shard": pa.array([key[0].as_py()] * len(rows), pa.int32()), "part": pa.array([key[1].as_py()] * len(rows), pa.int32()),
-            "block": pa.array(block, pa.int32()), "docs": pa.array(docs, pa.list_(pa.int64())),
-            "lengths": pa.array(lengths, pa.list_(pa.int32())), "payload": pa.array(payload, pa.binary()),
-        })
-
-    blocks = tokens.groupBy("shard", "part").cogroup(tables.groupBy("_s", "_p")).applyInArrow(code, BLOCKS)
-    blocks.write.partitionBy("shard").option("compression", "uncompressed").parquet(path)
+            yield block()
+
+    # nulls come first in both orders
+    tie = F.xxhash64("ids")
+    parts = tokens.withColumn("tie", tie).repartitionByRange(n_parts, "doc_id", "tie").withColumn("part", F.spark_partition_id())
+    ordered = parts.sortWithinPartitions("part", "doc_id", "tie", "ids").select("doc_id", "part", "ids")
+    blocks = ordered.mapInArrow(code, "part int, block int, docs array<bigint>, lengths array<int>, payload binary")
+    many = F.lit(-(-n_parts // SHARDS))
+    stored = blocks.withColumn("shard", F.floor(F.col("part") / many).cast("int"))
+    first = spark.createDataFrame([(0, 0, [], [], bytearray(zlib.compress(freq.astype("<u4").tobytes())), TABLE)], BLOCKS)
+    for rows, mode in ((stored, "errorifexists"), (first.coalesce(1), "append")):
+        rows.write.mode(mode).partitionBy("shard").option("compression", "uncompressed").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

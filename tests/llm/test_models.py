@@ -126,12 +126,12 @@ def test_ids_equal_the_tokenizers(model):
     from tokenizers import Tokenizer
 
     r = random.Random(5)
-    letters = "abs tmdrevl'' '  \n\t é Ñ1²3 .,!\"#☃漢 😀\x85\x1c\x0b\xa0"
+    letters = "abs tmdrevl'' '  \n\t é Ñ1²3 .,!\"#☃漢 😀\x85\x1c\x0b\xa0\u2003\u0301٣ア\U0002000b"
     texts = ["".join(r.choice(letters) for _ in range(r.randrange(60))) for _ in range(3000)]
     texts += ["don't we've we'll I'm it's 'tis ''s he'd x'", "  a", " ", "", "  ", "\n\n a", "a\n\n", "'S 's 're're", "<|endoftext|>", "a" * 3000]
     plain = Tokenizer.from_str(model)
     plain.encode_special_tokens = True
-    for text, ids in zip(texts, op2_tokens.Encoder(model).encode(pa.array(texts))):
+    for text, ids in zip(texts, op2_tokens.Encoder(model, op2_tokens.class_table(model)).encode(pa.array(texts))):
         assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids + [2], text
 
 
@@ -141,7 +141,7 @@ def test_added_tokens_in_texts(model):
     mark = "<|endoftext|>"
     texts = ["a b", f"one{mark}two", mark, f" {mark} {mark}\n", "", f"é☃ {mark}x", mark[:-1], mark[:5], mark[5:], None, "c d"]
     plain = Tokenizer.from_str(model)
-    found = op2_tokens.kept_encoder(model).encode(pa.array(texts))
+    found = op2_tokens.kept_encoder(model, op2_tokens.class_table(model).tobytes()).encode(pa.array(texts))
     for text, ids in zip(texts, found):
         assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids + [2], text
     assert found[2].tolist() == [50256, 2]
@@ -194,12 +194,34 @@ def test_token_files(spark, model, tmp_path, monkeypatch):
     assert none.count() == 0
 
 
-def test_one_id_that_fills_many_shards(spark, tmp_path):
-    data = [(5 if i % 3 else i, f"text {i}", "en", "s") for i in range(300)]
-    got = op2_tokens.token_output(frame(spark, data), tokenizer_path(TOKENIZER), str(tmp_path / "ids")).collect()
+@pytest.mark.parametrize("part_bytes", [32 << 20, 400])
+def test_order_of_ids_at_any_number_of_parts(spark, tmp_path, monkeypatch, part_bytes):
+    """One id with most rows, bunched ids and many nulls; the same data as one part and as many."""
+    monkeypatch.setattr(op2_tokens, "PART_BYTES", part_bytes)
+    data = [(5 if i % 3 else None if i % 2 else i * i * i, f"text {i} " * (i % 7), "en", "s") for i in range(600)]
+    path = str(tmp_path / "ids")
+    got = op2_tokens.token_output(frame(spark, data), tokenizer_path(TOKENIZER), path).collect()
     got.sort(key=lambda r: r["start"])
-    assert [r["doc_id"] for r in got] == sorted(x[0] for x in data)
+    assert [r["doc_id"] for r in got] == sorted((x[0] for x in data), key=lambda i: (i is not None, i))
     assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
+    blocks = spark.read.schema(op2_tokens.BLOCKS).parquet(path).where(F.col("shard") >= 0)
+    if part_bytes == 400:  # a third of the rows in one part at most
+        assert blocks.groupBy("part").agg(F.sum(F.size("docs")).alias("n")).agg(F.max("n")).first()[0] < 200
+
+
+def test_long_texts_in_parts(model, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(op2_tokens.Encoder, "LONG", 200)
+    monkeypatch.setattr(op2_tokens.T, "PIECE_BYTES", 50)
+    r = random.Random(3)
+    texts = ["".join(r.choice("ab cd  e\n'st é漢.1 ") for _ in range(r.randrange(900))) for _ in range(200)]
+    texts += ["a" * 500, " " * 500, "a b " * 200, "a <|endoftext|> b" * 40]
+    encoder = op2_tokens.Encoder(model, op2_tokens.class_table(model), added=True)
+    plain = Tokenizer.from_str(model)
+    for text, ids in zip(texts, encoder.encode(pa.array(texts))):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids + [2], text
+    assert len(op2_tokens.safe_cuts(np.frombuffer(b"a b " * 200, np.uint8), 50)) >= 8
 
 
 # --- 4: mix ------------------------------------------------------------------------------
