@@ -3,7 +3,8 @@
 Base statistics are counted on whole texts. Each document then has a vector of transformed
 statistics; for every (language, source) the minimum-covariance-determinant estimate of
 location and scatter is found by concentration steps over all its documents, from two
-starts of which the one with the smaller determinant wins. The scatter is made consistent for
+starts of which the one with the smaller determinant wins. Steps go on until the determinants
+of all groups have settled. The scatter is made consistent for
 normal statistics, and the square of a least deviation of each statistic's own is added to it.
 Documents whose squared Mahalanobis distance is beyond a quantile of the chi-square law are
 rejected, besides those that the base rule fails.
@@ -27,23 +28,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import written
 from . import text as T
-from .frames import join_small
+from .frames import bounded, join_small
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 REPEAT = 8
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
-COUNT_TYPES = ", ".join(f"{c} long" for c in COUNTS)
 
 
 @dataclass(frozen=True)
 class OutlierOptions:
     half: float = 0.75  # share of a group that the estimate rests on
-    steps: int = 3
+    still: float = 1e-3  # change of a log-determinant below which a group's estimate has settled
+    most_steps: int = 30  # steps after which the better start is taken as it is
     least: int = 60
     quantile: float = 0.9999  # of the chi-square law, beyond which a squared distance is far out
     # least deviation of each statistic; most texts repeat nothing at all. Where nobody else has any,
@@ -137,7 +139,7 @@ def with_counts(documents: DataFrame) -> DataFrame:
                     [piece.column("row"), piece.column("uid"), *[pa.array(counted[c], pa.int64()) for c in COUNTS]], ["row", "uid", *COUNTS]
                 )
 
-    return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, uid long, {COUNT_TYPES}")
+    return bounded(source).mapInArrow(run, StructType([source.schema["row"], *(StructField(c, LongType()) for c in ("uid", *COUNTS))]))
 
 
 def base_failed() -> Column:
@@ -218,6 +220,14 @@ def _moments(rows: DataFrame, weights: list[Column]) -> DataFrame:
     return rows.groupBy(*KEYS).agg(*parts)
 
 
+def _moved(last: DataFrame, now: DataFrame) -> float:
+    """Largest change of a log-determinant between two tables of estimates."""
+    dets = [f"det{s}" for s in range(STARTS)]
+    before = last.select(*[F.col(k).alias(f"_{k}") for k in KEYS], *[F.col(d).alias(f"_{d}") for d in dets])
+    both = now.join(before, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEYS])
+    return both.agg(F.max(F.greatest(*[F.abs(F.col(d) - F.col(f"_{d}")) for d in dets]))).first()[0] or 0.0
+
+
 def fit_outliers(judged: DataFrame, options: OutlierOptions = OutlierOptions()) -> DataFrame:
     """Estimates by group. ``judged``: (g_lang, g_source, x0..)."""
     middle = [F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"c{i}") for i in range(D)]
@@ -233,13 +243,15 @@ def fit_outliers(judged: DataFrame, options: OutlierOptions = OutlierOptions())
     # by their distance from the medians
     weights = [F.when(far <= D, 1.0).otherwise(0.0) + F.lit(1e-9), 1.0 / (1.0 + far)]
     estimate = written(_estimates(_moments(off, weights), options.floors), "mcd-estimate")
-    for _ in range(options.steps):
+    for _ in range(options.most_steps):
         near = join_small(judged, estimate, KEYS, "x0").withColumns({f"q{s}": _distance(s) for s in range(STARTS)})
         near = near.select(*KEYS, *[f"x{i}" for i in range(D)], *[f"q{s}" for s in range(STARTS)])
         cuts = near.groupBy(*KEYS).agg(*[F.percentile_approx(f"q{s}", options.half, 2000).alias(f"h{s}") for s in range(STARTS)])
         kept = join_small(near, written(cuts, "mcd-cuts"), KEYS, "x0")
         inside = [F.when(F.col(f"q{s}") <= F.col(f"h{s}"), 1.0).otherwise(0.0) for s in range(STARTS)]
-        estimate = written(_estimates(_moments(kept, inside), options.floors, options.consistency), "mcd-estimate")
+        last, estimate = estimate, written(_estimates(_moments(kept, inside), options.floors, options.consistency), "mcd-estimate")
+        if _moved(last, estimate) < options.still:
+            break
     return estimate
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 
 import pyarrow as pa
@@ -107,8 +108,11 @@ def test_jaccard(spark, options):
     assert collected(found) == join_brute(rows(), options.words, options.above, options.below)
 
 
-def test_jaccard_of_many_borderline_copies(spark, monkeypatch):
+@pytest.mark.parametrize("fan_out,bucket", [(2048, 16 << 20), (4, 300)])
+def test_jaccard_of_many_borderline_copies(spark, monkeypatch, fan_out, bucket):
     r = random.Random(4)
+    monkeypatch.setattr(op5_jaccard, "FAN_OUT", fan_out)  # a second split of the buckets
+    monkeypatch.setattr(op5_jaccard, "BUCKET_BYTES", bucket)
     base = [f"t{j}" for j in range(60)]
     data = []
     for i in range(150):
@@ -122,6 +126,31 @@ def test_jaccard_of_many_borderline_copies(spark, monkeypatch):
     assert collected(found) == join_brute(data, 4, 85, 100)
 
 
+def test_groups_of_one_component_meet_once(spark, monkeypatch):
+    """Near copies of one text in many groups: stars link them, and few pairs are left to open."""
+    r = random.Random(6)
+    base = [f"t{j}" for j in range(200)]
+    data = []
+    for i in range(400):
+        w = list(base)
+        w[r.randrange(200)] = f"x{i}"
+        data.append((i, " ".join(w), "en", "s"))
+    data += [(1000 + i, " ".join(base[:160] + [f"y{i}{j}" for j in range(9)]), "en", "s") for i in range(5)]
+    monkeypatch.setattr(op5_jaccard, "GROUP_ROWS", 8)
+    rows_read = []
+    plain = op5_jaccard.opened
+
+    def counted(groups, pairs, options):
+        rows_read.append((groups.count(), pairs.count()))
+        return plain(groups, pairs, options)
+
+    monkeypatch.setattr(op5_jaccard, "opened", counted)
+    found = op5_jaccard.jaccard_components(frame(spark, data, False)).select("doc_id", "n_shingles", "component_id")
+    assert collected(found) == join_brute(data, 4, 85, 100)
+    (groups, stars), (_, rest) = rows_read
+    assert groups > 50 and rest < 6 * groups < groups * groups // 4  # five of the groups hold others too
+
+
 def test_first_of_each_component_stays(spark):
     df = frame(spark, rows())
     kept = op5_jaccard.keep_first(df)
@@ -201,6 +230,55 @@ def test_chi_square():
     assert abs(op6_rules.OutlierOptions().consistency * inner.var() - 1) < 0.01
 
 
+def mcd_brute(x, o):
+    """Concentration steps in plain arrays until the kept rows stand still: (distance of each row)."""
+    import numpy as np
+
+    rank = lambda v, p: np.sort(v)[math.ceil(p * len(v)) - 1]
+    floors = np.diag(np.square(o.floors))
+    centre = np.array([rank(c, 0.5) for c in x.T])
+    spread = np.array([rank(np.abs(c - m), 0.5) for c, m in zip(x.T, centre)])
+    far = (((x - centre) / (1.4826 * spread + o.floors)) ** 2).sum(axis=1)
+    best = None
+    for weights, factor in ((np.where(far <= 5, 1.0, 0.0) + 1e-9, 1.0), (1 / (1 + far), 1.0)):
+        kept = None
+        while True:
+            mean = (x * weights[:, None]).sum(axis=0) / weights.sum()
+            cov = (x * weights[:, None]).T @ x / weights.sum() - np.outer(mean, mean)
+            cov = cov * factor + floors
+            q = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            now = q <= rank(q, o.half)
+            if kept is not None and (kept == now).all():
+                break
+            kept, weights, factor = now, now.astype(float), o.consistency
+        if best is None or np.linalg.slogdet(cov)[1] < best[0] - 1e-12:
+            best = np.linalg.slogdet(cov)[1], q
+    return best[1]
+
+
+def test_estimate_equals_plain_concentration_steps(spark):
+    import numpy as np
+
+    r, data, want = np.random.default_rng(4), [], {}
+    o = op6_rules.OutlierOptions()
+    for g, n in (("a", 400), ("b", 150), ("a b", 90)):
+        x = r.normal(size=(n, 5)) @ r.normal(size=(5, 5)) * 0.3
+        x[: n // 6] += r.normal(size=5) * 3  # a sixth lies elsewhere
+        want[g] = mcd_brute(x, o)
+        data += [(g, "s", float(i), *map(float, v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(data, "g_lang string, g_source string, i double, x0 double, x1 double, x2 double, x3 double, x4 double").repartition(4)
+    estimate = op6_rules.fit_outliers(df, o)
+    best = F.when(F.col("det0") <= F.col("det1"), op6_rules._distance(0)).otherwise(op6_rules._distance(1))
+    got = df.join(estimate, ["g_lang", "g_source"]).select("g_lang", "i", best.alias("q")).collect()
+    for row in got:
+        assert row["q"] == pytest.approx(want[row["g_lang"]][int(row["i"])], rel=1e-3, abs=1e-6)
+
+
+def test_columns_with_any_name(spark):
+    df = frame(spark, rows(), False).withColumn("a b, c: d", F.lit(1)).withColumn("e`f", F.lit(2))
+    assert op6_rules.quality_filter(df).columns == df.columns
+
+
 def test_one_statistic_alone_rejects(spark):
     """A planted outlier in each of the statistics, among texts that have next to nothing of it."""
     r = random.Random(11)
