@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ARROW_BYTES = 4 << 20
 BROADCAST_ROWS = 100_000
 SALTS = 64
 
@@ -29,6 +30,14 @@ class Sent:
         self.bytes.unpersist()
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold about ``ARROW_BYTES``: rows of text differ too much for a bound on rows alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, "67108864b") == "67108864b":  # not set by the user
+        df.sparkSession.conf.set(key, str(ARROW_BYTES))
+    return df
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.length(F.regexp_replace(text, r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", "x"))

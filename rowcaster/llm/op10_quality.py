@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .frames import bounded
 
 SAMPLE = 12_000  # labelled documents that are learned from
 TABLE, DIM, ONES, AROUND = 1 << 14, 32, 3, 2
@@ -94,7 +95,7 @@ def learn_contexts(documents: DataFrame) -> np.ndarray:
         values = pa.FixedSizeListArray.from_arrays(pa.array(table[seen].ravel()), DIM).cast(pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), values], ["unit", "v"])
 
-    parts = documents.select("text").mapInArrow(run, "unit int, v array<double>")
+    parts = bounded(documents.select("text")).mapInArrow(run, "unit int, v array<double>")
     sums = parts.groupBy("unit").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(DIM)])
     out = np.zeros((TABLE, DIM), np.float32)
     for r in sums.collect():  # at most TABLE rows
@@ -195,7 +196,7 @@ def with_vectors(documents: DataFrame, contexts: np.ndarray) -> DataFrame:
                 cells = pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), WIDTH).cast(pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([piece.column("quality"), cells], ["quality", "v"])
 
-    return documents.select("quality", "text").mapInArrow(run, "quality int, v array<float>")
+    return bounded(documents.select("quality", "text")).mapInArrow(run, "quality int, v array<float>")
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
@@ -221,5 +222,5 @@ def quality_scores(documents: DataFrame, labels: DataFrame, size: int = SAMPLE)
                 score = net.score(pooled(piece.column("text"), shared.value)) if net else np.full(piece.num_rows, 0.5)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held_out"), pa.array(score.astype(np.float64))], ["doc_id", "held_out", "score"])
 
-    scored = documents.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double")
+    scored = bounded(documents.select("doc_id", held_out().alias("held_out"), "text")).mapInArrow(run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import text as T
+from .frames import bounded
 
 # Elements of HTML by what they do to the text around them.
 BLOCKS = frozenset(
@@ -324,4 +325,4 @@ def extract(pages: DataFrame, options: ExtractOptions = ExtractOptions()) -> Dat
                 )
 
     kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
-    return source.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return bounded(source).mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

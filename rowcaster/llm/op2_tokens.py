@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from ..session import new_path, written
 from . import text as T
+from .frames import bounded
 
 END_ID = 2
 SCALE = 20
@@ -379,7 +380,7 @@ def tokenize(documents: DataFrame, model: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, ids binary")
+    return bounded(rows).mapInArrow(run, "doc_id long, ids binary")
 
 
 def count_ids(tokens: DataFrame) -> np.ndarray:

@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from . import text as T
-from .frames import join_small
+from .frames import bounded, join_small
 from .graph import components
 
 BUCKET_BYTES = 16 << 20  # of text for each bucket of tokens
-FLUSH_TOKENS = 3 << 20
+FLUSH_TOKENS = 1 << 20  # a flush takes about 90 bytes a token
+FAN_OUT = 2048  # buckets that a task packs rows for at once; more are reached by a second split
 GROUP_TOKENS, GROUP_ROWS = 1 << 16, 256
 NEAR_ROWS = 1_000_000  # ids that are broadcast, 8 MB
 SAMPLED, COMMON = 10_000, 100_000  # nodes and tokens that only decide which tokens count as rare
@@ -77,8 +78,11 @@ def token_sets(b: T.Batch, k: int) -> tuple[np.ndarray, np.ndarray]:
     return t, np.searchsorted(o, np.arange(len(b) + 1))
 
 
-def _row(**columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v], pa.int32()) if isinstance(v, int) else pa.array([v], pa.binary()) for v in columns.values()], list(columns))
+ROW = "bucket long, ids binary, places binary, tokens binary"
+
+
+def _row(bucket: int, ids: bytes, places: bytes, tokens: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *(pa.array([v], pa.binary()) for v in (ids, places, tokens))], ["bucket", "ids", "places", "tokens"])
 
 
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -87,13 +91,45 @@ def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size - first, size)
 
 
+NOBODY = 0xFFFFFFFF  # place of a token that is not counted for a document
+
+
+def packed(tokens: np.ndarray, owner: np.ndarray, ids: np.ndarray, bucket: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket: its tokens, and for each the place of its document among the row's ids. No owner: -1."""
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for i in np.flatnonzero(np.diff(edges)):
+        part = order[edges[i] : edges[i + 1]]
+        docs, at = np.unique(owner[part], return_inverse=True)
+        if docs[0] < 0:
+            docs, at = docs[1:], np.where(at == 0, NOBODY, at - 1)
+        yield _row(int(i), ids[docs].tobytes(), at.astype("<u4").tobytes(), tokens[part].tobytes())
+
+
+def unpacked(ids: pa.Array, places: pa.Array, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, owner, ids) of several packed rows."""
+    all_ids, owner, all_tokens, before = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    for row_ids, row_places, row_tokens in zip(ids, places, tokens):
+        own = np.frombuffer(row_ids.as_py(), np.int64)
+        at = np.frombuffer(row_places.as_py(), "<u4").astype(np.int64)
+        owner.append(np.where(at == NOBODY, -1, at + before))
+        all_ids.append(own)
+        all_tokens.append(np.frombuffer(row_tokens.as_py(), np.uint64))
+        before += len(own)
+    return np.concatenate(all_tokens), np.concatenate(owner), np.concatenate(all_ids)
+
+
 def prefix_rows(rows: DataFrame, options: JoinOptions, buckets: int) -> DataFrame:
     """Packed (bucket, ids, places, tokens): each task's prefix tokens by bucket.
 
     Negative buckets have for each document its id, set size and the number of prefix tokens
     that another document of the same task has. Such a token is sent once, without a document,
-    so a token of very many documents costs each task one entry.
+    so a token of very many documents costs each task one entry. A task packs rows for
+    ``FAN_OUT`` buckets at most; where there are more, those are dealt over as many finer ones
+    by a second hash after a shuffle of the packed rows.
     """
+    fine = -(-buckets // FAN_OUT)
+    coarse = -(-buckets // fine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -101,26 +137,18 @@ def prefix_rows(rows: DataFrame, options: JoinOptions, buckets: int) -> DataFram
 
         def flush() -> Iterator[pa.RecordBatch]:
             uid, doc, null, size, count, tokens = (np.concatenate(c) for c in zip(*held))
-            owner = np.repeat(np.arange(len(uid)), count)
+            held.clear()
+            owner = np.repeat(np.arange(len(uid), dtype=np.int32), count)
             order = np.argsort(tokens, kind="stable")
             tokens, owner = tokens[order], owner[order]
             new = np.ones(len(tokens), bool)
             new[1:] = tokens[1:] != tokens[:-1]
-            place = np.cumsum(new) - 1
-            many = np.bincount(place) > 1 if len(place) else np.zeros(0, bool)
-            shared = np.bincount(owner[many[place]], minlength=len(uid)) if len(place) else np.zeros(len(uid), np.int64)
-            yield _row(bucket=-1 - int(uid[0] % buckets), ids=uid.tobytes(), places=np.stack([doc, null, size, shared], axis=1).astype(np.int64).tobytes(), tokens=b"")
-            tokens, owner = tokens[new], np.where(many, len(uid), owner[new]) if len(place) else owner
-            bucket = (tokens % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            uid = np.append(uid, 0)
-            for i in range(buckets):
-                part = order[edges[i] : edges[i + 1]]
-                if len(part):
-                    docs, at = np.unique(owner[part], return_inverse=True)
-                    at = np.where(docs[at] == len(uid) - 1, 0xFFFFFFFF, at)
-                    yield _row(bucket=i, ids=uid[docs].tobytes(), places=at.astype("<u4").tobytes(), tokens=tokens[part].tobytes())
+            many = ~new
+            many[:-1] |= many[1:]
+            shared = np.bincount(owner[many], minlength=len(uid))
+            yield _row(-1 - int(uid[0] % buckets), uid.tobytes(), np.stack([doc, null, size, shared], axis=1).astype(np.int64).tobytes(), b"")
+            tokens, owner = tokens[new], np.where(many, -1, owner)[new]
+            yield from packed(tokens, owner, uid, (tokens % np.uint64(coarse)).astype(np.int64), coarse)
 
         for batch in batches:
             for piece in T.slices(batch, "text"):
@@ -133,11 +161,41 @@ def prefix_rows(rows: DataFrame, options: JoinOptions, buckets: int) -> DataFram
                 waiting += int(count.sum()) + len(size)
                 if waiting >= FLUSH_TOKENS:
                     yield from flush()
-                    held, waiting = [], 0
+                    waiting = 0
+        if held:
+            yield from flush()
+
+    first = bounded(rows).mapInArrow(run, ROW)
+    if fine == 1:
+        return first
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        waiting = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for bucket, parts in held.items():
+                tokens, owner, ids = unpacked(*zip(*parts))
+                second = (T.mix(tokens) % np.uint64(fine)).astype(np.int64)
+                for batch in packed(tokens, owner, ids, second, fine):
+                    at = batch.column("bucket").to_numpy() * coarse + bucket
+                    yield batch.set_column(0, "bucket", pa.array(at, pa.int64()))
+            held.clear()
+
+        for batch in batches:
+            for bucket, *cells in zip(*(batch.column(c) for c in ("bucket", "ids", "places", "tokens"))):
+                if bucket.as_py() < 0:
+                    yield _row(bucket.as_py(), *(c.as_py() for c in cells))
+                    continue
+                held.setdefault(bucket.as_py(), []).append(cells)
+                waiting += len(cells[2].as_buffer()) // 8
+                if waiting >= FLUSH_TOKENS:
+                    yield from flush()
+                    waiting = 0
         if held:
             yield from flush()
 
-    return rows.mapInArrow(run, "bucket int, ids binary, places binary, tokens binary")
+    return first.repartition(coarse, "bucket").mapInArrow(again, ROW)
 
 
 PARTS = "uid long, doc_id long, size long, n long"
@@ -150,21 +208,14 @@ def _shared_counts(key: tuple, table: pa.Table) -> pa.Table:
         facts = [np.frombuffer(p.as_py(), np.int64).reshape(-1, 4) for p in table.column("places")]
         uid, facts = np.concatenate([np.frombuffer(i.as_py(), np.int64) for i in table.column("ids")]), np.concatenate(facts)
         return pa.table({"uid": pa.array(uid), "doc_id": pa.array(facts[:, 0], mask=facts[:, 1] > 0), "size": pa.array(facts[:, 2]), "n": pa.array(facts[:, 3])})
-    ids, tokens = [], []
-    for row_ids, places, row_tokens in zip(*(table.column(c) for c in ("ids", "places", "tokens"))):
-        at = np.frombuffer(places.as_py(), "<u4").astype(np.int64)
-        own = np.append(np.frombuffer(row_ids.as_py(), np.int64), 0)
-        none = at == 0xFFFFFFFF
-        ids.append((own[np.where(none, len(own) - 1, at)], none))
-        tokens.append(np.frombuffer(row_tokens.as_py(), np.uint64))
-    t = np.concatenate(tokens)
+    t, owner, ids = unpacked(*(table.column(c) for c in ("ids", "places", "tokens")))
     order = np.argsort(t, kind="stable")
     t = t[order]
     same = np.zeros(len(t), bool)
     same[1:] = t[1:] == t[:-1]
     same[:-1] |= same[1:].copy()
-    none = np.concatenate([i[1] for i in ids])[order]
-    uid, n = np.unique(np.concatenate([i[0] for i in ids])[order][same & ~none], return_counts=True)
+    owner = owner[order]
+    uid, n = np.unique(ids[owner[same & (owner >= 0)]], return_counts=True)
     return pa.table({"uid": pa.array(uid, pa.int64()), "doc_id": pa.nulls(len(uid), pa.int64()), "size": pa.nulls(len(uid), pa.int64()), "n": pa.array(n, pa.int64())})
 
 
@@ -182,7 +233,7 @@ def nodes_of(rows: DataFrame, chosen: DataFrame, n_chosen: int, options: JoinOpt
                     ["uid", "doc_id", "digest", "size", "tokens"],
                 )
 
-    return rows.join(keys, "uid", "left_semi").mapInArrow(run, "uid long, doc_id long, digest binary, size long, tokens binary")
+    return bounded(rows.join(keys, "uid", "left_semi")).mapInArrow(run, "uid long, doc_id long, digest binary, size long, tokens binary")
 
 
 def common_tokens(nodes: DataFrame, n: int) -> np.ndarray:
@@ -302,19 +353,11 @@ def open_groups(left: tuple, right: tuple, options: JoinOptions) -> list[tuple[i
     return [(int(a), int(b)) for a, b in zip(names, label) if a != b]
 
 
-def find_links(groups: DataFrame, options: JoinOptions) -> DataFrame:
-    """(a, b) of linked nodes, enough for the components."""
-    post = groups.select(F.explode("prefix").alias("token"), "gid", "least", "most")
-    other = post.select("token", F.col("gid").alias("gid2"), F.col("least").alias("least2"), F.col("most").alias("most2"))
-    fits = (F.col("most") * options.below >= F.col("least2") * options.above) & (F.col("most2") * options.below >= F.col("least") * options.above)
-    met = post.join(other, "token").where((F.col("gid") < F.col("gid2")) & fits)
-    pairs = met.groupBy("gid", "gid2").agg(F.count("*").alias("n"), F.min(F.least("least", "least2")).alias("_p"))
-    pairs = pairs.where(F.col("n") >= options.needed("_p")).select("gid", "gid2")
-    alone = groups.where(F.size("nodes") > 1).select("gid", F.col("gid").alias("gid2"))
-    pairs = written(pairs.unionByName(alone), "join-pairs")
+def opened(groups: DataFrame, pairs: DataFrame, options: JoinOptions) -> DataFrame:
+    """(a, b) of linked nodes in the pairs (gid, gid2) of groups, enough for their components."""
     packed = groups.select("gid", F.struct("nodes", "sizes", "union", "members").alias("g1"))
     second = groups.select(F.col("gid").alias("gid2"), F.struct("nodes", "sizes", "union", "members").alias("g2"))
-    opened = pairs.join(packed, "gid").join(second, "gid2").select("g1", "g2")
+    both = pairs.join(packed, "gid").join(second, "gid2").select("g1", "g2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def read(g: dict) -> tuple:
@@ -330,7 +373,44 @@ def find_links(groups: DataFrame, options: JoinOptions) -> DataFrame:
                     a, b = zip(*found)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return opened.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def find_links(groups: DataFrame, options: JoinOptions) -> DataFrame:
+    """(a, b) of linked nodes, enough for the components.
+
+    Many groups may hold near copies of one text, and all meet in their tokens. So every group
+    is first opened alone and with the first group of each token it has; what that links is
+    labelled, and groups whose members all have one label need not meet others of that label
+    any more. All other groups that share enough prefix tokens are opened against each other.
+    """
+    post = written(groups.select(F.explode("prefix").alias("token"), "gid", "least", "most"), "join-post")
+    fits = (F.col("most") * options.below >= F.col("least2") * options.above) & (F.col("most2") * options.below >= F.col("least") * options.above)
+    enough = F.col("n") >= options.needed("_p")
+    counted = [F.count("*").alias("n"), F.min(F.least("least", "least2")).alias("_p")]
+    first = written(post.groupBy("token").agg(F.min(F.struct("gid", "least", "most")).alias("f"), F.count("*").alias("_c")).where("_c > 1"), "join-first")
+    first = first.select("token", F.col("f.gid").alias("gid2"), F.col("f.least").alias("least2"), F.col("f.most").alias("most2"))
+    stars = post.join(first, "token").where((F.col("gid") != F.col("gid2")) & fits).groupBy("gid", "gid2").agg(*counted).where(enough)
+    alone = groups.where(F.size("nodes") > 1).select("gid", F.col("gid").alias("gid2"))
+    stars = written(stars.select("gid", "gid2").unionByName(alone), "join-stars")
+    links = written(opened(groups, stars, options), "join-links")
+    labels = components(links)
+    members = groups.select("gid", F.explode("nodes").alias("node"))
+    named = members.join(labels, "node", "left").select("gid", F.coalesce("label", "node").alias("label"))
+    classes = named.groupBy("gid").agg(F.min("label").alias("_l"), F.max("label").alias("_m"))
+    # a class is a label, or the group itself
+    classes = written(classes.select("gid", (F.col("_l") == F.col("_m")).alias("one"), F.when(F.col("_l") == F.col("_m"), F.col("_l")).otherwise(F.col("gid")).alias("class")), "join-classes")
+    post = written(post.join(classes, "gid"), "join-classed")
+    several = post.groupBy("token").agg(F.min(F.struct("one", "class")).alias("_a"), F.max(F.struct("one", "class")).alias("_b")).where("_a <> _b").select("token")
+    post = post.join(several, "token")
+    other = post.select("token", *[F.col(c).alias(f"{c}2") for c in ("gid", "least", "most", "one", "class")])
+    apart = ~(F.col("one") & F.col("one2") & (F.col("class") == F.col("class2")))
+    met = post.join(other, "token").where((F.col("gid") < F.col("gid2")) & fits & apart)
+    pairs = met.groupBy("gid", "gid2").agg(*counted).where(enough).select("gid", "gid2")
+    # what a star has opened, in whichever order, needs no second look
+    done = stars.select(F.least("gid", "gid2").alias("gid"), F.greatest("gid", "gid2").alias("gid2"))
+    rest = written(pairs.join(done, ["gid", "gid2"], "left_anti"), "join-pairs")
+    return links.unionByName(opened(groups, rest, options))
 
 
 def jaccard_components(documents: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
@@ -356,7 +436,8 @@ def jaccard_components(documents: DataFrame, options: JoinOptions = JoinOptions(
     labels = components(links)
     whole = sets.select("uid", "doc_id", "digest").distinct().join(equal, "digest").join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
     whole = written(whole.select("uid", "doc_id", F.coalesce("label", "node").alias("label")), "join-labels")
-    least = whole.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join can split the rows of a large component
+    least = written(whole.groupBy("label").agg(F.min("doc_id").alias("component_id")), "join-least")
     found = whole.join(least, "label").select(F.col("uid").alias("_u"), "component_id", "label")
     out = facts.join(found, F.col("uid") == F.col("_u"), "left")
     return out.select("uid", "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("label", "uid").alias("label"))
