@@ -18,7 +18,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def require_artifact(spark: SparkSession, path: str, what: str) -> None:
     if not exists(spark, path):
-        raise FileNotFoundError(f"{what} file not found at {path}")
+        raise FileNotFoundError(f"no {what} below {path}: train first, or name the folder of another run")
 
 
 def save_json(spark: SparkSession, value: dict, path: str) -> None:

@@ -283,7 +283,7 @@ def test_search(folded):
     assert lines[0]["params_C"] == best["C"] and all(1e-3 <= r["params_C"] <= 10 for r in lines)
     short = tune.random_search(folded, LOGISTIC, n_trials=50, timeout_seconds=0.0)[1]
     assert short.count() == 1
-    with pytest.raises(ValueError, match="not configured"):
+    with pytest.raises(ValueError, match="forest"):
         tune.search_space({"model": {"name": "rf"}})
 
 

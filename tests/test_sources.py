@@ -89,11 +89,12 @@ def test_contract(spark):
     assert sorted(f[0] for f in error.value.failures) == ["age", "k"]
     with pytest.raises(validate.ValidationError, match="type float"):
         validate.validate_training(df, {"target": {"name": "y"}, "dataset": {"numerical_overrides": ["k"]}})
-    with pytest.raises(ValueError, match=r"Missing required columns: \['u', 'v'\]"):
+    with pytest.raises(ValueError, match="u, v") as error:
         validate.require_columns(df, ["v", "u", "k"])
-    with pytest.raises(ValueError, match="not found in data"):
+    assert "k" not in str(error.value).split()
+    with pytest.raises(ValueError, match=r"\bz\b"):
         validate.require_target(df, "z")
-    with pytest.raises(ValueError, match="upload a CSV"):
+    with pytest.raises(ValueError, match=r"a\.txt"):
         validate.check_upload("a.txt", df)
     assert validate.target_name({"dataset": {"target": "d"}, "target": {"name": "t"}}) == "d"
 
