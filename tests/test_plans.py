@@ -130,7 +130,7 @@ def test_missing_pieces_are_named(spark, folder):
     data = generated.binary_rows(generated.range_keys(spark, 20))
     with pytest.raises(ValueError, match="no column prognosis to learn"):
         train_multiclass(spark, data, make_config({"key": "row_id"}), str(folder / "x"))
-    with pytest.raises(FileNotFoundError, match="Model file not found"):
+    with pytest.raises(FileNotFoundError, match="no Model"):
         load_artifacts(spark, str(folder / "nothing"))
     broken = data.withColumn("age", F.lit(130))
     with pytest.raises(ValueError, match="between 0 and 120"):
