@@ -27,6 +27,7 @@ class FoldedData:
     counts: list[dict[int, int]]  # class counts of the training part per fold
     label: str
     n_classes: int
+    key: str | None = None
 
     @property
     def k(self) -> int:
@@ -67,7 +68,7 @@ def prepare_folds(
                 counts[i][int(r[label])] = counts[i].get(int(r[label]), 0) + r["n"]
     skip = [key, label, "fold", *exclude]
     states = fit_features(folded, options, skip, [F.col("fold") != i for i in range(k)])
-    return FoldedData(folded, [FeatureModel(s) for s in states], counts, label, n_classes)
+    return FoldedData(folded, [FeatureModel(s) for s in states], counts, label, n_classes, key)
 
 
 def fit_folds(
@@ -78,7 +79,7 @@ def fit_folds(
 
     def fit(i: int) -> PipelineModel:
         return fit_classifier(
-            data.train(i), data.features[i], config, data.label, data.counts[i], data.n_classes, weighted
+            data.train(i), data.features[i], config, data.label, data.counts[i], data.n_classes, weighted, data.key
         )
 
     with ThreadPool(processes=max(1, min(parallelism, data.k))) as pool:

@@ -11,13 +11,13 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .models import BoostedOvrModel
+from .boosting import JointBoostingModel
 from .select import row_lookup, sample_rows
+from .trees import leaf_paths, node_table
 
 BACKGROUND_ROWS = 100
 
@@ -54,45 +54,11 @@ def linear_model_attribution(model: PipelineModel, df: DataFrame, class_index: i
 # --- tree models ---------------------------------------------------------------------
 
 
-def tree_paths(tree, weight: float, class_index: int | None) -> list[tuple[float, list]]:
-    """(leaf value, [(feature, zero share, low, high), ...]) for every leaf of a Spark tree.
-
-    A feature met several times on a path becomes one interval (low, high] and the
-    product of its cover shares.
-    """
-    out = []
-    nodes = [(tree._call_java("rootNode"), {})]
-    while nodes:
-        node, path = nodes.pop()
-        if not hasattr(node, "leftChild") or node.getClass().getSimpleName() == "LeafNode":
-            stats = [float(v) for v in node.impurityStats().stats()]
-            value = node.prediction() if class_index is None else stats[class_index] / sum(stats)
-            out.append((weight * float(value), [(f, z, lo, hi) for f, (z, lo, hi) in path.items()]))
-            continue
-        split = node.split()
-        feature, cut = split.featureIndex(), float(split.threshold())
-        cover = _cover(node)
-        for child, is_left in ((node.leftChild(), True), (node.rightChild(), False)):
-            z, lo, hi = path.get(feature, (1.0, -math.inf, math.inf))
-            span = (lo, min(hi, cut)) if is_left else (max(lo, cut), hi)
-            nodes.append((child, {**path, feature: (z * _cover(child) / cover, *span)}))
-    return out
-
-
-def _cover(node) -> float:
-    """Training weight that reached the node."""
-    return float(node.impurityStats().count())
-
-
 def model_paths(model: Model, class_index: int) -> list[tuple[float, list]]:
-    """Leaf paths of a forest (class share) or boosted model (margin of the class)."""
-    if isinstance(model, BoostedOvrModel):
-        return model_paths(model.models[class_index], 1)
-    if isinstance(model, RandomForestClassificationModel):
-        share = 1.0 / model.getNumTrees
-        return [p for t in model.trees for p in tree_paths(t, share, class_index)]
-    sign = 1.0 if class_index == 1 else -1.0
-    return [p for t, w in zip(model.trees, model.treeWeights) for p in tree_paths(t, sign * w, None)]
+    """(leaf value, [(feature, zero share, low, high), ...]) for every leaf of a forest (class share) or boosted model
+    (margin of the class). The leaves are bounded by the model, not by the data."""
+    rows = leaf_paths(node_table(model, class_index)).collect()
+    return [(r["value"], [(e["feature"], e["share"], e["low"], e["high"]) for e in r["path"]]) for r in rows]
 
 
 def path_attribution(x: np.ndarray, paths: list[tuple[float, list]], n_features: int) -> np.ndarray:
@@ -224,7 +190,7 @@ def sampled_attribution(
 
 def explainer_kind(model: PipelineModel) -> str:
     last = model.stages[-1]
-    if hasattr(last, "trees") or isinstance(last, BoostedOvrModel):
+    if hasattr(last, "trees") or isinstance(last, JointBoostingModel):
         return "tree"
     return "linear" if hasattr(last, "coefficientMatrix") else "sampled"
 

@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Model, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassificationModel,
-    GBTClassifier,
-    LogisticRegression,
-    RandomForestClassifier,
-)
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .boosting import BoostOptions, JointBooster
 from .features import FeatureModel
 from .weights import class_weights, positive_ratio, with_multilabel_weight
 
@@ -54,13 +47,7 @@ def logistic_estimator(config: dict, total_weight: float, **columns) -> Logistic
 
 
 def boosting_params(options: dict, seed: int) -> dict:
-    """Tree options under their Spark names; the leaf penalties have no counterpart."""
-    for name, shipped in (("reg_lambda", 1.0), ("reg_alpha", 0.0)):
-        value = float(options.get(name, shipped))
-        if value != shipped:
-            raise ValueError(f"{name}={value} is not supported; only {shipped} is accepted")
-        if name in options:
-            warnings.warn(f"{name} has no effect on Spark boosted trees", stacklevel=2)
+    """Tree options under the names of Spark's own boosted classifier, which has no leaf penalties."""
     fraction = float(options.get("colsample_bytree", 1.0))
     return {
         "maxIter": int(options.get("n_estimators", 100)),
@@ -74,95 +61,13 @@ def boosting_params(options: dict, seed: int) -> dict:
     }
 
 
-class _OvrParams(Params):
-    labelCol = Param(Params._dummy(), "labelCol", "class number", TypeConverters.toString)
-    weightCol = Param(Params._dummy(), "weightCol", "row weight", TypeConverters.toString)
-    numClasses = Param(Params._dummy(), "numClasses", "number of classes", TypeConverters.toInt)
-
-
-class BoostedOvr(Estimator, _OvrParams):
-    """One boosted classifier per class against the rest; probabilities are normalised."""
-
-    def __init__(self, params: dict, n_classes: int, labelCol: str, weightCol: str | None = None):
-        super().__init__()
-        self._set(labelCol=labelCol, numClasses=n_classes)
-        if weightCol is not None:
-            self._set(weightCol=weightCol)
-        self._tree_params = params
-
-    def _fit(self, dataset: DataFrame) -> BoostedOvrModel:
-        label = self.getOrDefault(self.labelCol)
-        columns = {"featuresCol": "features", "labelCol": "_one"}
-        if self.isSet(self.weightCol):
-            columns["weightCol"] = self.getOrDefault(self.weightCol)
-        kept = dataset.select("features", label, *[c for c in (columns.get("weightCol"),) if c]).persist()
-        models = []
-        for i in range(self.getOrDefault(self.numClasses)):  # every class reads the same features
-            one = kept.withColumn("_one", (F.col(label) == i).cast("double"))
-            models.append(GBTClassifier(**self._tree_params, **columns).fit(one))
-        kept.unpersist()
-        return BoostedOvrModel(models)
-
-
-class BoostedOvrModel(Model, Params, MLWritable, MLReadable):
-    def __init__(self, models: Sequence[GBTClassificationModel] = ()):
-        super().__init__()
-        self.models = list(models)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        out, parts = dataset, []
-        for i, m in enumerate(self.models):
-            m = m.copy({m.predictionCol: "", m.rawPredictionCol: "", m.probabilityCol: f"_p{i}"})
-            out = m.transform(out)
-            parts.append(vector_to_array(F.col(f"_p{i}"))[1])
-        total = sum(parts[1:], parts[0])
-        even = F.lit(1.0 / len(parts))
-        shares = F.array(*[F.when(total > 0, p / total).otherwise(even) for p in parts])
-        out = out.withColumn("_shares", shares)
-        best = (F.array_position("_shares", F.array_max("_shares")) - 1).cast("double")
-        return out.withColumns(
-            {"probability": array_to_vector(F.col("_shares")), "prediction": best}
-        ).drop("_shares", *[f"_p{i}" for i in range(len(parts))])
-
-    @property
-    def featureImportances(self):
-        """Mean of the class models, scaled to sum to one."""
-        arrays = [m.featureImportances.toArray() for m in self.models]
-        mean = sum(arrays) / len(arrays)
-        return mean / mean.sum() if mean.sum() > 0 else mean
-
-    def write(self) -> MLWriter:
-        return _OvrWriter(self)
-
-    @classmethod
-    def read(cls) -> MLReader:
-        return _OvrReader()
-
-
-class _OvrWriter(MLWriter):
-    def __init__(self, instance: BoostedOvrModel):
-        super().__init__()
-        self.instance = instance
-
-    def saveImpl(self, path: str) -> None:
-        extra = {"count": len(self.instance.models)}
-        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession, extraMetadata=extra)
-        for i, m in enumerate(self.instance.models):
-            m.write().save(f"{path}/class_{i}")
-
-
-class _OvrReader(MLReader):
-    def load(self, path: str) -> BoostedOvrModel:
-        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
-        model = BoostedOvrModel(
-            [GBTClassificationModel.load(f"{path}/class_{i}") for i in range(metadata["count"])]
-        )
-        model._resetUid(metadata["uid"])
-        return model
+def boosts_jointly(options: dict, n_classes: int) -> bool:
+    """Spark's classifier knows two classes and no leaf penalties; all else is boosted here."""
+    return n_classes > 2 or any(options.get(name) is not None for name in ("reg_lambda", "reg_alpha"))
 
 
 def build_estimator(
-    config: dict, n_classes: int, total_weight: float, label: str, weight: str | None = None
+    config: dict, n_classes: int, total_weight: float, label: str, weight: str | None = None, key: str | None = None
 ) -> Estimator:
     """The configured classifier over column ``features``."""
     seed = int(config.get("model", {}).get("random_state", 42))
@@ -178,10 +83,10 @@ def build_estimator(
             numTrees=int(options.get("n_estimators", 100)),
             maxDepth=min(DEEPEST, int(options.get("max_depth") or DEEPEST)), seed=seed, **columns,
         )
-    params = boosting_params(config.get("model", {}).get("xgboost", {}), seed)
-    if n_classes == 2:
-        return GBTClassifier(**params, **columns)
-    return BoostedOvr(params, n_classes, label, weight)
+    options = config.get("model", {}).get("xgboost", {})
+    if boosts_jointly(options, n_classes):
+        return JointBooster(BoostOptions.of(options, seed), n_classes, label, weight, key)
+    return GBTClassifier(**boosting_params(options, seed), **columns)
 
 
 def marked_label(df: DataFrame, label: str, n_classes: int) -> DataFrame:
@@ -214,16 +119,17 @@ def fit_classifier(
     counts: dict[int, int],
     n_classes: int,
     weighted: bool,
+    key: str | None = None,
 ) -> PipelineModel:
-    """Fit on rows whose ``label`` holds class numbers with the given counts."""
+    """Fit on rows whose ``label`` holds class numbers with the given counts; ``key`` names a row."""
     total = float(sum(counts.values()))
     data = features.transform(df)
-    kept = [label]
+    kept = [label] if key is None else [label, key]
     if weighted:
         data = data.withColumn("_w", balanced_weight(label, counts))
         kept.append("_w")
     data = marked_label(data.select("features", *kept), label, n_classes)
-    estimator = build_estimator(config, n_classes, total, label, "_w" if weighted else None)
+    estimator = build_estimator(config, n_classes, total, label, "_w" if weighted else None, key)
     return PipelineModel([features, estimator.fit(data)])
 
 

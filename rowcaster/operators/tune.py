@@ -24,6 +24,8 @@ BOOSTED_RANGES = {
     "colsample_bytree": ("float", 0.5, 1.0),
     "gamma": ("float", 0.0, 5.0),
     "min_child_weight": ("float", 1.0, 10.0),
+    "reg_lambda": ("log", 0.1, 10.0),
+    "reg_alpha": ("log", 1e-8, 1.0),
 }
 LOGISTIC_RANGES = {"C": ("log", 1e-3, 10.0)}
 

@@ -78,6 +78,7 @@ def _final_fit(folded: FoldedData, key: str, config: dict, final_multiclass: boo
         {int(c): n for c, n in class_counts(data, LABEL).items()},
         folded.n_classes,
         uses_weights(config, final_multiclass),
+        key,
     )
 
 

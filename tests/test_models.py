@@ -62,10 +62,8 @@ def test_model_names(rows):
     assert [models.family({"model": {"name": n}}) for n in ("XGB", "lr", "rf")] == ["boosted", "logistic", "forest"]
     with pytest.raises(ValueError, match="no kind of model"):
         models.family({"model": {"name": "svm"}})
-    with pytest.raises(ValueError, match="reg_lambda"):
-        models.boosting_params({"reg_lambda": 2.0}, 1)
-    with pytest.warns(UserWarning, match="no effect"):
-        assert models.boosting_params({"reg_lambda": 1.0, "colsample_bytree": 0.5}, 1)["featureSubsetStrategy"] == "0.5"
+    assert models.boosting_params({"colsample_bytree": 0.5}, 1)["featureSubsetStrategy"] == "0.5"
+    assert [models.boosts_jointly(o, k) for o, k in (({}, 2), ({}, 3), ({"reg_lambda": 2.0}, 2), ({"reg_alpha": 0.0}, 2))] == [False, True, True, True]
 
 
 def test_boosted_classes_are_saved(spark, rows, tmp_path):
