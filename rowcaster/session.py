@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,10 +27,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _recorders:
+        paths.append(path)
+    return path
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Collects the paths made inside, for a job that removes its intermediate tables at its end."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders[:] = [p for p in _recorders if p is not paths]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a path of this library's own making, if it is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def written(df: DataFrame, name: str, partition_by: str | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts lineage and survives the loss of executors. ``partition_by`` lets later
@@ -36,7 +61,7 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    writer = df.write
+    writer = df.write if codec is None else df.write.option("compression", codec)
     if partition_by is not None:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
