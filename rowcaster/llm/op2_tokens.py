@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import new_path, written
+from ..session import new_path, recorded, remove, written
 from . import text as T
 from .frames import bounded
 
@@ -409,7 +409,8 @@ def write_tokens(documents: DataFrame, model: str, path: str) -> None:
     after block, so it holds one block at a time, however the ids are spread.
     """
     spark = documents.sparkSession
-    tokens = written(tokenize(documents, model), "token-ids")
+    with recorded() as made:
+        tokens = written(tokenize(documents, model), "token-ids", codec="zstd")
     total = count_ids(tokens)
     freq = frequencies(total)
     n_parts = max(1, -(-2 * int(total.sum()) // PART_BYTES))
@@ -450,6 +451,8 @@ def write_tokens(documents: DataFrame, model: str, path: str) -> None:
     first = spark.createDataFrame([(0, 0, [], [], bytearray(zlib.compress(freq.astype("<u4").tobytes())), TABLE)], BLOCKS)
     for rows, mode in ((stored, "errorifexists"), (first.coalesce(1), "append")):
         rows.write.mode(mode).partitionBy("shard").option("compression", "uncompressed").parquet(path)
+    for table in made:
+        remove(spark, table)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

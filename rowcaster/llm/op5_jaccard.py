@@ -384,13 +384,15 @@ def find_links(groups: DataFrame, options: JoinOptions) -> DataFrame:
     labelled, and groups whose members all have one label need not meet others of that label
     any more. All other groups that share enough prefix tokens are opened against each other.
     """
-    post = written(groups.select(F.explode("prefix").alias("token"), "gid", "least", "most"), "join-post")
+    post = groups.select(F.explode("prefix").alias("token"), "gid", "least", "most")
     fits = (F.col("most") * options.below >= F.col("least2") * options.above) & (F.col("most2") * options.below >= F.col("least") * options.above)
     enough = F.col("n") >= options.needed("_p")
     counted = [F.count("*").alias("n"), F.min(F.least("least", "least2")).alias("_p")]
-    first = written(post.groupBy("token").agg(F.min(F.struct("gid", "least", "most")).alias("f"), F.count("*").alias("_c")).where("_c > 1"), "join-first")
-    first = first.select("token", F.col("f.gid").alias("gid2"), F.col("f.least").alias("least2"), F.col("f.most").alias("most2"))
-    stars = post.join(first, "token").where((F.col("gid") != F.col("gid2")) & fits).groupBy("gid", "gid2").agg(*counted).where(enough)
+    first = post.groupBy("token").agg(F.min(F.struct("gid", "least", "most")).alias("f"), F.count("*").alias("_c")).where("_c > 1")
+    # tokens of one group alone lead nowhere
+    post = written(post.join(written(first, "join-first").select("token", "f"), "token"), "join-post")
+    stars = post.select("*", F.col("f.gid").alias("gid2"), F.col("f.least").alias("least2"), F.col("f.most").alias("most2"))
+    stars = stars.where((F.col("gid") != F.col("gid2")) & fits).groupBy("gid", "gid2").agg(*counted).where(enough)
     alone = groups.where(F.size("nodes") > 1).select("gid", F.col("gid").alias("gid2"))
     stars = written(stars.select("gid", "gid2").unionByName(alone), "join-stars")
     links = written(opened(groups, stars, options), "join-links")
@@ -400,7 +402,7 @@ def find_links(groups: DataFrame, options: JoinOptions) -> DataFrame:
     classes = named.groupBy("gid").agg(F.min("label").alias("_l"), F.max("label").alias("_m"))
     # a class is a label, or the group itself
     classes = written(classes.select("gid", (F.col("_l") == F.col("_m")).alias("one"), F.when(F.col("_l") == F.col("_m"), F.col("_l")).otherwise(F.col("gid")).alias("class")), "join-classes")
-    post = written(post.join(classes, "gid"), "join-classed")
+    post = written(post.drop("f").join(classes, "gid"), "join-classed")
     several = post.groupBy("token").agg(F.min(F.struct("one", "class")).alias("_a"), F.max(F.struct("one", "class")).alias("_b")).where("_a <> _b").select("token")
     post = post.join(several, "token")
     other = post.select("token", *[F.col(c).alias(f"{c}2") for c in ("gid", "least", "most", "one", "class")])
