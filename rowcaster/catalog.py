@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +16,7 @@ from .functions import ranking, scalar
 from .functions.hashing import arithmetic_unit
 from .operators import calibrate, confusion, crossval, explain, features, folds, labels, metrics
 from .operators import models, multilabel, quantiles, rankmetrics, scoring, select, tune, validate, weights
+from .operators.boosting import BoostOptions, JointBooster
 from .operators.features import FeatureModel, FeatureOptions
 from .session import new_path
 from .sources import artifacts, csv, generated
@@ -989,6 +990,21 @@ def fit_boosted_classes(spark, sf):
     return scoring.probability_table(models.probabilities(model, data), "proba", index.classes, ["c_custkey"])
 
 
+@query
+def boosted_leaf_values(spark, sf):
+    """Leaf values of three joint rounds of stumps over one flag: what each side of it adds to each language."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", (F.col("n_chars") > 1500).cast("double").alias("x"))
+    index, data = labels.fit_transform(docs, "lang")
+    data = data.withColumn("features", array_to_vector(F.array("x")))
+    options = BoostOptions(n_estimators=3, learning_rate=0.3, max_depth=1, reg_alpha=0.5, reg_lambda=2.0, min_child_weight=0.0)
+    nodes = JointBooster(options, index.n_classes, "label_idx", keyCol="doc_id").fit(data).node_rows()
+    root = nodes.where("node = 0").select("round", "class", "left", "right", "cut", F.col("value").alias("_v"), F.col("rows").alias("_n"))
+    sides = root.select("*", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("x"))
+    sides = sides.withColumn("node", F.when(F.col("left") < 0, 0).when(F.col("x") <= F.col("cut"), F.col("left")).otherwise(F.col("right")))
+    leaves = sides.join(nodes.select("round", "class", "node", "value", "rows"), ["round", "class", "node"])
+    return leaves.select(ranking.decode("class", index.classes).alias("lang"), "round", "x", F.col("rows").alias("n_rows"), r6("value").alias("value"))
+
+
 @query
 def fit_multi_output(spark, sf):
     df = labelled(spark, sf)

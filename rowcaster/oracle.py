@@ -456,3 +456,29 @@ ORACLE["weighted_multilabel_fit"] = "SELECT count(*) AS n_rows, 0::BIGINT AS n_o
 ORACLE["scoring_contract"] = """SELECT 'o_totalprice' AS "column", 'between 1000.0 and 200000.0' AS "check", count(*) AS n_failed
  FROM orders WHERE o_orderstatus = 'F' AND NOT o_totalprice BETWEEN 1000 AND 200000"""
 ORACLE["facts_out_of_fold_metrics"] = "SELECT 6::BIGINT AS n_metrics, 0::BIGINT AS n_off, 1::BIGINT AS n_areas"
+
+
+def leaf_values(rounds: int = 3, rate: float = 0.3, alpha: float = 0.5, penalty: float = 2.0) -> str:
+    """Rounds of stumps over one flag, in closed form: margins of (side, class), then G, H and the leaf values."""
+
+    def shrunk(g: str) -> str:
+        return f"sign({g}) * greatest(abs({g}) - {num(alpha)}, {num(0)})"
+
+    parts = ["""d AS (SELECT lang, (n_chars > 1500)::INT::DOUBLE AS x FROM documents),
+ cells AS (SELECT x, l.lang, (SELECT count(*) FROM d WHERE d.x = s.x) AS n, (SELECT count(*) FROM d WHERE d.x = s.x AND d.lang = l.lang) AS hits
+  FROM (SELECT DISTINCT x FROM d) s, (SELECT DISTINCT lang FROM d) l),
+ m0 AS (SELECT *, 0::DOUBLE AS m FROM cells)"""]
+    for i in range(rounds):
+        parts.append(f"""p{i} AS (SELECT *, exp(m) / sum(exp(m)) OVER (PARTITION BY x) AS p FROM m{i}),
+ g{i} AS (SELECT *, n * p - hits AS g, 2 * n * p * (1 - p) AS h FROM p{i}),
+ t{i} AS (SELECT *, sum(g) OVER w AS tg, sum(h) OVER w AS th, sum(n) OVER w AS tn, sum(pow({shrunk('g')}, 2) / (h + {num(penalty)})) OVER w AS parts
+  FROM g{i} WINDOW w AS (PARTITION BY lang)),
+ k{i} AS (SELECT *, parts >= pow({shrunk('tg')}, 2) / (th + {num(penalty)}) AS split FROM t{i}),
+ v{i} AS (SELECT x, lang, n, hits, m, CASE WHEN split THEN n ELSE tn END AS n_rows,
+  -{num(rate)} * CASE WHEN split THEN {shrunk('g')} / (h + {num(penalty)}) ELSE {shrunk('tg')} / (th + {num(penalty)}) END AS value FROM k{i}),
+ m{i + 1} AS (SELECT x, lang, n, hits, m + value AS m FROM v{i})""")
+    union = " UNION ALL ".join(f"SELECT lang, {i}::INT AS round, x, n_rows::BIGINT AS n_rows, {r6('value', 'value')} FROM v{i}" for i in range(rounds))
+    return f"WITH {', '.join(parts)} {union}"
+
+
+ORACLE["boosted_leaf_values"] = leaf_values()
