@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseMatrix
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ranking, scalar
 from .functions.hashing import arithmetic_unit
 from .operators import calibrate, confusion, crossval, explain, features, folds, labels, metrics
-from .operators import models, multilabel, quantiles, rankmetrics, scoring, select, tune, validate, weights
+from .operators import models, multilabel, quantiles, rankmetrics, scoring, select, sparse, tune, validate, weights
 from .operators.boosting import BoostOptions, JointBooster
 from .operators.features import FeatureModel, FeatureOptions
 from .session import new_path
@@ -240,7 +242,7 @@ def fitted_parameters(spark, sf):
     rows = [
         (c, float(state["medians"][c]), float(state["means"][c]), float(state["stds"][c]), None, None)
         for c in state["numeric"]
-    ] + [(c, None, None, None, state["modes"][c], len(state["categories"][c])) for c in state["categorical"]]
+    ] + [(c, None, None, None, state["modes"][c], features.width(state, c)) for c in state["categorical"]]
     out = spark.createDataFrame(
         rows, "column string, median double, mean double, std double, mode string, n_values int"
     )
@@ -815,10 +817,50 @@ def one_hot_wide(spark, sf):
     """Entries of a column of thousands of values, counted through the sparse vector."""
     parts = table(spark, sf, "part").select("p_partkey", "p_name")
     model = FeatureModel(features.fit_features(parts, FeatureOptions(), ["p_partkey"])[0])
-    names = model.feature_names
     hot = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x)
     sums = model.transform(parts).select(hot.alias("ones")).groupBy("ones").agg(F.count("*").alias("n_rows"))
-    return sums.withColumn("n_features", F.lit(len(names)).cast("long"))
+    return sums.withColumn("n_features", F.lit(model.n_features).cast("long"))
+
+
+@query
+def dictionary_codes(spark, sf):
+    """Places of the values of a column with as many values as rows, and of one with few and gaps."""
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("segment"))
+    known = rows.where("c_custkey % 3 <> 0")
+    model = FeatureModel(features.fit_features(known, FeatureOptions(), ["c_custkey"])[0])
+    placed, (name, segment) = model.placed(rows)
+    return placed.select("c_custkey", F.col(name).alias("name_code"), F.col(segment).alias("segment_code"))
+
+
+@query
+def sparse_importance(spark, sf):
+    """Mean absolute contribution of thousands of features, from the entries that rows have."""
+    return sparse_segments(spark, sf).global_importance().select("feature", r6("mean_abs_shap").alias("mean_abs_shap"))
+
+
+@query
+def sparse_top_features(spark, sf):
+    top = sparse_segments(spark, sf).top_features(3)
+    return top.select("p_partkey", "feature", r6("value").alias("value"), r6("abs_value").alias("abs_value"), "rank")
+
+
+class _Linear:
+    """A linear model with given coefficients."""
+
+    def __init__(self, row: list[float]):
+        self.row = row
+
+    @property
+    def coefficientMatrix(self):
+        return DenseMatrix(1, len(self.row), self.row)
+
+
+def sparse_segments(spark, sf):
+    """Parts by name, brand and size under coefficients by position; every third part's name is unknown."""
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", F.col("p_size").cast("double").alias("size"))
+    model = FeatureModel(features.fit_features(parts.where("p_partkey % 3 <> 0"), FeatureOptions(scaler="none"), ["p_partkey"])[0])
+    row = [((i * 37) % 101 - 50) / 29.7 for i in range(model.n_features)]
+    return sparse.linear_sparse(PipelineModel([model, _Linear(row)]), parts, "p_partkey")
 
 
 def holed_orders(spark, sf):

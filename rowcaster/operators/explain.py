@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import sys
@@ -12,6 +13,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +27,16 @@ BACKGROUND_ROWS = 100
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def listed(values: Sequence) -> Column:
+    """A list as one constant, whatever its length."""
+    kind = "array<string>" if values and isinstance(values[0], str) else "array<double>"
+    return F.from_json(F.lit(json.dumps(list(values))), kind)
+
+
 def to_long(df: DataFrame, key: str, values: str, names: Sequence[str]) -> DataFrame:
     """(key, feature, value, abs_value) from an attribution array."""
-    entries = F.array(
-        *[F.struct(F.lit(n).alias("feature"), F.col(values)[i].alias("value")) for i, n in enumerate(names)]
-    )
-    return df.select(key, F.inline(entries)).withColumn("abs_value", F.abs("value"))
+    entries = df.select(key, F.posexplode(values).alias("_at", "value"))
+    return entries.select(key, F.element_at(listed(names), F.col("_at") + 1).alias("feature"), "value", F.abs("value").alias("abs_value"))
 
 
 def linear_attribution(
@@ -42,13 +48,18 @@ def linear_attribution(
 
 
 def linear_model_attribution(model: PipelineModel, df: DataFrame, class_index: int, out: str) -> DataFrame:
-    """Attribution of the margin of one class around the feature means of ``df``."""
-    last = model.stages[-1]
-    named = model.stages[0].named_columns(df.schema)
-    means = df.agg(*[F.avg(c).alias(f"m{i}") for i, (_, c) in enumerate(named)]).first()
+    """Attribution of the margin of one class around the feature means of ``df``, an entry for every feature.
+
+    Means and coefficients, which the driver holds as it holds the model, are one constant
+    each; ``sparse.linear_sparse`` writes out the entries that rows have alone.
+    """
+    last, data = model.stages[-1], model.stages[0].transform(df)
+    means = data.agg(Summarizer.mean(F.col("features")).alias("m")).first()["m"]
     matrix = last.coefficientMatrix.toArray()
     row = matrix[0] if matrix.shape[0] == 1 else matrix[class_index]
-    return linear_attribution(df, [c for _, c in named], row, list(means), out)
+    centred = F.zip_with(vector_to_array("features"), listed([float(m) for m in means]), lambda x, m: x - m)
+    parts = F.zip_with(centred, listed([float(c) for c in row]), lambda x, c: c * x)
+    return data.withColumn(out, parts).select(*[F.col(f"`{c}`") for c in df.columns], out)
 
 
 # --- tree models ---------------------------------------------------------------------
@@ -97,7 +108,7 @@ def tree_attribution(
     The paths are bounded by the model (trees x leaves), not by the data.
     """
     features, last = model.stages[0], model.stages[-1]
-    n_features = len(features.feature_names)
+    n_features = features.n_features
     shared = df.sparkSession.sparkContext.broadcast(model_paths(last, class_index))
     data = features.transform(df).select(key, vector_to_array("features").alias("x"))
 

@@ -2,7 +2,7 @@
 
 The fit reads the table for moments, for the exact medians (one more pass up to 200
 thousand rows; a sampling and a counting pass for every narrowing beyond), and for one
-grouped count of the text columns. Mean and deviation after imputation follow from the moments
+grouped count of the text columns, whose values stay a table (``dictionary``). Mean and deviation after imputation follow from the moments
 of the present values, so they need no pass of their own. Several row masks (the training
 parts of k folds) are fitted in the same passes.
 """
@@ -11,24 +11,43 @@ from __future__ import annotations
 
 import json
 import math
+import sys
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark import keyword_only
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle, keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.util import (
+    DefaultParamsReadable,
+    DefaultParamsReader,
+    DefaultParamsWritable,
+    DefaultParamsWriter,
+    MLReadable,
+    MLReader,
+    MLWritable,
+    MLWriter,
+)
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StringType, StructType
 
 from ..functions.scalar import AGE_EDGES, bin_index, nan_to_null
+from .dictionary import build_dictionary, copy_dictionary, read_dictionary, with_place
 from .quantiles import exact_medians
 from .select import column_roles, leakage_columns
 
 MISSING = "missing"
 EPSILON = 2.0**-52
+NAMED = 100_000  # categories up to which results may have a name or a column for each
+WIDE = 100_000  # entries above which vectors are put together from places, without library stages
+
+# the vector function is sent to the executors whole; they need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 @dataclass
@@ -89,29 +108,11 @@ def imputed_moments(n: int, mean: float, var: float, n_null: int, fill: float) -
     return new_mean, math.sqrt(new_var)
 
 
-def category_counts(
-    df: DataFrame, columns: Sequence[str], masks: Sequence[Column]
-) -> dict[str, list[tuple[str, list[int]]]]:
-    """Rows per (column, value) and mask, one grouped count for all columns.
-
-    The values of a column are its parameters, so the driver holds them as it holds the model.
-    """
-    if not columns:
-        return {}
+def category_counts(df: DataFrame, columns: Sequence[str], masks: Sequence[Column]) -> DataFrame:
+    """(column, value, n0, n1..): rows per distinct value and mask, one grouped count for all columns."""
     flags = [F.coalesce(m, F.lit(False)).cast("long").alias(f"_m{i}") for i, m in enumerate(masks)]
-    entries = F.array(
-        *[F.struct(F.lit(j).alias("c"), as_text(df.schema, c).alias("v")) for j, c in enumerate(columns)]
-    )
-    counted = (
-        df.select(*flags, F.explode(entries).alias("e"))
-        .where(F.col("e.v").isNotNull())
-        .groupBy(F.col("e.c").alias("c"), F.col("e.v").alias("v"))
-        .agg(*[F.sum(f"_m{i}").alias(f"n{i}") for i in range(len(masks))])
-    )
-    out: dict[str, list[tuple[str, list[int]]]] = {c: [] for c in columns}
-    for r in counted.collect():
-        out[columns[r["c"]]].append((r["v"], [r[f"n{i}"] for i in range(len(masks))]))
-    return out
+    entries = df.select(*flags, F.inline(_text_entries(df, columns))).where(F.col("value").isNotNull())
+    return entries.groupBy("column", "value").agg(*[F.sum(f"_m{i}").alias(f"n{i}") for i in range(len(masks))])
 
 
 def fit_features(
@@ -136,7 +137,9 @@ def fit_features(
             x = as_number(schema, c)
             exprs[f"{i}:{j}"] = x if whole else F.when(m, x)
     fit = exact_medians(df, exprs, True, {str(i): m for i, m in enumerate(masks)})
-    counted = category_counts(df, roles.categorical, masks)
+    path, facts = None, [{}] * len(masks)
+    if roles.categorical:
+        path, facts = build_dictionary(category_counts(df, roles.categorical, masks), roles.categorical, len(masks))
 
     fitted = []
     for i in range(len(masks)):
@@ -152,7 +155,10 @@ def fit_features(
             "stds": {},
             "categorical": roles.categorical,
             "modes": {},
-            "categories": {},
+            "sizes": {},
+            "bytes": {},
+            "dictionary": path,
+            "mask": i,
         }
         for j, c in enumerate(roles.numeric):
             median = fit.values[f"{i}:{j}"]
@@ -165,9 +171,8 @@ def fit_features(
             params["medians"][c], params["means"][c] = median, mean
             params["stds"][c] = std or 1.0
         for c in roles.categorical:
-            seen = sorted((v, counts[i]) for v, counts in counted[c] if counts[i])
-            params["modes"][c] = min(seen, key=lambda t: (-t[1], t[0]))[0] if seen else MISSING
-            params["categories"][c] = [v for v, _ in seen] or [MISSING]
+            params["modes"][c] = facts[i][c].mode if facts[i][c].size else MISSING
+            params["sizes"][c], params["bytes"][c] = facts[i][c].size, facts[i][c].bytes
         fitted.append(params)
     return fitted
 
@@ -204,6 +209,28 @@ def category_value(params: dict, schema: StructType, c: str) -> Column:
     return F.coalesce(as_text(schema, c), F.lit(params["modes"][c]))
 
 
+def width(params: dict, c: str) -> int:
+    """Entries of a text column; one without values has the missing value alone."""
+    return max(1, params["sizes"][c])
+
+
+def dictionary_of(params: dict) -> DataFrame:
+    return read_dictionary(SparkSession.getActiveSession(), params["dictionary"], params["mask"])
+
+
+def category_lists(params: dict) -> dict[str, list[str]]:
+    """The values of each text column in order, for results with a column for each of them."""
+    if not params["categorical"]:
+        return {}
+    total = sum(width(params, c) for c in params["categorical"])
+    if total > NAMED:
+        raise ValueError(f"{total} categories are too many for a column each; read them from the dictionary")
+    out: dict[str, list[str]] = {c: [] for c in params["categorical"]}
+    for r in dictionary_of(params).orderBy("column", "place").collect():  # at most NAMED rows
+        out[r["column"]].append(r["value"])
+    return {c: v or [MISSING] for c, v in out.items()}
+
+
 def feature_columns(params: dict, schema: StructType) -> list[tuple[str, Column]]:
     """Named expressions in output order: missing count, numbers, bin, one-hots, products.
 
@@ -212,8 +239,8 @@ def feature_columns(params: dict, schema: StructType) -> list[tuple[str, Column]
     before, after = plain_columns(params, schema)
     hot = [
         (f"{c}_{v}", (category_value(params, schema, c) == F.lit(v)).cast("double"))
-        for c in params["categorical"]
-        for v in params["categories"][c]
+        for c, values in category_lists(params).items()
+        for v in values
     ]
     return before + hot + after
 
@@ -255,7 +282,7 @@ class _StateParams(Params):
     state = Param(Params._dummy(), "state", "fitted parameters as JSON", TypeConverters.toString)
 
 
-class FeatureModel(Model, _StateParams, DefaultParamsReadable, DefaultParamsWritable):
+class FeatureModel(Model, _StateParams, MLWritable, MLReadable):
     """Adds the feature vector."""
 
     def __init__(self, state: dict | None = None, outputCol: str = "features"):
@@ -269,17 +296,45 @@ class FeatureModel(Model, _StateParams, DefaultParamsReadable, DefaultParamsWrit
     def params_dict(self) -> dict:
         return json.loads(self.getOrDefault(self.state))
 
-    def named_columns(self, schema: StructType) -> list[tuple[str, Column]]:
-        return feature_columns(self.params_dict, schema)
-
     @property
-    def feature_names(self) -> list[str]:
+    def plain_schema(self) -> StructType:
+        """Stands for the table where only the names of features are wanted."""
         params = self.params_dict
-        numeric = [*params["numeric"], *(c for c in params["counted"] if c not in params["numeric"])]
         schema = StructType()
-        for c in numeric:
+        for c in [*params["numeric"], *(c for c in params["counted"] if c not in params["numeric"])]:
             schema.add(c, DoubleType() if c in params["numeric"] else StringType())
-        return [name for name, _ in feature_columns(params, schema)]
+        return schema
+
+    @property
+    def n_features(self) -> int:
+        params = self.params_dict
+        before, after = plain_columns(params, self.plain_schema)
+        return len(before) + sum(width(params, c) for c in params["categorical"]) + len(after)
+
+    @property
+    def feature_names(self) -> list[str]:
+        """Names in the order of the vector; ``names`` has them as a table, for vectors of any width."""
+        return [name for name, _ in feature_columns(self.params_dict, self.plain_schema)]
+
+    def names(self) -> DataFrame:
+        """(position, feature)."""
+        params = self.params_dict
+        before, after = plain_columns(params, self.plain_schema)
+        spark, at = SparkSession.getActiveSession(), len(before)
+        known = [(i, n) for i, (n, _) in enumerate(before)]
+        parts = []
+        for c in params["categorical"]:
+            if params["sizes"][c]:
+                own = dictionary_of(params).where(F.col("column") == c)
+                parts.append(own.select((F.col("place") + at).alias("position"), F.concat(F.lit(f"{c}_"), "value").alias("feature")))
+            else:
+                known.append((at, f"{c}_{MISSING}"))
+            at += width(params, c)
+        known += [(at + i, n) for i, (n, _) in enumerate(after)]
+        out = spark.createDataFrame(known, "position long, feature string")
+        for part in parts:
+            out = out.unionByName(part)
+        return out
 
     def required_columns(self) -> list[str]:
         params = self.params_dict
@@ -288,27 +343,101 @@ class FeatureModel(Model, _StateParams, DefaultParamsReadable, DefaultParamsWrit
             used |= set(params["counted"])
         return sorted(used)
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        """Numbers are expressions; each text column takes two library stages, whatever the
-        number of its categories, and a sparse vector. Unknown values get no entry."""
+    def placed(self, dataset: DataFrame, dictionary: DataFrame | None = None, more: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+        """Adds the place of each text column's value (null: unknown) by joins; returns their names."""
         params, schema = self.params_dict, dataset.schema
-        before, after = plain_columns(params, schema)
+        values = {c: category_value(params, schema, c) for c in params["categorical"]}
+        out, places = dataset, []
+        if dictionary is None and any(params["sizes"][c] for c in values):
+            dictionary = dictionary_of(params)
+        for i, (c, value) in enumerate(values.items()):
+            places.append(f"_i{i}")
+            if params["sizes"][c]:
+                out = with_place(out, dictionary, c, value, f"_i{i}", params["bytes"][c], params["sizes"][c], more)
+            else:
+                out = out.withColumn(f"_i{i}", F.when(value == MISSING, F.lit(0).cast("long")))
+        return out, places
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        """Numbers are expressions, places of categories come from the dictionary by a join per text column. Unknown
+        values get no entry. The plan is as wide for one category as for many."""
+        params = self.params_dict
+        before, after = plain_columns(params, dataset.schema)
         names = {f"_f{i}": x for i, (_, x) in enumerate(before + after)}
-        values = {f"_v{i}": category_value(params, schema, c) for i, c in enumerate(params["categorical"])}
-        out = dataset.withColumns(names | values)
-        n, k = len(before), len(values)
-        places, vectors = [f"_i{i}" for i in range(k)], [f"_h{i}" for i in range(k)]
-        if k:
-            for c, value, place in zip(params["categorical"], values, places):
-                # the slot past the last category is for unknown values
-                out = StringIndexerModel.from_labels(params["categories"][c], value, place, "keep").transform(out)
+        out, places = self.placed(dataset.withColumns(names))
+        n, vector = len(before), self.getOrDefault(self.outputCol)
+        numbers, sizes = list(names), [width(params, c) for c in params["categorical"]]
+        if sum(sizes) > WIDE:
+            parts = [F.array(*[F.col(c) for c in part]).cast("array<double>") for part in (numbers[:n], places, numbers[n:])]
+            return out.withColumn(vector, sparse_vectors(sizes, n, len(after))(*parts)).drop(*names, *places)
+        vectors = [f"_h{i}" for i in range(len(places))]
+        if places:
+            # the slot past the last category is for unknown values; with its size named, the encoder needs no pass
+            coded = {
+                p: F.coalesce(F.col(p).cast("double"), F.lit(float(k))).alias(p, metadata={"ml_attr": {"type": "nominal", "num_vals": k + 1}})
+                for p, k in zip(places, sizes)
+            }
+            out = out.select(*[coded.get(c, quoted(c)) for c in out.columns])
             out = OneHotEncoder(inputCols=places, outputCols=vectors, dropLast=True).fit(out).transform(out)
-        inputs = [*list(names)[:n], *vectors, *list(names)[n:]]
-        assembler = VectorAssembler(inputCols=inputs, outputCol=self.getOrDefault(self.outputCol))
-        vector = self.getOrDefault(self.outputCol)
+        assembler = VectorAssembler(inputCols=[*numbers[:n], *vectors, *numbers[n:]], outputCol=vector)
         # without attributes, as learners would read the 0/1 entries as categories of their own
         plain = F.col(vector).alias(vector, metadata={})
-        return assembler.transform(out).drop(*names, *values, *places, *vectors).withColumn(vector, plain)
+        return assembler.transform(out).drop(*names, *places, *vectors).withColumn(vector, plain)
+
+    def write(self) -> MLWriter:
+        return _FeatureWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _FeatureReader()
+
+
+def sparse_vectors(sizes: list[int], n_before: int, n_after: int):
+    """A column function of (numbers, places, numbers) to sparse vectors."""
+    offsets = n_before + np.cumsum([0, *sizes])
+    total = int(offsets[-1]) + n_after
+    kind = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+
+    @F.arrow_udf(VectorUDT())
+    def vectors(before: pa.Array, places: pa.Array, after: pa.Array) -> pa.Array:
+        n = len(places)
+
+        def matrix(part: pa.Array, columns: int) -> np.ndarray:
+            return part.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, columns)
+
+        at = np.concatenate([np.tile(np.arange(n_before, dtype=float), (n, 1)), matrix(places, len(sizes)) + offsets[:-1], np.tile(offsets[-1] + np.arange(n_after, dtype=float), (n, 1))], axis=1)
+        x = np.concatenate([matrix(before, n_before), np.ones((n, len(sizes))), matrix(after, n_after)], axis=1)
+        has = ~np.isnan(at) & (x != 0)
+        ends = pa.array(np.append(0, np.cumsum(has.sum(axis=1))), pa.int32())
+        parts = [pa.ListArray.from_arrays(ends, pa.array(v[has], t)) for v, t in ((np.nan_to_num(at).astype(np.int32), pa.int32()), (x, pa.float64()))]
+        return pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, total, np.int32)), *parts], fields=list(kind))
+
+    return vectors
+
+
+class _FeatureWriter(MLWriter):
+    def __init__(self, instance: FeatureModel):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession)
+        params = self.instance.params_dict
+        if params["dictionary"]:
+            copy_dictionary(dictionary_of(params), f"{path}/dictionary")
+
+
+class _FeatureReader(MLReader):
+    def load(self, path: str) -> FeatureModel:
+        """The dictionary is read from beside the model, wherever that now lies."""
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = FeatureModel()
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        params = model.params_dict
+        if params["dictionary"]:
+            model._set(state=json.dumps(params | {"dictionary": f"{path}/dictionary", "mask": 0}))
+        return model
 
 
 class FeatureBuilder(Estimator, _StateParams, DefaultParamsReadable, DefaultParamsWritable):

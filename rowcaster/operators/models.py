@@ -189,11 +189,9 @@ def native_importance(model: PipelineModel) -> DataFrame:
         values = raw.toArray() if hasattr(raw, "toArray") else raw
     else:
         values = abs(last.coefficientMatrix.toArray()).mean(axis=0)
-    rows = [(n, float(v)) for n, v in zip(features.feature_names, values)]
-    spark = SparkSession.getActiveSession()
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(
-        F.desc("importance"), "feature"
-    )
+    rows = [(i, float(v)) for i, v in enumerate(values)]
+    ranked = SparkSession.getActiveSession().createDataFrame(rows, "position long, importance double")
+    return ranked.join(features.names(), "position").select("feature", "importance").orderBy(F.desc("importance"), "feature")
 
 
 def save_model(model: Model, path: str) -> None:

@@ -482,3 +482,26 @@ def leaf_values(rounds: int = 3, rate: float = 0.3, alpha: float = 0.5, penalty:
 
 
 ORACLE["boosted_leaf_values"] = leaf_values()
+
+ORACLE["dictionary_codes"] = """WITH r AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS segment FROM customer),
+ known AS (SELECT * FROM r WHERE c_custkey % 3 <> 0),
+ names AS (SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS code FROM (SELECT DISTINCT c_name FROM known)),
+ segments AS (SELECT segment, row_number() OVER (ORDER BY segment) - 1 AS code FROM (SELECT DISTINCT segment FROM known WHERE segment IS NOT NULL)),
+ usual AS (SELECT segment FROM known WHERE segment IS NOT NULL GROUP BY segment ORDER BY count(*) DESC, segment LIMIT 1)
+ SELECT c_custkey, names.code AS name_code, segments.code AS segment_code FROM r LEFT JOIN names USING (c_name)
+ LEFT JOIN segments ON segments.segment = coalesce(r.segment, (SELECT segment FROM usual))"""
+SPARSE = """p AS (SELECT p_partkey, p_name, p_brand, p_size::DOUBLE AS size FROM part),
+ known AS (SELECT * FROM p WHERE p_partkey % 3 <> 0),
+ brands AS (SELECT 'p_brand_' || p_brand AS feature, p_brand FROM (SELECT DISTINCT p_brand FROM known)),
+ names AS (SELECT 'p_name_' || p_name AS feature, p_name FROM (SELECT DISTINCT p_name FROM known)),
+ listed AS (SELECT 'size' AS feature, 0 AS part, '' AS v UNION ALL SELECT feature, 1, p_name FROM names UNION ALL SELECT feature, 2, p_brand FROM brands),
+ numbered AS (SELECT feature, row_number() OVER (ORDER BY part, v) - 1 AS i FROM listed),
+ coefs AS (SELECT feature, ((i * 37) % 101 - 50) / 29.7::DOUBLE AS c FROM numbered),
+ own AS (SELECT p_partkey, 'size' AS feature, size AS x FROM p UNION ALL SELECT p_partkey, feature, 1 FROM p JOIN names USING (p_name)
+  UNION ALL SELECT p_partkey, feature, 1 FROM p JOIN brands USING (p_brand)),
+ means AS (SELECT feature, c, coalesce(sum(x), 0) / (SELECT count(*) FROM p) AS m FROM coefs LEFT JOIN own USING (feature) GROUP BY feature, c),
+ every AS (SELECT k.p_partkey, means.feature, c * (coalesce(x, 0) - m) AS value
+  FROM p k CROSS JOIN means LEFT JOIN own ON own.p_partkey = k.p_partkey AND own.feature = means.feature)"""
+ORACLE["sparse_importance"] = f"WITH {SPARSE} SELECT feature, {r6('avg(abs(value))', 'mean_abs_shap')} FROM every GROUP BY feature"
+ORACLE["sparse_top_features"] = f"""WITH {SPARSE}, ranked AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(value) DESC, feature) AS rank FROM every)
+ SELECT p_partkey, feature, {r6('value', 'value')}, {r6('abs(value)', 'abs_value')}, rank::INT AS rank FROM ranked WHERE rank <= 3"""

@@ -12,7 +12,7 @@ from ..operators import metrics as mt
 from ..operators.calibrate import select_calibration
 from ..operators.crossval import FoldedData, fit_folds, out_of_fold, prepare_folds
 from ..operators.explain import attributions, global_importance, to_long, top_features_wide, wide_projection
-from ..operators.features import FeatureModel, FeatureOptions, fit_features
+from ..operators.features import NAMED, FeatureModel, FeatureOptions, fit_features
 from ..operators.folds import plain_folds
 from ..operators.labels import LabelIndex, task_type
 from ..operators.models import (
@@ -99,6 +99,11 @@ def _explanations(model, data: DataFrame, key: str, config: dict, output: str, n
         wide.unpersist()
 
 
+def named_features(features: FeatureModel) -> list[str] | None:
+    """Names for the metadata, up to a bound; those of wider vectors lie in the model's dictionary."""
+    return features.feature_names if features.n_features <= NAMED else None
+
+
 def _save_importance(model, output: str) -> None:
     write_csv(native_importance(model), f"{output}/feature_importance", single_file=True)
 
@@ -139,7 +144,7 @@ def train_multiclass(spark: SparkSession, df: DataFrame, config: dict, output: s
         "classes": index.classes,
         "model_type": config["model"]["name"],
         "top_k": config["model"]["top_k"],
-        "features": model.stages[0].feature_names,
+        "features": named_features(model.stages[0]),
         "schema_columns": model.stages[0].required_columns(),
         "schema": data.schema.json(),
         "key": config.get("key"),
@@ -194,7 +199,7 @@ def train_binary(spark: SparkSession, df: DataFrame, config: dict, output: str)
         "n_classes": index.n_classes,
         "classes": index.classes,
         "model": config["model"]["name"],
-        "features": model.stages[0].feature_names,
+        "features": named_features(model.stages[0]),
         "threshold": threshold,
         "calibration": calibration,
         "schema_columns": model.stages[0].required_columns(),
@@ -242,7 +247,7 @@ def train_multilabel(spark: SparkSession, df: DataFrame, config: dict, output: s
         "threshold": config["inference"]["multilabel_threshold"],
         "target_columns": labels,
         "model_type": config["model"]["name"],
-        "features": models[0].stages[0].feature_names,
+        "features": named_features(models[0].stages[0]),
         "schema_columns": models[0].stages[0].required_columns(),
         "schema": data.schema.json(),
         "key": config.get("key"),

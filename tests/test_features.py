@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from rowcaster.functions import scalar
-from rowcaster.operators import features, labels, weights
+from rowcaster.operators import dictionary, explain, features, labels, models, sparse, weights
 from rowcaster.operators.features import FeatureBuilder, FeatureModel, FeatureOptions, fit_features
 from rowcaster.operators.select import column_roles, drop_leakage, leakage_columns
 
@@ -29,7 +29,7 @@ def test_all_null_columns_tie_and_constant(spark):
     state = fit_features(df, FeatureOptions())[0]
     assert state["all_null"] == ["n"] and state["numeric"] == ["c"]
     assert state["modes"] == {"s": "missing", "t": "a"}
-    assert state["categories"]["s"] == ["missing"]
+    assert features.category_lists(state) == {"s": ["missing"], "t": ["a", "b"]}
     assert state["stds"]["c"] == 1.0
     scaled = dict(features.feature_columns(state, df.schema))
     assert values(df, scaled["c"]) == [0.0] * 4
@@ -77,7 +77,7 @@ def test_folds_learned_together_equal_separate_fits(spark):
     for i, state in enumerate(joint):
         alone = fit_features(df.where(F.col("fold") != i), FeatureOptions(), ["fold"])[0]
         assert state["medians"] == alone["medians"] and state["modes"] == alone["modes"]
-        assert state["categories"] == alone["categories"]
+        assert features.category_lists(state) == features.category_lists(alone)
         assert math.isclose(state["stds"]["x"], alone["stds"]["x"], rel_tol=1e-12)
 
 
@@ -164,3 +164,69 @@ def test_weights_sum_to_rows(spark):
     none = spark.createDataFrame([(0, 0), (0, 0)], "a int, b int")
     assert [r["weight"] for r in weights.with_multilabel_weight(none, ["a", "b"]).collect()] == [1.0, 1.0]
     assert weights.positive_ratio(none, "a").first()[0] == 1.0
+
+
+def wide_rows(spark, n=700):
+    data = [(i, f"v{i:05d}", "abc"[i % 3] if i % 4 else None, float(i % 10)) for i in range(n)]
+    return spark.createDataFrame(data, "k int, s string, t string, x double").repartition(4)
+
+
+def test_dictionary_over_many_ranges(spark, monkeypatch):
+    """A column with as many values as rows, dealt over ranges: the same places as in one range."""
+    df = wide_rows(spark)
+    masks = [F.col("k") % 3 != i for i in range(3)]
+    one = fit_features(df, FeatureOptions(), ["k"], masks)
+    monkeypatch.setattr(dictionary, "RANGE_ROWS", 50)
+    many = fit_features(df, FeatureOptions(), ["k"], masks)
+    for a, b, i in zip(one, many, range(3)):
+        assert (a["modes"], a["sizes"], a["bytes"]) == (b["modes"], b["sizes"], b["bytes"])
+        assert features.category_lists(a) == features.category_lists(b)
+        assert features.category_lists(a)["s"] == [f"v{k:05d}" for k in range(700) if k % 3 != i]
+
+
+def test_wide_vectors_equal_narrow_ones(spark, monkeypatch):
+    df = wide_rows(spark)
+    model = FeatureModel(fit_features(df.where("k % 3 <> 0"), FeatureOptions(interaction_pairs=[["x", "x"]]), ["k"])[0])
+    narrow = {r["k"]: r["features"] for r in model.transform(df).collect()}
+    monkeypatch.setattr(features, "WIDE", 5)
+    out = model.transform(df)
+    assert out.columns == [*df.columns, "features"]
+    wide = {r["k"]: r["features"] for r in out.collect()}
+    assert all(wide[k].toArray().tolist() == narrow[k].toArray().tolist() for k in narrow) and len(wide) == 700
+    names = [r["feature"] for r in model.names().orderBy("position").collect()]
+    assert names == model.feature_names and len(names) == model.n_features == narrow[0].size
+
+
+def test_names_of_too_many_categories_are_refused(spark, monkeypatch):
+    state = fit_features(wide_rows(spark), FeatureOptions(), ["k"])[0]
+    monkeypatch.setattr(features, "NAMED", 100)
+    with pytest.raises(ValueError, match="703 categories"):
+        FeatureModel(state).feature_names
+    assert FeatureModel(state).names().count() == 704
+
+
+def test_saved_dictionary_moves_with_the_model(spark, tmp_path):
+    df = wide_rows(spark, 50)
+    model = FeatureModel(fit_features(df, FeatureOptions(), ["k"])[0])
+    before = model.transform(df).orderBy("k").collect()
+    model.write().save(str(tmp_path / "a"))
+    (tmp_path / "a").rename(tmp_path / "b")
+    assert FeatureModel.load(str(tmp_path / "b")).transform(df).orderBy("k").collect() == before
+
+
+def test_sparse_attribution_equals_dense(spark):
+    df = wide_rows(spark, 60).withColumn("y", (F.col("k") % 2).cast("int"))
+    model = FeatureModel(fit_features(df, FeatureOptions(), ["k", "y"])[0])
+    fitted = models.fit_classifier(df, model, {"model": {"name": "lr"}}, "y", {0: 30, 1: 30}, 2, False)
+    dense = explain.linear_model_attribution(fitted, df, 1, "a")
+    long = explain.to_long(dense, "k", "a", model.feature_names)
+    thin = sparse.linear_sparse(fitted, df, "k")
+    want = {r["feature"]: r["mean_abs_shap"] for r in explain.global_importance(long).collect()}
+    got = {r["feature"]: r["mean_abs_shap"] for r in thin.global_importance().collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[f], want[f], abs_tol=1e-12) for f in want)
+    for k in (1, 4, 100):
+        top = {(r["k"], r["rank"]): r["abs_value"] for r in explain.top_features(long, "k", k).collect()}
+        mine = {(r["k"], r["rank"]): r["abs_value"] for r in thin.top_features(k).collect()}
+        assert mine.keys() == top.keys() and all(math.isclose(mine[i], top[i], abs_tol=1e-12) for i in top)
+    plans = [sparse.entries(model, d, "k")._jdf.queryExecution().analyzed().toString().count("\n") for d in (df, df.limit(0))]
+    assert max(plans) < 40
