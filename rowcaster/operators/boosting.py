@@ -34,10 +34,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import current, written
 
 CUT = 10  # rounds between two written tables of margins
 BINS = 256  # of a feature that a tree looks at
@@ -321,7 +321,7 @@ class JointBoostingModel(Model, MLWritable, MLReadable):
 
     def node_rows(self) -> DataFrame:
         """The nodes of all trees as a table."""
-        spark = SparkSession.getActiveSession()
+        spark = current()
         return spark.createDataFrame(list(self.rows().itertuples(index=False, name=None)), TABLE)
 
     def nodes_of(self, class_index: int) -> DataFrame:

@@ -11,9 +11,10 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import current
 from .crossval import FoldedData
 
 Scorer = Callable[[DataFrame, str, str], float]  # (frame, label column, probability array)
@@ -113,14 +114,14 @@ class CalibratedModel:
                 info["sigmoid"].append([calibrator.slope, calibrator.offset])
             else:
                 calibrator.model.write().overwrite().save(f"{path}/isotonic_{i}")
-        spark = SparkSession.getActiveSession()
+        spark = current()
         spark.createDataFrame([(json.dumps(info),)], "value string").coalesce(1).write.mode(
             "overwrite"
         ).text(f"{path}/calibration")
 
     @staticmethod
     def load(path: str) -> CalibratedModel:
-        info = json.loads(SparkSession.getActiveSession().read.text(f"{path}/calibration").first()["value"])
+        info = json.loads(current().read.text(f"{path}/calibration").first()["value"])
         models = [PipelineModel.load(f"{path}/fold_{i}") for i in range(info["folds"])]
         if info["method"] == "sigmoid":
             calibrators = [Sigmoid(*pair) for pair in info["sigmoid"]]

@@ -32,11 +32,12 @@ from pyspark.ml.util import (
     MLWritable,
     MLWriter,
 )
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StringType, StructType
 
 from ..functions.scalar import AGE_EDGES, bin_index, nan_to_null
+from ..session import current
 from .dictionary import build_dictionary, copy_dictionary, read_dictionary, with_place
 from .quantiles import exact_medians
 from .select import column_roles, leakage_columns
@@ -215,7 +216,7 @@ def width(params: dict, c: str) -> int:
 
 
 def dictionary_of(params: dict) -> DataFrame:
-    return read_dictionary(SparkSession.getActiveSession(), params["dictionary"], params["mask"])
+    return read_dictionary(current(), params["dictionary"], params["mask"])
 
 
 def category_lists(params: dict) -> dict[str, list[str]]:
@@ -320,7 +321,7 @@ class FeatureModel(Model, _StateParams, MLWritable, MLReadable):
         """(position, feature)."""
         params = self.params_dict
         before, after = plain_columns(params, self.plain_schema)
-        spark, at = SparkSession.getActiveSession(), len(before)
+        spark, at = current(), len(before)
         known = [(i, n) for i, (n, _) in enumerate(before)]
         parts = []
         for c in params["categorical"]:

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import current
 from .boosting import BoostOptions, JointBooster
 from .features import FeatureModel
 from .weights import class_weights, positive_ratio, with_multilabel_weight
@@ -190,7 +191,7 @@ def native_importance(model: PipelineModel) -> DataFrame:
     else:
         values = abs(last.coefficientMatrix.toArray()).mean(axis=0)
     rows = [(i, float(v)) for i, v in enumerate(values)]
-    ranked = SparkSession.getActiveSession().createDataFrame(rows, "position long, importance double")
+    ranked = current().createDataFrame(rows, "position long, importance double")
     return ranked.join(features.names(), "position").select("feature", "importance").orderBy(F.desc("importance"), "feature")
 
 

@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType, StructType
 
 from ..functions.hashing import unit_hash
+from ..session import written
+
+BROADCAST_SPLITS = 200_000  # rows of a path and some numbers each
+
 
 def drop_target(df: DataFrame, target: str | None) -> DataFrame:
     return df.drop(target) if target and target in df.columns else df
@@ -85,26 +90,29 @@ def sample_rows(
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Dense 0-based row number in scan order, without moving rows.
+    """Dense 0-based row number in the order of the scanned files, whose rows are written once.
 
-    ``df`` must be a plain file scan, so that splits are the same in both passes. The
-    offsets hold one row per input split.
+    Rows of a scan carry the path of their file and where their split of it begins; the
+    written table adds the place of a row within its own file. A split's rows lie together, so
+    a row's number is that of the rows in earlier splits (by path, then by beginning) and its
+    place among its own. Other split sizes, another number of tasks or a rerun give the same
+    numbers. A frame that is no scan of files is numbered as it is written.
     """
-    marked = df.withColumn("_m", F.monotonically_increasing_id())
-    part = F.shiftright("_m", 33)
-    sizes = marked.groupBy(part.alias("_p")).agg(F.count("*").alias("_c")).collect()
-    offsets, before = [], 0
-    for r in sorted(sizes, key=lambda r: r["_p"]):
-        offsets.append((r["_p"], before))
-        before += r["_c"]
-    table = df.sparkSession.createDataFrame(offsets or [(0, 0)], "_p long, _before long")
-    local = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        marked.withColumn("_p", part)
-        .join(F.broadcast(table), "_p")
-        .withColumn(name, F.col("_before") + local)
-        .drop("_m", "_p", "_before")
-    )
+    try:
+        marked = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    except AnalysisException:
+        marked = df.select("*", F.lit("").alias("_file"), F.lit(0).cast("long").alias("_block"))
+    stored = written(marked, "rows").select("*", F.col("_metadata.file_path").alias("_part"), F.col("_metadata.row_index").alias("_at"))
+    split = ["_file", "_block", "_part"]
+    splits = written(stored.groupBy(*split).agg(F.min("_at").alias("_first"), F.count("*").alias("_n")), "splits")
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    files = splits.groupBy("_file").agg(F.sum("_n").alias("_n")).select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_a"))
+    earlier = Window.partitionBy("_file").orderBy("_block", "_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    starts = splits.select(*split, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_b"))
+    starts = starts.join(files, "_file").select(*split, (F.col("_a") + F.col("_b") - F.col("_first")).alias("_start"))
+    few = splits.count() <= BROADCAST_SPLITS
+    placed = stored.join(F.broadcast(starts) if few else starts, split)
+    return placed.withColumn(name, F.col("_start") + F.col("_at")).select(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns], name)
 
 
 def group_sizes(df: DataFrame, group: str) -> DataFrame:

@@ -6,10 +6,10 @@ import math
 
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import new_path, written
+from ..session import current, new_path, written
 from .boosting import JointBoostingModel
 
 #: A row per node: leaves have left = -1. ``value`` is what a leaf adds, ``cover`` the weight that reached the node.
@@ -20,7 +20,7 @@ def node_table(model: Model, class_index: int) -> DataFrame:
     """Nodes of all trees that make the score of a class: a share (forest) or a margin (boosted)."""
     if isinstance(model, JointBoostingModel):
         return model.nodes_of(class_index)
-    spark = SparkSession.getActiveSession()
+    spark = current()
     path = new_path(spark, "nodes")
     model.write().save(path)
     saved = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")

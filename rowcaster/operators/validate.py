@@ -164,30 +164,37 @@ class Contract:
     def from_json(text: str) -> Contract:
         return Contract(**json.loads(text))
 
-    def failures(self, df: DataFrame) -> DataFrame:
-        """(column, check, n_failed) with only failed checks; one aggregate for all data checks."""
-        spark, found, aggregates, lines = df.sparkSession, [], [F.count("*").alias("n")], []
-        for c, kind in self.kinds.items():
-            if c not in df.columns:
-                found.append((c, "column present", 1))
-                continue
-            if kind_of(df.schema[c].dataType) != kind:
-                found.append((c, f"type {kind}", 1))
+    def by_schema(self, df: DataFrame) -> list[tuple[str, str, int]]:
+        """What the columns themselves fail."""
+        found = [(c, "column present", 1) for c in self.kinds if c not in df.columns]
+        return found + [
+            (c, f"type {kind}", 1) for c, kind in self.kinds.items() if c in df.columns and kind_of(df.schema[c].dataType) != kind
+        ]
+
+    def by_rows(self, df: DataFrame) -> list[tuple[str, str, Column]]:
+        """(column, check, failing rows) of the columns that are as they should be."""
+        failed = {c for c, _, _ in self.by_schema(df)}
+        out = []
+        for c in self.kinds:
+            if c in failed:
                 continue
-            tests = []
             if not self.nullable[c]:
-                tests.append(("not null", present(df.schema, c).isNull()))
+                out.append((c, "not null", present(df.schema, c).isNull()))
             if c in self.checks:
                 low, high = self.checks[c]
-                tests.append((f"between {low} and {high}", outside(df.schema, c, low, high)))
-            for name, bad in tests:
-                alias = f"b{len(lines)}"
-                aggregates.append(F.count_if(bad).alias(alias))
-                lines.append(
-                    F.struct(F.lit(c).alias("column"), F.lit(name).alias("check"), F.col(alias).alias("n_failed"))
-                )
-        out = spark.createDataFrame(found, VIOLATION_SCHEMA)
-        if lines:
+                out.append((c, f"between {low} and {high}", outside(df.schema, c, low, high)))
+        return out
+
+    def failures(self, df: DataFrame) -> DataFrame:
+        """(column, check, n_failed) with only failed checks; one aggregate for all data checks."""
+        tests = self.by_rows(df)
+        out = df.sparkSession.createDataFrame(self.by_schema(df), VIOLATION_SCHEMA)
+        if tests:
+            aggregates = [F.count_if(bad).alias(f"b{i}") for i, (_, _, bad) in enumerate(tests)]
+            lines = [
+                F.struct(F.lit(c).alias("column"), F.lit(check).alias("check"), F.col(f"b{i}").alias("n_failed"))
+                for i, (c, check, _) in enumerate(tests)
+            ]
             out = out.unionByName(_lines(df, aggregates, lines).where("n_failed > 0"))
         return out
 
@@ -217,6 +224,28 @@ def build_contract(
     return Contract(kinds, nullable, {c: list(v) for c, v in checks.items() if c in kinds})
 
 
+def learned(df: DataFrame, config: dict, targets: Sequence[str]) -> Contract:
+    """The contract of ``build_contract`` for the columns besides the targets, checked against the rows, in one aggregate."""
+    data = config.get("dataset", {})
+    require_columns(df, data.get("required_columns") or ())
+    columns = [c for c in df.columns if c not in targets]
+    kinds = infer_types(df.select(*[quoted(c) for c in columns]).schema)
+    kinds |= {c: "float" for c in data.get("numerical_overrides") or () if c in kinds}
+    kinds |= {c: "string" for c in data.get("categorical_overrides") or () if c in kinds}
+    contract = Contract(kinds, dict.fromkeys(kinds, True), {c: list(v) for c, v in RANGE_CHECKS.items() if c in kinds})
+    failed, tests = contract.by_schema(df), contract.by_rows(df)
+    numbers = [c for c in columns if isinstance(df.schema[c].dataType, NumericType)]
+    counts = [F.count_if(bad).alias(f"b{i}") for i, (_, _, bad) in enumerate(tests)]
+    counts += [F.count_if(present(df.schema, c).isNull()).alias(f"g{i}") for i, c in enumerate(numbers)]
+    if counts:
+        row = df.agg(*counts).first()
+        failed += [(c, check, row[f"b{i}"]) for i, (c, check, _) in enumerate(tests) if row[f"b{i}"]]
+        contract.nullable |= {c: row[f"g{i}"] > 0 for i, c in enumerate(numbers)}
+    if failed:
+        raise ValidationError(sorted(failed))
+    return contract
+
+
 def validate_training(df: DataFrame, config: dict) -> Contract:
     data = config.get("dataset", {})
     target = target_name(config)

@@ -6,13 +6,15 @@ from pyspark.sql import SparkSession
 
 from ..operators.explain import attributions, global_importance, to_long, wide_projection
 from ..operators.models import load_model
-from ..operators.select import sample_rows, with_row_id
+from ..operators.select import sample_rows
 from ..session import written
 from ..sources.artifacts import load_json, require_artifact
 from ..sources.csv import write_csv
-from .predict import scoring_frame
+from ..sources.publish import latest
+from .predict import scoring_frame, tidied
 
 
+@tidied
 def explain_csv(
     spark: SparkSession,
     path: str,
@@ -24,15 +26,16 @@ def explain_csv(
     seed: int = 42,
 ) -> None:
     """Attributions of sampled rows, and the mean absolute value of the leading features."""
+    artifacts = latest(spark, artifacts)
     require_artifact(spark, f"{artifacts}/meta", "Meta")
     meta = load_json(spark, f"{artifacts}/meta")
     model = load_model(f"{artifacts}/model")
-    rows = written(with_row_id(scoring_frame(spark, path, meta)), "rows")
-    sample = written(sample_rows(rows, sample_size, "row_id", seed), "sample")
+    rows, key = scoring_frame(spark, path, meta)
+    sample = written(sample_rows(rows, sample_size, key, seed), "sample")
     names = model.stages[0].feature_names
-    wide = attributions(model, sample, "row_id", class_index, seed=seed).persist()
-    long = to_long(wide, "row_id", "attribution", names)
-    write_csv(wide_projection(wide, "row_id", "attribution", names), f"{output}/attributions")
+    wide = attributions(model, sample, key, class_index, seed=seed).persist()
+    long = to_long(wide, key, "attribution", names)
+    write_csv(wide_projection(wide, key, "attribution", names), f"{output}/attributions")
     write_csv(global_importance(long), f"{output}/attribution_importance", single_file=True)
     write_csv(global_importance(long).limit(max_display), f"{output}/attribution_leading", single_file=True)
     wide.unpersist()

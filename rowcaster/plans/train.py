@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,30 +29,39 @@ from ..operators.models import (
 from ..operators.multilabel import apply_threshold
 from ..operators.rankmetrics import best_f1_threshold
 from ..operators.select import class_counts, sample_rows, with_row_id
-from ..operators.validate import require_target, target_name, validate_training
-from ..session import written
+from ..operators.validate import Contract, learned, require_target, target_name
+from ..session import recorded, remove, written
 from ..sources.artifacts import confusion_dict, named_report, report_dict, save_json, save_labels
 from ..sources.csv import read_csv, write_csv
+from ..sources.publish import publishing
 
-LABEL = "label_idx"
+LABEL, ROW_ID = "label_idx", "row_id"
+Job = Callable[[SparkSession, DataFrame, dict, str], dict]
 
 
-def keyed(df: DataFrame, config: dict) -> tuple[DataFrame, str]:
-    """The table with its row key: the configured column, or a number per scanned row.
+def intake(df: DataFrame, config: dict, targets: list[str]) -> tuple[DataFrame, str, Contract]:
+    """The rows, written from one scan, their key and the contract that they teach.
 
-    A numbered table is written once, so that every later job sees the same numbers.
+    The key is the configured column, or the number of a row among those scanned. The contract
+    reads the columns that it is about from the written rows. (To count them in the writing
+    pass, by ``observe``, would leave the session unfit for logistic models: their training
+    summary holds on to the session, and one that has observed cannot be sent to tasks.)
     """
+    for target in targets:
+        require_target(df, target)
     if config.get("key"):
-        return df, config["key"]
-    return written(with_row_id(df, "row_id"), "rows"), "row_id"
+        rows, key = written(df, "rows"), config["key"]
+    else:
+        rows, key = with_row_id(df, ROW_ID), ROW_ID
+    return rows, key, learned(rows.select(*df.columns), config, targets)
 
 
-def prepare_table(df: DataFrame, config: dict) -> tuple[DataFrame, str, LabelIndex, str]:
+def prepare_table(df: DataFrame, config: dict) -> tuple[DataFrame, str, LabelIndex, str, Contract]:
     target = target_name(config)
     require_target(df, target)
-    df, key = keyed(df, config)
+    df, key, contract = intake(df, config, [target])
     index = LabelIndex.fit(df, target)
-    return index.transform(df, target, LABEL).drop(target), key, index, target
+    return index.transform(df, target, LABEL).drop(target), key, index, target, contract
 
 
 def fold_table(data: DataFrame, key: str, index: LabelIndex, config: dict) -> FoldedData:
@@ -108,12 +120,29 @@ def _save_importance(model, output: str) -> None:
     write_csv(native_importance(model), f"{output}/feature_importance", single_file=True)
 
 
+def published(job: Job) -> Job:
+    """The job, whose artifacts become one version below ``output``; its intermediate tables go at its end."""
+
+    @functools.wraps(job)
+    def run(spark: SparkSession, df: DataFrame, config: dict, output: str) -> dict:
+        with recorded() as paths:
+            try:
+                with publishing(spark, output) as draft:
+                    return job(spark, df, config, draft)
+            finally:
+                for path in paths:
+                    remove(spark, path)
+
+    return run
+
+
+@published
 def train_multiclass(spark: SparkSession, df: DataFrame, config: dict, output: str) -> dict:
-    """Out-of-fold report, weighted final fit, importances, attributions, metadata.
+    """Validation, out-of-fold report, weighted final fit, importances, attributions, metadata.
 
-    Returns the metadata; every artifact lies below ``output``.
+    Returns the metadata; every artifact lies in the version that is published below ``output``.
     """
-    data, key, index, target = prepare_table(df, config)
+    data, key, index, target, contract = prepare_table(df, config)
     save_labels(spark, index, f"{output}/labels")
     folded = fold_table(data, key, index, config)
     models = fit_folds(folded, config, parallelism=config["cv"].get("parallelism", 2))
@@ -148,6 +177,7 @@ def train_multiclass(spark: SparkSession, df: DataFrame, config: dict, output: s
         "schema_columns": model.stages[0].required_columns(),
         "schema": data.schema.json(),
         "key": config.get("key"),
+        "contract": contract.to_json(),
         "cv_accuracy": report["accuracy"],
         "cv_macro_f1": report["macro_f1"],
     }
@@ -155,10 +185,10 @@ def train_multiclass(spark: SparkSession, df: DataFrame, config: dict, output: s
     return meta
 
 
+@published
 def train_binary(spark: SparkSession, df: DataFrame, config: dict, output: str) -> dict:
     """Validation, out-of-fold report, best-F1 threshold, full fit, optional calibration."""
-    contract = validate_training(df, config)
-    data, key, index, target = prepare_table(df, config)
+    data, key, index, target, contract = prepare_table(df, config)
     save_labels(spark, index, f"{output}/labels")
     folded = fold_table(data, key, index, config)
     models = fit_folds(folded, config, parallelism=config["cv"].get("parallelism", 2))
@@ -211,12 +241,11 @@ def train_binary(spark: SparkSession, df: DataFrame, config: dict, output: str)
     return meta
 
 
+@published
 def train_multilabel(spark: SparkSession, df: DataFrame, config: dict, output: str) -> dict:
     """Independent models for several 0/1 columns, judged on held-out folds by hash."""
     labels = list(config["target"]["multilabel_columns"])
-    for c in labels:
-        require_target(df, c)
-    df, key = keyed(df, config)
+    df, key, contract = intake(df, config, labels)
     options = FeatureOptions.from_config(config)
     k, seed = config["cv"]["folds"], config["model"]["random_state"]
     folded = written(plain_folds(df, key, k, seed), "folds", partition_by="fold")
@@ -251,6 +280,7 @@ def train_multilabel(spark: SparkSession, df: DataFrame, config: dict, output: s
         "schema_columns": models[0].stages[0].required_columns(),
         "schema": data.schema.json(),
         "key": config.get("key"),
+        "contract": contract.to_json(),
     }
     save_json(spark, meta, f"{output}/meta")
     return meta

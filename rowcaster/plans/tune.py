@@ -12,7 +12,7 @@ from .train import fold_table, prepare_table
 
 def tune(spark: SparkSession, df: DataFrame, config: dict, output: str) -> tuple[dict, DataFrame]:
     """(best parameters, trials), both saved below ``output``."""
-    data, key, index, _ = prepare_table(df, config)
+    data, key, index, *_ = prepare_table(df, config)
     folded = fold_table(data, key, index, config)
     options = config["tuning"]
     minutes = options.get("timeout_minutes")

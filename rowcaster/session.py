@@ -10,6 +10,11 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+def current() -> SparkSession:
+    """The session at hand; threads of a pool have no active one of their own."""
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

@@ -11,6 +11,7 @@ from rowcaster.plans.tune import tune
 from rowcaster.sources import generated
 from rowcaster.sources.artifacts import load_json
 from rowcaster.sources.csv import read_csv, write_csv
+from rowcaster.sources.publish import damaged, latest, publishing, versions
 
 FAST = {
     "cv.folds": 2,
@@ -40,18 +41,20 @@ def test_binary_job(spark, folder):
     assert meta["target"] == "outcome" and meta["task"] == "binary" and 0.0 <= meta["threshold"] <= 1.0
     assert not any("bill" in f or "discharge" in f for f in meta["features"])
     assert "bill_amount" not in meta["schema_columns"] and meta["calibration"]["selected"] in ("sigmoid", "isotonic")
-    report = load_json(spark, f"{out}/cv_report")
+    at = latest(spark, out)
+    report = load_json(spark, f"{at}/cv_report")
     assert report["roc_auc"] > 0.6 and report["best_f1"] >= 0
-    matrix = load_json(spark, f"{out}/confusion_matrix")
+    matrix = load_json(spark, f"{at}/confusion_matrix")
     assert sum(map(sum, matrix["matrix"])) == 200 and matrix["labels"] == [0, 1]
     predict_binary(spark, score, out, str(folder / "pred"), bands=True)
     back = read_csv(spark, str(folder / "pred"))
-    assert back.columns == ["prediction", "risk_level", "probability"] and back.count() == 50
+    assert back.columns == ["row_id", "prediction", "risk_level", "probability"] and back.count() == 50
+    assert sorted(r["row_id"] for r in back.collect()) == list(range(50))
     cut = back.where((F.col("probability") >= meta["threshold"]) != (F.col("prediction") == 1))
     assert cut.count() == 0
-    names = set(read_csv(spark, f"{out}/feature_importance").columns)
+    names = set(read_csv(spark, f"{at}/feature_importance").columns)
     assert names == {"feature", "importance"}
-    assert read_csv(spark, f"{out}/attributions").count() == 20
+    assert read_csv(spark, f"{at}/attributions").count() == 20
 
 
 def test_multiclass_job(spark, folder):
@@ -61,15 +64,16 @@ def test_multiclass_job(spark, folder):
     config = make_config({**FAST, "model.name": "logreg"})
     meta = train_multiclass(spark, read_csv(spark, train), config, out)
     assert meta["n_classes"] == len(meta["classes"]) >= 5 and meta["cv_accuracy"] > 0.3
-    report = load_json(spark, f"{out}/classification_report")
+    at = latest(spark, out)
+    report = load_json(spark, f"{at}/classification_report")
     assert report["macro avg"]["support"] == 400.0
-    matrix = read_csv(spark, f"{out}/confusion_matrix")
+    matrix = read_csv(spark, f"{at}/confusion_matrix")
     assert matrix.columns == ["y", *meta["classes"]]
     top, share = predict_multiclass(spark, score, out, str(folder / "top"), str(folder / "proba"), top_k=3)
-    assert top.columns[:3] == ["prediction", "top1_disease", "top1_probability"] and top.count() == 60
+    assert top.columns[:4] == ["row_id", "prediction", "top1_disease", "top1_probability"] and top.count() == 60
     assert top.where("prediction <> top1_disease or top1_probability < top2_probability").count() == 0
     assert sum(r["n_rows"] for r in share.collect()) == 60
-    assert read_csv(spark, str(folder / "proba")).columns == meta["classes"]
+    assert read_csv(spark, str(folder / "proba")).columns == ["row_id", *meta["classes"]]
     keyed, _ = predict_multiclass(
         spark, score, out, str(folder / "top2"), str(folder / "proba2"), top_k=1, keep=["age", "gender"]
     )
@@ -85,7 +89,7 @@ def test_boosted_multiclass_job(spark, folder):
     meta = train_multiclass(spark, data, make_config({**FAST, "key": "row_id"}), out)
     model, back, index = load_artifacts(spark, out)
     assert back["classes"] == index.classes == meta["classes"]
-    assert set(read_csv(spark, f"{out}/attribution_importance/class=0").columns) == {"feature", "mean_abs_shap"}
+    assert set(read_csv(spark, f"{latest(spark, out)}/attribution_importance/class=0").columns) == {"feature", "mean_abs_shap"}
 
 
 def test_multilabel_job(spark, folder):
@@ -98,7 +102,7 @@ def test_multilabel_job(spark, folder):
     )
     meta = train_csv(spark, path, config, str(folder / "labels"))
     assert meta["task"] == "multilabel"
-    report = load_json(spark, str(folder / "labels") + "/cv_report")
+    report = load_json(spark, latest(spark, str(folder / "labels")) + "/cv_report")
     assert report["roc_auc_macro"] > 0.9 and set(report["per_class_auc"]) == {"high", "old"}
     predict_multilabel(spark, path, str(folder / "labels"), str(folder / "both"), {"old": 0.9}, keep=["age"])
     back = read_csv(spark, str(folder / "both"))
@@ -107,6 +111,79 @@ def test_multilabel_job(spark, folder):
     assert back.where((F.col("score_high") >= 0.5) != (F.col("pred_high") == 1)).count() == 0
 
 
+def test_rows_without_a_key_join_back(spark, folder):
+    """Numbers of scored rows are those of the lines, whatever the splits of the file."""
+    train = csv_of(spark, folder, "lines.csv", generated.multiclass_rows, 300)
+    out = str(folder / "lines")
+    train_multiclass(spark, read_csv(spark, train), make_config({**FAST, "model.name": "logreg"}), out)
+    lines = [line for part in sorted((folder / "lines.csv").glob("part-*.csv")) for line in part.read_text().splitlines()[1:]]
+    ages = {i: line.split(",")[0] for i, line in enumerate(lines)}
+    runs = []
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (before, "700"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            top, _ = predict_multiclass(spark, train, out, str(folder / f"o{size}"), str(folder / f"p{size}"), keep=["row_id", "age"])
+            runs.append(sorted(map(tuple, top.collect())))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert runs[0] == runs[1] and [r[0] for r in runs[0]] == list(range(300))
+    assert all(str(r[1]) == ages[r[0]] for r in runs[0])
+    proba = read_csv(spark, str(folder / "p700"))
+    assert proba.join(read_csv(spark, str(folder / "o700")), "row_id").count() == 300
+
+
+@pytest.mark.parametrize("task", ["binary", "multiclass", "multilabel"])
+def test_contract_of_every_task(spark, folder, task):
+    """Every training job stores the contract, and rows that break it stop a scoring job before its sink."""
+    rows = generated.multiclass_rows(generated.range_keys(spark, 120)).withColumn("high", (F.col("cholesterol") > 200).cast("int"))
+    rows = rows.withColumn("old", (F.col("age") > 60).cast("int"))
+    targets = {"binary": ["high"], "multiclass": ["prognosis"], "multilabel": ["high", "old"]}[task]
+    rows = rows.drop(*({"high", "old", "prognosis"} - set(targets)))
+    config = {**FAST, "model.name": "logreg", "key": "row_id", "target.name": targets[0]}
+    config |= {"target.multilabel": True, "target.multilabel_columns": targets} if task == "multilabel" else {}
+    path, out = str(folder / f"{task}-in.csv"), str(folder / f"{task}-out")
+    write_csv(rows, path)
+    meta = train_csv(spark, path, make_config(config), out)
+    assert meta["task"] == task and "age" in meta["contract"]
+    write_csv(rows.withColumn("age", F.when(F.col("row_id") == 7, F.lit(130)).otherwise(F.col("age"))), str(folder / f"{task}-old.csv"))
+    sinks = [str(folder / f"{task}-{n}") for n in ("a", "b")]
+    job = {"binary": predict_binary, "multiclass": predict_multiclass, "multilabel": predict_multilabel}[task]
+    sinks = sinks if task == "multiclass" else sinks[:1]
+    with pytest.raises(ValueError, match=r"age: between 0 and 120 \(1 rows\)"):
+        job(spark, str(folder / f"{task}-old.csv"), out, *sinks)
+    assert not any((folder / f"{task}-{n}").exists() for n in ("a", "b"))
+    job(spark, path, out, *sinks)
+    assert read_csv(spark, sinks[0]).count() == 120
+
+
+def test_versions(spark, tmp_path):
+    """A job that stops halfway leaves the version before it; a changed part is found out."""
+    out = str(tmp_path / "a")
+    for value in (1, 2):
+        with publishing(spark, out) as draft:
+            spark.range(value).write.parquet(f"{draft}/part")
+            write_csv(spark.range(3), f"{draft}/deep/er")
+    assert versions(spark, out) == [1, 2] and spark.read.parquet(f"{latest(spark, out)}/part").count() == 2
+    with pytest.raises(RuntimeError, match="stopped"):
+        with publishing(spark, out) as draft:
+            spark.range(9).write.parquet(f"{draft}/part")
+            raise RuntimeError("stopped")
+    assert versions(spark, out) == [1, 2] and not list((tmp_path / "a").glob(".draft*"))
+    (tmp_path / "a" / "v=000003").mkdir()  # a folder without a manifest is no version
+    assert spark.read.parquet(f"{latest(spark, out)}/part").count() == 2
+    assert damaged(spark, latest(spark, out)) == []
+    part = next((tmp_path / "a" / "v=000002" / "deep" / "er").glob("part-*.csv"))
+    (part.parent / f".{part.name}.crc").unlink()  # the local file system's own
+    part.write_bytes(part.read_bytes() + b"9\n")
+    assert len(damaged(spark, latest(spark, out))) == 1
+    (tmp_path / "a" / "v=000003").rmdir()
+    for _ in range(3):
+        with publishing(spark, out) as draft:
+            spark.range(1).write.parquet(f"{draft}/part")
+    assert versions(spark, out) == [3, 4, 5]
+
+
 def test_contract_holds_at_scoring(spark, folder):
     rows = generated.binary_rows(generated.range_keys(spark, 120))
     path, out = str(folder / "keyed.csv"), str(folder / "keyed")

@@ -66,6 +66,10 @@ def test_row_numbers_over_many_files(spark, tmp_path):
     spark.range(1000).repartition(7).write.parquet(str(tmp_path / "p"))
     numbered = with_row_id(spark.read.parquet(str(tmp_path / "p")))
     assert sorted(r["row_id"] for r in numbered.collect()) == list(range(1000))
+    plain = with_row_id(spark.range(100).withColumn("a b", F.lit(1)))  # no scan of files
+    assert plain.columns == ["id", "a b", "row_id"]
+    assert sorted(r["row_id"] for r in plain.collect()) == list(range(100)) and plain.where("id <> row_id").count() == 0
+    assert with_row_id(spark.range(0)).collect() == []
 
 
 def test_ranges_are_inclusive_and_skip_gaps(spark):
