@@ -36,7 +36,7 @@ from .frames import bounded, join_small
 from .graph import components
 
 BUCKET_BYTES = 16 << 20  # of text for each bucket of tokens
-FLUSH_TOKENS = 1 << 20  # a flush takes about 90 bytes a token
+FLUSH_TOKENS = 1 << 19  # a flush takes about 90 bytes a token
 FAN_OUT = 2048  # buckets that a task packs rows for at once; more are reached by a second split
 GROUP_TOKENS, GROUP_ROWS = 1 << 16, 256
 NEAR_ROWS = 1_000_000  # ids that are broadcast, 8 MB
