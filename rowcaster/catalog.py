@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .functions import ranking, scalar
 from .functions.hashing import arithmetic_unit
 from .operators import calibrate, confusion, crossval, explain, features, folds, labels, metrics
-from .operators import models, multilabel, quantiles, rankmetrics, scoring, select, sparse, tune, validate, weights
+from .operators import models, multilabel, quantiles, rankmetrics, scores, scoring, select, sparse, tune, validate, weights
 from .operators.boosting import BoostOptions, JointBooster
 from .operators.features import FeatureModel, FeatureOptions
 from .session import new_path
@@ -514,6 +514,24 @@ def best_f1_threshold(spark, sf):
     return rounded(spark.createDataFrame([(threshold, best)], "threshold double, f1 double"), "threshold", "f1")
 
 
+@query
+def metric_bundle(spark, sf):
+    """Areas, precision, threshold and count metrics of scored lines, all from one written table of their scores."""
+    df = scored_lines(spark, sf).withColumn("pred", (F.col("score") >= 0.3).cast("int"))
+    scored = scores.binary_table(df, "y", "score")
+    bundle = metrics.binary_metrics(df, "y", "pred", "score", scored)
+    bundle["threshold"], bundle["best_f1"] = scored.best_threshold()
+    out = spark.createDataFrame([(k, float(v)) for k, v in bundle.items()], "metric string, value double")
+    return rounded(out, "value")
+
+
+@query
+def class_bundle(spark, sf):
+    """Areas and precision of every class from one table."""
+    scored = scores.class_table(class_lines(spark, sf), "y", "proba", 3)
+    return rounded(scored.areas().join(scored.precisions(), "cls"), "auc", "ap")
+
+
 @query
 def score_quantiles(spark, sf):
     levels = [0.01, 0.25, 0.5, 0.77, 0.99]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import current
 from .crossval import FoldedData
+from .scores import ScoreTable, score_table
 
 Scorer = Callable[[DataFrame, str, str], float]  # (frame, label column, probability array)
 
@@ -81,6 +82,8 @@ def fit_isotonic(df: DataFrame, score: str, label: str) -> Isotonic:
 
 
 def isotonic_of(merged: DataFrame) -> Isotonic:
+    """The same from (s, n, p). The library pools neighbours within sorted partitions first; its last task then holds one
+    row for each pooled block, at most one for each distinct score, some 40 bytes each (a million scores: 40 MB)."""
     data = merged.select("s", (F.col("p") / F.col("n")).alias("y"), "n")
     fitted = IsotonicRegression(featuresCol="s", labelCol="y", weightCol="n").fit(data)
     return Isotonic(fitted)
@@ -132,13 +135,14 @@ class CalibratedModel:
         return CalibratedModel(info["method"], models, calibrators)
 
 
-def fit_calibrated(data: FoldedData, models: Sequence[PipelineModel], method: str) -> CalibratedModel:
+def fit_calibrated(
+    data: FoldedData, models: Sequence[PipelineModel], method: str, table: ScoreTable | None = None
+) -> CalibratedModel:
     """One calibrator per fold, learned on the fold its model did not see."""
     if method not in FITTERS:
         raise ValueError(f"calibration methods are {', '.join(FITTERS)}; asked for: {method}")
-    merged = by_fold(fold_scores(data, models), data.label).persist()
-    calibrators = [FITTERS[method](merged.where(F.col("fold") == i)) for i in range(data.k)]
-    merged.unpersist()
+    table = table or margin_table(fold_scores(data, models), data.label)
+    calibrators = [FITTERS[method](table.merged(F.col("fold") == i)) for i in range(data.k)]
     return CalibratedModel(method, list(models), calibrators)
 
 
@@ -148,21 +152,17 @@ def fold_scores(data: FoldedData, models: Sequence[PipelineModel]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def by_fold(scores: DataFrame, label: str) -> DataFrame:
-    """(fold, s, n, p): rows and positives of each fold and score."""
-    return scores.groupBy("fold", F.col("_score").alias("s")).agg(
-        F.count("*").cast("double").alias("n"), F.sum(F.col(label).cast("double")).alias("p")
-    )
+def margin_table(scores: DataFrame, label: str) -> ScoreTable:
+    """The out-of-fold scores as a table by fold, from which calibrators of every method and fold are learned."""
+    return score_table(scores.select("fold", F.lit(0).alias("cls"), F.col("_score").alias("score"), F.col(label).cast("long").alias("pos")))
 
 
-def cross_calibrated(data: FoldedData, scores: DataFrame, method: str) -> DataFrame:
+def cross_calibrated(data: FoldedData, scores: DataFrame, method: str, table: ScoreTable) -> DataFrame:
     """Each row calibrated by a fit on the out-of-fold scores of the other folds."""
-    merged, parts = by_fold(scores, data.label).persist(), []
+    parts = []
     for i in range(data.k):
-        others = merged.where(F.col("fold") != i).groupBy("s").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
-        calibrator = FITTERS[method](others)
+        calibrator = FITTERS[method](table.merged(F.col("fold") != i))
         parts.append(calibrator.apply(scores.where(F.col("fold") == i), "_score", "_p"))
-    merged.unpersist()
     frame = reduce(lambda a, b: a.unionByName(b), parts)
     return frame.select(data.label, F.array(1.0 - F.col("_p"), F.col("_p")).alias("proba"))
 
@@ -184,15 +184,16 @@ def select_calibration(
     if not given or set(given) != set(methods):
         raise ValueError(f"calibration methods are {', '.join(FITTERS)}; asked for: {given or 'none'}")
     scores = fold_scores(data, models).persist()
+    table = margin_table(scores, data.label)
     values: dict = {}
     for method in methods:
         if in_sample:
-            frame = fit_calibrated(data, models, method).probabilities(data.df)
+            frame = fit_calibrated(data, models, method, table).probabilities(data.df)
         else:
-            frame = cross_calibrated(data, scores, method)
+            frame = cross_calibrated(data, scores, method, table)
         frame = frame.select(data.label, "proba").persist()
         values[method] = float(scorer(frame, data.label, "proba"))
         frame.unpersist()
     scores.unpersist()
     best = max(methods, key=lambda m: values[m])
-    return fit_calibrated(data, models, best), {**values, "selected": best}
+    return fit_calibrated(data, models, best, table), {**values, "selected": best}

@@ -59,17 +59,23 @@ def label_scores(df: DataFrame, truth: Sequence[str], scores: Sequence[str]) ->
     return df.select(F.inline(entries))
 
 
+def score_bounds(long: DataFrame, buckets: int | None) -> list[float]:
+    """Bounds of buckets, as many as the counted rows call for, from a sample of the scores."""
+    steps = 4 * MOST_BUCKETS if buckets is None else buckets
+    n, splits = count_and_splits(long, "score", [i / steps for i in range(1, steps)])
+    if buckets is None:
+        wanted = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
+        splits = splits[:: max(1, len(splits) // wanted)]
+    return splits
+
+
 def _score_counts(long: DataFrame, sums: Sequence[Column], buckets: int | None) -> DataFrame:
     """One row per class and distinct score. A NaN score fails the job, a NULL ranks lowest.
 
     Buckets follow from the number of rows, and their bounds from a sample of the scores.
     The keys are made non-nullable so that plans reading this twice share one shuffle.
     """
-    steps = 4 * MOST_BUCKETS if buckets is None else buckets
-    n, splits = count_and_splits(long, "score", [i / steps for i in range(1, steps)])
-    if buckets is None:
-        wanted = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
-        splits = splits[:: max(1, len(splits) // wanted)]
+    splits = score_bounds(long, buckets)
     counts = with_bucket(long.groupBy("cls", "score").agg(*sums), "score", splits, "_b")
     return counts.withColumns(
         {

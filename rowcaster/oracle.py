@@ -505,3 +505,18 @@ SPARSE = """p AS (SELECT p_partkey, p_name, p_brand, p_size::DOUBLE AS size FROM
 ORACLE["sparse_importance"] = f"WITH {SPARSE} SELECT feature, {r6('avg(abs(value))', 'mean_abs_shap')} FROM every GROUP BY feature"
 ORACLE["sparse_top_features"] = f"""WITH {SPARSE}, ranked AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(value) DESC, feature) AS rank FROM every)
  SELECT p_partkey, feature, {r6('value', 'value')}, {r6('abs(value)', 'abs_value')}, rank::INT AS rank FROM ranked WHERE rank <= 3"""
+
+DECIDED = f"""{BINARY}, d AS (SELECT pos AS y, (score >= {num(0.3)})::INT AS pred FROM b), k AS (SELECT unnest([0, 1]) AS c),
+ s AS (SELECT c, (SELECT count(*) FROM d WHERE y = c AND pred = c) AS tp, (SELECT count(*) FROM d WHERE y = c) AS support,
+  (SELECT count(*) FROM d WHERE pred = c) AS called FROM k),
+ sc AS (SELECT *, CASE WHEN called = 0 THEN 0e0 ELSE tp / called END AS p, CASE WHEN support = 0 THEN 0e0 ELSE tp / support END AS r FROM s),
+ f AS (SELECT *, CASE WHEN p + r = 0 THEN 0e0 ELSE 2 * p * r / (p + r) END AS f FROM sc)"""
+ORACLE["metric_bundle"] = f"""SELECT 'roc_auc' AS metric, (SELECT roc_auc FROM ({ORACLE['roc_auc']})) AS value
+ UNION ALL SELECT 'pr_auc', (SELECT pr_auc FROM ({ORACLE['average_precision']}))
+ UNION ALL SELECT 'threshold', (SELECT threshold FROM ({ORACLE['best_f1_threshold']}))
+ UNION ALL SELECT 'best_f1', (SELECT f1 FROM ({ORACLE['best_f1_threshold']}))
+ UNION ALL (WITH {DECIDED} SELECT 'accuracy', {r6('sum(tp) / sum(support)', 'value')} FROM f)
+ UNION ALL (WITH {DECIDED} SELECT 'precision', {r6('avg(p)', 'value')} FROM f)
+ UNION ALL (WITH {DECIDED} SELECT 'recall', {r6('avg(r)', 'value')} FROM f)
+ UNION ALL (WITH {DECIDED} SELECT 'f1', {r6('avg(f)', 'value')} FROM f)"""
+ORACLE["class_bundle"] = f"""WITH {CLASS_ROWS}, {CLASS_LONG}, {AUC}, {AP} SELECT cls, {r6('auc', 'auc')}, {r6('ap', 'ap')} FROM av JOIN ap USING (cls)"""

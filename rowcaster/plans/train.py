@@ -27,7 +27,7 @@ from ..operators.models import (
     uses_weights,
 )
 from ..operators.multilabel import apply_threshold
-from ..operators.rankmetrics import best_f1_threshold
+from ..operators.scores import binary_table
 from ..operators.select import class_counts, sample_rows, with_row_id
 from ..operators.validate import Contract, learned, require_target, target_name
 from ..session import recorded, remove, written
@@ -194,11 +194,13 @@ def train_binary(spark: SparkSession, df: DataFrame, config: dict, output: str)
     models = fit_folds(folded, config, parallelism=config["cv"].get("parallelism", 2))
     scored = out_of_fold(folded, models).select(LABEL, "proba").withColumn("pred", argmax_index("proba"))
     scored = scored.persist()
-    report = mt.generic_metrics(scored, LABEL, "pred", "proba", index.n_classes)
+    table = None
+    if index.n_classes == 2:  # areas and threshold are read from one table of the scores
+        table = binary_table(scored.select(LABEL, F.col("proba")[1].alias("score")), LABEL, "score")
+    report = mt.generic_metrics(scored, LABEL, "pred", "proba", index.n_classes, table)
     pred, threshold = "pred", None
-    if index.n_classes == 2:
-        positive = scored.select(LABEL, F.col("proba")[1].alias("score"))
-        threshold, best = best_f1_threshold(positive, LABEL, "score")
+    if table is not None:
+        threshold, best = table.best_threshold()
         report["threshold"], report["best_f1"] = threshold, best
         scored_at = scored.withColumn("cut", above(F.col("proba")[1], threshold))
         counts = cm.confusion_counts(scored_at, LABEL, "cut")
