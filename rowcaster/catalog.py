@@ -942,6 +942,20 @@ def group_folds(spark, sf):
 # --- files ---------------------------------------------------------------------------------------------------------
 
 
+@query
+def group_class_folds(spark, sf):
+    """Orders in folds by customer and status: no customer in two folds, every status in about even shares, with one
+    customer that holds a third of all orders."""
+    orders = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("owner"), "o_orderstatus")
+    folded = folds.group_class_folds(orders, "o_orderstatus", "owner", 3).persist()
+    split = folded.groupBy("owner").agg(F.count_distinct("fold").alias("n")).agg(F.count_if(F.col("n") > 1).alias("n_split"), F.count("*").alias("n_groups"))
+    shares = folded.groupBy("o_orderstatus", "fold").agg(F.count("*").alias("n"))
+    whole = folded.groupBy("o_orderstatus").agg(F.count("*").alias("t"), F.count_if(F.col("owner").isNull()).alias("largest"))
+    off = shares.join(whole, "o_orderstatus").select((F.abs(F.col("n") / F.col("t") - 1 / 3) <= F.col("largest") / F.col("t")).alias("ok"))
+    facts = off.agg(F.count("*").alias("n_cells"), F.count_if(~F.col("ok")).alias("n_uneven"))
+    return split.join(F.broadcast(facts))  # one row and one row
+
+
 @query
 def csv_round_trip(spark, sf):
     """Written as CSV, read back with inferred types, summed per column."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from .features import FeatureModel, FeatureOptions, fit_features
-from .folds import group_folds, plain_folds, stratified_folds
+from .folds import group_class_folds, group_folds, plain_folds, stratified_folds
 from .models import fit_classifier, probabilities, uses_weights
 
 
@@ -54,7 +54,7 @@ def prepare_folds(
 ) -> FoldedData:
     """Number the rows, write them, and learn the features of all k training parts together."""
     if group is not None:
-        folded = group_folds(df, group, k, seed)
+        folded = group_class_folds(df, label, group, k, seed) if stratify else group_folds(df, group, k, seed)
     elif stratify:
         folded = stratified_folds(df, label, key, k, seed)
     else:

@@ -520,3 +520,6 @@ ORACLE["metric_bundle"] = f"""SELECT 'roc_auc' AS metric, (SELECT roc_auc FROM (
  UNION ALL (WITH {DECIDED} SELECT 'recall', {r6('avg(r)', 'value')} FROM f)
  UNION ALL (WITH {DECIDED} SELECT 'f1', {r6('avg(f)', 'value')} FROM f)"""
 ORACLE["class_bundle"] = f"""WITH {CLASS_ROWS}, {CLASS_LONG}, {AUC}, {AP} SELECT cls, {r6('auc', 'auc')}, {r6('ap', 'ap')} FROM av JOIN ap USING (cls)"""
+
+ORACLE["group_class_folds"] = """SELECT 0::BIGINT AS n_split, (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_orderkey % 3 <> 0) + 1 AS n_groups,
+ (SELECT count(DISTINCT o_orderstatus) * 3 FROM orders) AS n_cells, 0::BIGINT AS n_uneven"""

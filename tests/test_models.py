@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rowcaster.functions import ranking
 from rowcaster.operators import calibrate, crossval, explain, metrics, models, scoring, tune
 from rowcaster.operators.features import FeatureModel, FeatureOptions, fit_features
-from rowcaster.operators.folds import group_folds, stratified_folds, stratified_holdout
+from rowcaster.operators.folds import group_class_folds, group_folds, stratified_folds, stratified_holdout
 from rowcaster.operators.select import class_counts, rank_by_unit, sample_rows
 from rowcaster.functions.hashing import unit_hash
 
@@ -307,3 +307,35 @@ def test_bands_and_captions(spark):
     assert captions == ["Disease Detected", "Disease Detected", "Healthy", "Healthy"]
     assert scoring.resolve_threshold(None, None) == 0.5
     assert scoring.resolve_threshold(None, 0.3) == 0.3 and scoring.resolve_threshold(0.0, 0.3) == 0.0
+
+
+@pytest.mark.parametrize("groups", [6, 40, 2000])
+def test_folds_by_group_and_class(spark, groups):
+    """Groups stay whole; a hot group, rare classes and gaps; class shares within the stated bound."""
+    rng = np.random.default_rng(groups)
+    data = []
+    for i in range(4000):
+        g = 0 if i % 3 == 0 else int(rng.integers(groups))
+        data.append((i, None if g == 1 else f"g{g}", [None, "a", "b", "c"][min(3, int(rng.exponential(1.2)))] if g % 2 else "ab"[int(rng.random() < 0.3)]))
+    df = spark.createDataFrame(data, "id int, g string, y string").repartition(3)
+    for k in (2, 3):
+        rows = group_class_folds(df, "y", "g", k).collect()
+        again = {r["id"]: r["fold"] for r in group_class_folds(df.repartition(7), "y", "g", k).collect()}
+        assert len(rows) == 4000 and all(again[r["id"]] == r["fold"] for r in rows)
+        owner = {}
+        for r in rows:
+            assert owner.setdefault(r["g"], r["fold"]) == r["fold"] and 0 <= r["fold"] < k
+        for y in {r["y"] for r in rows}:
+            mine = [r for r in rows if r["y"] == y]
+            largest = max(sum(r["g"] == g for r in mine) for g in {r["g"] for r in mine})
+            for f in range(k):
+                off = abs(sum(r["fold"] == f for r in mine) / len(mine) - 1 / k)
+                assert off <= largest / len(mine) + 3 / math.sqrt(max(1, len(mine)))
+    assert group_class_folds(df.limit(0), "y", "g", 3).collect() == []
+
+
+def test_folds_of_a_training_table_keep_groups(spark, rows):
+    data = crossval.prepare_folds(rows.withColumn("g", F.col("id") % 12), PLAIN, "y", "id", 2, 3, group="g", exclude=["g", "c"])
+    assert data.df.groupBy("g").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
+    shares = data.df.groupBy("fold").agg(F.avg("y").alias("y"), F.count("*").alias("n")).collect()
+    assert len(shares) == 3 and max(r["n"] for r in shares) - min(r["n"] for r in shares) <= 40
