@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions import ranking, scalar
 from .functions.hashing import arithmetic_unit
-from .operators import calibrate, confusion, crossval, explain, features, folds, labels, metrics
+from .operators import calibrate, confusion, crossval, explain, features, folds, labelarrays, labels, metrics
 from .operators import models, multilabel, quantiles, rankmetrics, scores, scoring, select, sparse, tune, validate, weights
 from .operators.boosting import BoostOptions, JointBooster
 from .operators.features import FeatureModel, FeatureOptions
@@ -455,6 +455,30 @@ def multilabel_scores(spark, sf):
     return rounded(out, "macro_f1", "micro_f1", "samples_f1", "accuracy")
 
 
+@query
+def label_array_scores(spark, sf):
+    """The same four scores, and the areas and weights, of labels in arrays: as wide a plan for any number of labels."""
+    rows = multilabel_rows(spark, sf).select(
+        "doc_id", labelarrays.label_array(["quality", "toxic"]).alias("truth"), labelarrays.label_array(["pred_quality", "pred_toxic"]).alias("pred"),
+        F.array("score_quality", "score_toxic").alias("score"),
+    )
+    line = labelarrays.multilabel_metrics(rows, "truth", "pred")
+    areas = rankmetrics.auc_by_class(labelarrays.array_scores(rows, "truth", "score"))
+    weight = labelarrays.with_label_weight(rows, "truth").agg(F.max("weight").alias("value"))
+    out = line.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in line.columns])))
+    out = out.unionByName(areas.select(F.concat(F.lit("auc_"), F.col("cls").cast("string")).alias("metric"), F.col("auc").alias("value")))
+    return rounded(out.unionByName(weight.select(F.lit("largest_weight").alias("metric"), "value")), "value")
+
+
+@query
+def label_decades(spark, sf):
+    """Thirty labels of a row from its number of characters, judged against those of another number."""
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
+    bits = lambda c: F.transform(F.sequence(F.lit(2), F.lit(31)), lambda i: (F.pmod(F.col(c), i) == 0).cast("int"))
+    rows = docs.select(bits("n_chars").alias("truth"), bits("doc_id").alias("pred"))
+    return rounded(labelarrays.multilabel_metrics(rows, "truth", "pred"), "macro_f1", "micro_f1", "samples_f1", "accuracy")
+
+
 @query
 def multilabel_decision(spark, sf):
     """Element-wise threshold over a probability array."""

@@ -523,3 +523,20 @@ ORACLE["class_bundle"] = f"""WITH {CLASS_ROWS}, {CLASS_LONG}, {AUC}, {AP} SELECT
 
 ORACLE["group_class_folds"] = """SELECT 0::BIGINT AS n_split, (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_orderkey % 3 <> 0) + 1 AS n_groups,
  (SELECT count(DISTINCT o_orderstatus) * 3 FROM orders) AS n_cells, 0::BIGINT AS n_uneven"""
+
+_SCORES = ORACLE["multilabel_scores"]
+_PER_LABEL = ORACLE["roc_auc_per_label"]
+ORACLE["label_array_scores"] = " UNION ALL ".join(
+    [f"SELECT '{c}' AS metric, {c} AS value FROM ({_SCORES})" for c in ("macro_f1", "micro_f1", "samples_f1", "accuracy")]
+    + [f"SELECT 'auc_' || cls, auc FROM ({_PER_LABEL})"]
+    + [f"""(WITH m AS (SELECT labels.* FROM {LABELLED}), t AS (SELECT count(*)::DOUBLE n, sum(quality) q, sum(toxic) x FROM m),
+ w AS (SELECT CASE WHEN quality + toxic = 0 THEN 1e0 ELSE (quality * (n / (2 * q + 1)) + toxic * (n / (2 * x + 1))) / (quality + toxic) END AS raw FROM m, t)
+ SELECT 'largest_weight', {r6('max(raw) * (SELECT n FROM t) / (SELECT sum(raw) FROM w)', 'value')} FROM w)"""]
+)
+ORACLE["label_decades"] = f"""WITH l AS (SELECT doc_id, i, (n_chars % i = 0)::INT AS t, (doc_id % i = 0)::INT AS p FROM documents, range(2, 32) r(i)),
+ by_label AS (SELECT i, sum(t * p) AS tp, sum(t + p) AS sz FROM l GROUP BY i),
+ by_row AS (SELECT doc_id, sum(t * p) AS tp, sum(t + p) AS sz, bool_and(t = p) AS ok FROM l GROUP BY doc_id)
+ SELECT {r6('(SELECT avg(CASE WHEN sz = 0 THEN 0e0 ELSE 2e0 * tp / sz END) FROM by_label)', 'macro_f1')},
+ {r6('(SELECT 2e0 * sum(tp) / sum(sz) FROM by_label)', 'micro_f1')},
+ {r6('(SELECT avg(CASE WHEN sz = 0 THEN 0e0 ELSE 2e0 * tp / sz END) FROM by_row)', 'samples_f1')},
+ {r6('(SELECT avg(ok::INT::DOUBLE) FROM by_row)', 'accuracy')}"""
