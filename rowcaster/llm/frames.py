@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ARROW_BYTES = 4 << 20
+ARROW_BYTES = 2 << 20
 BROADCAST_ROWS = 100_000
 SALTS = 64
 

@@ -35,10 +35,12 @@ from . import text as T
 from .frames import bounded, join_small
 from .graph import components
 
-BUCKET_BYTES = 16 << 20  # of text for each bucket of tokens
+BUCKET_BYTES = 8 << 20  # of text for each bucket of tokens
 FLUSH_TOKENS = 1 << 19  # a flush takes about 90 bytes a token
 FAN_OUT = 2048  # buckets that a task packs rows for at once; more are reached by a second split
 GROUP_TOKENS, GROUP_ROWS = 1 << 16, 256
+PIECE_BYTES = 1 << 18  # of text whose tokens are made at once
+COLUMNS = 1 << 13  # of the 0/1 matrices that are multiplied at once
 NEAR_ROWS = 1_000_000  # ids that are broadcast, 8 MB
 SAMPLED, COMMON = 10_000, 100_000  # nodes and tokens that only decide which tokens count as rare
 
@@ -151,7 +153,7 @@ def prefix_rows(rows: DataFrame, options: JoinOptions, buckets: int) -> DataFram
             yield from packed(tokens, owner, uid, (tokens % np.uint64(coarse)).astype(np.int64), coarse)
 
         for batch in batches:
-            for piece in T.slices(batch, "text"):
+            for piece in T.slices(batch, "text", PIECE_BYTES):
                 tokens, first = token_sets(T.batch_of(piece.column("text"), lower=True), options.words)
                 size = np.diff(first)
                 slack = options.slack(size)
@@ -225,7 +227,7 @@ def nodes_of(rows: DataFrame, chosen: DataFrame, n_chosen: int, options: JoinOpt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in T.slices(batch, "text"):
+            for piece in T.slices(batch, "text", PIECE_BYTES):
                 tokens, first = token_sets(T.batch_of(piece.column("text"), lower=True), options.words)
                 cells = [tokens[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
                 yield pa.RecordBatch.from_arrays(
@@ -308,15 +310,27 @@ def build_groups(nodes: DataFrame, options: JoinOptions, common: np.ndarray) ->
     )
 
 
-def _matrix(members: np.ndarray, sizes: np.ndarray, which: np.ndarray, column: np.ndarray, width: int) -> np.ndarray:
-    """0/1 rows of the chosen members over the columns that both unions have."""
+def _cells(members: np.ndarray, sizes: np.ndarray, which: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the tokens of the chosen members that both unions have, by column."""
     first = np.cumsum(sizes) - sizes
-    at = _ranges(first[which], sizes[which])
-    cells = column[members[at]]
-    row = np.repeat(np.arange(len(which)), sizes[which])
-    ok = cells >= 0
-    out = np.zeros((len(which), width), np.float32)
-    out[row[ok], cells[ok]] = 1
+    cells = column[members[_ranges(first[which], sizes[which])]]
+    row = np.repeat(np.arange(len(which), dtype=np.int32), sizes[which])
+    ok = np.flatnonzero(cells >= 0)
+    order = ok[np.argsort(cells[ok], kind="stable")]
+    return row[order], cells[order]
+
+
+def _overlaps(left: tuple, n: int, right: tuple, m: int, width: int) -> np.ndarray:
+    """Shared tokens of each pair, as a sum of products of 0/1 matrices over blocks of columns."""
+    out = np.zeros((n, m), np.float32)
+    for a in range(0, width, COLUMNS):
+        parts = []
+        for (row, column), rows in ((left, n), (right, m)):
+            x, y = np.searchsorted(column, [a, a + COLUMNS])
+            block = np.zeros((rows, min(COLUMNS, width - a)), np.float32)
+            block[row[x:y], column[x:y] - a] = 1
+            parts.append(block)
+        out += parts[0] @ parts[1].T
     return out
 
 
@@ -338,7 +352,7 @@ def open_groups(left: tuple, right: tuple, options: JoinOptions) -> list[tuple[i
     q1, q2 = qualify(sizes1, members1, column1), qualify(sizes2, members2, column2)
     if not len(q1) or not len(q2):
         return []
-    overlap = _matrix(members1, sizes1, q1, column1, width) @ _matrix(members2, sizes2, q2, column2, width).T
+    overlap = _overlaps(_cells(members1, sizes1, q1, column1), len(q1), _cells(members2, sizes2, q2, column2), len(q2), width)
     union = sizes1[q1][:, None] + sizes2[q2][None, :] - overlap
     linked = options.below * overlap.astype(np.int64) >= options.above * union.astype(np.int64)
     linked &= nodes1[q1][:, None] != nodes2[q2][None, :]

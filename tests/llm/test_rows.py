@@ -120,6 +120,7 @@ def test_jaccard_of_many_borderline_copies(spark, monkeypatch, fan_out, bucket):
         for _ in range(r.randrange(5)):
             w[r.randrange(60)] = f"x{r.randrange(1000)}"
         data.append((i, " ".join(w), "en", "s"))
+    monkeypatch.setattr(op5_jaccard, "COLUMNS", 7)
     monkeypatch.setattr(op5_jaccard, "GROUP_ROWS", 16)  # many groups, many tasks' worth of tokens
     monkeypatch.setattr(op5_jaccard, "FLUSH_TOKENS", 200)
     found = op5_jaccard.jaccard_components(frame(spark, data, False)).select("doc_id", "n_shingles", "component_id")
