@@ -36,11 +36,14 @@ class ModelOptions:
     order: int = 5  # longest context
     smoothing: float = 4.0  # weight of the shorter context
     alphabet: float = 256.0
-    share: float = 2e-5  # strings rarer than this share of all positions are left to shorter contexts
-    least: int = 2  # and those seen less often than this
     seed: int = 17
 
 
+BROADCAST_STRINGS = 200_000  # rows of a string of at most six characters and two numbers, some 20 MB
+TASK_CHARACTERS = 500_000  # that a task writes out
+SALTS = 64
+
+
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host (A-Z in lower case) and path of a URL; empty without ``://``."""
     at = F.instr(url, "://")
@@ -70,10 +73,9 @@ def _grams(urls: DataFrame, options: ModelOptions, *keep: str) -> DataFrame:
 
 
 def count_strings(labelled: DataFrame, options: ModelOptions) -> DataFrame:
-    """Occurrences of every string of 1 to order + 1 characters per class: (s, allowed, blocked).
+    """Occurrences of every string of 1 to order + 1 characters per class: (s, a, b).
 
-    Strings below the frequency bound are dropped, so at most ``1 / share`` strings of a
-    length remain however many URLs there are. ``labelled``: (url, n, allowed).
+    ``labelled``: (url, n, allowed). All strings are kept, however rare.
     """
     width = options.order + 1
     whole = _grams(labelled, options, "n", "allowed").groupBy("g").agg(
@@ -86,24 +88,29 @@ def count_strings(labelled: DataFrame, options: ModelOptions) -> DataFrame:
     )
 
 
-def score(urls: DataFrame, strings: DataFrame, options: ModelOptions, totals: tuple[int, int]) -> DataFrame:
-    """(url, ratio): mean over the characters of log P(accepted) - log P(rejected).
+def _side(df: DataFrame) -> DataFrame:
+    """Broadcast up to a bound on its counted rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_STRINGS else df
 
-    The model has a proven size bound (see ``count_strings``) and is broadcast, so no
-    character is shuffled; sums stay in the partition of their URL.
+
+def rate_strings(grams: DataFrame, strings: DataFrame, options: ModelOptions, totals: tuple[int, int]) -> DataFrame:
+    """(g, v): log P(accepted) - log P(rejected) of the last character of each distinct string ``g`` after the others.
+
+    Both models go from the plain frequency of the character to the longest context, each step
+    smoothed by the one before. A distinct string is rated once, however many URLs hold it.
     """
     n = options.order + 1
     contexts = strings.groupBy(F.expr("substring(s, 1, length(s) - 1)").alias("x")).agg(
         F.sum("a").alias("a"), F.sum("b").alias("b")
     ).where(F.length("x") > 0)
     contexts = written(contexts, "url-contexts")
-    rows = _grams(urls, options, "url")
+    rows = grams.select("g")
     for k in range(n):
         side = strings.where(F.length("s") == k + 1).select(F.col("s").alias(f"s{k}"), F.col("a").alias(f"a{k}"), F.col("b").alias(f"b{k}"))
-        rows = rows.join(F.broadcast(side), F.substring(F.col("g"), F.lit(n - k), F.lit(k + 1)) == F.col(f"s{k}"), "left").drop(f"s{k}")
+        rows = rows.join(_side(side), F.substring(F.col("g"), F.lit(n - k), F.lit(k + 1)) == F.col(f"s{k}"), "left").drop(f"s{k}")
         if k:
             side = contexts.where(F.length("x") == k).select(F.col("x").alias(f"x{k}"), F.col("a").alias(f"ca{k}"), F.col("b").alias(f"cb{k}"))
-            rows = rows.join(F.broadcast(side), F.substring(F.col("g"), F.lit(n - k), F.lit(k)) == F.col(f"x{k}"), "left").drop(f"x{k}")
+            rows = rows.join(_side(side), F.substring(F.col("g"), F.lit(n - k), F.lit(k)) == F.col(f"x{k}"), "left").drop(f"x{k}")
 
     def chain(seen: str, total: int) -> Column:
         s = F.lit(options.smoothing)
@@ -112,9 +119,24 @@ def score(urls: DataFrame, strings: DataFrame, options: ModelOptions, totals: tu
             p = (F.coalesce(F.col(f"{seen}{k}"), F.lit(0)) + s * p) / (F.coalesce(F.col(f"c{seen}{k}"), F.lit(0)) + s)
         return p
 
-    return rows.groupBy("url").agg(
-        F.avg(F.log(chain("a", totals[0])) - F.log(chain("b", totals[1]))).alias("ratio")
-    )
+    return rows.select("g", (F.log(chain("a", totals[0])) - F.log(chain("b", totals[1]))).alias("v"))
+
+
+def score(urls: DataFrame, strings: DataFrame, options: ModelOptions, totals: tuple[int, int]) -> DataFrame:
+    """(url, ratio): mean over the characters of log P(accepted) - log P(rejected).
+
+    A short table of rated strings is broadcast, so no character is shuffled. A longer one is
+    repeated under salts, as some strings are in every URL, and meets the characters by a
+    shuffle; their sums are combined before the next one.
+    """
+    rows = _grams(urls, options, "url")
+    rated = written(rate_strings(rows.select("g").distinct(), strings, options, totals), "url-rated")
+    if rated.count() <= BROADCAST_STRINGS:
+        joined = rows.join(F.broadcast(rated), "g")
+    else:
+        salted = rated.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("_salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int")).join(salted, ["g", "_salt"])
+    return joined.groupBy("url").agg(F.avg("v").alias("ratio"))
 
 
 def filter_urls(
@@ -131,6 +153,9 @@ def filter_urls(
         F.count("*").alias("n"), F.first("ruled").alias("ruled")
     )
     urls = written(urls, "urls")
+    # a table of URLs is short, but every character becomes a row
+    characters = urls.agg(F.sum(F.length("url"))).first()[0] or 0
+    urls = urls.repartition(max(1, -(-characters // TASK_CHARACTERS)), "url")
     held = F.pmod(F.xxhash64("url", F.lit(options.seed)), F.lit(5)) == 0
     learned = urls.where(F.col("ruled").isNotNull() & ~held).select("url", "n", (F.col("ruled") == "allow").alias("allowed"))
     sums = learned.groupBy().agg(
@@ -138,8 +163,7 @@ def filter_urls(
         F.sum(F.when(~F.col("allowed"), F.col("n") * F.length("url"))).alias("b"),
     ).first()
     totals = (sums["a"] or 0, sums["b"] or 0)
-    bound = max(options.least, sum(totals) * options.share)
-    strings = written(count_strings(learned, options).where(F.col("a") + F.col("b") >= bound), "url-strings")
+    strings = written(count_strings(learned, options), "url-strings")
     rated = written(score(urls.select("url"), strings, options, totals), "url-ratios")
     threshold = calibrate(rated.join(urls.where(F.col("ruled").isNotNull() & held), "url"))
     out = judged.join(rated, "url", "left")

@@ -82,8 +82,10 @@ def test_urls(spark):
             assert got[i]["verdict"] == ("block" if "track" in u else "allow"), u
 
 
-def test_url_ratios(spark):
-    o = op1_urls.ModelOptions(order=3, least=1, share=0.0)
+@pytest.mark.parametrize("bound", [200_000, 10])
+def test_url_ratios(spark, monkeypatch, bound):
+    monkeypatch.setattr(op1_urls, "BROADCAST_STRINGS", bound)  # broadcast, or shuffled under salts
+    o = op1_urls.ModelOptions(order=3)
     data = [(i, u) for i, u in url_rows() if u and len(u) < 100]
     learned = [(u, rule_brute(*parts_brute(u))[1]) for _, u in data]
     counts: dict = collections.defaultdict(lambda: [0, 0])
@@ -107,6 +109,16 @@ def test_url_ratios(spark):
     assert all(abs(got[u] - want[u]) < 1e-9 for u in got)
 
 
+def test_verdicts_do_not_change_with_the_size_of_the_table(spark):
+    """Each URL ten times over: the same counts ten times, so nothing rare is left out of either class."""
+    data = [(i, u) for i, u in url_rows() if u and len(u) < 100]
+    pages = spark.createDataFrame(data, "page_id long, url string")
+    few = {r["url"]: (r["ratio"], r["verdict"]) for r in op1_urls.filter_urls(pages, options=op1_urls.ModelOptions(smoothing=4.0)).collect()}
+    tenfold = pages.crossJoin(spark.range(10).toDF("times"))
+    many = {r["url"]: (r["ratio"], r["verdict"]) for r in op1_urls.filter_urls(tenfold, options=op1_urls.ModelOptions(smoothing=40.0)).collect()}
+    assert few.keys() == many.keys() and all(abs(few[u][0] - many[u][0]) < 1e-9 and few[u][1] == many[u][1] for u in few)
+
+
 def test_urls_without_a_class(spark):
     pages = spark.createDataFrame([(1, "http://x.org/"), (2, None), (None, "http://a.com/")], "page_id long, url string")
     assert {r["verdict"] for r in op1_urls.filter_urls(pages).collect()} == {"allow"}
