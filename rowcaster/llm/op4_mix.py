@@ -17,6 +17,7 @@ mixes, whatever the partitions. Other columns stay as they are.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +28,7 @@ from .frames import join_small, word_count
 
 DIGIT = 8  # bits: 256 blocks of a source, and 256 ranges of a block at each cut
 MAX_DIGITS = 7
+PART_BYTES = 16 << 20  # of text that a task sorts
 SMALL_RANGE = 1_000  # rows of a source among which the last are chosen one by one
 
 
@@ -260,9 +262,15 @@ def with_draws(documents: DataFrame, options: MixOptions = MixOptions()) -> Data
 
 
 def mix(documents: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
-    """The mix itself: the columns of ``documents``, a row for each draw. Rows are dealt by
-    shard and shuffled inside it."""
+    """The mix itself: the columns of ``documents``, a row for each draw.
+
+    Rows are dealt by shard, a shard over as many parts as its bytes call for, and shuffled
+    inside their part, so a task's share does not grow with the mix.
+    """
+    total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, math.ceil(options.share * total / (PART_BYTES * options.shards)))
     rows = with_draws(documents, options).select("row", "_h", F.explode("draws").alias("_d"))
     place = F.xxhash64("_h", "_d.copy", F.lit(options.seed + 1))
     rows = rows.select("row", F.col("_d.shard").alias("_shard"), place.alias("_place"))
-    return rows.repartition(options.shards, "_shard").sortWithinPartitions("_shard", "_place").select("row.*")
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("_place", F.lit(options.seed)), F.lit(parts)))
+    return rows.repartition(options.shards * parts, "_shard", "_part").sortWithinPartitions("_shard", "_part", "_place").select("row.*")
