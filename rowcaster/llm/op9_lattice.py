@@ -1,8 +1,8 @@
 """Language-model scores: likelihood of a text over all segmentations into subwords.
 
 The pieces are those of an existing vocabulary. Their starting weights follow from its
-scores (which order the pieces), and one round of expectation-maximisation over the words
-of all training documents turns them into probabilities. A word's probability is the sum
+scores (which order the pieces), and expectation-maximisation over the words of all training
+documents, round after round until the likelihood stands still, turns them into probabilities. A word's probability is the sum
 over all its segmentations, by a forward recursion in log space over byte positions; words
 of a batch advance together. Single bytes are pieces too, so no word has probability 0.
 
@@ -29,9 +29,9 @@ from . import text as T
 
 CHUNK_BYTES = 24 << 20
 END = ""  # no word is empty
-LONGEST = 24  # bytes of a piece that is used
 WORDS_AT_ONCE = 20_000
-ROUNDS = 1
+STILL = 1e-3  # relative gain of the training words' log-likelihood below which learning ends
+MOST_ROUNDS = 30
 
 
 def held_out() -> Column:
@@ -56,8 +56,7 @@ def load_pieces(path: str) -> tuple[list[bytes], np.ndarray]:
             continue
         body = b"^" + piece[1:].encode() if piece.startswith(mark) else b" " + piece.encode()
         body = body[:1] + bytes(c + 32 if 65 <= c < 91 else c for c in body[1:])  # texts are in lower case
-        if len(body) <= LONGEST + 1:
-            weight[body] = weight.get(body, 0.0) + 1.0 / (rank + 100.0)
+        weight[body] = weight.get(body, 0.0) + 1.0 / (rank + 100.0)
     for c in range(256):
         weight.setdefault(b" " + bytes([c]), 1e-6)
     weight.setdefault(b"^", 1e-3)
@@ -72,16 +71,17 @@ class Lattice:
 
     def __init__(self, names: list[bytes], logp: np.ndarray):
         self.logp = logp
+        self.longest = max(len(n) - 1 for n in names)  # bytes of a piece
         self.index = {n: i for i, n in enumerate(names)}
         self.table = T.mix(np.arange(256, dtype=np.uint64) + np.uint64(99 << 16))
-        self.power = np.ones(LONGEST + 1, np.uint64)
+        self.power = np.ones(self.longest + 1, np.uint64)
         self.power[1:] = T.constants(99, 1)[0]
         np.multiply.accumulate(self.power, out=self.power)
         self.tables = {kind: self._lookup(names, kind) for kind in (b"^", b" ")}
 
     def _lookup(self, names: list[bytes], kind: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each length: hashes of the pieces' prefixes, sorted, and the piece or -1."""
-        found: list[dict[bytes, int]] = [{} for _ in range(LONGEST + 1)]
+        found: list[dict[bytes, int]] = [{} for _ in range(self.longest + 1)]
         for i, name in enumerate(names):
             if name[:1] == kind and len(name) > 1:
                 for n in range(1, len(name) - 1):
@@ -99,7 +99,7 @@ class Lattice:
         """(length, entries of ``at``, pieces) of all pieces that match there."""
         live = np.arange(len(at))
         h = np.zeros(len(at), np.uint64)
-        for n in range(1, LONGEST + 1):
+        for n in range(1, self.longest + 1):
             keys, pieces = self.tables[kind][n]
             ok = room[live] >= n
             live, h = live[ok], h[ok]
@@ -170,23 +170,41 @@ def _words_column(batch: pa.RecordBatch) -> Iterator[tuple[T.Batch, slice]]:
         yield T.batch_of(part.column("word")), slice(at, at + part.num_rows)
 
 
-def refine(counts: DataFrame, names: list[bytes], p: np.ndarray) -> np.ndarray:
-    """One round: expected uses of the pieces in the training words, summed over all tasks."""
+def refine(counts: DataFrame, names: list[bytes], p: np.ndarray) -> tuple[np.ndarray, float]:
+    """One round: expected uses of the pieces in the training words, summed over all tasks, and the words' log-likelihood."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, use = Lattice(names, np.log(p)), np.zeros(len(p))
+        lattice, use, total = Lattice(names, np.log(p)), np.zeros(len(p)), 0.0
         for batch in batches:
             c = batch.column("c").to_numpy().astype(float)
             for b, where in _words_column(batch):
-                use += lattice.run(b.data, b.offsets[:-1], b.offsets[1:], c[where])[1]
+                own, used = lattice.run(b.data, b.offsets[:-1], b.offsets[1:], c[where])
+                use += used
+                total += float((own * c[where]).sum())
         seen = np.flatnonzero(use)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(use[seen])], ["piece", "use"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1), pa.int32()), pa.array(np.append(use[seen], total))], ["piece", "use"])
 
     used = counts.where((F.col("c") > 0) & (F.col("word") != END)).mapInArrow(run, "piece int, use double")
-    use = np.full(len(p), 0.1)  # a trace for pieces that no word uses
+    use, total = np.full(len(p), 0.1), 0.0  # a trace for pieces that no word uses
     for r in used.groupBy("piece").agg(F.sum("use").alias("use")).collect():  # one row per piece
-        use[r["piece"]] += r["use"]
-    return use
+        if r["piece"] < 0:
+            total = r["use"]
+        else:
+            use[r["piece"]] += r["use"]
+    return use, total
+
+
+def learn(counts: DataFrame, names: list[bytes], p: np.ndarray, ends: int) -> np.ndarray:
+    """Probabilities of the pieces, learned until the likelihood of the training words stands still."""
+    before = None
+    for _ in range(MOST_ROUNDS):
+        use, total = refine(counts, names, p)
+        use[names.index(b"$")] += ends
+        p = use / use.sum()
+        if before is not None and total - before <= STILL * abs(before):
+            break
+        before = total
+    return p
 
 
 # --- jobs --------------------------------------------------------------------------------
@@ -232,10 +250,8 @@ def lm_scores(documents: DataFrame, model_path: str) -> DataFrame:
     sums = counts.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.max(F.when(F.col("word") == END, F.col("c"))).alias("e")).first()
     n, v, ends = sums["n"] or 0, sums["v"], sums["e"] or 0
     names, p = load_pieces(model_path)
-    for _ in range(ROUNDS if n else 0):
-        use = refine(counts, names, p)
-        use[names.index(b"$")] += ends
-        p = use / use.sum()
+    if n:
+        p = learn(counts, names, p, ends)
     logp = np.log(p)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
