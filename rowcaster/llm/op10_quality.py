@@ -208,8 +208,10 @@ def quality_scores(documents: DataFrame, labels: DataFrame, size: int = SAMPLE)
     chosen = usable.where(rank < min(1.0, size / max(n, 1))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # at most about ``size`` short rows
     sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
+    # an id may have any number of rows
+    sample = sample.orderBy(F.xxhash64("doc_id", "text", F.lit(11)), "doc_id", "text").limit(2 * size).repartition(16)
     contexts = learn_contexts(documents)
-    rows = with_vectors(sample, contexts).collect()  # at most about ``size`` rows of WIDTH numbers
+    rows = with_vectors(sample, contexts).collect()  # at most 2 * ``size`` rows of WIDTH numbers
     x = np.array([r["v"] for r in rows], np.float32).reshape(len(rows), WIDTH)
     y = np.array([r["quality"] for r in rows])
     order = np.lexsort(np.column_stack([x, y]).T)  # reruns agree whatever order rows come in

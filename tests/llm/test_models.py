@@ -281,9 +281,12 @@ def test_mix(spark):
     assert sorted(map(repr, again.collect())) == sorted(map(repr, got))
 
 
-def test_mixed_rows_and_shards(spark):
+@pytest.mark.parametrize("part_bytes", [16 << 20, 3000])
+def test_mixed_rows_and_shards(spark, monkeypatch, part_bytes):
+    monkeypatch.setattr(op4_mix, "PART_BYTES", part_bytes)  # a shard in one part or in several
     df = frame(spark, mix_rows())
     mixed = op4_mix.mix(df)
+    assert (mixed.rdd.getNumPartitions() > 16) == (part_bytes == 3000)
     assert mixed.columns == df.columns
     drawn = op4_mix.with_draws(df).select("doc_id", "row.source", "draws").collect()
     assert mixed.count() == sum(len(r["draws"]) for r in drawn)
@@ -382,9 +385,26 @@ def test_learning_raises_the_likelihood(spark):
     end = np.cumsum([len(w.encode()) for w in c])
     start = np.concatenate([[0], end[:-1]])
     before = op9_lattice.Lattice(names, np.log(p)).run(data, start, end)[0] @ np.array(list(c.values()))
-    use = op9_lattice.refine(counts, names, p)
+    use, total = op9_lattice.refine(counts, names, p)
+    assert math.isclose(total, before, rel_tol=1e-9)
     after = op9_lattice.Lattice(names, np.log(use / use.sum())).run(data, start, end)[0] @ np.array(list(c.values()))
     assert after > before
+    learned = op9_lattice.learn(counts, names, p, 300)
+    use, total = op9_lattice.refine(counts, names, learned)
+    use[names.index(b"$")] += 300
+    last = op9_lattice.Lattice(names, np.log(use / use.sum())).run(data, start, end)[0] @ np.array(list(c.values()))
+    assert total > before and abs(last - total) < 2 * op9_lattice.STILL * abs(total)  # it stands still
+
+
+def test_every_piece_of_the_vocabulary_is_used():
+    import sentencepiece
+
+    names, _ = op9_lattice.load_pieces(tokenizer_path(PIECES))
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(PIECES))
+    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    longest = max((p for p in pieces if "▁" not in p[1:]), key=lambda p: len(p.replace("▁", "").encode()))
+    body = (b"^" if longest.startswith("▁") else b" ") + longest.replace("▁", "").translate(LOW).encode()
+    assert body in names and op9_lattice.Lattice(names, np.zeros(len(names))).longest == len(body) - 1 > 24
 
 
 # --- 10: quality -------------------------------------------------------------------------
@@ -417,6 +437,17 @@ def test_quality_on_held_out_rows(spark):
     assert right >= 0.97 * len(held)
 
 
+def test_an_id_of_many_rows_leaves_the_sample_bounded(spark, monkeypatch):
+    data, labels = labelled(60)
+    many = data + [(3, f"{data[3][1]} {i}", "en", "s") for i in range(3000)]
+    sizes = []
+    plain = op10_quality.train
+    monkeypatch.setattr(op10_quality, "train", lambda x, y: sizes.append(len(x)) or plain(x, y))
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert op10_quality.quality_scores(frame(spark, many), table, 40).count() == len(many)
+    assert sizes and sizes[0] <= 80
+
+
 def test_quality_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in op10_quality.quality_scores(frame(spark, rows()), labels).collect()} == {0.5}
