@@ -1,14 +1,20 @@
 """Substring dedup by relative Lempel-Ziv parsing against an index of all earlier documents.
 
-A document is parsed into phrases: in every window of ``span`` words the least hash of a
-k-gram is its anchor, and the windows that follow each other with one anchor form a phrase.
-Phrases depend on their words alone, so a passage that two documents share is cut alike in
-both. The reference index is dealt over blocks by anchor; a block holds every phrase of every
-document that begins with its anchors, so parsing a document against all blocks means one
-look-up per phrase. Runs of phrases that a smaller document has are the factors; they are
-extended phrase by phrase as far as the index goes. At the boundaries of factors there are
-phrases whose anchor is known but whose words differ: their windows are looked up one by one,
-by a 128-bit hash, among all such windows. A word inside any window found is removed.
+A document is factored from left to right against the documents before it: a factor is a run
+of words that an earlier document has in one place (``source`` and ``source_at``), extended
+as far as that source goes on in the same way. The index is dealt over blocks by what the
+text says, not by document, as every document must meet every block and the pairs of document
+and block of documents would grow with the square of the corpus: in every window of ``span``
+words the least hash of a k-gram is its anchor, the windows that follow each other with one
+anchor form a phrase, and a block holds the phrases of all documents that begin with its
+anchors. Phrases depend on their words alone, so parsing a document against all blocks means
+one look-up per phrase, which answers with the first document that has it and the place there.
+Phrases whose places continue each other make up the factors.
+
+Where a factor ends, inside a phrase whose anchor is known but whose words differ, its end is
+checked window by window: those windows are looked up one by one, by a 128-bit hash, among all
+such windows, and extend a factor or make one of their own. Every factor has at least ``span``
+words; all words inside factors are removed.
 
 Every window of a document lies in one phrase. If the phrase occurs in a smaller document, so
 does the window. If not, the window can only occur in a smaller document inside a phrase with
@@ -20,7 +26,8 @@ one entry. Hashes of a phrase have 96 bits besides the block.
 
 Defined results: null text has no words; texts shorter than a window lose nothing. Windows
 are judged by ``doc_id``: rows with one ``doc_id`` do not remove each other's words, and a
-null ``doc_id`` counts as larger than all others. Other columns are ignored.
+null ``doc_id`` counts as larger than all others (as a source it is the largest long). Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +43,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from . import text as T
+from .frames import bounded
 
 SPAN, GRAM = 13, 7
 BLOCK_BYTES = 48 << 20  # of text for each block of the index
@@ -86,8 +94,11 @@ def second_hash(p: Parsed, at: np.ndarray) -> np.ndarray:
     return T.run_hash(p.hashes, SPAN, seed=21)[at]
 
 
-#: Packed entries of a block: for some documents, two hashes and a number of each entry.
-#: A negative block has documents and numbers that their task knows already.
+#: A known phrase or window: its first word, and the document and first word where it is known from.
+FOUND = np.dtype([("at", "<u4"), ("source_at", "<u4"), ("source", "<i8")])
+
+#: Packed entries of a block: for some documents, two hashes and the first word of each entry.
+#: A negative block has documents and what their task has found already.
 ENTRIES = "block int, ids binary, one binary, two binary, doc binary, number binary"
 COLUMNS = ["block", "ids", "one", "two", "doc", "number"]
 
@@ -111,14 +122,14 @@ class Sender:
         owner = np.concatenate([x[2] + s for x, s in zip(self.held, sizes)])
         uid, doc, one, two, number = (np.concatenate([x[i] for x in self.held]) for i in (0, 1, 3, 4, 5))
         self.held, self.waiting = [], 0
-        order = np.lexsort((doc[owner], two, one))
+        order = np.lexsort((number, doc[owner], two, one))
         owner, one, two, number = owner[order], one[order], two[order], number[order]
-        known = later(one, two, doc[owner])
-        told = list(each_owner(owner[known], number[known]))
+        known, found = later(one, two, doc[owner], number)
+        told = list(each_owner(owner[known], found))
         if told:
             who = uid[np.array([i for i, _ in told])]
             empty = pa.array([b""] * len(told), pa.binary())
-            cells = [pa.array([u.tobytes() for u in who.astype("<i8")], pa.binary()), empty, empty, empty, pa.array([n.astype("<u4").tobytes() for _, n in told], pa.binary())]
+            cells = [pa.array([u.tobytes() for u in who.astype("<i8")], pa.binary()), empty, empty, empty, pa.array([n.tobytes() for _, n in told], pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(-1 - who % self.blocks, pa.int32()), *cells], COLUMNS)
         owner, one, two, number = owner[~known], one[~known], two[~known], number[~known]
         block = (one % np.uint64(self.blocks)).astype(np.int64)
@@ -139,17 +150,21 @@ def packed_row(block: int, uid: np.ndarray, doc: np.ndarray, one=(), two=(), pla
     return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *[pa.array([c.tobytes()], pa.binary()) for c in cells]], COLUMNS)
 
 
-def later(one: np.ndarray, two: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Marks entries that are equal to one of a smaller document; in order of (one, two, doc)."""
+def later(one: np.ndarray, two: np.ndarray, doc: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks entries that are equal to one of a smaller document, and where that is; in order of (one, two, doc, number)."""
     if not len(one):
-        return np.zeros(0, bool)
+        return np.zeros(0, bool), np.zeros(0, FOUND)
     new = np.ones(len(one), bool)
     new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-    return doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+    known = doc > doc[lead]
+    found = np.zeros(int(known.sum()), FOUND)
+    found["at"], found["source_at"], found["source"] = number[known], number[lead[known]], doc[lead[known]]
+    return known, found
 
 
 def each_owner(owner: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.lexsort((number, owner))
+    order = np.argsort(owner, kind="stable")
     owner, number = owner[order], number[order]
     edges = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
     for a, z in zip(edges, np.append(edges[1:], len(owner))):
@@ -157,7 +172,7 @@ def each_owner(owner: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, np.
 
 
 def unpack(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """uid, doc, one, two, number of all entries of a block, in order of (one, two, doc)."""
+    """uid, doc, one, two, number of all entries of a block, in order of (one, two, doc, number)."""
     uid, doc, rest = [], [], [[], [], []]
     for ids, one, two, place, number in zip(*(table.column(c) for c in ("ids", "one", "two", "doc", "number"))):
         pairs = np.frombuffer(ids.as_py(), "<i8").reshape(-1, 2)
@@ -167,7 +182,7 @@ def unpack(table: pa.Table) -> tuple[np.ndarray, ...]:
         for c, cell, kind in zip(rest, (one, two, number), ("<u8", "<u8", "<u4")):
             c.append(np.frombuffer(cell.as_py(), kind))
     uid, doc, one, two, number = map(np.concatenate, (uid, doc, *rest))
-    order = np.lexsort((doc, two, one))
+    order = np.lexsort((number, doc, two, one))
     return uid[order], doc[order], one[order], two[order], number[order]
 
 
@@ -175,11 +190,11 @@ REPLY = "uid long, known binary, open binary"
 
 
 def replies(uid: np.ndarray, known: tuple[np.ndarray, np.ndarray], more: tuple[np.ndarray, np.ndarray]) -> pa.Table:
-    """A row per document with the numbers of its known entries and of those still open."""
+    """A row per document with what is known of it, and the first words of entries still open."""
     rows: dict[int, list[bytes]] = {}
-    for which, (who, number) in enumerate((known, more)):
-        for u, numbers in each_owner(who, number):
-            rows.setdefault(u, [b"", b""])[which] = numbers.astype("<u4").tobytes()
+    for which, (who, values) in enumerate((known, (more[0], more[1].astype("<u4")))):
+        for u, part in each_owner(who, values):
+            rows.setdefault(u, [b"", b""])[which] = part.tobytes()
     return pa.table({
         "uid": pa.array(list(rows), pa.int64()), "known": pa.array([r[0] for r in rows.values()], pa.binary()), "open": pa.array([r[1] for r in rows.values()], pa.binary()),
     })
@@ -187,19 +202,19 @@ def replies(uid: np.ndarray, known: tuple[np.ndarray, np.ndarray], more: tuple[n
 
 def answer_phrases(table: pa.Table) -> pa.Table:
     uid, doc, one, two, number = unpack(table)
-    known = later(one, two, doc)
+    known, found = later(one, two, doc, number)
     # anchors with phrases of several kinds: the first documents of each kind are looked at closer
     anchors = np.flatnonzero(np.append(True, one[1:] != one[:-1]))
     kinds = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
     several = np.repeat(np.add.reduceat(kinds.astype(np.int64), anchors) > 1, np.diff(np.append(anchors, len(one))))
     more = several & ~known
-    return replies(uid, (uid[known], number[known]), (uid[more], number[more]))
+    return replies(uid, (uid[known], found), (uid[more], number[more]))
 
 
 def answer_windows(table: pa.Table) -> pa.Table:
     uid, doc, one, two, number = unpack(table)
-    known = later(one, two, doc)
-    return replies(uid, (uid[known], number[known]), (uid[:0], number[:0]))
+    known, found = later(one, two, doc, number)
+    return replies(uid, (uid[known], found), (uid[:0], number[:0]))
 
 
 def _columns(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +228,8 @@ def send_phrases(blocks: int) -> Callable:
             for piece in T.slices(batch, "text"):
                 p = parse(T.batch_of(piece.column("text")))
                 owner = np.repeat(np.arange(piece.num_rows), np.diff(p.first))
-                sender.add(*_columns(piece), owner, p.anchor, p.body, np.arange(len(owner)) - p.first[:-1][owner])
+                at = p.starts[p.begin[:-1]] if len(owner) else np.zeros(0, np.int64)
+                sender.add(*_columns(piece), owner, p.anchor, p.body, at - p.words.first[owner])
                 if sender.full():
                     yield from sender.flush()
         if sender.held:
@@ -222,17 +238,53 @@ def send_phrases(blocks: int) -> Callable:
     return run
 
 
-def _flat(cell) -> np.ndarray:
-    """Numbers of a list of packed cells."""
-    return np.frombuffer(b"".join(cell.as_py() or ()), "<u4").astype(np.int64)
+def _flat(cell, kind) -> np.ndarray:
+    """Entries of a list of packed cells."""
+    return np.frombuffer(b"".join(cell.as_py() or ()), kind)
+
+
+def phrases_at(p: Parsed, i: int, at: np.ndarray) -> np.ndarray:
+    """Numbers of the phrases of a text that begin at these words."""
+    begins = p.starts[p.begin[p.first[i] : p.first[i + 1]]] - p.words.first[i]
+    return p.first[i] + np.searchsorted(begins, at)
 
 
-def phrase_windows(p: Parsed, i: int, numbers: np.ndarray) -> np.ndarray:
+def phrase_windows(p: Parsed, i: int, at: np.ndarray) -> np.ndarray:
     """First words of the windows of some phrases of a text."""
-    at = p.first[i] + numbers
-    size = p.begin[at + 1] - p.begin[at]
+    which = phrases_at(p, i, at)
+    size = p.begin[which + 1] - p.begin[which]
     ends = np.cumsum(size)
-    return p.starts[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size - p.begin[at], size)]
+    return p.starts[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size - p.begin[which], size)]
+
+
+def factors(p: Parsed, i: int, phrases: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """(at, length, source, source_at) of the factors of a text: phrases and windows that continue each other in one source."""
+    which = phrases_at(p, i, phrases["at"].astype(np.int64))
+    length = np.append(p.begin[which + 1] - p.begin[which] + SPAN - 1, np.full(len(windows), SPAN))
+    found = np.append(phrases, windows)
+    at, source_at = found["at"].astype(np.int64), found["source_at"].astype(np.int64)
+    order = np.lexsort((source_at, at))
+    at, source_at, source, end = at[order], source_at[order], found["source"][order], (at + length)[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (source[1:] != source[:-1]) | (source_at[1:] - at[1:] != source_at[:-1] - at[:-1]) | (at[1:] > end[:-1])
+    first = np.flatnonzero(new)
+    out = np.zeros(len(first), FACTOR)
+    if len(first):
+        out["at"], out["source"], out["source_at"] = at[first], source[first], source_at[first]
+        out["length"] = np.maximum.reduceat(end, first) - at[first]
+    return out
+
+
+FACTOR = np.dtype([("at", "<i4"), ("length", "<i4"), ("source", "<i8"), ("source_at", "<i4")])
+FACTORS = "array<struct<at:int,length:int,source:long,source_at:int>>"
+
+
+def inside(spans: np.ndarray, total: int) -> np.ndarray:
+    """Marks the words inside any of the (begin, end) spans."""
+    step = np.zeros(total + 1, np.int64)
+    np.add.at(step, spans[:, 0], 1)
+    np.add.at(step, spans[:, 1], -1)
+    return np.cumsum(step[:-1]) > 0
 
 
 def send_windows(blocks: int) -> Callable:
@@ -242,7 +294,7 @@ def send_windows(blocks: int) -> Callable:
         sender = Sender(blocks)
         for batch in batches:
             for piece in T.slices(batch, "text"):
-                more = [_flat(c) for c in piece.column("open")]
+                more = [_flat(c, "<u4").astype(np.int64) for c in piece.column("open")]
                 if not any(map(len, more)):
                     continue
                 p = parse(T.batch_of(piece.column("text")))
@@ -259,16 +311,18 @@ def send_windows(blocks: int) -> Callable:
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Removes the words of known phrases and windows."""
+    """Puts the factors together and removes their words."""
     for batch in batches:
         for piece in T.slices(batch, "text"):
             b = T.batch_of(piece.column("text"))
-            known, more = [_flat(c) for c in piece.column("known")], [_flat(c) for c in piece.column("found")]
+            known, more = [[_flat(x, FOUND) for x in piece.column(c)] for c in ("known", "found")]
+            parsed = [np.zeros(0, FACTOR)] * len(b)
             if any(map(len, known)) or any(map(len, more)):
                 p = parse(b)
                 w = p.words
-                hit = [phrase_windows(p, i, n) for i, n in enumerate(known) if len(n)] + [w.first[i] + n for i, n in enumerate(more) if len(n)]
-                gone = T.covered(np.concatenate(hit), SPAN, len(w.start))
+                parsed = [factors(p, i, x, y) if len(x) or len(y) else parsed[i] for i, (x, y) in enumerate(zip(known, more))]
+                spans = [np.stack([w.first[i] + f["at"], w.first[i] + f["at"] + f["length"]], axis=1) for i, f in enumerate(parsed) if len(f)]
+                gone = inside(np.concatenate(spans), len(w.start))
             else:
                 w = T.words(b)
                 gone = np.zeros(len(w.start), bool)
@@ -283,20 +337,24 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edges = np.append(0, ends)[np.searchsorted(kept, w.first)]
             body = memoryview(joined.tobytes())
             texts = [bytes(body[a : max(a, z - 1)]) for a, z in zip(edges[:-1], edges[1:])]
+            flat = np.concatenate([np.zeros(0, FACTOR), *parsed])
+            fields = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[n])) for n in FACTOR.names], list(FACTOR.names))
+            found = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parsed)]), pa.int32()), fields)
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array(w.counts, pa.int64()), pa.array(T.per_text(gone, w.first), pa.int64()), pa.array([t.decode() for t in texts], pa.string())],
-                ["doc_id", "n_words", "n_removed", "kept"],
+                [piece.column("doc_id"), pa.array(w.counts, pa.int64()), pa.array(T.per_text(gone, w.first), pa.int64()), pa.array([t.decode() for t in texts], pa.string()), found],
+                ["doc_id", "n_words", "n_removed", "kept", "factors"],
             )
 
 
 def dedup_substrings(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): ``kept`` are the words left, joined by one blank."""
+    """(doc_id, n_words, n_removed, kept, factors): ``kept`` are the words left, joined by one blank; a factor has its first
+    word and length, and the document and word that it is a copy from."""
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     rows = documents.select(F.xxhash64("doc_id", "text").alias("uid"), rank.alias("rank"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(16, math.ceil(total / BLOCK_BYTES))
 
-    answers = rows.mapInArrow(send_phrases(blocks), ENTRIES).groupBy("block").applyInArrow(_block_of(answer_phrases), REPLY)
+    answers = bounded(rows).mapInArrow(send_phrases(blocks), ENTRIES).groupBy("block").applyInArrow(_block_of(answer_phrases), REPLY)
     status = answers.groupBy("uid").agg(F.collect_list("known").alias("known"), F.collect_list("open").alias("open"))
     status = written(status, "phrase-status")
     placed = rows.select("doc_id", "rank", "uid", "text").join(status.withColumnRenamed("uid", "_u"), F.col("uid") == F.col("_u"), "left").drop("_u")
@@ -305,7 +363,7 @@ def dedup_substrings(documents: DataFrame) -> DataFrame:
     found = answers.groupBy("uid").agg(F.collect_list("known").alias("found"))
     whole = placed.join(found.select(F.col("uid").alias("_u"), "found"), F.col("uid") == F.col("_u"), "left")
     # the same columns as above, so that one shuffle of the texts serves both
-    return whole.select("doc_id", "rank", "uid", "text", "known", "open", "found").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    return whole.select("doc_id", "rank", "uid", "text", "known", "open", "found").mapInArrow(cut, f"doc_id long, n_words long, n_removed long, kept string, factors {FACTORS}")
 
 
 def _block_of(answer: Callable) -> Callable:

@@ -59,7 +59,7 @@ def cut_brute(data: list[tuple]) -> list[tuple]:
 @pytest.mark.parametrize("flush", [1 << 21, 40])
 def test_substrings(spark, monkeypatch, flush):
     monkeypatch.setattr(op3_substrings, "FLUSH", flush)
-    assert collected(op3_substrings.dedup_substrings(frame(spark, rows()))) == cut_brute(rows())
+    assert collected(op3_substrings.dedup_substrings(frame(spark, rows())).drop("factors")) == cut_brute(rows())
 
 
 def test_substrings_that_overlap_in_many_ways(spark):
@@ -72,7 +72,34 @@ def test_substrings_that_overlap_in_many_ways(spark):
         for _ in range(r.randrange(4)):
             piece[r.randrange(len(piece))] = "new"
         data.append((i, " ".join(piece + base[:20][:: r.choice([1, -1])]), "en", "s"))
-    assert collected(op3_substrings.dedup_substrings(frame(spark, data, False))) == cut_brute(data)
+    found = op3_substrings.dedup_substrings(frame(spark, data, False)).cache()
+    assert collected(found.drop("factors")) == cut_brute(data)
+    check_factors(data, found)
+
+
+def check_factors(data: list[tuple], found) -> None:
+    """Factors are copies of words of a smaller document, of a window at least, and together all that is removed."""
+    text = {i: words(t) for i, t, *_ in data}
+    for r in found.collect():
+        own, gone = text[r["doc_id"]], set()
+        for f in r["factors"]:
+            assert f["source"] < r["doc_id"] and f["length"] >= 13
+            assert own[f["at"] : f["at"] + f["length"]] == text[f["source"]][f["source_at"] : f["source_at"] + f["length"]]
+            gone |= set(range(f["at"], f["at"] + f["length"]))
+        assert len(gone) == r["n_removed"]
+
+
+def test_factors_of_known_copies(spark):
+    """A copy of a passage is one factor, whichever phrases it is cut into; two sources make two."""
+    r = random.Random(21)
+    a, b = ([f"{x}{r.randrange(10**6)}" for _ in range(120)] for x in "ab")
+    new = [f"n{i}" for i in range(20)]
+    data = [(1, " ".join(a), "en", "s"), (2, " ".join(b), "en", "s"), (3, " ".join(new + a[30:90] + new[:5] + b[10:100] + new), "en", "s")]
+    data += [(4, " ".join(a[5:17]), "en", "s"), (5, " ".join(a[5:18]), "en", "s")]  # a word less than a window, and a window
+    found = op3_substrings.dedup_substrings(frame(spark, data, False)).cache()
+    check_factors(data, found)
+    got = {r["doc_id"]: [(f["at"], f["length"], f["source"], f["source_at"]) for f in r["factors"]] for r in found.collect()}
+    assert got == {1: [], 2: [], 3: [(20, 60, 1, 30), (85, 90, 2, 10)], 4: [], 5: [(0, 13, 1, 5)]}
 
 
 # --- 5: Jaccard --------------------------------------------------------------------------
