@@ -48,6 +48,7 @@ from .frames import bounded
 SPAN, GRAM = 13, 7
 BLOCK_BYTES = 48 << 20  # of text for each block of the index
 FLUSH = 1 << 21  # entries that a task holds before it sends them
+FAN_OUT = 2048  # blocks that a task packs rows for at once; more are reached by a second split
 LAST = (1 << 63) - 1
 
 
@@ -243,6 +244,45 @@ def _flat(cell, kind) -> np.ndarray:
     return np.frombuffer(b"".join(cell.as_py() or ()), kind)
 
 
+def split_again(coarse: int, fine: int) -> Callable:
+    """Deals the entries of a coarse block over ``fine`` blocks, so that rows stay long however many blocks there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+        waiting = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for block, parts in held.items():
+                uid, doc, one, two, number = unpack(pa.Table.from_batches(parts))
+                which = (one % np.uint64(fine)).astype(np.int64)
+                order = np.argsort(which, kind="stable")
+                edges = np.searchsorted(which[order], np.arange(fine + 1))
+                for i in np.flatnonzero(np.diff(edges)):
+                    part = order[edges[i] : edges[i + 1]]
+                    who, first, place = np.unique(uid[part], return_index=True, return_inverse=True)
+                    yield packed_row(int(i) * coarse + block, who, doc[part[first]], one[part] // np.uint64(fine), two[part], place, number[part])
+            held.clear()
+
+        for batch in batches:
+            for i, block in enumerate(batch.column("block").to_pylist()):
+                row = batch.slice(i, 1)
+                if block < 0:
+                    yield row
+                    continue
+                held.setdefault(block, []).append(row)
+                waiting += len(row.column("number")[0].as_buffer()) // 4
+                if waiting >= FLUSH:
+                    yield from flush()
+                    waiting = 0
+        yield from flush()
+
+    return run
+
+
+def dealt(entries: DataFrame, coarse: int, fine: int) -> DataFrame:
+    return entries if fine == 1 else entries.repartition(coarse, "block").mapInArrow(split_again(coarse, fine), ENTRIES)
+
+
 def phrases_at(p: Parsed, i: int, at: np.ndarray) -> np.ndarray:
     """Numbers of the phrases of a text that begin at these words."""
     begins = p.starts[p.begin[p.first[i] : p.first[i + 1]]] - p.words.first[i]
@@ -352,13 +392,15 @@ def dedup_substrings(documents: DataFrame) -> DataFrame:
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     rows = documents.select(F.xxhash64("doc_id", "text").alias("uid"), rank.alias("rank"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(16, math.ceil(total / BLOCK_BYTES))
+    wanted = max(16, math.ceil(total / BLOCK_BYTES))
+    fine = -(-wanted // FAN_OUT)
+    blocks = -(-wanted // fine)
 
-    answers = bounded(rows).mapInArrow(send_phrases(blocks), ENTRIES).groupBy("block").applyInArrow(_block_of(answer_phrases), REPLY)
+    answers = dealt(bounded(rows).mapInArrow(send_phrases(blocks), ENTRIES), blocks, fine).groupBy("block").applyInArrow(_block_of(answer_phrases), REPLY)
     status = answers.groupBy("uid").agg(F.collect_list("known").alias("known"), F.collect_list("open").alias("open"))
     status = written(status, "phrase-status")
     placed = rows.select("doc_id", "rank", "uid", "text").join(status.withColumnRenamed("uid", "_u"), F.col("uid") == F.col("_u"), "left").drop("_u")
-    sent = placed.mapInArrow(send_windows(blocks), ENTRIES)
+    sent = dealt(placed.mapInArrow(send_windows(blocks), ENTRIES), blocks, fine)
     answers = sent.groupBy("block").applyInArrow(_block_of(answer_windows), REPLY)
     found = answers.groupBy("uid").agg(F.collect_list("known").alias("found"))
     whole = placed.join(found.select(F.col("uid").alias("_u"), "found"), F.col("uid") == F.col("_u"), "left")

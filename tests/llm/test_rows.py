@@ -56,9 +56,11 @@ def cut_brute(data: list[tuple]) -> list[tuple]:
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("flush", [1 << 21, 40])
-def test_substrings(spark, monkeypatch, flush):
+@pytest.mark.parametrize("flush,fan_out,block", [(1 << 21, 2048, 48 << 20), (40, 2048, 48 << 20), (60, 4, 3000)])
+def test_substrings(spark, monkeypatch, flush, fan_out, block):
     monkeypatch.setattr(op3_substrings, "FLUSH", flush)
+    monkeypatch.setattr(op3_substrings, "FAN_OUT", fan_out)  # a second split of the blocks
+    monkeypatch.setattr(op3_substrings, "BLOCK_BYTES", block)
     assert collected(op3_substrings.dedup_substrings(frame(spark, rows())).drop("factors")) == cut_brute(rows())
 
 
