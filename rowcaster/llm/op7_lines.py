@@ -3,15 +3,21 @@
 Every line with a word has a home, the first document that holds it. A later document is
 compared with the homes of all its lines, however many documents hold them. Where that leaves
 a line that an earlier document holds, it is compared with every earlier document that shares
-a line of at most ``RARE`` holders. The two sequences of line hashes are aligned by patience
-diff: lines that occur once in either are matched, the longest increasing run of matches is
-kept, and the gaps between them are aligned likewise, after the equal lines at both ends. All
-aligned lines go from the later document.
+a line of at most ``RARE`` holders, and at last, for the frequent lines still left, with one
+earlier document of every kind that holds them. The two sequences of line hashes are aligned
+by patience diff: lines that occur once in either are matched, the longest increasing run of
+matches is kept, and the gaps between them are aligned likewise, after the equal lines at
+both ends. All aligned lines go from the later document.
+
+Documents that share none but frequent lines with another align with it by their frequent
+lines, their lines without a word and the gaps between them alone. So documents alike in these
+are of one kind, and one of them stands for all: many holders of a line need no pairs with
+each other. Kinds are tried in order, twice as many in each round, until a line goes or no
+kind is left; a kind whose first document shares a rare line with the later one is stood for
+by another of its documents. So a line stays only if no earlier document aligns it.
 
 Of documents with equal sequences the first stands for all, and the others lose every line.
-Holders counted are those that stand. A line with more of them leads to its home alone, which
-makes one pair for each holder: a later holder of a frequent line that crosses others in its
-home, and shares no rarer line with a later document, is not compared with that one.
+Holders counted are those that stand.
 
 Defined results: lines are split at ``\\n``; lines without a word are kept and not counted.
 Null text has no lines. Documents are in order of ``doc_id``, null last, and then of a hash
@@ -24,17 +30,18 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
 from .frames import join_small
 
-RARE = 100
+RARE = 100  # holders of a line up to which all of them are compared; beyond, one of each kind
 DEALT = 256  # tasks that the pairs of one earlier document can go to
 LAST = (1 << 63) - 1
 
@@ -146,46 +153,90 @@ def _copies(sequences: DataFrame) -> DataFrame:
     return written(met.where(F.col("first.uid") != F.col("uid")).select("uid"), "line-copies")
 
 
-def _removed(sequences: DataFrame, rare: int | None) -> DataFrame:
+def _rest(held: DataFrame, gone: DataFrame) -> DataFrame:
+    """The lines (uid, rank, a, b, at) of which a place is not gone yet, with the places left."""
+    left = F.array_except("at", F.coalesce("gone", F.array().cast("array<int>")))
+    joined = held.join(gone, "uid", "left").withColumn("at", left).drop("gone")
+    return joined.where(F.size("at") > 0)
+
+
+def _kinds(frequent: DataFrame, sequences: DataFrame) -> DataFrame:
+    """(uid, rank, p, q) of the documents with frequent lines: two hashes of what the others see of them."""
+    own = frequent.groupBy("uid").agg(F.collect_set(F.struct("a", "b")).alias("own"))
+    blank, gap = (F.struct(F.lit(k).cast("long").alias("a"), F.lit(k).cast("long").alias("b")) for k in (0, 1))
+    seen = F.transform("lines", lambda x: F.when(x.isNull(), blank).when(F.array_contains("own", x), x).otherwise(gap))
+    rows = sequences.join(own, "uid").select("uid", "rank", seen.alias("seen"))
+    # gaps that follow each other are one
+    short = F.filter("seen", lambda x, i: ~((x == gap) & (i > 0) & (F.get("seen", i - 1) == gap)))
+    return rows.select("uid", "rank", F.xxhash64(short).alias("p"), F.xxhash64(F.lit(1), short).alias("q"))
+
+
+def _by_kinds(frequent: DataFrame, left: DataFrame, rare_pairs: DataFrame, done: DataFrame, sequences: DataFrame) -> list[DataFrame]:
+    """(uid, gone) parts from one earlier document of each kind. ``frequent``, ``left``: (uid, rank, a, b, at), all and still there."""
+    kinds = written(_kinds(frequent, sequences), "line-kinds")
+    first = kinds.groupBy("p", "q").agg(F.min(F.struct("rank", "uid")).alias("first"))
+    held = join_small(kinds, written(first, "line-kind-firsts"), ["p", "q"], "uid")
+    holders = frequent.select("uid", "a", "b").join(held.select("uid", "p", "q", "first"), "uid").select("a", "b", "p", "q", "first").distinct()
+    order = Window.partitionBy("a", "b").orderBy("first")
+    holders = written(holders.withColumn("place", F.row_number().over(order) - 1), "line-kind-holders")
+    most = holders.agg(F.max("place")).first()[0]
+    parts, low = [], 0
+    while most is not None and low <= most:
+        tried = holders.where(F.col("place").between(low, 2 * low))
+        low = 2 * low + 1
+        met = left.join(tried, ["a", "b"]).where(F.col("first") < F.struct("rank", "uid"))
+        met = written(met.select("uid", "rank", "p", "q", F.col("first.uid").alias("old")).distinct(), "line-kinds-met")
+        if not met.limit(1).count():
+            if not left.limit(1).count():
+                break
+            continue
+        plain = met.join(rare_pairs, ["uid", "old"], "left_anti").select("uid", "old")
+        close = met.join(rare_pairs, ["uid", "old"], "left_semi").select("uid", "rank", "p", "q")
+        others = close.join(kinds.select("p", "q", F.col("uid").alias("old"), F.col("rank").alias("_rank")), ["p", "q"])
+        others = others.where(F.struct("_rank", "old") < F.struct("rank", "uid")).join(rare_pairs, ["uid", "old"], "left_anti")
+        others = others.groupBy("uid", "p", "q").agg(F.min(F.struct("_rank", "old")).alias("o")).select("uid", F.col("o.old").alias("old"))
+        pairs = written(plain.unionByName(others).distinct().join(done, ["uid", "old"], "left_anti"), "line-pairs")
+        parts.append(written(_gone(pairs, sequences), "line-gone"))
+        left = written(_rest(left, parts[-1]), "line-left")
+    return parts
+
+
+def _removed(sequences: DataFrame) -> DataFrame:
     """(uid, gone): places of the lines that go from each document."""
-    stand = sequences
-    if rare is None:
-        copies = _copies(sequences)
-        stand = sequences.join(copies, "uid", "left_anti")
-    own = F.explode(F.filter("lines", lambda x: x.isNotNull()))
-    lines = stand.select("uid", "rank", own.alias("x")).groupBy("uid", "rank", "x.a", "x.b").agg(F.count("*").alias("k"))
+    copies = _copies(sequences)
+    stand = sequences.join(copies, "uid", "left_anti")
+    placed = stand.select("uid", "rank", F.posexplode("lines").alias("i", "x")).where(F.col("x").isNotNull())
+    lines = placed.groupBy("uid", "rank", "x.a", "x.b").agg(F.array_sort(F.collect_list("i")).alias("at"))
     lines = written(lines, "lines")
     homes = lines.groupBy("a", "b").agg(F.min(F.struct("rank", "uid")).alias("home"), F.count("*").alias("df")).where("df > 1")
-    met = lines.join(written(homes, "line-homes"), ["a", "b"]).where(F.col("home.uid") != F.col("uid"))
-    met = written(met.select("uid", "rank", "a", "b", "k", "df", F.col("home.uid").alias("old")), "line-holders")
-    if rare is not None:
-        pairs = met.groupBy("uid", "old").agg(F.min("df").alias("df"), F.count("*").alias("n"))
-        return _gone(written(pairs.where((F.col("df") <= rare) | (F.col("n") > 1)).select("uid", "old"), "line-pairs"), sequences)
+    shared = written(lines.join(written(homes, "line-homes"), ["a", "b"]), "line-holders")
+    met = shared.where(F.col("home.uid") != F.col("uid")).select("uid", "rank", "a", "b", "at", "df", F.col("home.uid").alias("old"))
     pairs = written(met.select("uid", "old").distinct(), "line-pairs")
     gone = written(_gone(pairs, sequences), "line-gone")
-    left = met.groupBy("uid").agg(F.sum("k").alias("held")).join(gone, "uid", "left")
-    left = left.where(F.coalesce(F.size("gone"), F.lit(0)) < F.col("held")).select("uid")
-    few = met.where(F.col("df") <= RARE).select("uid", "rank", "a", "b")
+    left = written(_rest(met.drop("old"), gone), "line-left")
+    some = left.select("uid").distinct()
+    few = shared.where(F.col("df") <= RARE).select("uid", "rank", "a", "b")
     before = few.select("a", "b", F.col("rank").alias("_rank"), F.col("uid").alias("old"))
-    more = few.join(left, "uid", "left_semi").join(before, ["a", "b"]).where(F.struct("_rank", "old") < F.struct("rank", "uid"))
-    more = more.select("uid", "old").distinct().join(pairs, ["uid", "old"], "left_anti")
-    again = _gone(written(more, "line-pairs"), sequences)
+    rare_pairs = few.join(some, "uid", "left_semi").join(before, ["a", "b"]).where(F.struct("_rank", "old") < F.struct("rank", "uid"))
+    rare_pairs = written(rare_pairs.select("uid", "old").distinct(), "line-rare-pairs")
+    again = written(_gone(rare_pairs.join(pairs, ["uid", "old"], "left_anti"), sequences), "line-gone")
+    frequent = shared.where(F.col("df") > RARE).select("uid", "rank", "a", "b", "at")
+    left = written(_rest(left.where(F.col("df") > RARE).drop("df"), again), "line-left")
+    parts = [gone, again]
+    if left.limit(1).count():
+        parts += _by_kinds(frequent, left, rare_pairs, pairs.unionByName(rare_pairs), sequences)
     every = F.filter(F.transform("lines", lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull())
-    whole = sequences.join(copies, "uid", "left_semi").select("uid", every.alias("gone"))
-    return _merged(gone.unionByName(again).unionByName(whole))
-
+    parts.append(sequences.join(copies, "uid", "left_semi").select("uid", every.alias("gone")))
+    return _merged(reduce(lambda x, y: x.unionByName(y), parts))
 
-def dedup_lines(documents: DataFrame, rare: int | None = None) -> DataFrame:
-    """(doc_id, n_lines, n_removed, kept): ``kept`` is the text without the removed lines.
 
-    With ``rare`` documents are compared with homes alone, and only if they share a line of at
-    most so many holders or two lines: a lesser job that leaves repeated lines.
-    """
+def dedup_lines(documents: DataFrame) -> DataFrame:
+    """(doc_id, n_lines, n_removed, kept): ``kept`` is the text without the removed lines."""
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     rows = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"), rank.alias("rank"))
     sequences = rows.where(F.col("text").isNotNull()).select("uid", "rank", line_hashes("text").alias("lines"))
     sequences = written(sequences.dropDuplicates(["uid"]), "line-sequences")
-    gone = _removed(sequences, rare)
+    gone = _removed(sequences)
     out = rows.join(gone.withColumnRenamed("uid", "_u"), F.col("uid") == F.col("_u"), "left")
     none = F.array().cast("array<int>")
     removed = F.coalesce("gone", none)

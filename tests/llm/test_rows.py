@@ -361,41 +361,54 @@ def test_alignment_of_distinct_lines_is_longest():
         assert len(found) == longest_common(a, b)
 
 
-def lines_brute(data: list[tuple], rare: int) -> list[tuple]:
-    """Homes of lines, pairs, alignment and removal in plain loops."""
+def all_lines_brute(data: list[tuple]) -> list[tuple]:
+    """Every document is aligned with every earlier one that shares a line; rows equal in id and text are one document."""
     docs = {}
     for i, t, *_ in data:
         docs[(i is None, i or 0, t or "")] = (t or "").split("\n")
+    order = sorted(docs, key=lambda k: k[:2])
     real = {k: [x if words(x) else None for x in v] for k, v in docs.items()}
-    holders = collections.defaultdict(set)
-    for k, v in real.items():
-        for x in v:
-            if x is not None:
-                holders[x].add(k)
+    gone = {
+        k: {p for e in order if e[:2] < k[:2] and set(real[e]) & set(real[k]) - {None} for p in op7_lines.align(real[e], real[k])} for k in order
+    }
     out = []
     for i, t, *_ in data:
         k = (i is None, i or 0, t or "")
-        shared = collections.defaultdict(set)
-        for x in set(real[k]) - {None}:
-            home = min(holders[x])
-            if home < k:
-                shared[home].add(x)
-        gone: set[int] = set()
-        for home, common in shared.items():
-            if min(len(holders[x]) for x in common) <= rare or len(common) > 1:
-                gone |= set(op7_lines.align(real[home], real[k]))
-        kept = None if t is None else "\n".join(x for j, x in enumerate(docs[k]) if j not in gone)
-        out.append((i, sum(x is not None for x in real[k]), len(gone), kept))
+        kept = None if t is None else "\n".join(x for j, x in enumerate(docs[k]) if j not in gone[k])
+        out.append((i, sum(x is not None for x in real[k]), len(gone[k]), kept))
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("rare", [100, 2])
-def test_lines(spark, rare):
+@pytest.mark.parametrize("rare", [100, 4, 1])
+def test_lines(spark, monkeypatch, rare):
+    monkeypatch.setattr(op7_lines, "RARE", rare)
     r = random.Random(8)
     pool = [f"line {j} {sentence(r, 4)}".replace("\n", "") for j in range(25)]
     data = [(i, "\n".join([*r.sample(pool, r.randrange(1, 9)), "", "the same in all", f"own {i}"]), "en", "s") for i in range(40)]
     data += [x for x in rows() if x[0] is not None]
-    assert collected(op7_lines.dedup_lines(frame(spark, data), rare)) == lines_brute(data, rare)
+    assert collected(op7_lines.dedup_lines(frame(spark, data))) == all_lines_brute(data)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_crossing_lines_of_many_holders(spark, monkeypatch, seed):
+    """Frequent lines in all orders, with rare ones, blanks and repeats between them."""
+    monkeypatch.setattr(op7_lines, "RARE", 3)
+    r = random.Random(seed)
+    data = []
+    for i in range(70):
+        some = r.sample("ABCDE", r.randrange(1, 5))
+        mixed = [x for line in some for x in (line, r.choice([f"own {i}", f"rare {r.randrange(30)}", "", None, line])) if x is not None]
+        data.append((i, "\n".join(mixed), "en", "s"))
+    assert collected(op7_lines.dedup_lines(frame(spark, data, False))) == all_lines_brute(data)
+
+
+def test_later_holders_of_lines_that_cross_at_home(spark):
+    """More than a hundred holders: their home has the lines in the other order."""
+    data = [(0, "B\nx 0\nA", "en", "s"), (1, "A\nx 1\nB", "en", "s"), (2, "y\nA\nB\nz", "en", "s"), (3, "A\nB\nw", "en", "s")]
+    data += [(10 + i, f"p {i}\n{'AB'[i % 2]}\nq {i}", "en", "s") for i in range(260)]
+    got = collected(op7_lines.dedup_lines(frame(spark, data, False)))
+    assert got == all_lines_brute(data)
+    assert [n for i, _, n, _ in got if i in (2, 3)] == [2, 2]
 
 
 def test_line_of_many_holders(spark):
@@ -404,17 +417,6 @@ def test_line_of_many_holders(spark):
     assert collected(got) == [(i, int(i > 0)) for i in sorted(range(105), key=lambda i: repr((i,)))]
 
 
-def all_lines_brute(data: list[tuple]) -> list[tuple]:
-    """Every document is aligned with every earlier one."""
-    docs = sorted((i, t.split("\n")) for i, t, *_ in data)
-    real = [[x if words(x) else None for x in v] for _, v in docs]
-    out = []
-    for d, (i, v) in enumerate(docs):
-        gone = {p for e in range(d) if set(real[e]) & set(real[d]) - {None} for p in op7_lines.align(real[e], real[d])}
-        out.append((i, sum(x is not None for x in real[d]), len(gone), "\n".join(x for j, x in enumerate(v) if j not in gone)))
-    return sorted(out, key=repr)
-
-
 def test_lines_of_every_earlier_document(spark):
     r = random.Random(13)
     pool = [f"line {j}" for j in range(25)]
