@@ -20,8 +20,10 @@ from .operators import calibrate, confusion, crossval, explain, features, folds,
 from .operators import models, multilabel, quantiles, rankmetrics, scores, scoring, select, sparse, tune, validate, weights
 from .operators.boosting import BoostOptions, JointBooster
 from .operators.features import FeatureModel, FeatureOptions
+from .plans import predict, train
+from .plans.config import make_config
 from .session import new_path
-from .sources import artifacts, csv, generated
+from .sources import artifacts, csv, generated, publish
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1062,6 +1064,35 @@ def score_and_report(spark, sf):
     return scoring.binary_output(scored, "proba", 0.5, ["doc_id"], bands=True)
 
 
+@query
+def saturated_logistic(spark, sf):
+    """A logistic model of the language alone, without penalty: its probabilities are the shares of each language's rows."""
+    df = labelled(spark, sf).select("doc_id", "lang", "quality").persist()
+    model = FeatureModel(features.fit_features(df, DOC_OPTIONS, ["doc_id", "quality"])[0])
+    config = {"model": {"name": "logreg", "logistic": {"penalty": "none"}}, "imbalance": {"enable": False}}
+    fit = models.fit_classifier(df, model, config, "quality", select.class_counts(df, "quality"), 2, False)
+    p = F.col("proba")[1]
+    scored = models.probabilities(fit, df).groupBy("lang").agg(F.count("*").alias("n_rows"), F.floor(F.max(p) * 1000 + 0.5).alias("high"), F.floor(F.min(p) * 1000 + 0.5).alias("low"))
+    df.unpersist()
+    return scored
+
+
+@query
+def train_and_score(spark, sf):
+    """Whole jobs: train on the labelled documents as published files, score all documents without a key, and join back."""
+    path = new_path(spark, "job")
+    csv.write_csv(labelled(spark, sf).drop("toxic"), f"{path}/train.csv")
+    csv.write_csv(table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars").repartition(3, "doc_id").sortWithinPartitions("doc_id"), f"{path}/new.csv")
+    config = make_config({"target.name": "quality", "model.name": "logreg", "key": "doc_id", "cv.folds": 2, "explain.sample": 50})
+    meta = train.train_binary(spark, csv.read_csv(spark, f"{path}/train.csv"), config, f"{path}/artifacts")
+    scored = predict.predict_binary(spark, f"{path}/new.csv", f"{path}/artifacts", f"{path}/scored", threshold=0.5)
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
+    p = F.col("probability")
+    wrong = ~F.col("prediction").eqNullSafe((p >= 0.5).cast("int")) | ~p.between(0, 1)
+    found = scored.join(docs, "doc_id").agg(F.count("*").alias("n_rows"), F.count_distinct("doc_id").alias("n_keys"), F.sum("n_chars").alias("n_chars"), F.count_if(wrong).alias("n_wrong"))
+    return found.withColumns({"n_features": F.lit(len(meta["features"])).cast("long"), "n_versions": F.lit(len(publish.versions(spark, f"{path}/artifacts"))).cast("long")})
+
+
 @query
 def fit_logistic_classes(spark, sf):
     data, index, model = fitted_segments(spark, sf, LOGISTIC)
@@ -1245,6 +1276,24 @@ def tree_attribution_sums(spark, sf):
     )
 
 
+@query
+def tree_attribution_values(spark, sf):
+    """Attributions of one joint round of stumps over a flag: what its side adds to each language, less the mean over the sides."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", (F.col("n_chars") > 1500).cast("double").alias("x"))
+    index, data = labels.fit_transform(docs, "lang")
+    data = data.drop("lang").persist()
+    model = FeatureModel(features.fit_features(data, FeatureOptions(scaler="none"), ["doc_id", "label_idx"])[0])
+    options = BoostOptions(n_estimators=1, learning_rate=0.3, max_depth=1, reg_alpha=0.5, reg_lambda=2.0, min_child_weight=0.0)
+    fitted_model = PipelineModel([model, JointBooster(options, index.n_classes, "label_idx", keyCol="doc_id").fit(model.transform(data))])
+    out = None
+    for c, name in enumerate(index.classes):
+        own = explain.tree_attribution(fitted_model, data, "doc_id", c).join(data.select("doc_id", "x"), "doc_id")
+        own = own.groupBy("x").agg(F.count("*").alias("n_rows"), r6(F.min(F.col("attribution")[0])).alias("low"), r6(F.max(F.col("attribution")[0])).alias("high"))
+        own = own.select(F.lit(name).alias("lang"), "x", "n_rows", "low", "high")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query
 def sampled_attribution(spark, sf):
     df, model = fitted(spark, sf, FOREST)

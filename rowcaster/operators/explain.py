@@ -21,7 +21,7 @@ from .boosting import JointBoostingModel
 from .select import row_lookup, sample_rows
 from .trees import leaf_paths, node_table
 
-BACKGROUND_ROWS = 100
+BACKGROUND_ROWS = 100  # by default, as each permutation is scored for every row
 
 # the batch function below is sent to the executors whole; they need not have this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -135,17 +135,18 @@ def sampled_attribution(
     permutations: int = 10,
     background: DataFrame | None = None,
     seed: int = 42,
+    background_rows: int = BACKGROUND_ROWS,
 ) -> DataFrame:
     """(key, attribution array) by permutation sampling against background rows.
 
     Each row is scored along ``permutations`` random feature orders: features enter one by
     one, the rest stay at a background row. Values of a row add up to its probability
     minus the mean probability of the background rows used. The plan (at most
-    ``BACKGROUND_ROWS`` rows, permutations x features numbers) is a literal.
+    ``background_rows`` rows, permutations x features numbers) is a literal.
     """
     features, last = model.stages[0], model.stages[-1]
     names = features.feature_names
-    base = sample_rows(df if background is None else background, BACKGROUND_ROWS, key, seed)
+    base = sample_rows(df if background is None else background, background_rows, key, seed)
     pool = [
         list(r["x"])
         for r in features.transform(base).select(vector_to_array("features").alias("x")).collect()

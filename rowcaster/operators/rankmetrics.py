@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .confusion import f1_of_counts
 from .quantiles import count_and_splits, linear_quantiles, with_bucket
 
-BUCKET_ROWS, MOST_BUCKETS = 100_000, 10_000
+BUCKET_ROWS, MOST_BUCKETS = 100_000, 100_000  # the bounds are a sample's quantiles, so some millions of rows at most
 THRESHOLD_LEVELS = [*(0.01 + i * ((0.99 - 0.01) / 198) for i in range(198)), 0.99]
 
 
@@ -61,12 +61,11 @@ def label_scores(df: DataFrame, truth: Sequence[str], scores: Sequence[str]) ->
 
 def score_bounds(long: DataFrame, buckets: int | None) -> list[float]:
     """Bounds of buckets, as many as the counted rows call for, from a sample of the scores."""
-    steps = 4 * MOST_BUCKETS if buckets is None else buckets
-    n, splits = count_and_splits(long, "score", [i / steps for i in range(1, steps)])
-    if buckets is None:
-        wanted = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
-        splits = splits[:: max(1, len(splits) // wanted)]
-    return splits
+    if buckets is not None:
+        return count_and_splits(long, "score", [i / buckets for i in range(1, buckets)])[1]
+    n = long.where(F.col("score").isNotNull()).count()
+    wanted = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
+    return count_and_splits(long, "score", [i / wanted for i in range(1, wanted)])[1] if wanted > 1 else []
 
 
 def _score_counts(long: DataFrame, sums: Sequence[Column], buckets: int | None) -> DataFrame:

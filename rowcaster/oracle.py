@@ -540,3 +540,13 @@ ORACLE["label_decades"] = f"""WITH l AS (SELECT doc_id, i, (n_chars % i = 0)::IN
  {r6('(SELECT 2e0 * sum(tp) / sum(sz) FROM by_label)', 'micro_f1')},
  {r6('(SELECT avg(CASE WHEN sz = 0 THEN 0e0 ELSE 2e0 * tp / sz END) FROM by_row)', 'samples_f1')},
  {r6('(SELECT avg(ok::INT::DOUBLE) FROM by_row)', 'accuracy')}"""
+
+ORACLE["tree_attribution_values"] = leaf_values(1).split(" SELECT lang, 0::INT")[0] + f""" ,
+ u AS (SELECT *, sum(h * CASE WHEN split THEN (SELECT value FROM v0 WHERE v0.x = k0.x AND v0.lang = k0.lang) ELSE 0 END) OVER (PARTITION BY lang) / th AS mean FROM k0)
+ SELECT u.lang, u.x, n::BIGINT AS n_rows, {r6("CASE WHEN split THEN (SELECT value FROM v0 WHERE v0.x = u.x AND v0.lang = u.lang) - mean ELSE 0 END", "low")},
+ {r6("CASE WHEN split THEN (SELECT value FROM v0 WHERE v0.x = u.x AND v0.lang = u.lang) - mean ELSE 0 END", "high")}
+ FROM (SELECT u.lang, u.x, c.n, split, mean FROM u JOIN (SELECT x, count(*) AS n FROM d GROUP BY x) c ON c.x = u.x) u"""
+ORACLE["saturated_logistic"] = f"""SELECT lang, count(*) AS n_rows, floor(avg(quality) * 1000 + {num(0.5)})::BIGINT AS high,
+ floor(avg(quality) * 1000 + {num(0.5)})::BIGINT AS low FROM {LABELLED} GROUP BY lang"""
+ORACLE["train_and_score"] = f"""SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_keys, sum(n_chars)::BIGINT AS n_chars, 0::BIGINT AS n_wrong,
+ (SELECT 2 + count(DISTINCT lang) + count(DISTINCT source) FROM {LABELLED}) AS n_features, 1::BIGINT AS n_versions FROM documents"""

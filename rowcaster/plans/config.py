@@ -38,7 +38,7 @@ DEFAULTS: dict[str, Any] = {
         },
     },
     "imbalance": {"enable": True, "scheme": "inverse_freq"},
-    "calibration": {"apply": False, "methods": ["sigmoid", "isotonic"], "in_sample": False},
+    "calibration": {"apply": False, "methods": ["sigmoid", "isotonic"], "in_sample": False, "cv": None},  # cv: folds, by default those of cv
     "evaluation": {"metric": "roc_auc"},
     "tuning": {"n_trials": 30, "timeout_minutes": 15},
     "explain": {"sample": 2000, "top_features": 10, "classes": None},

@@ -64,7 +64,7 @@ def prepare_table(df: DataFrame, config: dict) -> tuple[DataFrame, str, LabelInd
     return index.transform(df, target, LABEL).drop(target), key, index, target, contract
 
 
-def fold_table(data: DataFrame, key: str, index: LabelIndex, config: dict) -> FoldedData:
+def fold_table(data: DataFrame, key: str, index: LabelIndex, config: dict, n_folds: int | None = None) -> FoldedData:
     cv = config["cv"]
     return prepare_folds(
         data,
@@ -72,7 +72,7 @@ def fold_table(data: DataFrame, key: str, index: LabelIndex, config: dict) -> Fo
         LABEL,
         key,
         index.n_classes,
-        cv["folds"],
+        n_folds or cv["folds"],
         config["model"]["random_state"],
         cv.get("group_col"),
         cv.get("stratify", True),
@@ -214,6 +214,10 @@ def train_binary(spark: SparkSession, df: DataFrame, config: dict, output: str)
     save_model(model, f"{output}/model")
     calibration: dict = {}
     if config["calibration"]["apply"] and index.n_classes == 2:
+        parts = config["calibration"].get("cv")
+        if parts and parts != folded.k:  # folds and fold models of its own
+            folded = fold_table(folded.df.drop("fold"), key, index, config, parts)
+            models = fit_folds(folded, config, parallelism=config["cv"].get("parallelism", 2))
         calibrated, calibration = select_calibration(
             folded,
             models,

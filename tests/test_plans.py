@@ -36,8 +36,9 @@ def test_binary_job(spark, folder):
     train = csv_of(spark, folder, "binary.csv", generated.binary_rows, 200)
     score = csv_of(spark, folder, "binary_new.csv", generated.binary_rows, 50, ["outcome"])
     out = str(folder / "binary")
-    config = make_config({**FAST, "target.name": "outcome", "model.name": "logreg", "calibration.apply": True})
+    config = make_config({**FAST, "target.name": "outcome", "model.name": "logreg", "calibration.apply": True, "calibration.cv": 3})
     meta = train_csv(spark, train, config, out)
+    assert len(load_artifacts(spark, out)[0].models) == 3
     assert meta["target"] == "outcome" and meta["task"] == "binary" and 0.0 <= meta["threshold"] <= 1.0
     assert not any("bill" in f or "discharge" in f for f in meta["features"])
     assert "bill_amount" not in meta["schema_columns"] and meta["calibration"]["selected"] in ("sigmoid", "isotonic")
