@@ -7,10 +7,14 @@ import collections
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from rowcaster.llm.queries import TOKENIZER, tokenizer_path
+from rowcaster.session import written
+from rowcaster.sources.artifacts import exists
 
-from .fixture import collected
+from .fixture import CLASH, collected
 from .test_rows import base_brute, bench_items, hits_brute, join_brute, rule_rows
 
 
@@ -66,3 +70,30 @@ def test_run_is_the_stages_in_order(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert collected(got) == collected(corpus_pipeline.run(spark, folder))
+
+
+def test_stages_on_an_empty_table_and_clashing_columns(spark, folder):
+    """An empty table passes through; columns of any name are carried by all stages but the last."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    clash = docs.withColumns({c: F.lit(c) for c in [*CLASH, "a b", "_w", "token", "gid", "shard", "part", "tie"]})
+    for source in (docs.limit(0), clash):
+        columns = source.columns
+        for name, stage in corpus_pipeline.STAGES:
+            source = stage(spark, source, folder).cache()
+            if name != "token output":
+                assert source.columns == columns
+            if columns == docs.columns:
+                assert source.count() == 0
+            elif name != "token output":
+                assert source.count() > 0 and all(r["a b"] == "a b" and r["uid"] == "uid" for r in source.select("a b", "uid").collect())
+        assert source.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_a_stage_removes_what_the_one_before_left(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    steps = dict(corpus_pipeline.STAGES)
+    first = written(steps["quality rules"](spark, docs, folder), "stage")
+    paths = list(corpus_pipeline._made)
+    assert paths and all(exists(spark, p) for p in paths)
+    kept = written(steps["n-gram Jaccard join"](spark, first, folder), "stage")
+    assert kept.count() > 0 and not any(exists(spark, p) for p in paths)
