@@ -25,17 +25,23 @@ def explain_csv(
     class_index: int = 1,
     seed: int = 42,
 ) -> None:
-    """Attributions of sampled rows, and the mean absolute value of the leading features."""
+    """Attributions of sampled rows, and the mean absolute value of the leading features.
+
+    A calibrated model is explained by the model that it calibrates, a multilabel one label by
+    label, each in a folder of its own.
+    """
     artifacts = latest(spark, artifacts)
     require_artifact(spark, f"{artifacts}/meta", "Meta")
     meta = load_json(spark, f"{artifacts}/meta")
-    model = load_model(f"{artifacts}/model")
+    parts = {f"/label={c}": f"{artifacts}/model/{c}" for c in meta.get("target_columns", ())} or {"": f"{artifacts}/model"}
     rows, key = scoring_frame(spark, path, meta)
     sample = written(sample_rows(rows, sample_size, key, seed), "sample")
-    names = model.stages[0].feature_names
-    wide = attributions(model, sample, key, class_index, seed=seed).persist()
-    long = to_long(wide, key, "attribution", names)
-    write_csv(wide_projection(wide, key, "attribution", names), f"{output}/attributions")
-    write_csv(global_importance(long), f"{output}/attribution_importance", single_file=True)
-    write_csv(global_importance(long).limit(max_display), f"{output}/attribution_leading", single_file=True)
-    wide.unpersist()
+    for tail, folder in parts.items():
+        model = load_model(folder)
+        names = model.stages[0].feature_names
+        wide = attributions(model, sample, key, class_index, seed=seed).persist()
+        long = to_long(wide, key, "attribution", names)
+        write_csv(wide_projection(wide, key, "attribution", names), f"{output}/attributions{tail}")
+        write_csv(global_importance(long), f"{output}/attribution_importance{tail}", single_file=True)
+        write_csv(global_importance(long).limit(max_display), f"{output}/attribution_leading{tail}", single_file=True)
+        wide.unpersist()

@@ -110,6 +110,10 @@ def test_multilabel_job(spark, folder):
     assert back.columns == ["age", "pred_high", "pred_old", "score_high", "score_old"] and back.count() == 200
     assert back.where((F.col("score_old") >= 0.9) != (F.col("pred_old") == 1)).count() == 0
     assert back.where((F.col("score_high") >= 0.5) != (F.col("pred_high") == 1)).count() == 0
+    explain_csv(spark, path, str(folder / "labels"), str(folder / "why_labels"), sample_size=10)
+    for c in ("high", "old"):
+        why = read_csv(spark, str(folder / "why_labels") + f"/attributions/label={c}")
+        assert why.columns == ["index", *meta["features"]] and why.count() == 10
 
 
 def test_rows_without_a_key_join_back(spark, folder):
