@@ -22,7 +22,7 @@ from .operators.boosting import BoostOptions, JointBooster
 from .operators.features import FeatureModel, FeatureOptions
 from .plans import predict, train
 from .plans.config import make_config
-from .session import new_path
+from .session import new_path, written
 from .sources import artifacts, csv, generated, publish
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -973,7 +973,7 @@ def group_class_folds(spark, sf):
     """Orders in folds by customer and status: no customer in two folds, every status in about even shares, with one
     customer that holds a third of all orders."""
     orders = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("owner"), "o_orderstatus")
-    folded = folds.group_class_folds(orders, "o_orderstatus", "owner", 3).persist()
+    folded = written(folds.group_class_folds(orders, "o_orderstatus", "owner", 3), "folded")
     split = folded.groupBy("owner").agg(F.count_distinct("fold").alias("n")).agg(F.count_if(F.col("n") > 1).alias("n_split"), F.count("*").alias("n_groups"))
     shares = folded.groupBy("o_orderstatus", "fold").agg(F.count("*").alias("n"))
     whole = folded.groupBy("o_orderstatus").agg(F.count("*").alias("t"), F.count_if(F.col("owner").isNull()).alias("largest"))
@@ -1031,7 +1031,7 @@ def all_documents(spark, sf):
 
 
 def fitted(spark, sf, config, label="quality"):
-    df = labelled(spark, sf).persist()  # read by every pass of the fit
+    df = written(labelled(spark, sf), "fit-rows")  # read by every pass of the fit
     other = "toxic" if label == "quality" else "quality"
     model = FeatureModel(features.fit_features(df, DOC_OPTIONS, ["doc_id", label, other])[0])
     counts = select.class_counts(df, label)
@@ -1050,7 +1050,7 @@ def segment_rows(spark, sf):
 def fitted_segments(spark, sf, config):
     df = segment_rows(spark, sf)
     index, data = labels.fit_transform(df, "c_mktsegment")
-    data = data.drop("c_mktsegment").persist()  # read by every pass of the fit
+    data = written(data.drop("c_mktsegment"), "fit-rows")  # read by every pass of the fit
     model = FeatureModel(features.fit_features(data, DOC_OPTIONS, ["c_custkey", "label_idx"])[0])
     counts = select.class_counts(data, "label_idx")
     return data, index, models.fit_classifier(data, model, config, "label_idx", counts, index.n_classes, False)
@@ -1067,13 +1067,12 @@ def score_and_report(spark, sf):
 @query
 def saturated_logistic(spark, sf):
     """A logistic model of the language alone, without penalty: its probabilities are the shares of each language's rows."""
-    df = labelled(spark, sf).select("doc_id", "lang", "quality").persist()
+    df = written(labelled(spark, sf).select("doc_id", "lang", "quality"), "fit-rows")
     model = FeatureModel(features.fit_features(df, DOC_OPTIONS, ["doc_id", "quality"])[0])
     config = {"model": {"name": "logreg", "logistic": {"penalty": "none"}}, "imbalance": {"enable": False}}
     fit = models.fit_classifier(df, model, config, "quality", select.class_counts(df, "quality"), 2, False)
     p = F.col("proba")[1]
     scored = models.probabilities(fit, df).groupBy("lang").agg(F.count("*").alias("n_rows"), F.floor(F.max(p) * 1000 + 0.5).alias("high"), F.floor(F.min(p) * 1000 + 0.5).alias("low"))
-    df.unpersist()
     return scored
 
 
@@ -1281,7 +1280,7 @@ def tree_attribution_values(spark, sf):
     """Attributions of one joint round of stumps over a flag: what its side adds to each language, less the mean over the sides."""
     docs = table(spark, sf, "documents").select("doc_id", "lang", (F.col("n_chars") > 1500).cast("double").alias("x"))
     index, data = labels.fit_transform(docs, "lang")
-    data = data.drop("lang").persist()
+    data = written(data.drop("lang"), "fit-rows")
     model = FeatureModel(features.fit_features(data, FeatureOptions(scaler="none"), ["doc_id", "label_idx"])[0])
     options = BoostOptions(n_estimators=1, learning_rate=0.3, max_depth=1, reg_alpha=0.5, reg_lambda=2.0, min_child_weight=0.0)
     fitted_model = PipelineModel([model, JointBooster(options, index.n_classes, "label_idx", keyCol="doc_id").fit(model.transform(data))])
