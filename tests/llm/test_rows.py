@@ -492,6 +492,41 @@ def test_contaminated_rows_go(spark):
     assert collections.Counter(r["doc_id"] for r in kept.collect()) == clean
 
 
+def test_benchmark_words_at_the_edges(spark):
+    texts = [None, "", " ", "\x00", ".a", "a.", "..A..b\n\n", "É\u00a0x y\u2028z", "\U0001F600 \U00010400b-0", "İΣẞ", "\x7f\x80\x7f", "[9`{z:/"]
+    df = spark.createDataFrame([*enumerate(texts)], "i long, text string").select("i", op8_decontaminate.words_of("text").alias("w"))
+    assert {r["i"]: r["w"] for r in df.collect()} == {i: bench_words(t) for i, t in enumerate(texts)}
+
+
+def test_short_texts_with_a_gram_of_a_long_item(spark):
+    items = [(1, "v w x y z"), (2, "a b c d e f"), *((i, "a b c d e " + " ".join(f"t{i + j}" for j in range(5))) for i in range(10, 60))]
+    data = [(1, "a b c d e f"), (2, "a b c d e"), (3, "q a b c d e t10 t11 t12 t13 t14"), (4, "t10 t11 t12 t13 t14"), (5, "b c d e t10 t11"), (6, "A B c d e f, v w x y z")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert collected(op8_decontaminate.decontaminate(docs, bench).drop("_key")) == hits_brute(data, items)
+
+
+def reads_of_texts(spark, items: list[tuple]) -> int:
+    """How often a text is worked out for the hits in ``rows()`` and two more."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        seen.add(1)
+        return text
+
+    data = rows() + [(80, "a zebra one two", "en", "s"), (81, "x y " + items[0][1], "en", "s")]
+    df = frame(spark, data).withColumn("text", F.udf(counted, "string")("text"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert collected(op8_decontaminate.decontaminate(df, bench).drop("_key")) == hits_brute(data, items)
+    return seen.value
+
+
+def test_texts_are_read_as_often_for_items_of_all_lengths(spark):
+    long = [(0, " ".join(f"q{i}" for i in range(12)))]
+    short = [(n, " ".join(["one two three four five six seven eight nine".split()[i % 9] for i in range(n)])) for n in range(1, 10)]
+    assert reads_of_texts(spark, long + short) == reads_of_texts(spark, long)
+
+
 # --- empty tables ------------------------------------------------------------------------
 
 
