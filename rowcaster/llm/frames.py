@@ -56,12 +56,13 @@ def join_small(df: DataFrame, small: DataFrame, keys: Sequence[str], spread: str
 
     Up to ``BROADCAST_ROWS`` rows (counted) are broadcast. A longer table is repeated under
     ``SALTS`` salts, so that the rows of a hot key, dealt by a hash of ``spread``, meet in
-    many tasks. ``small`` should be cheap to read twice.
+    many tasks; as Spark takes it for as long as its file, which the salts are not in, it is
+    kept from broadcasting it. ``small`` should be cheap to read twice.
     """
     wide = small.count() > BROADCAST_ROWS
     renamed = small.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
     if wide:
-        renamed = renamed.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        renamed = renamed.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
         df = df.withColumn("_salt1", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     if wide:

@@ -156,7 +156,8 @@ def _copies(sequences: DataFrame) -> DataFrame:
 def _rest(held: DataFrame, gone: DataFrame) -> DataFrame:
     """The lines (uid, rank, a, b, at) of which a place is not gone yet, with the places left."""
     left = F.array_except("at", F.coalesce("gone", F.array().cast("array<int>")))
-    joined = held.join(gone, "uid", "left").withColumn("at", left).drop("gone")
+    # places that repeat make short files of long arrays, which Spark would broadcast by the file's size
+    joined = held.join(gone.hint("merge"), "uid", "left").withColumn("at", left).drop("gone")
     return joined.where(F.size("at") > 0)
 
 
